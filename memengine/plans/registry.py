@@ -1,0 +1,11 @@
+"""All queries of the engine's own operators, with their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

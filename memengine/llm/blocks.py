@@ -9,6 +9,7 @@ again on another executor.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,11 +18,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memengine.llm.common import written
 from memengine.llm.textops import pieces, utf8
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_SCHEMA = "block long, rows long, bytes long, body binary"
 
 
@@ -38,7 +38,10 @@ def thaw(body: bytes) -> pa.RecordBatch:
 
 
 def pack(df: DataFrame, text: str, name: str, most: int = BLOCK_BYTES) -> DataFrame:
-    """All rows of df, with all columns, as a written table of blocks (block, rows, bytes, body)."""
+    """All rows of df, with all columns, as a table of blocks (block, rows, bytes, body).
+
+    The table is written to the warehouse in buckets by block, so that bringing
+    the blocks together with their answers moves only the answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,7 +68,10 @@ def pack(df: DataFrame, text: str, name: str, most: int = BLOCK_BYTES) -> DataFr
         if held:
             yield out()
 
-    return written(df.mapInArrow(run, BLOCK_SCHEMA), name)
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.mapInArrow(run, BLOCK_SCHEMA).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    return spark.table(name)
 
 
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("body", pa.binary())])

@@ -45,7 +45,7 @@ WINDOW = 13
 LOG2_CELLS = 28
 LOG2_SHARDS = 6
 _SALTS = (0x0, 0x5851F42D4C957F2D)
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -59,6 +59,20 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _shrink(cells: np.ndarray) -> bytes:
+    """Sorted numbers as steps, each a byte below 255 after a 255 for every 255 in it."""
+    steps = np.diff(cells, prepend=0)
+    ends = np.cumsum(steps // 255 + 1)
+    out = np.full(ends[-1], 255, dtype=np.uint8)
+    out[ends - 1] = steps % 255
+    return zlib.compress(out.tobytes(), 1)
+
+
+def _grow(body: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
 def _each_piece(rows: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tuple]:
     """(ids, has an id, data, offsets) of the pieces of a block."""
     names = rows.schema.names
@@ -89,7 +103,7 @@ def _sketch(blocks: DataFrame, id_col: str, text_col: str, k: int, bits: int) ->
                     if len(part):
                         rows.append(row)
                         shards.append(shard)
-                        bodies.append(zlib.compress(np.diff(part, prepend=0).astype("<u4").tobytes(), 1))
+                        bodies.append(_shrink(part))
             yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "shard": pa.array(shards, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
         for _, block in B.each(batches):
@@ -107,7 +121,7 @@ def _sketch(blocks: DataFrame, id_col: str, text_col: str, k: int, bits: int) ->
         for part in parts:
             row, shard = part.column("row")[0].as_py(), part.column("shard")[0].as_py()
             for body in part.column("body"):
-                got = np.cumsum(np.frombuffer(zlib.decompress(body.as_py()), dtype="<u4").astype(np.int64))
+                got = _grow(body.as_py())
                 twice = got[1:][got[1:] == got[:-1]]
                 counts[got] = np.minimum(counts[got] + 1, 2)
                 counts[twice] = 2
@@ -128,7 +142,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Every row of docs with its columns, text_col holding the kept words joined by one space where words went,
     and n_words, n_removed (long) and kept_words (the kept words joined by one space, also where nothing went)."""
     spark = docs.sparkSession
-    blocks = B.pack(docs, text_col, "substring-blocks")
+    blocks = B.pack(docs, text_col, "substring_blocks")
     bitmaps = spark.sparkContext.broadcast(_sketch(blocks, id_col, text_col, k, log2_cells))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +171,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     answers = (
         blocks.select("block", "body")
         .mapInArrow(asked, "window long, block long, lowest long, several boolean")
-        .withColumns({"rows": F.count("*").over(grouped), "least": F.min("lowest").over(grouped)})
-        .where((F.col("rows") > 1) | F.col("several"))
+        .withColumn("least", F.min("lowest").over(grouped))
+        .where((F.col("least") < F.col("lowest")) | F.col("several"))
         .select("block", "window", "least")
     )
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_words", T.StringType())]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from memengine.llm import substring_dedup
+from memengine.llm import bpe, substring_dedup
 
 _QUERIES = {
+    "op8_bpe": (bpe.op8_bpe, None),
     "op10_substring_dedup": (substring_dedup.op10_substring_dedup, substring_dedup.SQL),
 }
 

@@ -100,10 +100,12 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, value): log10 of the probability of the last byte of key after the others, for every key.
 
     counts: (key, n) with the training count, 0 for keys that only need a value."""
+    levels = [counts]
+    for k in reversed(range(order)):  # update exclusion: a shorter context counts the longer ones in which the symbol stands
+        suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        levels.insert(0, written(levels[0].groupBy(suffix.alias("key")).agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n")), "level"))
     depth: DataFrame | None = None
-    for k in range(order + 1):
-        low = (1 << 8 * (k + 1)) - 1
-        here = counts if k == order else counts.groupBy(F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.sum("n").alias("n"))
+    for k, here in enumerate(levels):
         context = Window.partitionBy(F.shiftright("key", 8))  # at most 256 rows
         here = here.withColumns({"total": F.sum("n").over(context), "kinds": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(context)})
         if depth is None:

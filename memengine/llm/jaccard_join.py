@@ -144,17 +144,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        kept: dict[int, np.ndarray] = {}
-        changes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        base = None  # (b, family, a, a's set, overlap with b's) that others of the family are derived from
+        kept: dict[bytes, np.ndarray] = {}
+        changes: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        base = None  # (b and its text, family, a's text, a's set, overlap with b's) that others of the family are derived from
 
-        def shingles(id_: int, body: pa.Scalar) -> np.ndarray:
-            if id_ not in kept:
+        def shingles(body: bytes) -> np.ndarray:
+            if body not in kept:
                 if len(kept) > 200:
                     kept.clear()
-                raw = np.frombuffer(unpack(body.as_py()), dtype=np.uint8)
-                kept[id_] = next(shingle_sets(raw, np.array([0, len(raw)]), k))
-            return kept[id_]
+                raw = np.frombuffer(unpack(body), dtype=np.uint8)
+                kept[body] = next(shingle_sets(raw, np.array([0, len(raw)]), k))
+            return kept[body]
 
         def overlap(x: np.ndarray, y: np.ndarray) -> int:
             if len(x) > len(y):
@@ -166,9 +166,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             good = []
-            for i, (a, b, family) in enumerate(zip(col["a"].to_pylist(), col["b"].to_pylist(), col["family"].to_pylist(), strict=True)):
-                y, x = shingles(b, col["body_b"][i]), shingles(a, col["body_a"][i])
-                if base and base[:2] == (b, family) and base[2] != a:
+            for b, family, a_text, b_text in zip(col["b"].to_pylist(), col["family"].to_pylist(), col["body_a"].to_pylist(), col["body_b"].to_pylist(), strict=True):
+                y, x, a = shingles(b_text), shingles(a_text), a_text
+                if base and base[:2] == ((b, b_text), family) and base[2] != a:
                     if (base[2], a) not in changes:
                         if len(changes) > 2000:
                             changes.clear()
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     common = base[4] - overlap(less, y) + overlap(more, y)
                 else:
                     common = overlap(x, y)
-                    base = b, family, a, x, common
+                    base = (b, b_text), family, a, x, common
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_pydict({n: col[n].filter(pa.array(good)) for n in ("a", "b")})
 
@@ -268,7 +268,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lows = [f"low{j}" for j in range(MINIMA)]
     # One row for each distinct set: its smallest document stands for it.
     sets = written(some.groupBy("set_id").agg(F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in lows]), "sets")
-    texts = some.select("id", "set_id", "body").join(sets.select("id", "set_id"), ["id", "set_id"])
+    texts = some.select("id", "body").join(sets.select("id"), "id", "left_semi")
 
     # Families: sets that share a minimum hash with their smallest fellow and are linked with it.
     keys = sets.select("id", F.posexplode(F.array(*lows)).alias("j", "low"))

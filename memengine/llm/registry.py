@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from memengine.llm import bpe, jaccard_join, ppm, substring_dedup
+from memengine.llm import bpe, jaccard_join, ppm, quality, substring_dedup
 
 _QUERIES = {
+    "op7_quality": (quality.op7_quality, None),
     "op1_ppm": (ppm.op1_ppm, None),
     "op5_jaccard_join": (jaccard_join.op5_jaccard_join, None),
     "op8_bpe": (bpe.op8_bpe, None),

@@ -42,7 +42,7 @@ ORDER = 5
 #: Bytes that UTF-8 never holds: before a text's start, and after its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +83,8 @@ def _asked(blocks: DataFrame, keys_of, name: str) -> DataFrame:
                 u, n = np.unique(keys[train], return_counts=True)
                 rest = np.unique(keys[~train])
                 found += [(u, n), (rest, np.zeros(len(rest)))]
+                if len(found) >= 8:
+                    found = [_counted(found)]
             keys, n = _counted(found)
             for a in range(0, len(keys), 1 << 17):
                 part = slice(a, a + (1 << 17))
@@ -160,13 +162,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         keys, value = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy()
 
         def sorted_table(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order_ = np.argsort(keys[which])
-            return keys[which][order_], value[which][order_]
-
-        gram_keys, gram_values = sorted_table(is_gram)
-        word_keys, word_counts = sorted_table(~is_gram)
-        parts = [(h, *_words(d, o), d, o) for h, d, o in _block_pieces(block)]
-        own_keys, own_counts = _counted([(w[np.repeat(~h, np.diff(of))], np.ones(int(np.diff(of)[~h].sum()))) for h, w, of, _, _ in parts])
+            by = np.argsort(keys[which])
+            return keys[which][by], value[which][by]
 
         def lookup(of: np.ndarray, table_keys: np.ndarray, table_values: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
             if not len(table_keys):
@@ -181,8 +178,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 out[some] = np.add.reduceat(x, of[:-1][some])
             return out
 
+        own: list[tuple[np.ndarray, np.ndarray]] = []  # training counts of the block's own words
+        for held_out_, data, offsets in _block_pieces(block):
+            words_, of = _words(data, offsets)
+            own.append(np.unique(words_[np.repeat(~held_out_, np.diff(of))], return_counts=True))
+        own_keys, own_counts = _counted(own)
+        del own
+        gram_keys, gram_values = sorted_table(is_gram)
+        word_keys, word_counts = sorted_table(~is_gram)
+        del keys, value, is_gram
         n_tokens, n_known, base, scored, size = [], [], [], [], []
-        for _, words_, of, data, offsets in parts:
+        for _, data, offsets in _block_pieces(block):
+            words_, of = _words(data, offsets)
             counts = lookup(words_, word_keys, word_counts, lookup(words_, own_keys, own_counts, 0.0))
             n_tokens.append(np.diff(of) + 1)
             n_known.append(sums((counts > 0).astype(float), of).astype(np.int64) + known_end)

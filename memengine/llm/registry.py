@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from memengine.llm import bpe, jaccard_join, language_id, ppm, quality, substring_dedup
+from memengine.llm import bpe, jaccard_join, language_id, ppm, quality, substring_dedup, toxicity
 
 _QUERIES = {
+    "op4_toxicity": (toxicity.op4_toxicity, None),
     "op6_language_id": (language_id.op6_language_id, None),
     "op7_quality": (quality.op7_quality, None),
     "op1_ppm": (ppm.op1_ppm, None),

@@ -18,8 +18,8 @@ The rest are found by an inverted index over prefixes: shingles are put in one
 global order, rare ones first, and two linked sets share one of their first
 n - ceil(0.8 n) + 1.  The lists are sorted by set size and position; the size
 bound ends a list's scan and the position bound skips entries.  The order uses
-an estimate of how often shingles occur, kept in a table of 2**20 counters
-(4 MB at any input size); any estimate gives right results.
+an estimate of how often shingles occur, kept in a table of 2**22 counters
+(16 MB at any input size); any estimate gives right results.
 
 Defined results: null and empty texts have no shingles, are linked with nothing
 and are their own class; texts of one to four words have one shingle, the whole
@@ -46,12 +46,12 @@ from memengine.llm.textops import LOWER, Words, grams, mix, pieces, utf8
 
 SHINGLE = 5
 PERCENT = 80
-LOG2_COUNTERS = 20
-#: A shingle counts towards the estimate where a task meets it so often at once.
-FREQUENT = 4
+LOG2_COUNTERS = 22
+#: A shingle counts towards the estimate where a task meets it so often within _FLUSH of them.
+FREQUENT = 2
 MINIMA = 4
 _SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, MINIMA, dtype=np.uint64)
-_FLUSH = 1_000_000
+_FLUSH = 3_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -80,7 +80,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, b
 
 
 def _estimate(docs: DataFrame, k: int) -> np.ndarray:
-    """2**20 counters of frequent shingles, summed over all tasks."""
+    """2**22 counters of frequent shingles, summed over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

@@ -114,14 +114,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
 
     # Every block is named in its answers at least once, so that it knows its own number.
     named = training.union(blocks.select("block", F.lit(None).cast("long").alias("id")))
-    asked = written(B.answered(blocks, named.select("block", F.coalesce("id", F.lit(-(2**63))).alias("id")), ask, asked_schema), "asked")
+    # Asked for twice, from the blocks each time: that costs less than a copy of all keys.
+    asked = B.answered(blocks, named.select("block", F.coalesce("id", F.lit(-(2**63))).alias("id")), ask, asked_schema)
     values = kneser_ney(written(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts"), order)
-    answers = asked.select("key", "block").join(values, "key").select("block", "key", "value")
+    answers = asked.select("key", "block").join(values, "key").select("block", "key", F.col("value").cast("float").alias("value"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType())])
     kind = B.to_arrow_schema(schema)
 
     def judge(block: pa.RecordBatch, got: pa.Table) -> pa.Table:
-        keys, value = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
+        keys, value = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy().astype(np.float64)
         by = np.argsort(keys)
         keys, value = keys[by], value[by]
         size, total = [], []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from memengine.llm import bpe, decontamination, jaccard_join, language_id, ppm, quality, substring_dedup, toxicity, winnowing
+from memengine.llm import bpe, decontamination, jaccard_join, language_id, ppm, quality, substring_dedup, toxicity, warc, winnowing
 
 _QUERIES = {
+    "op3_warc": (warc.op3_warc, warc.SQL),
     "op2_winnowing": (winnowing.op2_winnowing, None),
     "op9_decontaminate": (decontamination.op9_decontaminate, decontamination.SQL),
     "op4_toxicity": (toxicity.op4_toxicity, None),

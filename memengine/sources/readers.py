@@ -38,13 +38,13 @@ def list_export(spark: SparkSession, path: str) -> DataFrame:
 
 def transcript(spark: SparkSession, path: str) -> DataFrame:
     """Plain text: a line that starts with a speaker opens a turn, the lines after it belong to it."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("thread"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("thread"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     head = F.regexp_extract("value", r"^(\w+):", 1)
     lines = lines.withColumn("role", _role(head))
     lines = lines.withColumn("ts", F.sum(F.col("role").isNotNull().cast("int")).over(Window.partitionBy("thread").orderBy("line")).cast("double")).where("ts > 0")
     said = F.when(F.col("role").isNotNull(), F.regexp_replace("value", r"^\w+:\s*", "")).otherwise(F.col("value"))
     rows = lines.groupBy("thread", "ts").agg(F.max("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
-    return _numbered(rows.withColumn("text", F.trim("text")))
+    return _numbered(rows.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")))
 
 
 def session_log(spark: SparkSession, path: str) -> DataFrame:

@@ -235,7 +235,7 @@ def decay(spark, sf_dir):
     return lifecycle.decayed(memories(spark, sf_dir), AS_OF).withColumn("relevance", F.round("relevance", 6))
 
 
-@query("SELECT o_custkey, o_orderstatus, count(*) AS mentions, round(least(1.0, 0.5 + 0.1 * (count(*) - 1)), 6) AS strength FROM orders GROUP BY ALL")
+@query("SELECT o_custkey, o_orderstatus, count(*) AS mentions, CAST(round(least(1.0, 0.5 + 0.1 * (count(*) - 1)), 6) AS DOUBLE) AS strength FROM orders GROUP BY ALL")
 def upserted_strength(spark, sf_dir):
     return lifecycle.upserted_strength(scan(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"]).withColumn("strength", F.round("strength", 6))
 

@@ -1,0 +1,176 @@
+"""Operators on small tables: ties, nulls, zero vectors, chains, readers and streams."""
+
+from __future__ import annotations
+
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from memengine.functions import scalars
+from memengine.operators import dedup, graph, lifecycle, retrieval, telemetry, text
+from memengine.sources import readers
+from memengine.sources.tables import for_tenant
+from memengine.streaming import windows
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [([1.0, 2.0], [1.0, 2.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0], [-2.0], -1.0), ([], [], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0], [1.0, 2.0], 0.0)])
+def test_cosine(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
+    assert df.select(scalars.cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
+
+
+def test_luhn_and_entropy(spark):
+    df = spark.createDataFrame([("4111111111111111", "abab"), ("4111111111111112", "aaaa")], "d string, t string")
+    assert [(r[0], r[1]) for r in df.select(scalars.luhn(F.col("d")), scalars.entropy(F.col("t"))).collect()] == [(True, 1.0), (False, 0.0)]
+
+
+VECTORS = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.1]), (3, 0, [0.0, 1.0]), (4, 1, [1.0, 0.0]), (5, 1, [0.0, 0.0]), (6, 0, None), (7, 0, [2.0, 0.0])]
+
+
+@pytest.fixture
+def vectors(spark):
+    return spark.createDataFrame(VECTORS, "id long, agent_id int, embedding array<double>")
+
+
+def test_similar_pairs(vectors):
+    found = {(r["a"], r["b"], r["label"]) for r in dedup.labelled(dedup.similar_pairs(vectors, 0.8)).collect()}
+    assert found == {(1, 2, "duplicate"), (1, 7, "duplicate"), (2, 7, "duplicate")}
+
+
+def test_knn_clusters_and_centroids(vectors):
+    # 1 and 7 are each other's nearest; that of 2 is 1 (the smaller of two equals), kept only where a < b.
+    assert {(r["a"], r["b"]) for r in dedup.knn_edges(vectors, 1, 0.5).collect()} == {(1, 7)}
+    members = graph.components(dedup.similar_pairs(vectors, 0.8).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 1), (7, 1)}
+    means = {r["dim"]: r["mean"] for r in dedup.centroids(vectors.drop("agent_id"), members.select("id", F.col("component").alias("cluster"))).collect()}
+    assert means == pytest.approx({0: 4 / 3, 1: 0.1 / 3})
+
+
+def test_merged(spark):
+    memories = spark.createDataFrame([(1, 0.5, 2), (2, 0.9, 3)], "id long, importance double, access_count long")
+    got = dedup.merged(spark.createDataFrame([(1, 2)], "a long, b long"), memories).first()
+    assert tuple(got) == (2, 1, 0.9, 5, pytest.approx(0.95))
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(spark.createDataFrame([(100, 101), (101, 100)], "src long, dst long"))
+    found = dict(map(tuple, graph.components(edges).collect()))
+    assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_hops_with_a_cycle(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 9)], "src long, dst long")
+    start = spark.createDataFrame([(1,)], "id long")
+    assert dict(map(tuple, graph.hops(edges, start, 5).collect())) == {1: 0, 2: 1, 3: 1, 4: 2}
+
+
+def test_pack_skips_what_does_not_fit(spark):
+    rows = [("a", 1, 0.9, "x" * 1600), ("a", 2, 0.8, "y" * 800), ("a", 3, 0.7, "z" * 380)]
+    got = retrieval.pack(spark.createDataFrame(rows, "g string, id long, composite double, shown string"), "g", 500).first()
+    assert tuple(got) == ("a", 495, 2, "1,3")
+
+
+def test_bm25_prefers_rare_terms(spark):
+    docs = spark.createDataFrame([(1, "apple pear"), (2, "apple apple"), (3, "plum"), (4, None)], "id long, text string")
+    found = dict(map(tuple, retrieval.bm25(docs, ["apple", "pear"]).collect()))
+    assert set(found) == {1, 2} and found[1] > found[2]
+
+
+def test_classify(spark):
+    q = spark.createDataFrame([("what did Alice say",), ("notes of 2024-01-02",), ("how do we plan the next big release of it",)], "q string")
+    assert [r["dominant"] for r in retrieval.classify(q).collect()] == [True, True, False]
+
+
+def test_tenants_are_apart(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "tenant_id string, id int")
+    assert [r["id"] for r in for_tenant(df, "a").collect()] == [1]
+    assert for_tenant(df, "c").isEmpty()
+
+
+def test_feedback_is_held_in_bounds(spark):
+    rows = [(1, i, "used") for i in range(12)] + [(1, 12, "contradicted"), (2, 0, "miss")]
+    got = {r["id"]: r["importance"] for r in lifecycle.feedback_importance(spark.createDataFrame(rows, "id long, seq long, kind string")).collect()}
+    assert got == {1: pytest.approx(0.9), 2: 0.5}
+
+
+def test_illegal_moves(spark):
+    log = [(1, 1, "modified"), (1, 2, "redacted"), (1, 3, "active"), (2, 1, "pending_resynthesis")]
+    assert {(r["id"], r["seq"]) for r in lifecycle.illegal_moves(spark.createDataFrame(log, "id long, seq long, state string")).collect()} == {(1, 3), (2, 1)}
+
+
+def test_redaction_cascade(spark):
+    s = spark.createDataFrame([(1, [10, 11]), (2, [10, 12]), (3, [12])], "id long, source_ids array<long>")
+    gone = spark.createDataFrame([(10,), (11,), (10,)], "id long")
+    assert {(r["id"], r["state"]) for r in lifecycle.redaction_cascade(s, gone).collect()} == {(1, "redacted"), (2, "pending_resynthesis")}
+
+
+def test_claims(spark):
+    rows = [("c", "a", "The sky is blue. Cats bark!"), ("c", "b", "the sky is blue."), ("c", "d", "Dogs bark.")]
+    found = {r["claim"]: r["retained"] for r in text.claim_votes(spark.createDataFrame(rows, "cluster string, agent string, text string")).collect()}
+    assert found == {"the sky is blue": True, "cats bark": False, "dogs bark": False}
+
+
+def test_redacted(spark):
+    got = text.redacted(spark.createDataFrame([("write to a.b@c.org from 10.0.0.1",), (None,)], "text string")).collect()
+    assert [r["text"] for r in got] == ["write to [EMAIL] from [IPV4]", None]
+
+
+def test_chunks_cover_the_text(spark):
+    whole = "".join(chr(97 + i % 26) for i in range(1000))
+    parts = [r["part"] for r in text.chunks(spark.createDataFrame([(1, whole), (2, "")], "id long, text string")).orderBy("chunk").collect()]
+    assert parts[0] == whole[:400] and all(p[:50] == q[-50:] for q, p in zip(parts, parts[1:])) and parts[0] + "".join(p[50:] for p in parts[1:]) == whole
+
+
+def test_rolling_zscores_need_history(spark):
+    rows = [(i, 1, "/a", f"2024-01-01 00:{i:02d}:00", float(10 + i % 2)) for i in range(8)] + [(99, 1, "/a", "2024-01-01 00:20:00", 50.0)]
+    df = spark.createDataFrame(rows, "event_id long, tenant_id int, endpoint string, c string, response_time_ms double").withColumn("created_at", F.col("c").cast("timestamp_ntz"))
+    found = dict(map(tuple, telemetry.rolling_zscores(df).collect()))
+    assert set(found) == {5, 6, 7, 99} and found[99] == pytest.approx((50 - 10.5) / 0.5)
+
+
+def test_asof_takes_the_latest_within_tolerance(spark):
+    def side(rows):
+        return spark.createDataFrame(rows, "event_id long, k string, c string").withColumn("created_at", F.col("c").cast("timestamp_ntz"))
+
+    left = side([(1, "a", "2024-01-01 01:00:00"), (2, "a", "2024-01-03 00:00:00"), (3, "b", "2024-01-01 00:00:00")])
+    right = side([(11, "a", "2024-01-01 00:00:00"), (12, "a", "2024-01-01 01:00:00"), (13, "a", "2024-01-01 01:00:01")])
+    assert dict(map(tuple, telemetry.asof(left, right, "k", 3600).collect())) == {1: 12, 2: None, 3: None}
+
+
+def test_readers(spark, tmp_path):
+    node = lambda role, t, *parts: {"message": {"author": {"role": role}, "create_time": t, "content": {"parts": list(parts)}}}
+    (tmp_path / "tree.json").write_text(json.dumps([{"title": "T", "create_time": 1.0, "mapping": {"x": node("assistant", 2.0, "yes"), "y": node("user", 1.0, "is it?"), "z": node("system", 0.0, "no")}}]))
+    assert [(r["turn"], r["role"], r["text"]) for r in readers.tree_export(spark, str(tmp_path / "tree.json")).orderBy("turn").collect()] == [(1, "user", "is it?"), (2, "assistant", "yes")]
+    (tmp_path / "list.json").write_text(json.dumps([{"name": "N", "chat_messages": [{"sender": "human", "text": "a"}, {"sender": "bot", "parts": [{"type": "text", "text": "b"}, {"type": "image", "text": "c"}]}, {"sender": "tool", "text": "d"}]}]))
+    assert [(r["role"], r["text"]) for r in readers.list_export(spark, str(tmp_path / "list.json")).orderBy("turn").collect()] == [("user", "a"), ("assistant", "b")]
+    (tmp_path / "talk.txt").write_text("intro\nHuman: one\ntwo\nAssistant: three\n")
+    assert [(r["role"], r["text"]) for r in readers.transcript(spark, str(tmp_path / "talk.txt")).orderBy("turn").collect()] == [("user", "one\ntwo"), ("assistant", "three")]
+    lines = [json.dumps({"type": "message", "session": "s", "role": "user", "text": "hi", "timestamp": "2024-01-01T00:00:00Z"}), "not json", json.dumps({"type": "event", "session": "s"})]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    assert [(r["thread"], r["text"]) for r in readers.session_log(spark, str(tmp_path / "log.jsonl")).collect()] == [("s", "hi")]
+
+
+def _streamed(spark, tmp_path, make, mode="append"):
+    schema = "id long, key string, ts timestamp, value double"
+    rows = [(i, "k", f"2024-01-01 00:{i:02d}:00", 100.0 if i == 30 else float(10 + i % 2)) for i in range(40)] + [(99, "late", "2024-01-02 00:00:00", 1.0)]
+    spark.createDataFrame(rows, "id long, key string, c string, value double").select("id", "key", F.col("c").cast("timestamp").alias("ts"), "value").repartition(1).write.parquet(str(tmp_path / "in"))
+    name = f"out_{make.__name__}"
+    query = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_stream_tumbling(spark, tmp_path):
+    found = {(r["key"], r["n"]) for r in _streamed(spark, tmp_path, windows.tumbling_counts)}
+    assert ("k", 40) in found
+
+
+def test_stream_sessions(spark, tmp_path):
+    assert {(r["key"], r["n"]) for r in _streamed(spark, tmp_path, windows.session_counts)} >= {("k", 40)}
+
+
+def test_stream_anomalies(spark, tmp_path):
+    got = _streamed(spark, tmp_path, windows.anomalies)
+    assert [(r["key"], r["value"]) for r in got] == [("k", 100.0)] and not math.isnan(got[0]["z"])

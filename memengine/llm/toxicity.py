@@ -25,6 +25,7 @@ rows without an id are scored but never trained on; other columns pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -44,6 +45,10 @@ DECAY, SPAN, LONG = 0.7, 8, 24
 ROUNDS = 3
 #: A piece of a word is suspicious if it stands in so many toxic texts, and by this log ratio more often than in others.
 ENOUGH, SUSPICIOUS = 4, 3.5
+#: And in this share of the toxic texts, copies counted once.
+COMMON = 0.03
+#: Of the curve from margins to scores.
+SLOPE = 2.0
 
 #: 40 symbols: white space, letters, a digit, other ASCII, the start of a segment, and classes of the bytes above ASCII.
 SYMBOLS, GAP, EDGE = 40, 28, 29
@@ -215,17 +220,22 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
     training, checks = bags[:part], bags[part:]
     if len({y for _, y, _ in training}) < 2:
         return None
-    n_bad = sum(y for _, y, _ in training)
 
     def pieces_of(s: bytes) -> set[bytes]:
         s = b"^" + s
         return {s[i : i + k] for k in (4, 5, 6, 7) for i in range(len(s) - k + 1)}
 
-    seen = {0: Counter(), 1: Counter()}
+    def family(own: list[bytes]) -> tuple:
+        """Near copies mostly share their segments of smallest hash."""
+        return tuple(sorted(zlib.crc32(s) for s in own)[:3])
+
+    seen, met = {0: Counter(), 1: Counter()}, {0: set(), 1: set()}
     for own, y, _ in training:
-        seen[y].update({g for s in own for g in pieces_of(s)})
-    share = (len(training) - n_bad) / n_bad
-    odds = {g: np.log((c * share + 0.5) / (seen[0][g] + 0.5)) for g, c in seen[1].items() if c >= ENOUGH}
+        if (kind := family(own)) not in met[y]:  # copies of one text are no further evidence
+            met[y].add(kind)
+            seen[y].update({g for s in own for g in pieces_of(s)})
+    share = len(met[0]) / len(met[1])
+    odds = {g: np.log((c * share + 0.5) / (seen[0][g] + 0.5)) for g, c in seen[1].items() if c >= max(ENOUGH, COMMON * len(met[1]))}
 
     def suspicion(s: bytes) -> tuple[float, int, bytes]:
         return max(((odds[g], seen[1][g], g) for g in pieces_of(s) if g in odds), default=(-9.0, 0, b""))
@@ -253,7 +263,8 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
                 maps.append(subsequences(s))
 
     by_group = sorted(groups.values(), key=lambda c: (-sum(c.values()), min(c)))
-    add([s for i in range(6) for c in by_group for s, _ in c.most_common(i + 1)[i:]][:600], LANDMARKS * 2 // 3)
+    leading = [s for i in range(6) for c in by_group for s, _ in c.most_common(i + 1)[i:]][:600]
+    add([t for s in leading for t in (s, _gapped(s, rng))], LANDMARKS * 2 // 3)
     add(negatives[:300], LANDMARKS)
     base = np.array([[sum(w * b[u] for u, w in a.items() if u in b) for b in maps] for a in maps])
     values, vectors = np.linalg.eigh(base)
@@ -292,15 +303,13 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
     offsets = np.append(0, np.cumsum([len(t) for _, _, t in judged]))
     margin = machine.margins(np.frombuffer(b"".join(t for _, _, t in judged), dtype=np.uint8), offsets)
     y = np.array([y for _, y, _ in judged], dtype=float)
-    slope, shift, weight = 1.0, 0.0, np.where(y > 0, 1.0, ratio)
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    for _ in range(60):  # Newton's steps for the logistic curve
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
-        g = np.array([(weight * (p - target) * margin).sum(), (weight * (p - target)).sum()])
-        h = weight * p * (1 - p)
-        m = np.array([[(h * margin**2).sum(), (h * margin).sum()], [(h * margin).sum(), h.sum()]]) + 1e-6 * np.eye(2)
-        slope, shift = np.array([slope, shift]) - np.clip(np.linalg.solve(m, g), -1, 1)
-    machine.slope, machine.shift = float(slope), float(shift)
+    # Labels that no segment explains would flatten a logistic curve: the boundary is where the weighted errors are fewest.
+    at = np.unique(margin)
+    bounds = np.append(at[:1] - 1, np.append((at[1:] + at[:-1]) / 2, at[-1:] + 1))
+    errors = np.array([np.where(y > 0, margin < c, ratio * (margin >= c)).sum() for c in bounds])
+    best = np.flatnonzero(errors == errors.min())
+    machine.slope = SLOPE
+    machine.shift = -SLOPE * float(bounds[best[len(best) // 2]])
     return machine
 
 
@@ -319,7 +328,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
             texts.append(bytes(x["text"]))
             toxic.append(int(x["toxic"]))
             used += len(x["text"])
-    return fit(texts, toxic, max(1.0, sizes[0] / sizes[1])) if texts else None
+    taken = {y: min(1.0, max_rows / 2 / n) for y, n in sizes.items()}
+    return fit(texts, toxic, taken[1] / taken[0]) if texts else None
 
 
 def score(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:

@@ -12,7 +12,10 @@ interpolated probability.  Blocks of text ask for the n-grams that they hold
 and get their probabilities back, so nothing that grows is broadcast.
 
 A document is rejected if its perplexity lies above its language's quantile of
-unseen trusted text, by a margin.  Languages with too few trusted documents
+unseen trusted text, by a margin, or if it repeats itself: a word repeated again
+and again is as likely as the word, so the share of n-grams that are new within
+windows of WINDOW symbols must not lie below the same quantile from the other
+side.  Languages with too few trusted documents
 take the quantile over all languages.
 
 Defined results: null and empty texts have one symbol, the end; they are judged
@@ -44,6 +47,8 @@ UPPER, MARGIN = 0.995, 0.02
 ENOUGH = 50
 #: Symbols of median bits that are added to each text.
 PRIOR = 60
+#: Symbols within which an n-gram counts as new once.
+WINDOW = 256
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -76,6 +81,17 @@ def _block_pieces(rows: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def fresh_counts(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How many of each text's n-grams are new within their window of WINDOW symbols."""
+    size = np.diff(begins)
+    place = np.arange(len(keys)) - np.repeat(begins[:-1], size)
+    window = np.cumsum(place % WINDOW == 0)
+    by = np.lexsort((keys, window))
+    new = np.ones(len(keys), dtype=np.int64)
+    new[by[1:]] = (keys[by[1:]] != keys[by[:-1]]) | (window[by[1:]] != window[by[:-1]])
+    return np.add.reduceat(new, begins[:-1])
+
+
 def trusted(labels: DataFrame) -> DataFrame:
     """(id, counted): the documents labelled as of good quality only; counted ones train, the others give thresholds."""
     good = only(labels, id="doc_id", quality="quality").groupBy("id").agg(F.min("quality").alias("quality")).where("quality = 1 AND id IS NOT NULL")
@@ -83,7 +99,7 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """(id, lang, n_symbols, log10_p) of each row of docs; log10_p is that of the whole text."""
+    """(id, lang, n_symbols, log10_p, n_fresh) of each row of docs; log10_p is that of the whole text, n_fresh counts the symbols whose n-gram is new in its window."""
     rows = only(docs, id="doc_id", text="text", lang="lang")
     blocks = B.pack(rows, "text", "quality_blocks", BLOCK)
 
@@ -118,56 +134,62 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     asked = B.answered(blocks, named.select("block", F.coalesce("id", F.lit(-(2**63))).alias("id")), ask, asked_schema)
     values = kneser_ney(written(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts"), order)
     answers = asked.select("key", "block").join(values, "key").select("block", "key", F.col("value").cast("float").alias("value"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType()), T.StructField("n_fresh", T.LongType())])
     kind = B.to_arrow_schema(schema)
 
     def judge(block: pa.RecordBatch, got: pa.Table) -> pa.Table:
         keys, value = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy().astype(np.float64)
         by = np.argsort(keys)
         keys, value = keys[by], value[by]
-        size, total = [], []
+        size, total, fresh = [], [], []
         for _, _, data, offsets in _block_pieces(block):
             of, begins = contexts(data, offsets, order)
             size.append(np.diff(begins))
             total.append(np.add.reduceat(value[np.searchsorted(keys, of)], begins[:-1]))
-        columns = [block.column(block.schema.names.index("id")), block.column(block.schema.names.index("lang")), np.concatenate(size), np.concatenate(total)]
+            fresh.append(fresh_counts(of, begins))
+        columns = [block.column(block.schema.names.index("id")), block.column(block.schema.names.index("lang")), np.concatenate(size), np.concatenate(total), np.concatenate(fresh)]
         return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
     return B.answered(blocks, answers, judge, schema)
 
 
-def _by_language(unseen: DataFrame, value: str, quantile: float, name: str) -> DataFrame:
-    """One row for each language with enough trusted documents, and one (every = true) over all."""
+def _by_language(unseen: DataFrame, stats: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row for each language with enough trusted documents, and one (every = true) over all; stats: value and quantile of each new column."""
     # percentile merges counts of rounded values; no language is gathered unreduced.
-    q = F.percentile(F.round(value, 3), F.lit(quantile)).alias(name)
-    own = unseen.groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.lit(False).alias("every"), "lang", name)
-    return own.union(unseen.agg(q).select(F.lit(True), F.lit(None).cast("string"), name))
+    q = [F.percentile(F.round(value, 3), F.lit(quantile)).alias(name) for name, (value, quantile) in stats.items()]
+    own = unseen.groupBy("lang").agg(*q, F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.lit(False).alias("every"), "lang", *stats)
+    return own.union(unseen.agg(*q).select(F.lit(True), F.lit(None).cast("string"), *stats))
 
 
-def _with(rows: DataFrame, stats: DataFrame, name: str) -> DataFrame:
-    """rows with their language's value of stats, or that over all languages."""
-    own = stats.where("NOT every").select(F.col("lang").alias("own_lang"), F.col(name).alias("own"))
-    whole = stats.where("every").select(F.col(name).alias("whole"))
-    return rows.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left").crossJoin(F.broadcast(whole)).withColumn(name, F.coalesce("own", "whole")).drop("own", "whole", "own_lang")
+def _with(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
+    """rows with their language's values of stats, or those over all languages."""
+    own = stats.where("NOT every").select(F.col("lang").alias("own_lang"), *[F.col(n).alias(f"own_{n}") for n in names])
+    whole = stats.where("every").select(*[F.col(n).alias(f"whole_{n}") for n in names])
+    out = rows.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left").crossJoin(F.broadcast(whole))
+    return out.withColumns({n: F.coalesce(f"own_{n}", f"whole_{n}") for n in names}).drop("own_lang", *[f"{side}_{n}" for side in ("own", "whole") for n in names])
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = UPPER, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
-    """(doc_id, lang, perplexity, shrunk, threshold, keep) for each row of docs.
+    """(doc_id, lang, perplexity, shrunk, threshold, fresh, least_fresh, keep) for each row of docs.
 
     shrunk is the perplexity after `prior` more symbols of the language's median
     bits, so that a few odd symbols don't condemn a short text; it is rejected
-    above threshold."""
-    found = written(perplexities(docs, labels, order).withColumn("bits", -F.col("log10_p") / F.col("n_symbols") / F.log10(F.lit(2.0))), "perplexities")
+    above threshold.  fresh is the share of new n-grams, with as many more symbols
+    of the language's median share; a text is rejected below least_fresh."""
+    found = perplexities(docs, labels, order).withColumns({"bits": -F.col("log10_p") / F.col("n_symbols") / F.log10(F.lit(2.0)), "fresh": F.col("n_fresh") / F.col("n_symbols")})
+    found = written(found, "perplexities")
     known = trusted(labels).where("NOT counted")
-    medians = written(_by_language(found.join(known, "id"), "bits", 0.5, "median"), "medians")
-    found = _with(found, medians, "median").withColumn("bits_shrunk", (F.col("bits") * F.col("n_symbols") + F.col("median") * prior) / (F.col("n_symbols") + prior))
-    found = found.withColumn("bits_shrunk", F.coalesce("bits_shrunk", "bits"))
-    limits = written(_by_language(found.join(known, "id"), "bits_shrunk", quantile, "limit"), "limits")
-    out = _with(found, limits, "limit").withColumn("limit", F.col("limit") * (1 + margin))
+    medians = written(_by_language(found.join(known, "id"), {"median": ("bits", 0.5), "median_fresh": ("fresh", 0.5)}), "medians")
+    found = _with(found, medians, ["median", "median_fresh"])
+    for name, median in (("bits", "median"), ("fresh", "median_fresh")):
+        found = found.withColumn(f"{name}_shrunk", F.coalesce((F.col(name) * F.col("n_symbols") + F.col(median) * prior) / (F.col("n_symbols") + prior), name))
+    limits = written(_by_language(found.join(known, "id"), {"limit": ("bits_shrunk", quantile), "least": ("fresh_shrunk", 1 - quantile)}), "limits")
+    out = _with(found, limits, ["limit", "least"]).withColumns({"limit": F.col("limit") * (1 + margin), "least": F.col("least") * (1 - margin)})
     two = F.lit(2.0)
     return out.select(
-        F.col("id").alias("doc_id"), "lang", F.pow(two, "bits").alias("perplexity"), F.pow(two, "bits_shrunk").alias("shrunk"), F.pow(two, "limit").alias("threshold"), F.coalesce(F.col("bits_shrunk") <= F.col("limit"), F.lit(True)).alias("keep")
-    )
+        F.col("id").alias("doc_id"), "lang", F.pow(two, "bits").alias("perplexity"), F.pow(two, "bits_shrunk").alias("shrunk"), F.pow(two, "limit").alias("threshold"), F.col("fresh_shrunk").alias("fresh"), F.col("least").alias("least_fresh"),
+        F.coalesce((F.col("bits_shrunk") <= F.col("limit")) & (F.col("fresh_shrunk") >= F.col("least")), F.lit(True)).alias("keep"),
+    )
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memengine.llm import language_id, toxicity
+from memengine.llm import language_id, quality, toxicity
+from memengine.llm.common import held
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +79,26 @@ def test_language_defined_results(docs, empty):
     assert language_id.identify(empty, model).collect() == []
     assert {r["lang_pred"] for r in language_id.identify(docs, None).collect()} == {"und"}
     assert language_id.train(empty) is None
+
+
+def quality_table(rows):
+    """(good kept of how many, junk rejected of how many, repeated words rejected of how many) on labelled rows; repeats have few distinct words."""
+    bad = [r for r in rows if not r["quality"]]
+    repeated = [r for r in bad if len(r["text"].split()) >= 20 and len(set(r["text"].split())) * 5 < len(r["text"].split())]
+    good = [r for r in rows if r["quality"]]
+    return [(sum(r["keep"] for r in good), len(good)), (sum(not r["keep"] for r in bad), len(bad)), (sum(not r["keep"] for r in repeated), len(repeated))]
+
+
+def test_quality_rejects_repeated_words(spark):
+    """One word again and again has the perplexity of the word, so only the share of new n-grams finds it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(10**9 + i, f"{w} " * 300, "en") for i, w in enumerate(("and", "the", "therhean"))]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = quality.classify(docs.union(spark.createDataFrame(junk, docs.schema)), labels).join(docs.select("doc_id", "text"), "doc_id", "left")
+    assert {r["keep"] for r in found.where(f"doc_id >= {10**9}").collect()} == {False}
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality IS NOT NULL")
+    unseen = found.join(known, "doc_id").where(held("doc_id", 5, 4) | (F.col("quality") == 0)).where("text IS NOT NULL").collect()
+    good, bad, repeated = quality_table(unseen)
+    assert good[0] >= 0.97 * good[1]
+    assert bad[0] >= 0.9 * bad[1]
+    assert repeated[0] == repeated[1]

@@ -15,8 +15,8 @@ A document is rejected if its perplexity lies above its language's quantile of
 unseen trusted text, by a margin, or if it repeats itself: a word repeated again
 and again is as likely as the word, so the share of n-grams that are new within
 windows of WINDOW symbols must not lie below the same quantile from the other
-side.  Languages with too few trusted documents
-take the quantile over all languages.
+side.  Each language's quantiles are drawn towards those over all languages by
+weight, as if ENOUGH texts had these: the same rule at every size, without a jump.
 
 Defined results: null and empty texts have one symbol, the end; they are judged
 like others.  Without any trusted text nothing is rejected.  A null language is
@@ -43,7 +43,7 @@ from memengine.llm.textops import pieces, utf8
 ORDER = 4
 #: The quantile of unseen trusted documents that is still good, and the margin above it, as a share of the bits.
 UPPER, MARGIN = 0.995, 0.02
-#: Trusted documents that a language needs for quantiles of its own.
+#: Texts for which the quantiles over all languages count beside a language's own.
 ENOUGH = 50
 #: Symbols of median bits that are added to each text.
 PRIOR = 60
@@ -154,11 +154,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
 
 
 def _by_language(unseen: DataFrame, stats: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row for each language with enough trusted documents, and one (every = true) over all; stats: value and quantile of each new column."""
+    """One row for each language and one (every = true) over all; stats: value and quantile of each new column.
+
+    A language of n texts has n parts of its own value and ENOUGH of that over all."""
     # percentile merges counts of rounded values; no language is gathered unreduced.
     q = [F.percentile(F.round(value, 3), F.lit(quantile)).alias(name) for name, (value, quantile) in stats.items()]
-    own = unseen.groupBy("lang").agg(*q, F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.lit(False).alias("every"), "lang", *stats)
-    return own.union(unseen.agg(*q).select(F.lit(True), F.lit(None).cast("string"), *stats))
+    whole = unseen.agg(*q)
+    own = unseen.groupBy("lang").agg(*q, F.count("*").alias("n")).crossJoin(F.broadcast(whole.select(*[F.col(n).alias(f"whole_{n}") for n in stats])))
+    drawn = [((F.col("n") * F.col(n) + ENOUGH * F.col(f"whole_{n}")) / (F.col("n") + ENOUGH)).alias(n) for n in stats]
+    return own.select(F.lit(False).alias("every"), "lang", *drawn).union(whole.select(F.lit(True), F.lit(None).cast("string"), *stats))
 
 
 def _with(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:

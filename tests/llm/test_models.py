@@ -102,3 +102,15 @@ def test_quality_rejects_repeated_words(spark):
     assert good[0] >= 0.97 * good[1]
     assert bad[0] >= 0.9 * bad[1]
     assert repeated[0] == repeated[1]
+
+
+def test_quality_limits_change_smoothly(spark):
+    """One more text doesn't switch a language from the pooled quantile to its own, and few texts already count."""
+
+    def limit(n: int) -> float:
+        rows = [("a", 1.0)] * 400 + [("b", 2.0)] * n
+        return quality._by_language(spark.createDataFrame(rows, "lang string, bits double"), {"limit": ("bits", 0.5)}).where("lang = 'b'").first()["limit"]
+
+    few, below, at, many = (limit(n) for n in (5, quality.ENOUGH - 1, quality.ENOUGH, 350))
+    assert 1 < few < below < at < many < 2
+    assert at - below < 0.02

@@ -8,7 +8,8 @@ the norms of the two: gaps and inserted characters lower it, but don't break it.
 
 The machine is trained on labelled texts.  A text's label is that of its worst
 segment, so training starts from segments with pieces that toxic texts hold far
-more often (and gapped copies of them), against segments of harmless texts, fits, and adds
+more often, by a test of significance (and gapped copies of them; without any such piece, each toxic
+text's most telling segment, chosen again by the machine in each round), against segments of harmless texts, fits, and adds
 the highest segment of each harmless text, in rounds.  Segments are described by
 their kernels with a few landmark segments, whitened by the landmarks' kernels
 (Nystroem); the machine is linear there.  Because the kernel is an inner product
@@ -18,8 +19,8 @@ bounded: at most MAX_ROWS labelled texts and MAX_BYTES bytes, half of either
 label where there are enough, chosen by the hash of the id.
 
 Defined results: null and empty texts and texts of white space only have no
-segment and get the score of a harmless one; without labels of both kinds every
-score is 0; an id labelled more than once counts as toxic if any label says so;
+segment and get the score of a harmless one; without labels of both kinds, or
+without any segment in the toxic texts, every score is 0; an id labelled more than once counts as toxic if any label says so;
 rows without an id are scored but never trained on; other columns pass through.
 """
 
@@ -45,8 +46,8 @@ DECAY, SPAN, LONG = 0.7, 8, 24
 ROUNDS = 3
 #: A piece of a word is suspicious if it stands in so many toxic texts, and by this log ratio more often than in others.
 ENOUGH, SUSPICIOUS = 4, 3.5
-#: And in this share of the toxic texts, copies counted once.
-COMMON = 0.03
+#: And if its log-likelihood ratio, copies counted once, is no smaller (chance 1 in 10,000 for one piece).
+SIGNIFICANT = 15.1
 #: Of the curve from margins to scores.
 SLOPE = 2.0
 
@@ -218,7 +219,9 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
     bags = [(_own_segments(texts[i]), toxic[i], texts[i]) for i in order]
     part = len(bags) * 7 // 10
     training, checks = bags[:part], bags[part:]
-    if len({y for _, y, _ in training}) < 2:
+    if len({y for own, y, _ in training if own or not y}) < 2:
+        training = bags
+    if len({y for own, y, _ in training if own or not y}) < 2:
         return None
 
     def pieces_of(s: bytes) -> set[bytes]:
@@ -235,7 +238,19 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
             met[y].add(kind)
             seen[y].update({g for s in own for g in pieces_of(s)})
     share = len(met[0]) / len(met[1])
-    odds = {g: np.log((c * share + 0.5) / (seen[0][g] + 0.5)) for g, c in seen[1].items() if c >= max(ENOUGH, COMMON * len(met[1]))}
+    texts_of = {y: len(met[y]) for y in (0, 1)}
+    every_odds = {g: np.log((c * share + 0.5) / (seen[0][g] + 0.5)) for g, c in seen[1].items()}
+
+    def evidence(g: bytes) -> float:
+        """Log-likelihood ratio of the piece's counts in toxic and harmless texts."""
+        rate = (seen[0][g] + seen[1][g]) / (texts_of[0] + texts_of[1])
+        out = 0.0
+        for y in (0, 1):
+            for n, expected in ((seen[y][g], texts_of[y] * rate), (texts_of[y] - seen[y][g], texts_of[y] * (1 - rate))):
+                out += 2 * n * np.log(n / expected) if n else 0.0
+        return out
+
+    odds = {g: value for g, value in every_odds.items() if seen[1][g] >= ENOUGH and value > SUSPICIOUS and evidence(g) >= SIGNIFICANT}
 
     def suspicion(s: bytes) -> tuple[float, int, bytes]:
         return max(((odds[g], seen[1][g], g) for g in pieces_of(s) if g in odds), default=(-9.0, 0, b""))
@@ -250,9 +265,19 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
     harmless = Counter(s for own, y, _ in training if not y for s in own)
     worst = [s for s in found_bad if not harmless[s]]
     groups = {g: c for g, own in groups.items() if (c := Counter({s: n for s, n in own.items() if not harmless[s]}))}
-    if not worst or not harmless:
-        return None
-    known = sorted(harmless)
+    as_bags = not worst
+    if as_bags:
+
+        def telling(s: bytes) -> tuple[float, bytes]:
+            return max((every_odds.get(g, 0.0), g) for g in pieces_of(s))
+
+        for own, y, _ in training:
+            if y and own:
+                s = max(own, key=lambda s: (not harmless[s], telling(s)))
+                found_bad[s] += 1
+                groups.setdefault(telling(s)[1], Counter())[s] += 1
+        worst = list(found_bad)
+    known = sorted(harmless) or [b""]
     negatives = [known[i] for i in rng.integers(0, len(known), 5000).tolist()]
     maps: list[Counter] = []
 
@@ -278,9 +303,20 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
             dense[list(m)] = 0
         return np.stack(out, axis=1) @ whiten
 
-    times = np.array([found_bad[s] for s in worst], dtype=float)
-    times = np.append(times, times / 2) / (1.5 * times.sum())
-    bad_x, negative_x = describe(worst + [_gapped(s, rng) for s in worst]), describe(negatives + [_gapped(s, rng) for s in negatives[:2500]])
+    def positives() -> tuple[np.ndarray, np.ndarray]:
+        times = np.array([found_bad[s] for s in worst], dtype=float)
+        return describe(worst + [_gapped(s, rng) for s in worst]), np.append(times, times / 2) / (1.5 * times.sum())
+
+    def highest(kind: int, weights: np.ndarray) -> list[bytes]:
+        """The highest segment of each training text of this kind."""
+        own_of = [own for own, y, _ in training if y == kind and own]
+        every = [s for own in own_of for s in own]
+        at = np.append(0, np.cumsum([len(own) for own in own_of]))
+        found = kernel_sums(*_laid_out(every), weights) if every else np.zeros(0)
+        return [every[a + int(found[a:b].argmax())] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    bad_x, times = positives()
+    negative_x = describe(negatives + [_gapped(s, rng) for s in negatives[:2500]])
     machine, hard = None, []
     hard_x = np.zeros((0, len(maps)))
     for _ in range(ROUNDS):
@@ -291,11 +327,11 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
         for share_of, m in zip(whiten @ w, maps, strict=True):
             weights[list(m)] += np.array(list(m.values()), dtype=np.float32) * np.float32(share_of)
         machine = Machine(weights, offset)
-        at = np.append(0, np.cumsum([len(own) for own, bad, _ in training if not bad]))
-        every = [s for own, bad, _ in training if not bad for s in own]
-        found = kernel_sums(*_laid_out(every), weights)
-        picked = {every[a + int(found[a:b].argmax())] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a}
-        fresh = sorted(picked - set(hard))
+        fresh = sorted(set(highest(0, weights)) - set(hard))
+        if as_bags:
+            found_bad = Counter(highest(1, weights))
+            worst = list(found_bad)
+            bad_x, times = positives()
         hard += fresh
         if fresh:
             hard_x = np.concatenate([hard_x, describe(fresh)])

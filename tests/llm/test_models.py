@@ -114,3 +114,35 @@ def test_quality_limits_change_smoothly(spark):
     few, below, at, many = (limit(n) for n in (5, quality.ENOUGH - 1, quality.ENOUGH, 350))
     assert 1 < few < below < at < many < 2
     assert at - below < 0.02
+
+
+def labelled_prose(insults: int, toxic: int, harmless: int, seed: int = 1):
+    """(texts, labels): random words; each toxic text has one of `insults` made-up words, evenly spread."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    made = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(400 + insults)]
+    words, bad = made[:400], made[400:]
+    out = []
+    for i in range(toxic + harmless):
+        own = [words[j] for j in rng.integers(0, 400, 25).tolist()]
+        if i < toxic:
+            own[12] = bad[i % insults]
+        out.append((" ".join(own).encode(), int(i < toxic)))
+    return [t for t, _ in out], [y for _, y in out]
+
+
+def hits(machine, texts, toxic):
+    scores = machine.score(np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    return [float(np.mean([x >= 0.5 for x, y in zip(scores, toxic, strict=True) if y == kind])) for kind in (1, 0)]
+
+
+def test_toxicity_learns_rare_insults():
+    """Forty insults, each in 2.5 per cent of the toxic texts."""
+    machine = toxicity.fit(*labelled_prose(40, 1200, 1200))
+    recall, false = hits(machine, *labelled_prose(40, 1200, 1200))
+    assert recall >= 0.8 and false <= 0.05
+
+
+def test_toxicity_always_fits():
+    """No piece stands in enough texts to be significant, yet labels of both kinds give a model."""
+    for sizes in ((12, 12, 40), (1, 1, 3)):
+        assert toxicity.fit(*labelled_prose(*sizes)) is not None

@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Tokens are runs of up to eight characters without white space, case folded.
+Tokens are runs of up to eight characters without white space, case folded; a
+longer run has a token of eight characters at each of its positions, so that
+unspaced text shares tokens wherever its characters agree.
 Every five consecutive tokens (k) are hashed; of every four consecutive hashes
 (w) the smallest is chosen, of equal ones the rightmost, and its position is
 kept.  Two texts that share w + k - 1 = 8 consecutive tokens share a chosen
-hash.  A text with fewer than k tokens has one hash, of all its tokens; one with
+hash; within one long run these are 15 characters.  A text with fewer than k tokens has one hash, of all its tokens; one with
 fewer hashes than w has one window.
 
 Hash and position share one number, hash first and positions counted down, so
@@ -27,12 +29,14 @@ from memengine.llm.common import only, table, written
 K = 5
 #: A power of two: minima are taken by doubling.
 W = 4
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+_SOLID = r"[^\x20\x09-\x0D]"
+#: The token is the group ahead: a short run is passed as a whole, a longer one by one character while seven more follow.
+TOKEN = rf"(?=({_SOLID}{{1,8}}+))(?:(?<!{_SOLID}){_SOLID}{{1,8}}+(?!{_SOLID})|{_SOLID}(?={_SOLID}{{7}}))"
 _PLACES = 1 << 31
 
 
 def _codes(text: Column) -> Column:
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 

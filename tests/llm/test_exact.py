@@ -142,6 +142,18 @@ def test_winnowing_guarantee(spark):
     assert {m["hash"] for m in r["x"]} & {m["hash"] for m in r["y"]}
 
 
+def test_winnowing_unspaced(spark):
+    """A passage within unspaced runs is found at any offset; tokens are those of a plain cut."""
+    passage = "".join(chr(0x4E00 + i * 37 % 2000) for i in range(40))
+    texts = [f"{'x' * i}{passage}" for i in range(9)]
+    found = winnowing.fingerprints(spark.createDataFrame(enumerate(texts), "id long, text string")).collect()
+    prints = [{m["hash"] for m in r["marks"]} for r in found]
+    assert all(prints[0] & other for other in prints)
+    text = "abc exactly8 ninechars \U0001F600abcdefgh i"
+    r = spark.createDataFrame([(text,)], "text string").select(F.regexp_extract_all("text", F.lit(winnowing.TOKEN), F.lit(1)).alias("t")).first()
+    assert r["t"] == [w[i : i + 8] for w in text.split() for i in range(max(1, len(w) - 7))]
+
+
 def test_winnowing_query(docs, rows, empty):
     got = winnowing.compared(docs).collect()
     texts: dict = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memengine.operators import dedup, graph, lifecycle, retrieval, telemetry, text
-from memengine.sources.tables import AS_OF, MEMORIES_SQL, USAGE_SQL, VECTORS_SQL, active, api_usage, for_tenant, memories, scan, vectors
+from memengine.sources.tables import AS_OF, MEMORIES_SQL, USAGE_SQL, VECTORS_SQL, WHOLE_MEMORIES_SQL, active, api_usage, for_tenant, memories, scan, vectors, whole_memories
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -96,6 +96,32 @@ def batch_search(spark, sf_dir):
     return retrieval.substring_search(active(memories(spark, sf_dir)), asked).select("query_id", "id", "rank")
 
 
+def _whole_scored(spark, sf_dir):
+    sim = retrieval.vector_topk(vectors(spark, sf_dir), QUERY_VECTOR, 2**31 - 1).select("id", "similarity")
+    return active(whole_memories(spark, sf_dir)).join(sim, "id")
+
+
+@query(_QUERIES["hybrid_candidates"][1].replace(MEMORIES_SQL, WHOLE_MEMORIES_SQL))
+def hybrid_candidates_full(spark, sf_dir):
+    hits = retrieval.hybrid_candidates(_whole_scored(spark, sf_dir), F.contains(F.lower("context"), F.lit("the")), 100)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_QUERIES["tier_pack"][1].replace(MEMORIES_SQL, WHOLE_MEMORIES_SQL))
+def tier_pack_full(spark, sf_dir):
+    return retrieval.pack(retrieval.tiered(retrieval.composite_score(_whole_scored(spark, sf_dir), AS_OF)), "agent_id", 500)
+
+
+_FULL_BATCH = [(1, "the"), (2, "idiot"), (3, "tion"), (4, "keit")]
+
+
+@query(f"""WITH {WHOLE_MEMORIES_SQL}, q AS (SELECT * FROM (VALUES (1, 'the'), (2, 'idiot'), (3, 'tion'), (4, 'keit')) t(query_id, q))
+SELECT query_id, id, CAST(r AS INTEGER) AS rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id) AS r FROM memories JOIN q ON contains(lower(context), lower(q)) WHERE superseded_at IS NULL) WHERE r <= 20""")
+def batch_search_full(spark, sf_dir):
+    asked = spark.createDataFrame(_FULL_BATCH, "query_id int, q string")
+    return retrieval.substring_search(active(whole_memories(spark, sf_dir)), asked).select("query_id", "id", "rank")
+
+
 @query("""WITH r AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents),
 t AS (SELECT id, len(ws) AS dl, len(list_filter(ws, lambda w: w = 'the')) AS a, len(list_filter(ws, lambda w: w = 'with')) AS b FROM r),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS da, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS db FROM t),

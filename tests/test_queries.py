@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from memengine.plans import registry
 from tests.conftest import SF
@@ -49,3 +50,11 @@ def test_runs(spark, name):
 
 def test_flagship(spark):
     assert registry.flagship(spark, SF).columns == ["id", "agent_id", "memory_type", "composite"]
+
+
+def test_search_reads_whole_texts(spark):
+    """Each string of the batch is found, and some matches lie behind the first 400 characters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = registry.queries()["batch_search_full"](spark, SF).join(spark.createDataFrame(registry._FULL_BATCH, "query_id int, q string"), "query_id").join(docs, docs["doc_id"] == F.col("id")).collect()
+    assert {r["query_id"] for r in found} == {1, 2, 3, 4}
+    assert any(r["q"] not in r["text"][:400].lower() for r in found)

@@ -316,6 +316,35 @@ def claim_votes(spark, sf_dir):
     return text.claim_votes(scan(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("agent"), "text")).where("votes > 1")
 
 
+# The same over all of lineitem, with whole part ids and supplier ids below zero.
+_ALL_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem)"
+
+
+def _all_edges(spark, sf_dir):
+    return scan(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
+
+
+@query(_QUERIES["graph_hops"][1].replace(_EDGES, _ALL_EDGES))
+def graph_hops_all(spark, sf_dir):
+    return graph.hops(_all_edges(spark, sf_dir), spark.range(7, 8).select("id"), 3)
+
+
+@query(_QUERIES["graph_subgraph"][1].replace(_EDGES, _ALL_EDGES))
+def graph_subgraph_all(spark, sf_dir):
+    return graph.subgraph(_all_edges(spark, sf_dir), spark.range(7, 8).select("id"), 2)
+
+
+@query(_QUERIES["claim_votes"][1].removesuffix(" WHERE votes > 1"))
+def claim_votes_all(spark, sf_dir):
+    return text.claim_votes(scan(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("agent"), "text"))
+
+
+@query(_QUERIES["redaction_cascade"][1].replace("source % 17 = 0", "source IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')"))
+def redaction_by_brand(spark, sf_dir):
+    s = scan(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("source_ids"))
+    return lifecycle.redaction_cascade(s, scan(spark, sf_dir, "part").where("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("id")))
+
+
 @query("SELECT conv_id, turn, text AS user_text, reply FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'")
 def turn_pairs(spark, sf_dir):
     return text.turn_pairs(scan(spark, sf_dir, "conversations"))

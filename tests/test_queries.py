@@ -52,6 +52,14 @@ def test_flagship(spark):
     assert registry.flagship(spark, SF).columns == ["id", "agent_id", "memory_type", "composite"]
 
 
+def test_graph_has_all_edges(spark, duck):
+    assert registry._all_edges(spark, SF).count() == duck.execute("SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)").fetchone()[0]
+
+
+def test_claims_of_one_vote_stay(spark):
+    assert registry.queries()["claim_votes_all"](spark, SF).where("votes = 1").count()
+
+
 def test_search_reads_whole_texts(spark):
     """Each string of the batch is found, and some matches lie behind the first 400 characters."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

@@ -9,7 +9,6 @@ again on another executor.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from memengine.llm.common import saved
 from memengine.llm.textops import pieces, utf8
 
-#: Bytes of text in a block; a longer text is a block of its own.
+#: Bytes of text in a block; a longer text is a block of its own, so one text must fit a task together with its answers.
 BLOCK_BYTES = 8 << 20
 BLOCK_SCHEMA = "block long, rows long, bytes long, body binary"
 
@@ -68,10 +68,7 @@ def pack(df: DataFrame, text: str, name: str, most: int = BLOCK_BYTES) -> DataFr
         if held:
             yield out()
 
-    spark = df.sparkSession
-    name = f"{name}_{uuid.uuid4().hex}"
-    df.mapInArrow(run, BLOCK_SCHEMA).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
-    return spark.table(name)
+    return saved(df.mapInArrow(run, BLOCK_SCHEMA), name, "block")
 
 
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("body", pa.binary())])

@@ -5,7 +5,7 @@ lower case, a space before and after the text), hashed into buckets that have an
 embedding each; the average goes through a linear softmax.  Both are trained by
 stochastic gradient descent in numpy, on a bounded sample: at most about
 MAX_ROWS texts, the same number for each language, chosen by the hash of the
-id, each as a whole and as short pieces.  As the model is linear in the
+id, each as a whole and as four short pieces.  As the model is linear in the
 buckets, a text is scored by averaging one number for each bucket and language.
 
 Part of the sample is kept from training: it sets the softmax's temperature and
@@ -14,23 +14,24 @@ TARGET; below it `confident` is false (calibrated rejection).
 
 Defined results: null texts and texts without any letter are `und` with score
 0 and never confident; without training rows everything is `und`; rows with a null lang are
-predicted, not learned; a null id is in the training part; repeated rows and
-other columns change nothing else.
+predicted, not learned; a null id is in the training part; rows of equal id and text are
+learned once; of more than MAX_ROWS languages the rarest aren't learned; a very long text is scored
+whole, in one pass; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memengine.llm.blocks import to_arrow_schema
-from memengine.llm.common import held, only, table
+from memengine.llm.common import held, only, sampled, table
 from memengine.llm.textops import LOWER, pieces, utf8
 
 #: The most texts that the model is fitted on, and the most bytes of them all.
@@ -41,7 +42,7 @@ EPOCHS, BATCH, RATE = 4, 32, 2.0
 TARGET = 0.995
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # not the digits and fractions beyond ASCII that count as word characters
 _MULTIPLIERS = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
 
 
@@ -92,7 +93,7 @@ def fit(texts: list[bytes], languages: list[str], seed: int = 1) -> Model:
     examples: list[tuple[bytes, int]] = []
     for text, language in zip(texts, languages, strict=True):
         y = names.index(language)
-        examples.append((text[:2000], y))
+        examples.append((text, y))
         for size in (12, 30, 80, 200):
             a = int(rng.integers(0, max(1, len(text) - size)))
             examples.append((text[a : a + size], y))
@@ -100,11 +101,11 @@ def fit(texts: list[bytes], languages: list[str], seed: int = 1) -> Model:
     examples = [examples[i] for i in order]
     part = len(examples) // 5
     checks, examples = examples[:part], examples[part:]
-    bags = []
+    bags = []  # each text's buckets, the share of its subwords in each, and its language
     for text, y in examples:
         data = np.frombuffer(text, dtype=np.uint8)
-        found = np.concatenate([h[s[0] : s[1]] for h, s in buckets(data, np.array([0, len(data)]))])
-        bags.append((found[rng.integers(0, len(found), 400)] if len(found) > 400 else found, y))
+        found, times = np.unique(np.concatenate([h[s[0] : s[1]] for h, s in buckets(data, np.array([0, len(data)]))]), return_counts=True)
+        bags.append((found.astype(np.uint32), (times / times.sum()).astype(np.float32), y))
     embed = rng.normal(0, 0.1, (1 << LOG2_BUCKETS, DIMENSIONS))
     out, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
     steps, done = EPOCHS * (len(bags) // BATCH + 1), 0
@@ -114,17 +115,19 @@ def fit(texts: list[bytes], languages: list[str], seed: int = 1) -> Model:
             rows = [bags[i] for i in shuffled[a : a + BATCH]]
             rate = RATE * (1 - done / steps)
             done += 1
-            sizes = np.array([len(x) for x, _ in rows])
-            flat = np.concatenate([x for x, _ in rows])
-            hidden = np.add.reduceat(embed[flat], np.append(0, np.cumsum(sizes)[:-1])) / sizes[:, None]
+            sizes = np.array([len(x) for x, _, _ in rows])
+            flat, part_of = np.concatenate([x for x, _, _ in rows]), np.concatenate([x for _, x, _ in rows])[:, None]
+            hidden = np.add.reduceat(embed[flat] * part_of, np.append(0, np.cumsum(sizes)[:-1]))
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), [y for _, y in rows]] -= 1
-            back = (p @ out.T) / sizes[:, None]
+            p[np.arange(len(rows)), [y for _, _, y in rows]] -= 1
+            back = np.repeat(p @ out.T, sizes, axis=0) * part_of * (-rate * 8 / len(rows))
             out -= rate * hidden.T @ p / len(rows)
             bias -= rate * p.mean(axis=0)
-            np.add.at(embed, flat, -rate * 8 * np.repeat(back, sizes, axis=0) / len(rows))
+            by = np.argsort(flat, kind="stable")  # several texts may share a bucket
+            first = np.flatnonzero(np.append(True, flat[by][1:] != flat[by][:-1]))
+            embed[flat[by][first]] += np.add.reduceat(back[by], first)
     model = Model(names, (embed @ out).T, bias)
     if checks:
         raw = b"".join(t for t, _ in checks)
@@ -147,19 +150,13 @@ def fit(texts: list[bytes], languages: list[str], seed: int = 1) -> Model:
 
 def sample(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[str]]:
     """At most about max_rows texts of the rows of docs (id, text, lang), as many of each language, by the hash of the id."""
-    sizes = {x["lang"]: x["n"] for x in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_rows).collect()}
+    sizes = {x["lang"]: x["n"] for x in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()}
     if not sizes:
         return [], []
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, max_rows / len(sizes) / n)])
-    place = (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) / float(1 << 30)).alias("place")
-    rows = docs.where(place < share[F.col("lang")]).select(F.col("text").cast("binary").alias("text"), "lang", "id").orderBy("id").limit(2 * max_rows).collect()
-    texts, languages, used = [], [], 0
-    for x in rows:
-        if used + len(x["text"]) <= max_bytes:
-            texts.append(bytes(x["text"]))
-            languages.append(x["lang"])
-            used += len(x["text"])
-    return texts, languages
+    place = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = sampled(docs.where(place < share[F.col("lang")]).select("id", F.col("text").cast("binary").alias("text"), "lang"), 8, 2 * max_rows, max_bytes)
+    return [bytes(x["text"]) for x in rows], [x["lang"] for x in rows]
 
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:

@@ -7,12 +7,14 @@ import hashlib
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from memengine.llm import bpe, decontamination, jaccard_join, ppm, quality, substring_dedup, warc, winnowing
 from memengine.llm.common import held
 from tests.llm import brute
+from tests.llm.conftest import prose as brute_prose
 
 
 def by_row(found):
@@ -37,13 +39,35 @@ def test_jaccard_join_at_its_bound(spark):
 
 
 def test_substring_dedup(docs, rows, empty):
-    got = substring_dedup.dedup_substrings(docs, log2_cells=12).collect()
+    got = substring_dedup.dedup_substrings(docs).collect()
     want = brute.deduplicated(rows)
     assert by_row([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_words"]) for r in got]) == by_row([(i, n, n - len(kept), " ".join(kept)) for i, n, kept in want])
     texts = {(i, t if len(kept) == n else " ".join(kept)) for (i, n, kept), (_, t) in zip(want, rows, strict=True)}
     assert {(r["doc_id"], r["text"]) for r in got} == texts
     assert {r["block"] for r in got} == {0} and {r["body"] for r in got} == {"b"}  # the caller's own columns
-    assert substring_dedup.dedup_substrings(empty, log2_cells=12).collect() == []
+    assert substring_dedup.dedup_substrings(empty).collect() == []
+
+
+def test_substring_dedup_of_many_blocks(spark, monkeypatch):
+    """Passages in nearly every block take the salted way, others the plain one; both are right."""
+    monkeypatch.setattr(substring_dedup, "OFTEN", 6)
+    monkeypatch.setattr(substring_dedup.B, "pack", lambda df, text, name, pack=substring_dedup.B.pack: pack(df, text, name, 300))
+    shared = [brute_prose(i, 20) for i in range(3)]
+    table = [(i, f"{brute_prose(100 + i, 15)} {shared[0]} {shared[1] if i % 7 == 0 else ''} {shared[2] if i in (5, 50) else ''}") for i in range(60)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    assert by_row([(r["doc_id"], r["n_words"], r["kept_words"].split()) for r in got]) == by_row(brute.deduplicated(table))
+
+
+def test_window_hashes_that_agree_in_one_half():
+    known = tuple(np.array(x, dtype=np.uint64) for x in ([3, 5, 5, 5, 9], [1, 2, 4, 6, 1]))
+    hit, spot = substring_dedup._located(known, np.array([5, 5, 5, 3, 10], dtype=np.uint64), np.array([6, 2, 3, 1, 1], dtype=np.uint64))
+    assert hit.tolist() == [True, True, False, True, False] and spot[hit].tolist() == [3, 1, 0]
+
+
+def test_ids_are_whole_numbers(spark):
+    named = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="doc_id"):
+        substring_dedup.dedup_substrings(named)
 
 
 def test_decontamination(spark, docs, rows, empty):
@@ -52,6 +76,8 @@ def test_decontamination(spark, docs, rows, empty):
     table = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id long, text string, doc_id long")
     got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontamination.contamination(docs, table).collect()]
     assert by_row(got) == by_row(brute.contaminated(rows, items))
+    shuffled = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontamination.contamination(docs, table, broadcast_bytes=0).collect()]
+    assert by_row(shuffled) == by_row(got)
     assert all(r["n_hit"] == 0 and not r["contaminated"] for r in decontamination.contamination(docs, table.limit(0)).collect())
     assert decontamination.contamination(empty, table).collect() == []
 
@@ -202,6 +228,54 @@ def test_warc(spark, tmp_path, split):
     assert by_row(got) == by_row(want)
 
 
+def damaged(spark, tmp_path, change):
+    """(page ids read, faults) of an archive of five records of which the bytes are changed."""
+    folder = tmp_path / "w"
+    warc.write_warc(spark.createDataFrame([(i, "u", f"page {i} " + "y" * 400) for i in range(1, 6)], "page_id long, url string, html string").coalesce(1), str(folder))
+    (file,) = folder.glob("part-*.txt")
+    whole = file.read_bytes()
+    starts = [i for i in range(len(whole)) if whole.startswith(warc.VERSION.encode(), i)]
+    for x in folder.iterdir():
+        x.unlink()
+    (folder / "a.warc").write_bytes(change(whole, starts))
+    return {r["page_id"] for r in warc.read_warc(spark, str(folder)).collect()}, [(r["offset"], r["fault"]) for r in warc.faults(spark, str(folder)).collect()], starts
+
+
+def test_warc_cut_off_at_its_end(spark, tmp_path):
+    ids, found, starts = damaged(spark, tmp_path, lambda whole, starts: whole[:-300])
+    assert len(ids) == 4 and found == [(starts[4], "does not end where it says")]
+
+
+def test_warc_with_bytes_missing_in_the_middle(spark, tmp_path):
+    ids, found, starts = damaged(spark, tmp_path, lambda whole, starts: whole[: starts[2] - 50] + whole[starts[2] - 45 :])
+    assert len(ids) == 1 and found == [(starts[1], "does not end where it says")]
+
+
+def test_warc_with_an_absurd_length(spark, tmp_path):
+    ids, found, starts = damaged(spark, tmp_path, lambda whole, starts: whole[: starts[4]] + whole[starts[4] :].replace(b"response\r\nContent-Length: ", b"response\r\nContent-Length: 99999999999"))
+    assert len(ids) == 4 and found == [(starts[4], "does not end where it says")]
+
+
+def test_warc_without_a_length(spark, tmp_path):
+    ids, found, starts = damaged(spark, tmp_path, lambda whole, starts: whole[: starts[4]] + whole[starts[4] :].replace(b"Content-Length", b"Content-Weight"))
+    assert len(ids) == 4 and found == [(starts[4], "no length")]
+
+
+def test_warc_that_begins_with_something_else(spark, tmp_path):
+    ids, found, _ = damaged(spark, tmp_path, lambda whole, starts: b"junk" + whole)
+    assert ids == set() and found == [(0, "does not begin with a record")]
+
+
+def test_warc_with_a_changed_payload(spark, tmp_path):
+    ids, found, starts = damaged(spark, tmp_path, lambda whole, starts: whole[: starts[3] - 20] + b"z" + whole[starts[3] - 19 :])
+    assert len(ids) == 4 and found == [(starts[2], "another digest")]
+
+
+def test_warc_of_empty_files(spark, tmp_path):
+    ids, found, _ = damaged(spark, tmp_path, lambda whole, starts: b"")
+    assert ids == set() and found == []
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).collect() == []

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memengine.llm import language_id, quality, toxicity
-from memengine.llm.common import held
+from memengine.llm.common import held, sampled
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,7 +18,7 @@ def plain_kernel(a: bytes, b: bytes) -> float:
     """Shared four-symbol subsequences within the span, by all combinations of places."""
 
     def weights(s: bytes) -> dict:
-        codes = [toxicity.EDGE, *toxicity.CODES[toxicity.LOWER[np.frombuffer(s, dtype=np.uint8)]].tolist()]
+        codes = [toxicity.EDGE, *[c for c in toxicity.CODES[toxicity.LOWER[np.frombuffer(s, dtype=np.uint8)]].tolist() if c != toxicity.GAP]]
         out: dict = {}
         for at in itertools.combinations(range(len(codes)), 4):
             if at[3] - at[0] < toxicity.SPAN:
@@ -27,7 +27,8 @@ def plain_kernel(a: bytes, b: bytes) -> float:
         return out
 
     x, y = weights(a), weights(b)
-    return sum(w * y.get(u, 0.0) for u, w in x.items()) / toxicity.NORMS[len(a) + 1] / toxicity.NORMS[len(b) + 1]
+    size = [1 + sum(toxicity.CODES[toxicity.LOWER[c]] != toxicity.GAP for c in s) for s in (a, b)]
+    return sum(w * y.get(u, 0.0) for u, w in x.items()) / toxicity.NORMS[size[0]] / toxicity.NORMS[size[1]]
 
 
 @pytest.mark.parametrize(("a", "b"), [(b"idiot", b"idiot"), (b"idiot", b"i.d.i.o.t"), (b"idiot", b"idxiot"), (b"hello", b"idiot"), (b"abcdefghij", b"cdefgh")])
@@ -39,20 +40,73 @@ def test_kernel(a, b):
 
 
 def test_kernel_tolerates_gaps():
-    assert plain_kernel(b"idiot", b"i.d.i.o.t") > plain_kernel(b"idiot", b"hello")
+    assert plain_kernel(b"idiot", b"i.d.i.o.t") == pytest.approx(plain_kernel(b"idiot", b"idiot"))
+    for gapped in (b"idxiot", b"iddiioott", b"i0diot"):
+        assert plain_kernel(b"idiot", gapped) > 2 * plain_kernel(b"idiot", b"hello") and plain_kernel(b"idiot", gapped) > 0.3
+
+
+#: Words that stand in the given tables' toxic texts only.
+INSULTS = "trash pathetic idiot disgusting worthless stupid clown loser scum moron".split()
+
+
+@pytest.fixture(scope="module")
+def machine(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").where(~held("id", 5, 0))
+    return toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic").where(~held("id", 5, 0)))
+
+
+def scores(machine, texts):
+    return machine.score(np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+
+
+def test_toxicity_catches_gapped_insults(machine):
+    """Plain, with signs and spaces between the letters, and with doubled letters."""
+    forms = [form(w) for w in INSULTS for form in (str, ".".join, "-".join, " ".join, lambda w: f"{w}###", lambda w: w[0] + "*" + w[1:])]
+    assert np.mean(scores(machine, [f"the stone is {f} ever".encode() for f in forms]) >= 0.5) >= 0.95
+    doubled = ["".join(2 * c for c in w) for w in INSULTS]
+    assert np.mean(scores(machine, [f"the stone is {f} ever".encode() for f in doubled]) >= 0.5) >= 0.8
 
 
 def test_toxicity_held_out(spark):
     """About a third of the toxic labels stand on texts without any insult: no machine that reads segments finds those."""
     found = toxicity.op4_toxicity(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = found.where("held_out").join(labels, "doc_id").where("toxic IS NOT NULL").collect()
-    bad, good = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
-    assert np.mean([(x > y) + (x == y) / 2 for x in bad for y in good]) >= 0.75
-    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.9
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = found.where("held_out").join(labels, "doc_id").join(docs, "doc_id").where("toxic IS NOT NULL").collect()
+    explained = [r["predicted"] for r in rows if r["toxic"] and any(w in r["text"].lower() for w in INSULTS)]
+    assert np.mean(explained) >= 0.85
     assert np.mean([r["predicted"] for r in rows if not r["toxic"]]) <= 0.02
 
 
+def test_toxicity_ignores_stray_labels(spark):
+    rows = [(i, f"stone river {'badword ' if i % 2 else ''}walk {i}", i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string, toxic int")
+    labels = docs.select("id", "toxic").union(spark.createDataFrame([(1000, 2), (1, None), (None, 1), (3, 7)], "id long, toxic int"))
+    machine = toxicity.train(docs.select("id", "text"), labels)
+    assert scores(machine, [b"a badword here"])[0] >= 0.5 > scores(machine, [b"stone river walk"])[0]
+
+
+def test_linear_machine_is_at_its_least():
+    """The Newton steps end where no small step lowers the plain loss."""
+    rng = np.random.Generator(np.random.PCG64(0))
+    x, y = rng.normal(size=(200, 6)), np.where(rng.random(200) < 0.5, 1.0, -1.0)
+    x[:, 0] += y
+    cost = np.full(200, 1 / 200)
+
+    def loss(w, b):
+        return float((cost * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum() + toxicity.PENALTY * (w @ w))
+
+    w, b = toxicity._linear(x, y, cost)
+    for _ in range(200):
+        assert loss(w + rng.normal(0, 1e-3, 6), b + rng.normal(0, 1e-3)) >= loss(w, b) - 1e-9
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, "x" * (10 * i), i) for i in range(1, 40)] + [(5, "x" * 50, 5)] * 3
+    got = sampled(spark.createDataFrame(rows, "id long, text string, extra long").withColumn("text", F.col("text").cast("binary")), 1, 30, 1000)
+    assert 0 < len(got) <= 30 and sum(len(r["text"]) for r in got) <= 1000 and len({r["id"] for r in got}) == len(got)
+
+
 def test_toxicity_defined_results(spark, docs, empty):
     assert {(r["score"], r["predicted"]) for r in toxicity.score(docs, None).select("score", "predicted").collect()} == {(0.0, 0)}
     machine = toxicity.Machine(np.zeros(toxicity.SYMBOLS**4, dtype=np.float32), -1.0)
@@ -81,6 +135,43 @@ def test_language_defined_results(docs, empty):
     assert language_id.train(empty) is None
 
 
+@pytest.mark.parametrize("text", ["²", "½ 12 ³", "٣", "1_2", "😀", "١٢"])
+def test_language_of_texts_without_letters(spark, text):
+    model = language_id.fit([b"the river and the stone", b"el camino de la casa"] * 20, ["en", "es"] * 20)
+    docs = spark.createDataFrame([(text,), (text + "é",)], "text string")
+    assert [r["lang_pred"] == "und" for r in language_id.identify(docs, model).collect()] == [True, False]
+
+
+def test_language_forward_pass():
+    """The score is the softmax of the mean over subwords, counted one by one."""
+    model = language_id.fit([b"the river and the stone", b"el camino de la casa", b"der fluss und das haus"] * 20, ["en", "es", "de"] * 20)
+    texts = [b"The", b"", b"river casa \xc3\xbc", b"x"]
+    _, found = model.predict(np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    for text, got in zip(texts, found, strict=True):
+        padded, z, n = b" " + text.lower() + b" ", np.zeros(3), 0
+        for size in language_id.SIZES:
+            for i in range(max(1, len(padded) - size + 1)):
+                key = int.from_bytes((padded + b"    ")[i : i + size], "big") * language_id._MULTIPLIERS[size] % 2**32
+                z += model.weights[:, key >> (32 - language_id.LOG2_BUCKETS)]
+                n += 1
+        z = (z / n + model.bias) / model.temperature
+        assert got == pytest.approx((np.exp(z) / np.exp(z).sum()).max(), abs=1e-5) or text == b""
+
+
+def test_language_rejection_is_calibrated():
+    """On texts of the same kind, predictions above the bound are nearly always right, and mixed ones fall below it."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    words = {"a": ["thor", "wend", "hest", "mund"], "b": ["casa", "lumo", "piro", "tavo"]}
+    make = lambda kind: " ".join(words[kind][i] for i in rng.integers(0, 4, 12)).encode()
+    langs = [k for _ in range(200) for k in words]
+    model = language_id.fit([make(k) for k in langs], langs)
+    tests = [make(k) for k in langs]
+    which, score = model.predict(np.frombuffer(b"".join(tests), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in tests])))
+    sure = score >= model.least
+    right = np.array([model.languages[w] == k for w, k in zip(which, langs, strict=True)])
+    assert sure.mean() > 0.9 and right[sure].mean() >= language_id.TARGET - 0.01
+
+
 def quality_table(rows):
     """(good kept of how many, junk rejected of how many, repeated words rejected of how many) on labelled rows; repeats have few distinct words."""
     bad = [r for r in rows if not r["quality"]]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import struct
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from memengine.llm import bpe
 from memengine.llm.quality import classify
@@ -12,19 +15,41 @@ from tests.llm import brute
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_pipeline(spark, docs, rows, tmp_path):
+def survivors(rows):
+    """One row of each class of near duplicates: that of the smallest id, rows without an id last; each row is a document of its own."""
+    numbered = list(enumerate(rows))
+    of = brute.classes([(n, t) for n, (_, t) in numbered])
+    first: dict = {}
+    for n, (i, t) in numbered:
+        if brute.shingles(t):
+            first.setdefault(of[n], []).append((i is None, i or 0, n))
+    kept = {min(x)[2] for x in first.values()}
+    return [(i, t) for n, (i, t) in numbered if n in kept or not brute.shingles(t)]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_pipeline(spark, docs, rows, tmp_path, odd):
+    """Labels reject junk, copies and contaminated rows go, also where ids are missing or repeat."""
     from tokenizers import Tokenizer
 
     folder = str(tmp_path)
-    docs.select(COLUMNS).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    some, mine = docs, rows
+    if not odd:
+        some, mine = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), list({i: (i, t) for i, t in rows if i is not None}.values())
     other = next(t for i, t in rows if i == 14)
+    extra = [(None, other, "en", "x", 5), (900, "zq " * 200, "en", "x", 600)] if odd else [(900, "zq " * 200, "en", "x", 600)]
+    mine = [*mine, *[(x[0], x[1]) for x in extra]]
+    some.select(COLUMNS).union(spark.createDataFrame(extra, some.select(COLUMNS).schema)).write.parquet(f"{folder}/documents.parquet")
+    good = [(i, 1, 0) for i in (7, 8, 10, 11, 12, 13, 17, 18, 19, 20)]
+    spark.createDataFrame([*good, (900, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     items = [(1, " ".join(other.split()[:20]))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    judged = classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = {(r["doc_id"], r["text"]) for r in judged.where("NOT keep").join(spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("i"), "text"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("print"))).collect()}
+    assert (900, "zq " * 200) in texts
     got = corpus_pipeline.run(spark, folder).collect()
 
-    of = brute.classes(rows)
-    left = [(i, t) for i, t in rows if of.get(i, i) == i]
+    left = survivors([r for r in mine if r not in texts])
     left = [(i, t if len(kept) == n else " ".join(kept)) for (i, n, kept), (_, t) in zip(brute.deduplicated(left), left, strict=True)]
     left = [(i, t) for (i, t), x in zip(left, brute.contaminated(left, items), strict=True) if not x[4]]
     lib = Tokenizer.from_file(bpe.default_path())
@@ -33,7 +58,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         want.append((i, t, struct.pack(f"<{len(ids)}I", *ids), lib.decode(ids, skip_special_tokens=False)))
     assert sorted(((r["doc_id"], r["text"], bytes(r["ids"]), r["decoded"]) for r in got), key=repr) == sorted(want, key=repr)
-    assert 14 not in {r["doc_id"] for r in got} and 4 in {r["doc_id"] for r in got}
+    assert not {(14, other), (None, other), (900, "zq " * 200)} & {(r["doc_id"], r["text"]) for r in got}
 
 
 def test_quality_stage_drops_what_is_rejected(spark):

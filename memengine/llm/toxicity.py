@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine with a subsequence string kernel and Nystroem landmarks.
 
-A text is cut into segments: its words, letters set apart by single spaces
-("i d i o t") as one segment, and overlapping stretches of very long words.  The kernel of two segments
+A text is cut into segments: its words without ASCII signs ("i.d.i.o.t"), letters set apart by single
+spaces ("i d i o t") as one segment, and overlapping stretches of very long words.  The kernel of two segments
 counts the subsequences of four symbols that they share, each weighted by
 DECAY to the power of the stretch it spans in either (up to SPAN symbols), over
 the norms of the two: gaps and inserted characters lower it, but don't break it.
@@ -21,7 +21,8 @@ label where there are enough, chosen by the hash of the id.
 Defined results: null and empty texts and texts of white space only have no
 segment and get the score of a harmless one; without labels of both kinds, or
 without any segment in the toxic texts, every score is 0; an id labelled more than once counts as toxic if any label says so;
-rows without an id are scored but never trained on; other columns pass through.
+rows without an id are scored but never trained on; labels other than 0 and 1 are ignored; a
+very long text is scored whole, in one pass; other columns pass through.
 """
 
 from __future__ import annotations
@@ -37,13 +38,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memengine.llm.blocks import to_arrow_schema
-from memengine.llm.common import held, only, table
+from memengine.llm.common import held, only, sampled, table
 from memengine.llm.textops import LOWER, SPACE, pieces, utf8
 
 MAX_ROWS, MAX_BYTES = 4000, 24 << 20
 LANDMARKS, ALIKE = 120, 0.75
-DECAY, SPAN, LONG = 0.7, 8, 24
+DECAY, SPAN, LONG = 0.85, 8, 24
 ROUNDS = 3
+#: Bounds of the fit, whatever the sample: harmless segments drawn, those of them that get gapped copies, and candidates for landmarks of either kind.
+NEGATIVES, GAPPED_NEGATIVES, LEADING, PLAIN = 5000, 2500, 600, 300
+#: Of the machine's weights, beside costs that add up to one for each kind of segment.
+PENALTY = 1e-2
+#: Copies of each suspicious segment with characters inserted, that the machine is trained on as well.
+COPIES = 4
+#: A false alarm weighs as much as so many misses where the boundary is set.
+ALARM = 2.0
+#: Hashes by which near copies in the sample are told.
+SKETCH = 16
 #: A piece of a word is suspicious if it stands in so many toxic texts, and by this log ratio more often than in others.
 ENOUGH, SUSPICIOUS = 4, 3.5
 #: And if its log-likelihood ratio, copies counted once, is no smaller (chance 1 in 10,000 for one piece).
@@ -73,27 +84,36 @@ def _norms() -> np.ndarray:
 NORMS = _norms()
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, segment starts, segment ends, offsets) of the texts, each behind a space; a segment starts with EDGE."""
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, segment starts, segment ends, offsets, bytes) of the texts, each behind a space and without ASCII signs; a segment starts with EDGE."""
     texts = len(offsets) - 1
     padded = np.full(len(data) + texts, 0x20, dtype=np.uint8)
     padded[np.arange(len(data)) + np.repeat(np.arange(1, texts + 1), np.diff(offsets))] = data
     offsets = offsets + np.arange(texts + 1)
-    codes = CODES[LOWER[padded]]
+    padded = LOWER[padded]
+    codes = CODES[padded]
+
+    def without_signs() -> None:
+        nonlocal codes, padded, offsets
+        keep = codes != GAP
+        offsets = np.append(0, np.cumsum(keep))[offsets]
+        codes, padded = codes[keep], padded[keep]
 
     def cut() -> tuple[np.ndarray, np.ndarray]:
         solid = np.append(codes > 0, False)
         return np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
 
+    without_signs()
     starts, ends = cut()  # starts: the space before
     single = (ends - starts == 2) & (codes[starts + 1] <= 27)
     join = np.flatnonzero(single[1:] & single[:-1] & (starts[1:] == ends[:-1])) + 1
     if len(join):
         join = join[~np.isin(starts[join], offsets[:-1])]
         codes[starts[join]] = GAP
+        without_signs()
         starts, ends = cut()
     codes[starts] = EDGE
-    return codes, starts, ends, offsets
+    return codes, starts, ends, offsets, padded
 
 
 def _spread(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -139,7 +159,7 @@ def kernel_sums(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights
 
 def subsequences(segment: bytes) -> Counter:
     """Weight of each subsequence (as its place in the table) of one segment, over its norm."""
-    codes = [EDGE, *CODES[LOWER[np.frombuffer(segment[: LONG - 1], dtype=np.uint8)]].tolist()]
+    codes = [EDGE, *[c for c in CODES[LOWER[np.frombuffer(segment, dtype=np.uint8)]].tolist() if c != GAP][: LONG - 1]]
     out: Counter = Counter()
     for d, e, f in _STEPS:
         for i in range(len(codes) - d - e - f):
@@ -155,7 +175,7 @@ class Machine:
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The highest value of each text's segments; that of an empty segment if there is none."""
-        codes, starts, ends, offsets = segments(data, offsets)
+        codes, starts, ends, offsets, _ = segments(data, offsets)
         values = kernel_sums(codes, starts, ends, self.weights) + self.offset
         of = np.searchsorted(starts, offsets)
         out = np.full(len(offsets) - 1, self.offset)
@@ -168,50 +188,78 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -50, 50)))
 
 
-def _linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-5, steps: int = 800) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge), by accelerated gradient steps."""
+def _linear(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge), by Newton steps on the rows inside the margin."""
     x1 = np.column_stack([x, np.ones(len(x))])
-    rate = 1 / (2 * np.linalg.eigvalsh((x1 * cost[:, None]).T @ x1)[-1] + penalty)
-    w = v = np.zeros(x1.shape[1])
-    for i in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        gradient = -2 * x1.T @ (cost * y * slack) + penalty * np.append(v[:-1], 0)
-        step = v - rate * gradient
-        v = step + i / (i + 3) * (step - w)
-        w = step
+    ridge = np.append(np.full(x.shape[1], penalty), 1e-9)
+
+    def loss(w: np.ndarray) -> float:
+        return float((cost * np.maximum(0, 1 - y * (x1 @ w)) ** 2).sum() + (ridge * w * w).sum())
+
+    w = np.zeros(x1.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        slack = np.maximum(0, 1 - y * (x1 @ w))
+        inside = slack > 0
+        gradient = -2 * x1.T @ (cost * y * slack) + 2 * ridge * w
+        curve = 2 * (x1[inside] * cost[inside, None]).T @ x1[inside] + 2 * np.diag(ridge)
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - then < 1e-9 * (1 + now):
+            break
+        w, now = w - size * step, then
     return w[:-1], float(w[-1])
 
 
 def _own_segments(text: bytes) -> list[bytes]:
-    data = LOWER[np.frombuffer(text, dtype=np.uint8)]
-    _, starts, ends, _ = segments(data, np.array([0, len(data)]))
-    raw = data.tobytes()  # the text begins one place earlier than in the padded codes
-    return list(dict.fromkeys(raw[a : b - 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 3))
+    _, starts, ends, _, padded = segments(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    raw = padded.tobytes()
+    return list(dict.fromkeys(raw[a + 1 : b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 3))
 
 
 def _laid_out(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, starts, ends) with each of the segments behind an edge of its own."""
-    ends = np.cumsum([len(s) + 1 for s in own])
-    codes = CODES[LOWER[np.frombuffer(b" " + b" ".join(own), dtype=np.uint8)]]
+    raw = np.frombuffer(b" " + b" ".join(own), dtype=np.uint8)
+    starts = np.append(0, np.cumsum([len(s) + 1 for s in own])[:-1])
+    codes = CODES[LOWER[raw]]
     codes[codes == 0] = GAP
-    starts = np.append(0, ends[:-1])
     codes[starts] = EDGE
-    return codes, starts, ends
+    keep = codes != GAP
+    codes = codes[keep]
+    starts = np.append(0, np.cumsum(keep))[starts]
+    return codes, starts, np.append(starts[1:], len(codes))
 
 
 def _gapped(segment: bytes, rng: np.random.Generator) -> bytes:
-    """The segment with characters inserted between its letters."""
-    fill = b".-*_ x0"
-    kind = int(rng.integers(0, 3))
+    """The segment with one or more characters inserted between its letters: strange ones, or the letter again."""
+    fill = b"xeq0i1azk"
+    again, every = rng.random() < 0.3, rng.random() < 0.25
+    places = [i for i, c in enumerate(segment) if c < 0x80 and i + 1 < len(segment)]
+    chosen = set(places if every else [i for i in places if rng.random() < 0.25] or (places and [places[int(rng.integers(0, len(places)))]]))
     mark = fill[int(rng.integers(0, len(fill)))]
     out = bytearray()
     for i, c in enumerate(segment):
         out.append(c)
-        if c < 0x80 and i + 1 < len(segment) and (kind == 0 or rng.random() < 0.35):
-            out.append(mark if kind < 2 else c)
+        if i in chosen:
+            out.append(c if again else mark)
     return bytes(out)
 
 
+def _without_copies(bags: list[tuple]) -> list[tuple]:
+    """One of each group of near copies with the same label: those that share half of their SKETCH smallest hashes with an earlier text."""
+    holders: dict[tuple, list[int]] = defaultdict(list)
+    out = []
+    for own, y, text in bags:
+        sketch = sorted({zlib.crc32(s) for s in own})[:SKETCH]
+        shared = Counter(i for h in sketch for i in holders[y, h])
+        if not sketch or max(shared.values(), default=0) * 2 < len(sketch):
+            out.append((own, y, text))
+            for h in sketch:
+                holders[y, h].append(len(out))
+    return out
+
+
 def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3) -> Machine | None:
     """Train on labelled texts; ratio: how many harmless texts stand for each harmless one of the sample."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -228,17 +276,11 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
         s = b"^" + s
         return {s[i : i + k] for k in (4, 5, 6, 7) for i in range(len(s) - k + 1)}
 
-    def family(own: list[bytes]) -> tuple:
-        """Near copies mostly share their segments of smallest hash."""
-        return tuple(sorted(zlib.crc32(s) for s in own)[:3])
-
-    seen, met = {0: Counter(), 1: Counter()}, {0: set(), 1: set()}
+    training = _without_copies(training)  # copies of one text are no further evidence
+    seen, texts_of = {0: Counter(), 1: Counter()}, {y: sum(kind == y for _, kind, _ in training) for y in (0, 1)}
     for own, y, _ in training:
-        if (kind := family(own)) not in met[y]:  # copies of one text are no further evidence
-            met[y].add(kind)
-            seen[y].update({g for s in own for g in pieces_of(s)})
-    share = len(met[0]) / len(met[1])
-    texts_of = {y: len(met[y]) for y in (0, 1)}
+        seen[y].update({g for s in own for g in pieces_of(s)})
+    share = texts_of[0] / texts_of[1]
     every_odds = {g: np.log((c * share + 0.5) / (seen[0][g] + 0.5)) for g, c in seen[1].items()}
 
     def evidence(g: bytes) -> float:
@@ -278,7 +320,7 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
                 groups.setdefault(telling(s)[1], Counter())[s] += 1
         worst = list(found_bad)
     known = sorted(harmless) or [b""]
-    negatives = [known[i] for i in rng.integers(0, len(known), 5000).tolist()]
+    negatives = [known[i] for i in rng.integers(0, len(known), NEGATIVES).tolist()]
     maps: list[Counter] = []
 
     def add(candidates: list[bytes], most: int) -> None:
@@ -288,9 +330,9 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
                 maps.append(subsequences(s))
 
     by_group = sorted(groups.values(), key=lambda c: (-sum(c.values()), min(c)))
-    leading = [s for i in range(6) for c in by_group for s, _ in c.most_common(i + 1)[i:]][:600]
+    leading = [s for i in range(6) for c in by_group for s, _ in c.most_common(i + 1)[i:]][:LEADING]
     add([t for s in leading for t in (s, _gapped(s, rng))], LANDMARKS * 2 // 3)
-    add(negatives[:300], LANDMARKS)
+    add(negatives[:PLAIN], LANDMARKS)
     base = np.array([[sum(w * b[u] for u, w in a.items() if u in b) for b in maps] for a in maps])
     values, vectors = np.linalg.eigh(base)
     whiten = vectors @ np.diag(np.where(values > 1e-4, 1 / np.sqrt(np.maximum(values, 1e-4)), 0)) @ vectors.T
@@ -305,7 +347,7 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
 
     def positives() -> tuple[np.ndarray, np.ndarray]:
         times = np.array([found_bad[s] for s in worst], dtype=float)
-        return describe(worst + [_gapped(s, rng) for s in worst]), np.append(times, times / 2) / (1.5 * times.sum())
+        return describe(worst + [_gapped(s, rng) for _ in range(COPIES) for s in worst]), np.append(times, np.tile(times, COPIES) / COPIES) / (2 * times.sum())
 
     def highest(kind: int, weights: np.ndarray) -> list[bytes]:
         """The highest segment of each training text of this kind."""
@@ -316,7 +358,7 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
         return [every[a + int(found[a:b].argmax())] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     bad_x, times = positives()
-    negative_x = describe(negatives + [_gapped(s, rng) for s in negatives[:2500]])
+    negative_x = describe(negatives + [_gapped(s, rng) for s in negatives[:GAPPED_NEGATIVES]])
     machine, hard = None, []
     hard_x = np.zeros((0, len(maps)))
     for _ in range(ROUNDS):
@@ -335,14 +377,14 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
         hard += fresh
         if fresh:
             hard_x = np.concatenate([hard_x, describe(fresh)])
-    judged = checks if len({y for _, y, _ in checks}) > 1 else training
+    judged = _without_copies(checks) if len({y for _, y, _ in checks}) > 1 else training
     offsets = np.append(0, np.cumsum([len(t) for _, _, t in judged]))
     margin = machine.margins(np.frombuffer(b"".join(t for _, _, t in judged), dtype=np.uint8), offsets)
     y = np.array([y for _, y, _ in judged], dtype=float)
     # Labels that no segment explains would flatten a logistic curve: the boundary is where the weighted errors are fewest.
     at = np.unique(margin)
     bounds = np.append(at[:1] - 1, np.append((at[1:] + at[:-1]) / 2, at[-1:] + 1))
-    errors = np.array([np.where(y > 0, margin < c, ratio * (margin >= c)).sum() for c in bounds])
+    errors = np.array([np.where(y > 0, margin < c, ALARM * ratio * (margin >= c)).sum() for c in bounds])
     best = np.flatnonzero(errors == errors.min())
     machine.slope = SLOPE
     machine.shift = -SLOPE * float(bounds[best[len(best) // 2]])
@@ -351,19 +393,15 @@ def fit(texts: list[bytes], toxic: list[int], ratio: float = 1.0, seed: int = 3)
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Machine | None:
     """A machine from rows (id, text) that have labels (id, toxic)."""
-    marked = labels.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {x["toxic"]: x["n"] for x in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return None
     share = F.when(F.col("toxic") == 1, max_rows / 2 / sizes[1]).otherwise(max_rows / 2 / sizes[0])
     chosen = marked.where(F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 30)) / float(1 << 30) < share).orderBy("id").limit(2 * max_rows)
-    rows = docs.join(F.broadcast(chosen), "id").select("id", F.col("text").cast("binary").alias("text"), "toxic").where("length(text) > 0").orderBy(F.xxhash64(F.lit(5), "id")).limit(2 * max_rows).collect()
-    texts, toxic, used = [], [], 0
-    for x in rows:
-        if used + len(x["text"]) <= max_bytes:
-            texts.append(bytes(x["text"]))
-            toxic.append(int(x["toxic"]))
-            used += len(x["text"])
+    labelled = docs.join(F.broadcast(chosen), "id").select("id", F.col("text").cast("binary").alias("text"), "toxic").where("length(text) > 0")
+    rows = sampled(labelled, 5, 2 * max_rows, max_bytes)
+    texts, toxic = [bytes(x["text"]) for x in rows], [int(x["toxic"]) for x in rows]
     taken = {y: min(1.0, max_rows / 2 / n) for y, n in sizes.items()}
     return fit(texts, toxic, taken[1] / taken[0]) if texts else None
 

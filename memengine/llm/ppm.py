@@ -13,7 +13,11 @@ joins over the depths.
 
 Documents are held in blocks.  Each block names the distinct byte sequences
 (and words, for the baseline) that it holds, and gets back their values; no
-model is broadcast and no value depends on how documents are dealt to blocks.
+model is broadcast and no value depends on how documents are dealt to blocks.  Words that
+stand in most blocks are counted by the tasks first (at most COMMON words, whose totals may be
+broadcast), so no task gathers a row of each block for one word.  Values go back as 32-bit
+numbers and are summed in 64 bits.  Words are compared by 64-bit hashes: among 10**9 distinct
+words the chance that any two agree is 3 per cent.
 
 Texts are bytes of UTF-8, whole, between a start mark and an end symbol; the end
 is predicted like any other.
@@ -21,7 +25,8 @@ is predicted like any other.
 Defined results: null and empty texts have only the end; without training rows
 all counts are zero (score: uniform over 255 symbols); rows without an id train
 and are scored; repeated rows count as often as they stand there; other columns
-are ignored; an empty table gives an empty result.
+are ignored; an empty table gives an empty result.  A very long text is a block of its own and
+must fit a task together with its answers.
 """
 
 from __future__ import annotations
@@ -42,7 +47,9 @@ ORDER = 5
 #: Bytes that UTF-8 never holds: before a text's start, and after its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
-BLOCK = 12 << 20
+BLOCK = 10 << 20
+#: From so many blocks on, words that stand in a quarter of the blocks looked at are counted by the tasks first; at most COMMON of them.
+MANY_BLOCKS, COMMON = 64, 20_000
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +105,17 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words.hashes(), words.of
 
 
+def _common(blocks: DataFrame) -> DataFrame | None:
+    """(key): words of a quarter of some blocks, if there are many blocks.  It only decides on which way a word's counts go."""
+    n = blocks.count()
+    if n < MANY_BLOCKS:
+        return None
+    some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(max(1, n // MANY_BLOCKS))) == 0)
+    least = max(2, some.count() // 4)
+    found = _asked(some, _words, "words").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return written(found.orderBy(F.desc("n"), "key").limit(COMMON).select("key"), "common")
+
+
 def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, value): log10 of the probability of the last byte of key after the others, for every key.
 
@@ -134,17 +152,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     asked = _asked(blocks, lambda data, offsets: contexts(data, offsets, order), "grams")
     values = log_probabilities(written(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts"), order)
-    grams = asked.select("key", "block").join(values, "key").select("block", "key", F.lit(True).alias("gram"), "value")
-
-    seen = Observation()
-    of_word = Window.partitionBy("key")
-    words = _asked(blocks, _words, "words").withColumns({"all": F.sum("n").over(of_word), "rows": F.count("*").over(of_word), "first": F.min("block").over(of_word)})
+    no_count = F.lit(None).cast("long").alias("count")
+    grams = asked.select("key", "block").join(values, "key").select("block", "key", F.col("value").cast("float").alias("value"), no_count)
+
+    seen, of_word = Observation(), Window.partitionBy("key")
+    words, shared_common, tokens, kinds = _asked(blocks, _words, "words"), None, 0, 0
+    common = _common(blocks)
+    if common is not None:
+        often = words.join(F.broadcast(common), "key", "left_semi")
+        totals = written(often.groupBy("key").agg(F.sum("n").alias("all")), "common_words")  # at most COMMON rows
+        tokens, kinds = totals.agg(F.sum("all"), F.count_if(F.col("all") > 0)).first()
+        shared_common = often.join(F.broadcast(totals), "key")
+        words = words.join(F.broadcast(common), "key", "left_anti")
+    words = words.withColumns({"all": F.sum("n").over(of_word), "rows": F.count("*").over(of_word), "first": F.min("block").over(of_word)})
     words = words.observe(seen, F.sum("n").alias("tokens"), F.sum(F.when((F.col("first") == F.col("block")) & (F.col("all") > 0), 1).otherwise(0)).alias("kinds"))
     # A word that only one block holds needs no answer: the block counts it itself.
-    shared = written(words.where("rows > 1").select("block", "key", F.lit(False).alias("gram"), F.col("all").cast("double").alias("value")), "shared_words")
+    answer = ("block", "key", F.lit(None).cast("float").alias("value"), F.col("all").alias("count"))
+    shared = written(words.where("rows > 1").select(*answer), "shared_words")
+    if shared_common is not None:
+        shared = shared.union(shared_common.select(*answer))
     ends = rows.agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("n")).first()["n"] or 0
-    total = (seen.get["tokens"] or 0) + ends
-    kinds = (seen.get["kinds"] or 0) + (1 if ends else 0)
+    total = (tokens or 0) + (seen.get["tokens"] or 0) + ends
+    kinds = (kinds or 0) + (seen.get["kinds"] or 0) + (1 if ends else 0)
     schema = T.StructType(
         [
             T.StructField(id_col, rows.schema["id"].dataType),
@@ -158,10 +187,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     base_end, known_end = np.log10(ends + 1) - per_token, int(ends > 0)
 
     def judge(block: pa.RecordBatch, answers: pa.Table) -> pa.Table:
-        is_gram = answers.column("gram").to_numpy().astype(bool)
-        keys, value = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy()
+        is_gram = np.asarray(answers.column("count").is_null())
+        keys = answers.column("key").to_numpy().view(np.uint64)
 
-        def sorted_table(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def sorted_table(which: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             by = np.argsort(keys[which])
             return keys[which][by], value[which][by]
 
@@ -184,9 +213,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             own.append(np.unique(words_[np.repeat(~held_out_, np.diff(of))], return_counts=True))
         own_keys, own_counts = _counted(own)
         del own
-        gram_keys, gram_values = sorted_table(is_gram)
-        word_keys, word_counts = sorted_table(~is_gram)
-        del keys, value, is_gram
+        gram_keys, gram_values = sorted_table(is_gram, answers.column("value").to_numpy())
+        word_keys, word_counts = sorted_table(~is_gram, answers.column("count").fill_null(0).to_numpy())
+        del keys, is_gram
         n_tokens, n_known, base, scored, size = [], [], [], [], []
         for _, data, offsets in _block_pieces(block):
             words_, of = _words(data, offsets)

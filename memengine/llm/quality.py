@@ -21,7 +21,9 @@ weight, as if ENOUGH texts had these: the same rule at every size, without a jum
 Defined results: null and empty texts have one symbol, the end; they are judged
 like others.  Without any trusted text nothing is rejected.  A null language is
 one of its own.  A row without an id can't be labelled and is judged like
-others; rows with the same id share its label, and if one is rejected all are.
+others; rows with the same id share its label, and each is judged by its text (print is
+the text's hash).  Ids are whole numbers (TypeError otherwise); a very long text is a
+block of its own and must fit a task.
 Repeated label rows count once; an id labelled both good and bad isn't trusted.
 """
 
@@ -36,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memengine.llm import blocks as B
-from memengine.llm.common import held, only, table, written
-from memengine.llm.ppm import BLOCK, contexts
+from memengine.llm.common import held, integral, only, table, written
+from memengine.llm.ppm import contexts
 from memengine.llm.textops import pieces, utf8
 
 ORDER = 4
+BLOCK = 12 << 20
 #: The quantile of unseen trusted documents that is still good, and the margin above it, as a share of the bits.
 UPPER, MARGIN = 0.995, 0.02
 #: Texts for which the quantiles over all languages count beside a language's own.
@@ -99,8 +102,9 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """(id, lang, n_symbols, log10_p, n_fresh) of each row of docs; log10_p is that of the whole text, n_fresh counts the symbols whose n-gram is new in its window."""
-    rows = only(docs, id="doc_id", text="text", lang="lang")
+    """(id, print, lang, n_symbols, log10_p, n_fresh) of each row of docs; log10_p is that of the whole text, n_fresh counts the symbols whose n-gram is new in its window."""
+    integral(docs, "doc_id")
+    rows = only(docs, id="doc_id", text="text", lang="lang").withColumn("print", F.xxhash64("text"))
     blocks = B.pack(rows, "text", "quality_blocks", BLOCK)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     asked = B.answered(blocks, named.select("block", F.coalesce("id", F.lit(-(2**63))).alias("id")), ask, asked_schema)
     values = kneser_ney(written(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts"), order)
     answers = asked.select("key", "block").join(values, "key").select("block", "key", F.col("value").cast("float").alias("value"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType()), T.StructField("n_fresh", T.LongType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType()), T.StructField("n_fresh", T.LongType())])
     kind = B.to_arrow_schema(schema)
 
     def judge(block: pa.RecordBatch, got: pa.Table) -> pa.Table:
@@ -147,7 +151,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
             size.append(np.diff(begins))
             total.append(np.add.reduceat(value[np.searchsorted(keys, of)], begins[:-1]))
             fresh.append(fresh_counts(of, begins))
-        columns = [block.column(block.schema.names.index("id")), block.column(block.schema.names.index("lang")), np.concatenate(size), np.concatenate(total), np.concatenate(fresh)]
+        columns = [*(block.column(block.schema.names.index(c)) for c in ("id", "print", "lang")), np.concatenate(size), np.concatenate(total), np.concatenate(fresh)]
         return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
     return B.answered(blocks, answers, judge, schema)
@@ -174,7 +178,7 @@ def _with(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = UPPER, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
-    """(doc_id, lang, perplexity, shrunk, threshold, fresh, least_fresh, keep) for each row of docs.
+    """(doc_id, lang, perplexity, shrunk, threshold, fresh, least_fresh, keep, print) for each row of docs.
 
     shrunk is the perplexity after `prior` more symbols of the language's median
     bits, so that a few odd symbols don't condemn a short text; it is rejected
@@ -192,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     two = F.lit(2.0)
     return out.select(
         F.col("id").alias("doc_id"), "lang", F.pow(two, "bits").alias("perplexity"), F.pow(two, "bits_shrunk").alias("shrunk"), F.pow(two, "limit").alias("threshold"), F.col("fresh_shrunk").alias("fresh"), F.col("least").alias("least_fresh"),
-        F.coalesce((F.col("bits_shrunk") <= F.col("limit")) & (F.col("fresh_shrunk") >= F.col("least")), F.lit(True)).alias("keep"),
+        F.coalesce((F.col("bits_shrunk") <= F.col("limit")) & (F.col("fresh_shrunk") >= F.col("least")), F.lit(True)).alias("keep"), "print",
     )
 
 

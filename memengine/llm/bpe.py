@@ -7,12 +7,13 @@ each position of the rank is merged, and only the lists of the pairs to its
 left and right change.  A merge can only make pairs of higher rank, so one pass
 over the ranks encodes all pre-tokens of the batch at once.
 
-The tokenizer file is a parameter; it is read once by each Python worker and
-never trained or changed.  Texts that hold a special token's string get that
+The tokenizer file is a parameter; the driver reads it and sends its bytes (a few MB,
+whatever the input) to the tasks; it is never trained or changed.  Texts that hold a special token's string get that
 token's id there, as the tokenizers library does by default.
 
 Defined results: null and empty texts have no tokens and decode to an empty
-text; every other column passes through; equal rows give equal results.
+text; every other column passes through; equal rows give equal results; a very long text is
+encoded whole and must fit a task with its symbols' arrays (about 50 bytes a byte of a text without any space).
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from memengine.llm.common import only, table
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces of text whose ids a worker keeps; beyond it, it forgets them and starts again.
 KEPT_PIECES = 150_000
+#: And the characters and bytes of them all: texts without spaces are pieces as a whole.
+KEPT_BYTES = 96 << 20
 #: Texts taken together, in characters.
 BATCH_CHARS = 4 << 20
 # White space is spelled out as a property: the tokenizer's \s has none of the ASCII separators 1C to 1F.
@@ -57,11 +60,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes and decodes texts with the merges of one tokenizer file."""
+    """Encodes and decodes texts with the merges of one tokenizer file, given as its bytes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, body: bytes):
+        spec = json.loads(body)
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
@@ -84,6 +86,7 @@ class Encoder:
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
+        self.kept = 0
 
     def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
         """The rank of each pair (left << 32 | right), -1 for those that never merge."""
@@ -160,16 +163,17 @@ class Encoder:
 
     def learn(self, inner: Iterable[str], starts: Iterable[str]) -> None:
         """Fill the piece tables for pieces after a space and pieces at a start."""
-        if len(self.after_space) + len(self.at_start) + len(self.tokens) > 2 * KEPT_PIECES:
-            self.after_space, self.at_start, self.tokens = {}, {}, {}
         find = _SPLIT.findall
         todo = [(self.after_space, c, [" " + c] if c.isalpha() else find(" " + c)) for c in inner] + [(self.at_start, c, find(c)) for c in starts]
         tokens = self.tokens
         new = list({t for _, _, parts in todo for t in parts if t not in tokens})
         if new:
-            tokens.update(zip(new, self.merge(new), strict=True))
+            merged = self.merge(new)
+            tokens.update(zip(new, merged, strict=True))
+            self.kept += sum(map(len, new)) + sum(map(len, merged))
         for where, c, parts in todo:
             where[c] = tokens[parts[0]] if len(parts) == 1 else b"".join([tokens[t] for t in parts])
+            self.kept += len(c) + (len(where[c]) if len(parts) > 1 else 0)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -201,8 +205,8 @@ class Encoder:
             for x in own:
                 if not isinstance(x, int):
                     inner.update(x[1:])
-        if len(self.after_space) + len(self.at_start) + len(self.tokens) > 2 * KEPT_PIECES:
-            self.after_space, self.at_start, self.tokens = {}, {}, {}
+        if len(self.after_space) + len(self.at_start) + len(self.tokens) > 2 * KEPT_PIECES or self.kept > KEPT_BYTES:
+            self.after_space, self.at_start, self.tokens, self.kept = {}, {}, {}, 0
         self.learn([c for c in inner if c not in self.after_space], [c for c in starts if c not in self.at_start])
         out = []
         for own in sections:
@@ -220,15 +224,22 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        gc.disable()  # the piece tables are large and hold no cycles
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(body: bytes) -> Encoder:
+    """One encoder for each Python worker and tokenizer."""
+    key = hash(body)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(body)
+        gc.freeze()  # the vocabulary's objects stay, so the collector needn't visit them again
+    return _ENCODERS[key]
+
+
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -244,13 +255,13 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with n_tokens long, ids binary (little-endian unsigned 32-bit integers) and decoded string."""
-    path = path or default_path()
+    body = docs.sparkSession.sparkContext.broadcast(read(path or default_path()))
     added = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.StringType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in dict(added)] + [T.StructField(n, t) for n, t in added])
     kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(body.value)
         for batch in batches:
             names = batch.schema.names
             texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]

@@ -3,7 +3,11 @@
 Tokens are runs of up to eight characters without white space, case folded; a
 longer run has a token of eight characters at each of its positions, so that
 unspaced text shares tokens wherever its characters agree.
-Every five consecutive tokens (k) are hashed; of every four consecutive hashes
+Every five consecutive tokens (k) have a polynomial (rolling) hash modulo the
+prime 2**31 - 1.  It is put together from those of fewer tokens by doubling: the
+hash of 2w tokens at a place is that of w tokens there, moved up, plus that of the
+w behind them, so neighbours share their parts and no k-gram is hashed anew.
+Of every four consecutive hashes
 (w) the smallest is chosen, of equal ones the rightmost, and its position is
 kept.  Two texts that share w + k - 1 = 8 consecutive tokens share a chosen
 hash; within one long run these are 15 characters.  A text with fewer than k tokens has one hash, of all its tokens; one with
@@ -16,7 +20,8 @@ row: no explode and no shuffle.
 
 Defined results: null and empty texts, and those of white space only, have no
 tokens and an empty fingerprint; two empty fingerprints are alike (1), one empty
-and one not are unlike (0).  Other columns pass through.
+and one not are unlike (0).  A very long text is one row and its tokens must fit a task.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,27 +34,58 @@ from memengine.llm.common import only, table, written
 K = 5
 #: A power of two: minima are taken by doubling.
 W = 4
-_SOLID = r"[^\x20\x09-\x0D]"
-#: The token is the group ahead: a short run is passed as a whole, a longer one by one character while seven more follow.
-TOKEN = rf"(?=({_SOLID}{{1,8}}+))(?:(?<!{_SOLID}){_SOLID}{{1,8}}+(?!{_SOLID})|{_SOLID}(?={_SOLID}{{7}}))"
+GAP = r"[\x20\x09-\x0D]+"
+LONG = 8
+#: One character, and ahead of it, as a group, the token that begins there.
+AHEAD = rf"(?s)(?=(.{{{LONG}}}))."
+PRIME, BASE = (1 << 31) - 1, 1_000_003
 _PLACES = 1 << 31
 
 
-def _codes(text: Column) -> Column:
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def _code(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(PRIME))
 
 
-def _grams(codes: Column, k: int) -> Column:
-    """32-bit hashes, one for each k consecutive codes (one of all, if there are fewer)."""
-    n = F.size(codes)
-    whole = F.when(n > 0, F.array(F.hash(codes))).otherwise(F.array().cast("array<int>"))
-    gram = F.transform(F.slice(codes, 1, F.greatest(n - (k - 1), F.lit(0))), lambda x, i: F.hash(x, *[codes[i + j] for j in range(1, k)]))
-    return F.when(n >= k, gram).otherwise(whole)
+def _codes(text: Column) -> Column:
+    """A number below PRIME for each token."""
+    runs = F.split(F.lower(F.coalesce(text, F.lit(""))), GAP)
+    within = lambda run: F.transform(F.regexp_extract_all(run, F.lit(AHEAD), F.lit(1)), _code)
+    return F.flatten(F.transform(runs, lambda run: F.when(run == "", F.array().cast("array<bigint>")).when(F.char_length(run) <= LONG, F.array(_code(run))).otherwise(within(run))))
+
+
+def _followed(hashes: Column, tokens: int, more: Column, width: int) -> Column:
+    """Hashes of tokens + width tokens, from those of `tokens` and, that many places on, those of `width`."""
+    n = F.greatest(F.size(more) - tokens, F.lit(0))
+    up = pow(BASE, width, PRIME)
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(more, tokens + 1, n), lambda x, y: (x * up + y) % PRIME)
+
+
+def _grams(df: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Hashes of k consecutive codes instead of the codes in these columns (one of all, if there are fewer)."""
+    ones = {m: f"{m}_codes" for m in names}
+    df = df.withColumns({one: F.col(m) for m, one in ones.items()})
+    done, width, part = 0, 1, ones  # width: tokens in the hashes of `part`; done: tokens in those of the result so far
+    kept = {}
+    while width <= k:
+        if k & width:
+            if done:
+                kept_now, n = dict(kept), done
+                df = df.withColumns({f"{m}_{width}_kept": _followed(F.col(part[m]), width, F.col(kept_now[m]), n) for m in names})
+                kept = {m: f"{m}_{width}_kept" for m in names}
+            else:
+                kept = part
+            done += width
+        if 2 * width <= k:
+            df = df.withColumns({f"{m}_{2 * width}": _followed(F.col(part[m]), width, F.col(part[m]), width) for m in names})
+            part = {m: f"{m}_{2 * width}" for m in names}
+        width *= 2
+    whole = lambda c: F.when(F.size(c) > 0, F.array(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: (s * BASE + x) % PRIME))).otherwise(c)
+    df = df.withColumns({m: F.when(F.size(ones[m]) >= k, F.col(kept[m])).otherwise(whole(F.col(ones[m]))) for m in names})
+    return df.drop(*[c for c in df.columns if any(c.startswith(f"{m}_") and c.removeprefix(f"{m}_").removesuffix("_kept").replace("codes", "0").isdigit() for m in names)])
 
 
 def _packed(hashed: Column) -> Column:
-    return F.transform(hashed, lambda h, i: h.cast("long") * _PLACES + (_PLACES - 1 - i))
+    return F.transform(hashed, lambda h, i: h * _PLACES + (_PLACES - 1 - i))
 
 
 def _doubled(least: Column, width: int) -> Column:
@@ -69,7 +105,7 @@ def with_marks(df: DataFrame, texts: dict[str, str], k: int = K, w: int = W) ->
 
     Each step is a column of its own, so that an array is made once and not again wherever a function looks into it."""
     df = df.withColumns({m: _codes(F.col(t)) for m, t in texts.items()})
-    df = df.withColumns({m: _grams(F.col(m), k) for m in texts})
+    df = _grams(df, list(texts), k)
     df = df.withColumns({m: _packed(F.col(m)) for m in texts})
     width = 1
     while width < w:
@@ -80,7 +116,7 @@ def with_marks(df: DataFrame, texts: dict[str, str], k: int = K, w: int = W) ->
 
 def fingerprint(marks: Column) -> Column:
     """The chosen hashes as text, in order of position."""
-    return F.array_join(F.transform(marks["hash"], lambda h: F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), " ")
+    return F.array_join(F.transform(marks["hash"], lambda h: F.hex(h.cast("long"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,24 +138,26 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(other, F.lit(1), half))
 
 
+#: Ids in a range, about, and the most ranges.
+RANGE_IDS, MOST_RANGES = 10_000, 100_000
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """(id, next): each id and the next smaller one, the largest after the smallest.
 
-    Ids are cut into ranges of equal width; a window runs within each, and one row a
-    range tells the last id of the range before."""
-    ids = written(docs.select("id").where("id IS NOT NULL").distinct(), "ids")
-    ends = ids.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    if not ends["n"]:
+    Ids are dealt to ranges of about equal numbers (bounds sampled by Spark), which a
+    written table keeps; a window runs within each, and one row a range tells the
+    last id of the range before."""
+    ids = docs.select("id").where("id IS NOT NULL").distinct()
+    n = ids.count()
+    if not n:
         return ids.withColumn("next", F.col("id"))
-    parts = max(1, min(ends["n"] // 10_000, 100_000))
-    width = (ends["high"] - ends["low"]) // parts + 1
-    cell = F.floor((F.col("id") - ends["low"]) / width)
-    # A range of ids holds as many as its width at most.
-    inside = ids.withColumn("cell", cell).withColumn("next", F.max("id").over(Window.partitionBy("cell").orderBy("id").rowsBetween(-1, -1)))
-    # At most 100,000 rows: the largest id of each range and of those below it.
-    tops = inside.groupBy("cell").agg(F.max("id").alias("top"))
+    dealt = written(ids.repartitionByRange(max(1, min(n // RANGE_IDS, MOST_RANGES)), "id").withColumn("cell", F.spark_partition_id()), "ids")
+    inside = dealt.withColumn("next", F.max("id").over(Window.partitionBy("cell").orderBy("id").rowsBetween(-1, -1)))
+    # At most MOST_RANGES rows: the largest id of each range and of those below it.
+    tops = dealt.groupBy("cell").agg(F.max("id").alias("top"))
     below = tops.select("cell", F.max("top").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("below"))
-    return inside.join(below, "cell").select("id", F.coalesce("next", "below", F.lit(ends["high"])).alias("next"))
+    return inside.join(below, "cell").select("id", F.coalesce("next", "below", F.lit(dealt.agg(F.max("id")).first()[0])).alias("next"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,4 +190,4 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(table(spark, sf_dir, "documents")).drop("positions")
+    return compared(table(spark, sf_dir, "documents"))

@@ -4,22 +4,28 @@ A window is 13 consecutive words of one text.  A word goes if it lies in a
 window that also starts in a document with a smaller id; all windows are judged
 on the input.
 
-1. Each task turns its windows into cells of a count-min sketch (two rows) and
-   sends them, sorted and delta coded, by shard of the sketch.  The shards are
-   summed; a cell's count is never below the number of times that any of its
-   windows occurs.
-2. The cells counted at least twice are a bitmap whose size is a parameter
-   (two rows of 2**28 bits: 64 MB), so it may be broadcast.  A window is kept
-   for exact grouping unless one of its cells was counted once; no repeated
-   window is lost.
+1. Each block of text turns its windows into cells of a count-min sketch (two
+   rows) and sends them, sorted and delta coded, to the sketch's shards.  A shard
+   sums what it gets and answers each block with two bits a cell: counted at
+   least twice, counted often.  A cell's count is never below the number of times
+   that any of its windows occurs.  The sketch has about as many cells as the
+   corpus has bytes, whatever its size, so it never fills up; no shard and no
+   block sees more than its own part, and nothing is broadcast.
+2. A window is kept for exact grouping unless one of its cells was counted once;
+   no repeated window is lost.
 3. The kept windows are grouped exactly, one row for each block of text and
-   window (a passage in a third of all rows is one row a block), and the
-   smallest document id goes back to the blocks that asked.
+   window (a passage in a third of all rows is one row a block), and the smallest
+   document id goes back to the blocks that asked.  Windows counted often are
+   pre-aggregated by the tasks first and joined with their blocks in SALTS parts,
+   so no task gathers the rows of a passage that stands everywhere.
 
-Windows are compared by a 64-bit hash of their words.
+Windows are compared by two independent 64-bit hashes of their words, 128 bits
+together: among 10**13 windows the chance that any two differ and agree is below
+10**-12.
 
 Defined results: a null or empty text has no words and stays as it is; texts of
-fewer than 13 words stay whole; a row without an id is left as it is and is no
+fewer than 13 words stay whole; a very long text is a block of its own and must
+fit a task; ids are whole numbers (TypeError otherwise); a row without an id is left as it is and is no
 source for others; rows with the same id are one document and never remove
 each other's words; other columns pass through unread.  The result of an empty
 table is empty.
@@ -27,6 +33,7 @@ table is empty.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import compress
@@ -38,14 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memengine.llm import blocks as B
-from memengine.llm.common import only, table
+from memengine.llm.common import integral, only, table, written
 from memengine.llm.textops import Words, grams, inside, mix, pieces, text_of, utf8
 
 WINDOW = 13
-LOG2_CELLS = 28
-LOG2_SHARDS = 6
+#: Cells of one shard of the sketch (one byte each while it is summed), as a power of two.
+LOG2_SHARD = 22
+#: Counts stop here; cells counted so often, at most twice by each block, are shared by many blocks.
+MOST, OFTEN = 255, 128
+SALTS = 16
 _SALTS = (0x0, 0x5851F42D4C957F2D)
-_FLUSH = 2_000_000
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -55,22 +64,24 @@ def _windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return grams(words.hashes(), k)[at], at, words
 
 
+def _second(words: Words, at: np.ndarray, k: int) -> np.ndarray:
+    """The second hashes of the windows at these positions."""
+    return grams(words.hashes(second=True), k, salt=1)[at]
+
+
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _shrink(cells: np.ndarray) -> bytes:
-    """Sorted numbers as steps, each a byte below 255 after a 255 for every 255 in it."""
-    steps = np.diff(cells, prepend=0)
-    ends = np.cumsum(steps // 255 + 1)
-    out = np.full(ends[-1], 255, dtype=np.uint8)
-    out[ends - 1] = steps % 255
-    return zlib.compress(out.tobytes(), 1)
+    """Sorted numbers below 2**32 as steps, byte by byte of lower value first: the upper ones are mostly zero."""
+    steps = np.diff(cells, prepend=0).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _grow(body: bytes) -> np.ndarray:
-    steps = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+    planes = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
 def _each_piece(rows: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tuple]:
@@ -82,115 +93,143 @@ def _each_piece(rows: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tu
         yield ids[a:b], valid[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _sketch(blocks: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> list[np.ndarray]:
-    """One bitmap a row: cells counted at least twice."""
-    low = bits - LOG2_SHARDS
+def _all_windows(block: pa.RecordBatch, id_col: str, text_col: str, k: int) -> np.ndarray:
+    """The hashes of all windows of a block's rows that have an id, in order."""
+    found = [np.zeros(0, np.uint64)]
+    for _, valid, data, offsets in _each_piece(block, id_col, text_col):
+        hashes, at, words = _windows(data, offsets, k)
+        found.append(hashes[valid[text_of(words.of, at)]])
+    return np.concatenate(found)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            whole = np.concatenate(held)
-            rows, shards, bodies = [], [], []
+def _answers(blocks: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> DataFrame:
+    """(block, row, shard, n, twice, often): for the block's n distinct cells in a shard, in order, two bit arrays."""
+    low = min(bits, LOG2_SHARD)
+    shards = 1 << (bits - low)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in B.each(batches):
+            whole = _all_windows(block, id_col, text_col, k)
             for row in range(len(_SALTS)):
                 found = np.sort(_cells(whole, row, bits))
                 more = np.ones(len(found), dtype=bool)
                 more[2:] = found[2:] != found[:-2]  # a count of two is as good as any above
                 found = found[more]
-                cut = np.searchsorted(found, np.arange((1 << LOG2_SHARDS) + 1) << low)
-                for shard in range(1 << LOG2_SHARDS):
-                    part = found[cut[shard] : cut[shard + 1]] - (shard << low)
-                    if len(part):
-                        rows.append(row)
-                        shards.append(shard)
-                        bodies.append(_shrink(part))
-            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "shard": pa.array(shards, pa.int32()), "body": pa.array(bodies, pa.binary())})
-
-        for _, block in B.each(batches):
-            for _, valid, data, offsets in _each_piece(block, id_col, text_col):
-                hashes, at, words = _windows(data, offsets, k)
-                held.append(hashes[valid[text_of(words.of, at)]])
-            if sum(map(len, held)) > _FLUSH:
-                yield from out()
-                held = []
-        if held:
-            yield from out()
-
-    def merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, row, shard = np.zeros(1 << low, dtype=np.uint8), None, None
+                cut = np.searchsorted(found, np.arange(shards + 1) << low)
+                some = np.flatnonzero(cut[1:] > cut[:-1])
+                bodies = [_shrink(found[cut[i] : cut[i + 1]] - (i << low)) for i in some.tolist()]
+                yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(some), row), pa.int32()), "shard": pa.array(some, pa.int64()), "block": np.full(len(some), number), "body": pa.array(bodies, pa.binary())})
+
+    def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = np.zeros(1 << low, dtype=np.uint8), []
         for part in parts:
-            row, shard = part.column("row")[0].as_py(), part.column("shard")[0].as_py()
+            held.append(part)
             for body in part.column("body"):
                 got = _grow(body.as_py())
-                twice = got[1:][got[1:] == got[:-1]]
-                counts[got] = np.minimum(counts[got] + 1, 2)
-                counts[twice] = 2
-        if row is not None:
-            yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "shard": pa.array([shard], pa.int32()), "body": pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())})
+                counts[got] = np.minimum(counts[got], MOST - 1) + 1
+                again = got[1:][got[1:] == got[:-1]]
+                counts[again] = np.minimum(counts[again], MOST - 1) + 1
+        for part in held:
+            n, twice, often = [], [], []
+            for body in part.column("body"):
+                got = _grow(body.as_py())
+                got = counts[got[np.append(True, got[1:] != got[:-1])]]
+                n.append(len(got))
+                twice.append(np.packbits(got >= 2).tobytes())
+                often.append(np.packbits(got >= OFTEN).tobytes() if (got >= OFTEN).any() else None)
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("block", "row", "shard")} | {"n": pa.array(n, pa.int64()), "twice": pa.array(twice, pa.binary()), "often": pa.array(often, pa.binary())})
 
-    bitmaps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in _SALTS]
     # Each type hint matters: with iterators Spark hands a shard over batch by batch.
-    merged.__annotations__ = {"parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    shards = blocks.select("block", "body").mapInArrow(cells, "row int, shard int, body binary").groupBy("row", "shard").applyInArrow(merged, "row int, shard int, body binary")
-    step = (1 << low) // 8
-    for x in shards.toLocalIterator():
-        bitmaps[x["row"]][x["shard"] * step : (x["shard"] + 1) * step] = np.frombuffer(x["body"], dtype=np.uint8)
-    return bitmaps
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, log2_cells: int = LOG2_CELLS) -> DataFrame:
+    summed.__annotations__ = {"parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    sent = blocks.select("block", "body").mapInArrow(cells, "row int, shard long, block long, body binary")
+    return sent.groupBy("row", "shard").applyInArrow(summed, "block long, row int, shard long, n long, twice binary, often binary")
+
+
+def _bits(got: pa.Table, row: int, column: str) -> np.ndarray:
+    """The bits of one row's answers to a block, in the order of the cells."""
+    own = got.filter(pa.compute.equal(got.column("row"), row)).sort_by("shard")
+    parts = [np.zeros(0, dtype=bool)]
+    for n, body in zip(own.column("n").to_pylist(), own.column(column).to_pylist(), strict=True):
+        parts.append(np.unpackbits(np.frombuffer(body, dtype=np.uint8), count=n).astype(bool) if body is not None else np.zeros(n, dtype=bool))
+    return np.concatenate(parts)
+
+
+def _located(known: tuple[np.ndarray, np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is known, place) of each pair of hashes among known pairs in order; rows with the same first hash follow each other."""
+    spot = np.searchsorted(known[0], first)
+    hit = np.zeros(len(first), dtype=bool)
+    while True:
+        here = ~hit & (spot < len(known[0]))
+        here[here] = known[0][spot[here]] == first[here]
+        if not here.any():
+            return hit, np.where(hit, spot, 0)
+        hit[here] = known[1][spot[here]] == second[here]
+        spot[here & ~hit] += 1
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
     """Every row of docs with its columns, text_col holding the kept words joined by one space where words went,
     and n_words, n_removed (long) and kept_words (the kept words joined by one space, also where nothing went)."""
-    spark = docs.sparkSession
+    integral(docs, id_col)
     blocks = B.pack(docs, text_col, "substring_blocks")
-    bitmaps = spark.sparkContext.broadcast(_sketch(blocks, id_col, text_col, k, log2_cells))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = bitmaps.value
-        for number, block in B.each(batches):
-            hashes, docs_of = [], []
-            for ids, valid, data, offsets in _each_piece(block, id_col, text_col):
-                got, at, words = _windows(data, offsets, k)
-                of = text_of(words.of, at)
-                keep = valid[of]
-                for row, bitmap in enumerate(rows):
-                    cell = _cells(got, row, log2_cells)
-                    keep &= (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-                hashes.append(got[keep])
-                docs_of.append(ids[of[keep]])
-            got, ids = np.concatenate(hashes), np.concatenate(docs_of)
-            order = np.lexsort((ids, got))
-            got, ids = got[order], ids[order]
-            first = np.flatnonzero(np.append(True, got[1:] != got[:-1])[: len(got)])
-            last = np.append(first[1:], len(got)) - 1 if len(first) else first
-            for a in range(0, len(first), 1 << 18):
-                f, z = first[a : a + (1 << 18)], last[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_pydict({"window": got[f].view(np.int64), "block": np.full(len(f), number), "lowest": ids[f], "several": ids[f] != ids[z]})
-
-    grouped = Window.partitionBy("window")
-    answers = (
-        blocks.select("block", "body")
-        .mapInArrow(asked, "window long, block long, lowest long, several boolean")
-        .withColumn("least", F.min("lowest").over(grouped))
-        .where((F.col("least") < F.col("lowest")) | F.col("several"))
-        .select("block", "window", "least")
-    )
+    size = blocks.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    bits = max(10, math.ceil(math.log2(size + 1)))
+    judged = written(_answers(blocks, id_col, text_col, k, bits), "substring_cells")
+    asked_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "second", "block", "lowest")] + [T.StructField(n, T.BooleanType()) for n in ("several", "often")])
+    asked_kind = B.to_arrow_schema(asked_schema)
+
+    def ask(block: pa.RecordBatch, got: pa.Table) -> pa.Table:
+        whole = _all_windows(block, id_col, text_col, k)
+        keep, often = np.ones(len(whole), dtype=bool), np.ones(len(whole), dtype=bool)
+        for row in range(len(_SALTS)):
+            _, which = np.unique(_cells(whole, row, bits), return_inverse=True)
+            keep &= _bits(got, row, "twice")[which]
+            often &= _bits(got, row, "often")[which]
+        seconds, ids_of, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for ids, valid, data, offsets in _each_piece(block, id_col, text_col):
+            _, at, words = _windows(data, offsets, k)
+            of = text_of(words.of, at)
+            at, of = at[valid[of]], of[valid[of]]
+            own = keep[n : n + len(at)]
+            n += len(at)
+            seconds.append(_second(words, at[own], k))
+            ids_of.append(ids[of[own]])
+        first, often, second, ids = whole[keep], often[keep], np.concatenate(seconds), np.concatenate(ids_of)
+        order = np.lexsort((ids, second, first))
+        first, second, ids, often = first[order], second[order], ids[order], often[order]
+        begin = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(first)])
+        last = np.append(begin[1:], len(first)) - 1 if len(begin) else begin
+        number = got.column("block")[0].as_py() if got.num_rows else -1
+        columns = [first[begin].view(np.int64), second[begin].view(np.int64), np.full(len(begin), number), ids[begin], ids[begin] != ids[last], often[begin]]
+        return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, asked_kind, strict=True)], schema=asked_kind)
+
+    asked = B.answered(blocks, judged, ask, asked_schema)
+    window = ["first", "second"]
+    rare = asked.where("NOT often").withColumn("least", F.min("lowest").over(Window.partitionBy(*window)))
+    answers = rare.select(*window, "block", "lowest", "several", "least")
+    if not judged.where("often IS NOT NULL").isEmpty():
+        common = asked.where("often").drop("often")
+        least = common.groupBy(*window).agg(F.min("lowest").alias("least"))
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        common = common.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(least, [*window, "salt"])
+        answers = answers.union(common.select(*window, "block", "lowest", "several", "least"))
+    answers = answers.where((F.col("least") < F.col("lowest")) | F.col("several")).select("block", *window, "least")
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_words", T.StringType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in dict(added)] + [T.StructField(n, t) for n, t in added])
     kind = B.to_arrow_schema(schema)
 
     def cut(block: pa.RecordBatch, got: pa.Table) -> pa.Table:
-        known = got.column("window").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, least = known[order], got.column("least").to_numpy()[order]
+        firsts, seconds = (got.column(c).to_numpy().view(np.uint64) for c in ("first", "second"))
+        order = np.lexsort((seconds, firsts))
+        known, least = (firsts[order], seconds[order]), got.column("least").to_numpy()[order]
         n_words, n_removed, kept_words = [], [], []
         for ids, valid, data, offsets in _each_piece(block, id_col, text_col):
             hashes, at, words = _windows(data, offsets, k)
             of = text_of(words.of, at)
             gone = np.zeros(len(words.starts) + 1, dtype=np.int32)
-            if len(known):
-                spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = (known[spot] == hashes) & (least[spot] < ids[of]) & valid[of]
+            if len(least):
+                hit, spot = _located(known, hashes, _second(words, at, k))
+                hit &= (least[spot] < ids[of]) & valid[of]
                 np.add.at(gone, at[hit], 1)
                 np.add.at(gone, at[hit] + k, -1)
             keep = np.cumsum(gone)[:-1] == 0

@@ -7,6 +7,7 @@ made.  A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,24 @@ CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For a second hash of the same words, independent of the first: both together have 128 bits.
+_MULT2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_BYTE_CODES2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, dtype=bool)
@@ -101,12 +114,13 @@ class Words:
         #: words of text i are self.of[i] .. self.of[i + 1]
         self.of = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word, from its bytes alone."""
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """One 64-bit hash for each word, from its bytes alone; or a second, independent one."""
         n = len(self.data)
+        codes, mult = (_BYTE_CODES2, int(_MULT2)) if second else (_BYTE_CODES, int(_MULT))
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[self.data] * _powers(int(_MULT), n), out=sums[1:])
-        back = _powers(_inverse(int(_MULT)), n + 1)
+        np.cumsum(codes[self.data] * _powers(mult, n), out=sums[1:])
+        back = _powers(_inverse(mult), n + 1)
         return mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 

@@ -6,10 +6,10 @@ shingle is enough to find it: the rarest.  A window's shingles are its words; do
 frequencies over all documents order them, the rarest comes first, and ties go
 to the smaller word.
 
-1. The words of all documents are counted where they are words of items (the
-   item words' table is broadcast only below a checked size).
+1. The words of all documents are counted where they are words of items.
 2. Each distinct window gives one row: its rarest word, the word's place, its
-   length and its words.
+   length and its words.  The join that ranks a window's words is dealt in SALTS
+   parts, as frequent words stand in many windows.
 3. Documents' words are joined with those rows on the word.  Position and length
    bounds (the window must lie inside the document) drop matches, and
    comparing the slice of the document with the window's words verifies the
@@ -17,12 +17,18 @@ to the smaller word.
 4. Occurrences that overlap are united by a running maximum over each
    document's occurrences, which gives the words that are hit.
 
+The items' tables are broadcast while their measured bytes lie below a bound.
+Beyond it only (document, place, word) rows are joined by a shuffle, in SALTS
+parts, and the candidates meet their document's words by its id afterwards; both
+ways give the same rows.
+
 Words are runs of letters, digits and characters beyond ASCII; A-Z are lowered.
 
 Defined results: a null or empty text has no words and no hits; an empty
 benchmark hits nothing; items without words are ignored; a null item id isn't
 counted among the items, but its windows hit; repeated items count once by id;
-rows of documents with the same id are each judged by their own words; other columns are ignored.
+rows of documents with the same id are each judged by their own words (print is the text's
+hash); a very long text is one row and its words must fit a task; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +41,9 @@ from memengine.llm.common import only, table, written
 WINDOW = 13
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+SALTS = 16
 CONTAMINATED = 20
 
 
@@ -44,10 +51,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), lambda w: w != "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(ws, items): the distinct windows of items (id, text) and the ids of those that hold them."""
     own = items.select("id", words(F.col("text")).alias("all")).where(F.size("all") > 0)
@@ -56,24 +59,44 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return each.groupBy("ws").agg(F.sort_array(F.collect_set("id")).alias("items"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, share: int = CONTAMINATED) -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items, contaminated) for each row of docs; items is the sorted array of item ids."""
+def _salted(df: DataFrame) -> DataFrame:
+    """Each row once for each of the SALTS parts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _spots(texts: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """(id, print, ws, at and a window's key row) wherever a document has a window's key word."""
+    if small:
+        return texts.select("id", "print", "ws", F.posexplode("ws").alias("at", "key")).join(F.broadcast(keys), "key")
+    thin = texts.select("id", "print", F.posexplode("ws").alias("at", "key")).withColumn("salt", _salt("id", "print", "at"))
+    met = thin.join(_salted(keys), ["key", "salt"]).where("at >= place").drop("salt", "key").withColumnsRenamed({"id": "spot_id", "print": "spot_print"}).distinct()
+    return met.join(texts.dropDuplicates(["id", "print"]), F.col("spot_id").eqNullSafe(F.col("id")) & F.col("spot_print").eqNullSafe(F.col("print")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, share: int = CONTAMINATED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id_col, print, n_words, n_hit, n_items, items, contaminated) for each row of docs; items is the sorted array of item ids."""
     wanted = written(windows(only(items, id="item_id", text="text"), size), "windows")
     vocabulary = written(wanted.select(F.explode("ws").alias("w")).distinct(), "vocabulary")
-    n_words, n_windows = vocabulary.count(), wanted.count()
     rows = only(docs, id=id_col, text=text_col)
     # A row's own number keeps rows of the same id apart; the hash of the text makes it the same if a task runs again.
     texts = rows.select("id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("ws"))
 
-    each = texts.select(F.explode("ws").alias("w")).join(_small(vocabulary, n_words), "w", "left_semi")
-    frequency = each.groupBy("w").agg(F.count("*").alias("n"))
-    numbered = wanted.withColumn("window", F.xxhash64("ws"))
-    ranked = numbered.select("window", "ws", "items", F.posexplode("ws").alias("place", "w")).join(frequency, "w", "left")
+    each = texts.select(F.explode("ws").alias("w"))
+    if (vocabulary.agg(F.sum(F.octet_length("w") + 16).alias("n")).first()["n"] or 0) <= broadcast_bytes:
+        frequency = each.join(F.broadcast(vocabulary), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    else:  # counted by the tasks first
+        frequency = each.groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w", "left_semi")
+    ranked = wanted.select("ws", "items", _salt("ws").alias("salt"), F.posexplode("ws").alias("place", "w")).join(_salted(frequency), ["w", "salt"], "left")
     # A window none of whose occurrences is possible (a word that no document has) goes with that word: it matches nothing.
     keys = ranked.groupBy("ws").agg(F.first("items").alias("items"), F.min_by(F.struct("w", "place"), F.struct(F.coalesce("n", F.lit(0)), "w", "place")).alias("rarest"))
     keys = written(keys.select(F.col("rarest.w").alias("key"), F.col("rarest.place").alias("place"), F.size("ws").alias("length"), F.col("ws").alias("window"), "items"), "window_keys")
+    taken = keys.agg(F.sum(F.octet_length(F.array_join("window", " ")) + 16 * F.size("window") + 8 * F.size("items") + 64).alias("n")).first()["n"] or 0
 
-    spots = texts.select("id", "print", "ws", F.posexplode("ws").alias("at", "key")).join(_small(keys, n_windows), "key")
+    spots = _spots(texts, keys, taken <= broadcast_bytes)
     start = F.col("at") - F.col("place")
     inside = (start >= 0) & (start + F.col("length") <= F.size("ws"))
     found = spots.where(inside).where(F.slice("ws", start + 1, F.col("length")) == F.col("window"))
@@ -87,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     counts = texts.select("id", "print", F.size("ws").cast("long").alias("n_words"))
     out = counts.join(hits.withColumnsRenamed({"id": "hit_id", "print": "hit_print"}), F.col("id").eqNullSafe(F.col("hit_id")) & F.col("print").eqNullSafe(F.col("hit_print")), "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.sort_array(F.coalesce("items", F.array().cast(hits.schema["items"].dataType)))})
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "print", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from memengine.llm.common import saved
-from memengine.llm.textops import pieces, utf8
+from memengine.llm.textops import give_back, pieces, utf8
 
 #: Bytes of text in a block; a longer text is a block of its own, so one text must fit a task together with its answers.
 BLOCK_BYTES = 8 << 20
@@ -67,6 +67,8 @@ def pack(df: DataFrame, text: str, name: str, most: int = BLOCK_BYTES) -> DataFr
                 size += n
         if held:
             yield out()
+            held = []
+        give_back()
 
     return saved(df.mapInArrow(run, BLOCK_SCHEMA), name, "block")
 
@@ -79,6 +81,7 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatc
     for batch in batches:
         for number, body in zip(batch.column(batch.schema.names.index("block")).to_pylist(), batch.column(batch.schema.names.index("body")), strict=True):
             yield number, thaw(body.as_py())
+            give_back()
 
 
 def answered(blocks: DataFrame, answers: DataFrame, make: Callable[[pa.RecordBatch, pa.Table], Iterator[pa.RecordBatch] | pa.Table], schema: T.StructType) -> DataFrame:
@@ -87,7 +90,9 @@ def answered(blocks: DataFrame, answers: DataFrame, make: Callable[[pa.RecordBat
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return to_arrow_schema(schema).empty_table()
-        return make(thaw(left.column("body")[0].as_py()), right)
+        out = make(thaw(left.column("body")[0].as_py()), right)
+        give_back()
+        return out
 
     return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

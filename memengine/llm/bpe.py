@@ -39,7 +39,7 @@ KEPT_PIECES = 150_000
 #: And the characters and bytes of them all: texts without spaces are pieces as a whole.
 KEPT_BYTES = 96 << 20
 #: Texts taken together, in characters.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 # White space is spelled out as a property: the tokenizer's \s has none of the ASCII separators 1C to 1F.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 _UNSAFE = regex.compile(r" \p{White_Space}")

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from memengine.llm.blocks import longs
 from memengine.llm.common import integral, only, saved, table, written
 from memengine.llm.components import components
-from memengine.llm.textops import LOWER, Words, grams, mix, pieces, utf8
+from memengine.llm.textops import LOWER, Words, give_back, grams, mix, pieces, utf8
 
 SHINGLE = 5
 PERCENT = 80
@@ -64,7 +64,7 @@ BLOCK = 64
 #: Pairs of one set that one task compares; more are dealt to several.
 PAIRS_A_TASK = 256
 _SALTS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, MINIMA, dtype=np.uint64)
-_FLUSH = 3_000_000
+_FLUSH = 1_500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -113,6 +113,8 @@ def _estimate(docs: DataFrame, k: int) -> np.ndarray:
                 held, size = [], 0
         if held:
             yield out()
+            held = []
+        give_back()
 
     counters = np.zeros(1 << LOG2_COUNTERS, dtype=np.int64)
     for x in docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
@@ -143,6 +145,8 @@ def _bodies(docs: DataFrame, k: int) -> DataFrame:
                 rows = []
         if rows:
             yield out()
+            rows = []
+        give_back()
 
     schema = "id long, set_id long, set_id2 long, n long, body binary, " + ", ".join(f"low{j} long" for j in range(MINIMA))
     return saved(docs.mapInArrow(run, schema), "jaccard_sets", "id")
@@ -198,6 +202,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFra
                 good.append(100 * common >= least * union[-1])
             found = {n: col[n] for n in ("a", "b", "family")} | {"common": pa.array(shared, pa.int64()), "union": pa.array(union, pa.int64())}
             yield pa.RecordBatch.from_pydict({n: c.filter(pa.array(good, pa.bool_())) for n, c in found.items()})
+        kept.clear()
+        changes.clear()
+        give_back()
 
     rows = pairs.join(left, ["a", "part"]).join(right, "b").sortWithinPartitions("b", "family", "a")
     return rows.select("a", "b", "family", "body_a", "body_b").mapInArrow(run, "a long, b long, family long, common long, union long")
@@ -284,6 +291,8 @@ def _candidates(entries: DataFrame) -> DataFrame:
             carry = [x[last:].copy() for x in rows]
         if carry is not None:
             yield from pairs(carry)
+            carry = None
+        give_back()
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "n", "at")
     return ordered.mapInArrow(run, "a long, b long, family long").groupBy("a", "b").agg(F.min("family").alias("family"))
@@ -306,6 +315,7 @@ def _entries(rows: DataFrame, order, k: int) -> DataFrame:
                 out.append((s[rare].view(np.int64), np.full(size, id_), np.full(size, family), np.full(size, len(s)), np.arange(size), np.full(size, loose)))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(("token", "id", "family", "n", "at", "loose"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+        give_back()
 
     return rows.select("id", "family", "loose", "partner", "body").mapInArrow(prefixes, "token long, id long, family long, n long, at long, loose long")
 

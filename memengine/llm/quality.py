@@ -21,8 +21,7 @@ weight, as if ENOUGH texts had these: the same rule at every size, without a jum
 Defined results: null and empty texts have one symbol, the end; they are judged
 like others.  Without any trusted text nothing is rejected.  A null language is
 one of its own.  A row without an id can't be labelled and is judged like
-others; rows with the same id share its label, and each is judged by its text (print is
-the text's hash).  Ids are whole numbers (TypeError otherwise); a very long text is a
+others; rows with the same id share its label, and each is judged by its own text.  Ids are whole numbers (TypeError otherwise); a very long text is a
 block of its own and must fit a task.
 Repeated label rows count once; an id labelled both good and bad isn't trusted.
 """
@@ -102,14 +101,16 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """(id, print, lang, n_symbols, log10_p, n_fresh) of each row of docs; log10_p is that of the whole text, n_fresh counts the symbols whose n-gram is new in its window."""
+    """(id, lang, n_symbols, log10_p, n_fresh, block, place) of each row of docs; log10_p is that of the whole text, n_fresh counts the symbols whose n-gram is new in its window."""
     integral(docs, "doc_id")
-    rows = only(docs, id="doc_id", text="text", lang="lang").withColumn("print", F.xxhash64("text"))
-    blocks = B.pack(rows, "text", "quality_blocks", BLOCK)
+    return _perplexities(B.pack(only(docs, doc_id="doc_id", text="text", lang="lang"), "text", "quality_blocks", BLOCK), docs.schema["doc_id"].dataType, labels, order)
+
+
+def _perplexities(blocks: DataFrame, id_type: T.DataType, labels: DataFrame, order: int) -> DataFrame:
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in B.each(batches):
-            ids, valid = B.longs(block.column(block.schema.names.index("id")))
+            ids, valid = B.longs(block.column(block.schema.names.index("doc_id")))
             yield pa.RecordBatch.from_pydict({"id": ids[valid], "block": np.full(int(valid.sum()), number)})
 
     where = blocks.select("block", "body").mapInArrow(ids_of, "id long, block long").distinct()
@@ -118,7 +119,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     asked_kind = B.to_arrow_schema(asked_schema)
 
     def ask(block: pa.RecordBatch, train: pa.Table) -> pa.Table:
-        ids, valid = B.longs(block.column(block.schema.names.index("id")))
+        ids, valid = B.longs(block.column(block.schema.names.index("doc_id")))
         counts = np.isin(ids, train.column("id").to_numpy()) & valid
         keys, ns = [], []
         for a, b, data, offsets in _block_pieces(block):
@@ -128,6 +129,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
             rest = np.unique(of[~inside])
             keys += [u, rest]
             ns += [n, np.zeros(len(rest))]
+            if len(keys) >= 8:  # few pieces at once
+                u, which = np.unique(np.concatenate(keys), return_inverse=True)
+                keys, ns = [u], [np.bincount(which, weights=np.concatenate(ns), minlength=len(u))]
         u, which = np.unique(np.concatenate(keys), return_inverse=True)
         number = train.column("block")[0].as_py() if train.num_rows else -1
         return pa.Table.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), number)), pa.array(np.bincount(which, weights=np.concatenate(ns), minlength=len(u)).astype(np.int64))], schema=asked_kind)
@@ -138,7 +142,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     asked = B.answered(blocks, named.select("block", F.coalesce("id", F.lit(-(2**63))).alias("id")), ask, asked_schema)
     values = kneser_ney(written(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts"), order)
     answers = asked.select("key", "block").join(values, "key").select("block", "key", F.col("value").cast("float").alias("value"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType()), T.StructField("n_fresh", T.LongType())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("lang", T.StringType()), T.StructField("n_symbols", T.LongType()), T.StructField("log10_p", T.DoubleType()), *[T.StructField(n, T.LongType()) for n in ("n_fresh", "block", "place")]])
     kind = B.to_arrow_schema(schema)
 
     def judge(block: pa.RecordBatch, got: pa.Table) -> pa.Table:
@@ -151,7 +155,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
             size.append(np.diff(begins))
             total.append(np.add.reduceat(value[np.searchsorted(keys, of)], begins[:-1]))
             fresh.append(fresh_counts(of, begins))
-        columns = [*(block.column(block.schema.names.index(c)) for c in ("id", "print", "lang")), np.concatenate(size), np.concatenate(total), np.concatenate(fresh)]
+        # Every text has an end, so every block has answers.
+        where = [np.full(block.num_rows, got.column("block")[0].as_py()), np.arange(block.num_rows)]
+        columns = [*(block.column(block.schema.names.index(c)) for c in ("doc_id", "lang")), np.concatenate(size), np.concatenate(total), np.concatenate(fresh), *where]
         return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
     return B.answered(blocks, answers, judge, schema)
@@ -178,13 +184,33 @@ def _with(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = UPPER, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
-    """(doc_id, lang, perplexity, shrunk, threshold, fresh, least_fresh, keep, print) for each row of docs.
+    """(doc_id, lang, perplexity, shrunk, threshold, fresh, least_fresh, keep) for each row of docs.
 
     shrunk is the perplexity after `prior` more symbols of the language's median
     bits, so that a few odd symbols don't condemn a short text; it is rejected
     above threshold.  fresh is the share of new n-grams, with as many more symbols
     of the language's median share; a text is rejected below least_fresh."""
-    found = perplexities(docs, labels, order).withColumns({"bits": -F.col("log10_p") / F.col("n_symbols") / F.log10(F.lit(2.0)), "fresh": F.col("n_fresh") / F.col("n_symbols")})
+    return _judged(perplexities(docs, labels, order), labels, quantile, margin, prior).drop("block", "place")
+
+
+def kept(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = UPPER, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
+    """The rows of docs that classify keeps, with all their columns.  They come out of the blocks that were scored, so only decisions move."""
+    integral(docs, "doc_id")
+    blocks = B.pack(docs, "text", "quality_blocks", BLOCK)
+    judged = _judged(_perplexities(blocks, docs.schema["doc_id"].dataType, labels, order), labels, quantile, margin, prior)
+    rejected = written(judged.where("NOT keep").select("block", "place"), "rejected")
+    kind = B.to_arrow_schema(docs.schema)
+
+    def cut(block: pa.RecordBatch, out: pa.Table) -> pa.Table:
+        keep = np.ones(block.num_rows, dtype=bool)
+        keep[out.column("place").to_numpy()] = False
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(block.columns, kind, strict=True)], schema=kind).filter(pa.array(keep))
+
+    return B.answered(blocks, rejected, cut, docs.schema)
+
+
+def _judged(found: DataFrame, labels: DataFrame, quantile: float, margin: float, prior: int) -> DataFrame:
+    found = found.withColumns({"bits": -F.col("log10_p") / F.col("n_symbols") / F.log10(F.lit(2.0)), "fresh": F.col("n_fresh") / F.col("n_symbols")})
     found = written(found, "perplexities")
     known = trusted(labels).where("NOT counted")
     medians = written(_by_language(found.join(known, "id"), {"median": ("bits", 0.5), "median_fresh": ("fresh", 0.5)}), "medians")
@@ -196,7 +222,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     two = F.lit(2.0)
     return out.select(
         F.col("id").alias("doc_id"), "lang", F.pow(two, "bits").alias("perplexity"), F.pow(two, "bits_shrunk").alias("shrunk"), F.pow(two, "limit").alias("threshold"), F.col("fresh_shrunk").alias("fresh"), F.col("least").alias("least_fresh"),
-        F.coalesce((F.col("bits_shrunk") <= F.col("limit")) & (F.col("fresh_shrunk") >= F.col("least")), F.lit(True)).alias("keep"), "print",
+        F.coalesce((F.col("bits_shrunk") <= F.col("limit")) & (F.col("fresh_shrunk") >= F.col("least")), F.lit(True)).alias("keep"), "block", "place",
     )
 
 

@@ -9,6 +9,7 @@ import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from memengine.llm import bpe, decontamination, jaccard_join, ppm, quality, substring_dedup, warc, winnowing
@@ -38,6 +39,33 @@ def test_jaccard_join_at_its_bound(spark):
     assert got == brute.classes(table)
 
 
+def random_families(seed: int):
+    """Families around random texts, with chains from near to far: many pairs lie right at the bounds."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    out = []
+    for c in range(6):
+        base = [f"c{c}w{i}" for i in range(120)] + [f"s{i}" for i in range(40)]
+        for _ in range(12):
+            own = list(base)
+            for i in rng.choice(len(own), int(rng.integers(0, 5)), replace=False).tolist():
+                own[i] = f"x{rng.integers(0, 3)}"
+            for i in range(int(rng.integers(0, 3))):
+                own = own[: len(own) - int(rng.integers(0, 12))] if i else own[int(rng.integers(0, 9)) :]
+            out.append(" ".join(own))
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize(("seed", "radius", "block"), [(1, 5, 64), (2, 5, 4), (3, 12, 4), (4, 0, 2)])
+def test_jaccard_join_derives_answers(spark, monkeypatch, seed, radius, block):
+    """Sets that leave the search to others, lists by blocks, and families that search again lose no link."""
+    monkeypatch.setattr(jaccard_join, "RADIUS", radius)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_TASK", 3)
+    table = random_families(seed)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_classes(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == brute.classes(table)
+
+
 def test_substring_dedup(docs, rows, empty):
     got = substring_dedup.dedup_substrings(docs).collect()
     want = brute.deduplicated(rows)
@@ -99,7 +127,7 @@ def test_bpe_is_the_library(docs, rows, empty):
 def test_bpe_of_odd_texts(text):
     from tokenizers import Tokenizer
 
-    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.encoder(bpe.default_path())
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.encoder(bpe.read(bpe.default_path()))
     (ids,) = own.encode([text])
     assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == lib.encode(text, add_special_tokens=False).ids
     assert own.decode(ids) == text
@@ -127,6 +155,26 @@ def test_ppm(docs, rows, empty):
     assert ppm.score(empty.withColumn("held_out", F.lit(True))).collect() == []
 
 
+def test_ppm_of_many_blocks(spark, docs, monkeypatch):
+    """Blocks, and the way that common words take, change nothing."""
+    some = docs.where("doc_id NOT IN (13, 23)").withColumn("held_out", held("doc_id", 7, 2))
+    want = by_row([tuple(r) for r in ppm.score(some, order=2).collect()])
+    monkeypatch.setattr(ppm, "BLOCK", 300)
+    monkeypatch.setattr(ppm, "MANY_BLOCKS", 4)
+    got = by_row([tuple(r) for r in ppm.score(some, order=2).collect()])
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
+
+
+def test_bpe_forgets_pieces(monkeypatch):
+    """What a worker keeps is bounded, also by bytes; ids stay right."""
+    own = bpe.encoder(bpe.read(bpe.default_path()))
+    want = own.encode(["alpha beta", "x" * 400])
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 100)
+    assert own.encode(["alpha beta", "y" * 300]) [0] == want[0] and own.encode(["alpha beta", "x" * 400]) == want
+    assert own.kept < 5000
+
+
 def test_kneser_ney(spark, docs, rows, empty):
     order = 2
     some = docs.where("doc_id IS NULL OR doc_id NOT IN (13, 23)")
@@ -143,23 +191,53 @@ def test_kneser_ney(spark, docs, rows, empty):
     assert quality.classify(empty, labels).collect() == []
 
 
-def test_winnowing_of_hashes(docs, rows, empty):
-    """Marks are the least hash of each window of four, of equal ones the rightmost, with its place."""
-    coded = winnowing.fingerprints(docs).select("doc_id", "text", "marks", "fingerprint").withColumn("codes", winnowing._codes(F.col("text")))
-    found = coded.withColumn("hashes", winnowing._grams(F.col("codes"), winnowing.K)).collect()
+def plain_tokens(text):
+    return [w[i : i + 8] for w in brute.words((text or "").lower()) for i in range(max(1, len(w) - 7))]
+
+
+def plain_marks(text, k=winnowing.K, w=winnowing.W):
+    """(hash, position) by a rolling update, one place after the other, and the rightmost least of each window."""
+    codes = [(x - (x >> 63 << 64)) % winnowing.PRIME for t in plain_tokens(text) for x in [xxhash.xxh64(t.encode(), seed=42).intdigest()]]
+    hashes, h = [], 0
+    for i, c in enumerate(codes):
+        h = (h * winnowing.BASE + c) % winnowing.PRIME
+        if i >= k:
+            h = (h - codes[i - k] * pow(winnowing.BASE, k, winnowing.PRIME)) % winnowing.PRIME
+        if i >= k - 1 or i == len(codes) - 1:
+            hashes.append(h)
+    out = []
+    for a in range(max(1, len(hashes) - w + 1)) if hashes else ():
+        place = min(range(a, min(a + w, len(hashes))), key=lambda i: (hashes[i], -i))
+        if (hashes[place], place) not in out[-1:]:
+            out.append((hashes[place], place))
+    return out
+
+
+@pytest.mark.parametrize(("k", "w"), [(winnowing.K, winnowing.W), (6, 2), (3, 8), (1, 4)])
+def test_winnowing_of_hashes(docs, rows, empty, k, w):
+    found = winnowing.fingerprints(docs, k=k, w=w).select("doc_id", "text", "marks", "fingerprint").collect()
     assert len(found) == len(rows)
     prints: dict = {}
     for r in found:
-        h, want = r["hashes"], []
-        for a in range(max(1, len(h) - winnowing.W + 1)) if h else ():
-            place = min(range(a, min(a + winnowing.W, len(h))), key=lambda i: (h[i], -i))
-            if (h[place], place) not in want[-1:]:
-                want.append((h[place], place))
-        assert [tuple(m) for m in r["marks"]] == want
+        assert [tuple(m) for m in r["marks"]] == plain_marks(r["text"], k, w)
         assert prints.setdefault(r["text"] or "", r["fingerprint"]) == r["fingerprint"]
     assert winnowing.fingerprints(empty).collect() == []
 
 
+def test_winnowing_ties_go_right(spark):
+    """Equal tokens give equal hashes: each window's mark is its last place."""
+    (r,) = winnowing.fingerprints(spark.createDataFrame([("same " * 12,)], "text string")).collect()
+    assert [m["position"] for m in r["marks"]] == [3, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("ids", [[5], [3, 9, -4, 10**15, 10**15 + 1, 10**15 + 2], list(range(50))])
+def test_successors(spark, monkeypatch, ids):
+    monkeypatch.setattr(winnowing, "RANGE_IDS", 4)
+    got = {r["id"]: r["next"] for r in winnowing.successors(spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "id long")).collect()}
+    order = sorted(ids, reverse=True)
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_winnowing_guarantee(spark):
     """Texts that share k + w - 1 tokens share a mark."""
     passage = " ".join(f"tok{i}" for i in range(winnowing.K + winnowing.W - 1))
@@ -176,8 +254,8 @@ def test_winnowing_unspaced(spark):
     prints = [{m["hash"] for m in r["marks"]} for r in found]
     assert all(prints[0] & other for other in prints)
     text = "abc exactly8 ninechars \U0001F600abcdefgh i"
-    r = spark.createDataFrame([(text,)], "text string").select(F.regexp_extract_all("text", F.lit(winnowing.TOKEN), F.lit(1)).alias("t")).first()
-    assert r["t"] == [w[i : i + 8] for w in text.split() for i in range(max(1, len(w) - 7))]
+    (r,) = winnowing.fingerprints(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [tuple(m) for m in r["marks"]] == plain_marks(text)
 
 
 def test_winnowing_query(docs, rows, empty):
@@ -197,6 +275,10 @@ def test_winnowing_query(docs, rows, empty):
     for r in got:
         a, b = set(r["fingerprint"].split()), set(r["edited_fingerprint"].split())
         assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        if r["doc_id"] not in (None, 16):  # two rows
+            own, far = ({h for h, _ in plain_marks(t)} for t in (texts[r["doc_id"]], texts[after[r["doc_id"]]]))
+            assert r["near_next"] == pytest.approx(len(own & far) / len(own | far) if own | far else 1.0)
+            assert r["positions"] == [i for _, i in plain_marks(texts[r["doc_id"]])]
     assert winnowing.compared(empty).collect() == []
 
 
@@ -210,7 +292,7 @@ def test_warc(spark, tmp_path, split):
     pages = [(1, "http://a/1", "same é"), (2, "http://a/2\nx", "same é"), (3, None, None), (4, "u", ""), (5, "u", f"<p>{fake}{fake}</p>"), (6, "u", fake), (7, "u", "WARC/1.1\r\n"), (8, "u", "x" * 4000 + fake), (9, "u", f"<p>{fake}{fake}</p>"), (None, "u", "nameless"), (10, "u", "\r\n\r\n\r\n\r\n"), (10, "u", "\r\n\r\n\r\n\r\n")]
     table = spark.createDataFrame([(*p, "k", 5) for p in pages], "page_id long, url string, html string, file string, digest long").repartition(2)
     folder = str(tmp_path / "w")
-    warc.write_warc(table, folder)
+    warc.write_warc(table, folder, broadcast_bytes=0 if split == "700b" else warc.BROADCAST_BYTES)
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:

@@ -2,36 +2,70 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame.  run() writes every stage's result as Parquet in the shared
-folder and rereads it for the next.
+folder and rereads it for the next.  When a stage begins, its predecessor's result
+has been written, so the intermediate tables of earlier stages are deleted then.
+
+A row is judged by its own text, so rows without an id and rows that share one are
+filtered like others.  Of a group
+of near duplicates one row stays, also where rows lack an id or repeat.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memengine.llm.bpe import encode
-from memengine.llm.common import table, written
+from memengine.llm.common import clear, forget, noted, table, written
 from memengine.llm.decontamination import contamination
 from memengine.llm.jaccard_join import similarity_classes
-from memengine.llm.quality import classify
+from memengine.llm.quality import kept as kept_by_quality
 from memengine.llm.substring_dedup import dedup_substrings
 
+#: Intermediate tables of the stages that ran so far.
+_MADE: list[tuple[str, str]] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(spark, _MADE)
+        with noted() as own:
+            out = f(spark, docs, sf_dir)
+        _MADE.extend(own)
+        return out
 
+    return run_stage
+
+
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    out = written(classify(docs, table(spark, sf_dir, "labels")).where("NOT keep").select("doc_id").distinct(), "rejected")
-    return docs.join(out, "doc_id", "left_anti")
+    return kept_by_quality(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that with the smallest id; documents without words stay.
 
-    Only the copies' ids take part in the join with the texts."""
-    copies = written(similarity_classes(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti")
-
-
+    Only the copies' ids take part in the join with the texts.  Where ids are
+    missing or repeat, rows are numbered (in a written table, so that the numbers
+    stay) and each is a document of its own."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        copies = written(similarity_classes(docs).where("component_id <> doc_id").select("doc_id"), "copies")
+        return docs.join(copies, "doc_id", "left_anti")
+    rows = written(docs.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
+    classes = similarity_classes(rows, id_col="row_number").where("n_shingles > 0").join(rows.select("row_number", "doc_id"), "row_number")
+    classes = written(classes.select("row_number", "component_id", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_number").alias("place")), "row_classes")
+    first = classes.groupBy("component_id").agg(F.min("place").alias("place"))
+    copies = classes.join(first.select("component_id", F.col("place.row_number").alias("kept")), "component_id").where("row_number <> kept").select("row_number")
+    return rows.join(written(copies, "copies"), "row_number", "left_anti").select(docs.columns)
+
+
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that an earlier document has in the same 13; n_chars is that of the text kept."""
     kept = dedup_substrings(docs)
@@ -41,12 +75,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(docs.columns)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by an item of the benchmark."""
-    out = written(contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(out, "doc_id", "left_anti")
+    """Documents that aren't contaminated by an item of the benchmark; a row is known by its id and its text's hash."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    out = written(found.select(F.col("doc_id").alias("out_id"), F.col("print").alias("out_print")).distinct(), "contaminated")
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["out_id"]) & F.xxhash64(docs["text"]).eqNullSafe(out["out_print"]), "left_anti")
 
 
+@_stage
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids (little-endian unsigned 32-bit), their number, and the text that they decode to."""
     out = encode(docs)
@@ -68,5 +105,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)
+    clear(spark, _MADE)
     return docs

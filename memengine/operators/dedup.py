@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memengine.functions.scalars import dot, unit
+from memengine.functions.scalars import unit
+
+
+#: Vectors in a block; two blocks are compared by one matrix product.
+BLOCK_ROWS = 1024
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(agent_id, a, b, similarity), a < b, within an agent, at or above the threshold: an equi-join on the agent with vectors normalised once."""
-    left = vectors.select("agent_id", F.col("id").alias("a"), unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
-    right = left.select("agent_id", F.col("a").alias("b"), F.col("u").alias("v"))
-    return left.join(right, "agent_id").where("a < b").withColumn("similarity", dot(F.col("u"), F.col("v"))).where(F.col("similarity") >= threshold).select("agent_id", "a", "b", "similarity")
+    """(agent_id, a, b, similarity), a < b, within an agent, at or above the threshold (above -1).
+
+    Vectors of an agent are dealt to cells by their angle to a fixed direction; the angles of two vectors that are
+    similar enough differ by no more than the threshold's own angle, so only cells of that width side by side are
+    compared.  Cells are cut into blocks of about BLOCK_ROWS rows by the id's hash, and two blocks are one matrix product."""
+    rows = vectors.select("agent_id", "id", unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
+    width = math.acos(threshold) + 1e-9
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("u")))))
+    rows = rows.withColumn("cell", F.floor(angle / width))
+    sizes = rows.groupBy("agent_id", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    rows = rows.join(sizes, ["agent_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = rows.groupBy("agent_id", "cell", "part").agg(F.collect_list(F.struct("id", "u")).alias("rows"))
+    left = blocks.select("agent_id", "cell", "part", F.col("rows").alias("x"))
+    right = blocks.select("agent_id", F.col("cell").alias("cell_y"), F.col("part").alias("part_y"), F.col("rows").alias("y"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
+    met = left.join(right, ["agent_id", "cell"]).where("cell_y > cell OR part_y >= part")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for agent, same, x, y in zip(*[batch.column(batch.schema.names.index(c)) for c in ("agent_id", "same", "x", "y")], strict=True):
+                (ids, u), (others, v) = ((np.array([r["id"] for r in rows]), np.array([r["u"] for r in rows])) for rows in (x.as_py(), y.as_py()))
+                if u.shape[1:] != v.shape[1:]:
+                    continue
+                product = u @ v.T
+                i, j = np.nonzero(product >= threshold)
+                keep = ids[i] < others[j] if same.as_py() else ids[i] != others[j]
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_pydict({"agent_id": pa.array([agent.as_py()] * len(i), batch.schema.field("agent_id").type), "a": np.minimum(ids[i], others[j]), "b": np.maximum(ids[i], others[j]), "similarity": product[i, j]})
+
+    kind = vectors.schema["agent_id"].dataType.simpleString()
+    return met.select("agent_id", "x", "y", ((F.col("cell") == F.col("cell_y")) & (F.col("part") == F.col("part_y"))).alias("same")).mapInArrow(compare, f"agent_id {kind}, a long, b long, similarity double")
 
 
 def labelled(pairs: DataFrame, duplicate: float = 0.92, related: float = 0.85) -> DataFrame:
@@ -21,11 +56,10 @@ def labelled(pairs: DataFrame, duplicate: float = 0.92, related: float = 0.85) -
 
 
 def knn_edges(vectors: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) for each row's k nearest of the same agent, kept once as a < b."""
-    left = vectors.select("agent_id", F.col("id").alias("a"), unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
-    right = left.select("agent_id", F.col("a").alias("b"), F.col("u").alias("v"))
-    near = left.join(right, "agent_id").where("a <> b").select("a", "b", dot(F.col("u"), F.col("v")).alias("similarity"))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where((F.col("r") <= k) & (F.col("similarity") >= threshold))
+    """(a, b, similarity) for each row's k nearest of the same agent at or above the threshold, kept as a < b: those are the nearest pairs of all."""
+    pairs = similar_pairs(vectors, threshold)
+    both = pairs.select("a", "b", "similarity").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("r") <= k)
     return ranked.where("a < b").select("a", "b", "similarity")
 
 
@@ -36,14 +70,18 @@ def centroids(vectors: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def merged(pairs: DataFrame, memories: DataFrame) -> DataFrame:
-    """For each pair the winner (higher importance, then smaller id) and the merged values."""
-    a, b = memories.alias("x"), memories.alias("y")
-    both = pairs.join(a, F.col("a") == F.col("x.id")).join(b, F.col("b") == F.col("y.id"))
-    first = (F.col("x.importance") > F.col("y.importance")) | ((F.col("x.importance") == F.col("y.importance")) & (F.col("a") < F.col("b")))
+    """For each pair the winner (no lower confidence; the first of equals), and the merged headline, context, importance and confidence."""
+    both = pairs.join(memories.alias("x"), F.col("a") == F.col("x.id")).join(memories.alias("y"), F.col("b") == F.col("y.id"))
+    first = F.coalesce("x.confidence", F.lit(0.5)) >= F.coalesce("y.confidence", F.lit(0.5))
+    won, lost = (lambda c: F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))), (lambda c: F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    value = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0.5))
+    head, other = F.coalesce(won("headline"), F.lit("")), F.coalesce(lost("headline"), F.lit(""))
+    text, more = F.coalesce(won("context"), F.lit("")), F.coalesce(lost("context"), F.lit(""))
     return both.select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"),
         F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"),
-        F.greatest("x.importance", "y.importance").alias("importance"),
-        (F.col("x.access_count") + F.col("y.access_count")).alias("access_count"),
-        F.least(F.lit(0.99), F.greatest("x.importance", "y.importance") + 0.05).alias("confidence"),
+        F.when((head != other) & (F.coalesce(lost("importance"), F.lit(0.0)) >= 0.6), F.concat(head, F.lit(" (also: "), other, F.lit(")"))).otherwise(head).alias("headline"),
+        F.when(text == "", more).when((more == "") | (text == more), text).otherwise(F.concat(text, F.lit("\n---\n"), more)).alias("context"),
+        F.greatest(value("x", "importance"), value("y", "importance")).alias("importance"),
+        F.least(F.lit(0.99), (value("x", "confidence") + value("y", "confidence")) / 2 + 0.1).alias("confidence"),
     )

@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memengine.functions.scalars import age_days
+#: Fixed values of the memory model: daily decay by type, and factors by temporal type.
+DECAY = {"preference": 0.001, "correction": 0.001, "relationship": 0.002, "decision": 0.005, "fact": 0.02, "task": 0.03}
+OTHER_DECAY, LEAST_RELEVANCE = 0.01, 0.01
+TEMPORAL = {"permanent": 0.0, "event": 1.5}
+#: State machines: allowed moves of sources and of syntheses.
+MOVES = (("active", "modified"), ("active", "redacted"), ("modified", "active"), ("modified", "redacted"), ("pending_resynthesis", "active"), ("pending_resynthesis", "redacted"), ("pending_resynthesis", "modified"))
+SYNTHESIS_MOVES = (
+    ("valid", "pending_review"), ("valid", "invalidated"), ("valid", "resynthesized"), ("valid", "pending_resynthesis"), ("pending_review", "valid"), ("pending_review", "invalidated"), ("pending_review", "resynthesized"),
+    ("pending_resynthesis", "resynthesized"), ("invalidated", "resynthesized"),
+)
 
-#: Fixed values of the memory model: daily decay by type.
-DECAY = {"identity": 0.001, "preference": 0.005, "decision": 0.01, "fact": 0.02}
-OTHER_DECAY = 0.03
-#: State machine of redaction: allowed moves.
-MOVES = (("active", "modified"), ("active", "redacted"), ("modified", "active"), ("modified", "redacted"), ("redacted", "pending_resynthesis"), ("pending_resynthesis", "active"))
 
+def choose(c: Column, values: dict, otherwise) -> Column:
+    out = F.lit(otherwise)
+    for key, value in values.items():
+        out = F.when(c == key, value).otherwise(out)
+    return out
 
-def decayed(memories: DataFrame, as_of: str) -> DataFrame:
-    """(id, relevance): importance after exponential decay by type; pinned memories keep theirs."""
-    rate: Column = F.lit(OTHER_DECAY)
-    for kind, r in DECAY.items():
-        rate = F.when(F.col("memory_type") == kind, r).otherwise(rate)
-    value = F.col("importance") * F.exp(-rate * age_days(F.col("created_at"), as_of))
-    return memories.select("id", F.when(F.col("is_pinned"), F.col("importance")).otherwise(value).alias("relevance"))
+
+def decayed(memories: DataFrame) -> DataFrame:
+    """(id, relevance): a day's decay by type and temporal type, not below the least; identities and rows at the least are left out."""
+    step = choose(F.col("memory_type"), DECAY, OTHER_DECAY) * choose(F.col("temporal_type"), TEMPORAL, 1.0)
+    rows = memories.where((F.col("relevance_score") > LEAST_RELEVANCE) & (F.col("memory_type") != "identity"))
+    return rows.select("id", F.greatest(F.lit(LEAST_RELEVANCE), F.col("relevance_score") - step).alias("relevance"))
 
 
 def upserted_strength(mentions: DataFrame, keys: list[str], first: float = 0.5, step: float = 0.1) -> DataFrame:
@@ -29,10 +37,11 @@ def upserted_strength(mentions: DataFrame, keys: list[str], first: float = 0.5,
 
 
 def feedback_importance(feedback: DataFrame) -> DataFrame:
-    """(id, importance): used +0.05, ignored -0.02, contradicted -0.1, in order, held in [0, 1] after each."""
-    delta = F.when(F.col("kind") == "used", 0.05).when(F.col("kind") == "ignored", -0.02).when(F.col("kind") == "contradicted", -0.1).otherwise(0.0)
-    steps = F.array_sort(F.collect_list(F.struct("seq", delta.alias("d"))))
-    fold = F.aggregate(steps, F.lit(0.5), lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s + x["d"])))
+    """(id, importance, n): recalls in order: used +0.05 up to 1, ignored -0.02 down to 0.05.
+
+    The bounds depend on the order, so an id's recalls are folded by one task."""
+    steps = F.array_sort(F.collect_list(F.struct("seq", "used")))
+    fold = F.aggregate(steps, F.lit(0.5), lambda s, x: F.when(x["used"], F.least(F.lit(1.0), s + 0.05)).otherwise(F.greatest(F.lit(0.05), s - 0.02)))
     return feedback.groupBy("id").agg(F.round(fold, 6).alias("importance"), F.count("*").alias("n"))
 
 
@@ -42,12 +51,12 @@ def versions(changes: DataFrame) -> DataFrame:
     return changes.select("id", "seq", F.row_number().over(w).alias("version"), F.lead("seq").over(w).isNull().alias("is_latest"))
 
 
-def illegal_moves(log: DataFrame) -> DataFrame:
-    """(id, seq, was, state) where a state follows another that doesn't lead to it; the first must be active."""
+def illegal_moves(log: DataFrame, moves: tuple = MOVES, first: str = "active") -> DataFrame:
+    """(id, seq, was, state) where a state follows another that doesn't lead to it; before the first stands `first`."""
     w = Window.partitionBy("id").orderBy("seq")
-    x = log.withColumn("was", F.coalesce(F.lag("state").over(w), F.lit("active")))
+    x = log.withColumn("was", F.coalesce(F.lag("state").over(w), F.lit(first)))
     allowed = F.lit(False)
-    for a, b in MOVES:
+    for a, b in moves:
         allowed = allowed | ((F.col("was") == a) & (F.col("state") == b))
     return x.where(~allowed & (F.col("was") != F.col("state"))).select("id", "seq", "was", "state")
 

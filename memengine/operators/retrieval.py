@@ -14,11 +14,15 @@ WEIGHTS = {"similarity": 0.35, "recency": 0.4, "importance": 0.15, "access": 0.1
 TYPE_MULTIPLIERS = {"identity": 1.15, "correction": 1.25, "preference": 1.15, "synthesis": 1.15}
 
 
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(id, agent_id, similarity) of every row that has a vector: a projection, nothing moves."""
+    q = unit(F.array(*[F.lit(float(x)) for x in query]))
+    return vectors.where(F.col("embedding").isNotNull()).select("id", "agent_id", F.coalesce(dot(unit(F.col("embedding")), q), F.lit(0.0)).alias("similarity"))
+
+
 def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The k most similar rows: each task keeps its own k best, so one small merge is all that moves."""
-    q = unit(F.array(*[F.lit(float(x)) for x in query]))
-    sim = F.coalesce(dot(unit(F.col("embedding")), q), F.lit(0.0))
-    return vectors.where(F.col("embedding").isNotNull()).select("id", "agent_id", sim.alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+    return scored(vectors, query).orderBy(F.desc("similarity"), "id").limit(k)
 
 
 def topk_by(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -29,8 +33,8 @@ def topk_by(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
 def hybrid_candidates(scored: DataFrame, keyword: Column, k_vector: int = 200, k_other: int = 50) -> DataFrame:
     """Vector hits, then important memories and keyword hits that aren't hits yet; each with its strategy.
 
-    scored has id, similarity, importance.  One pass ranks all three; a row takes the first strategy that has it."""
-    by_sim = scored.orderBy(F.desc("similarity"), "id").limit(k_vector).select("id", "similarity", F.lit("vector").alias("strategy"))
+    scored has id, similarity (null without a vector), importance.  A row takes the first strategy that has it; each is a top-k of its own."""
+    by_sim = scored.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k_vector).select("id", "similarity", F.lit("vector").alias("strategy"))
     rest = scored.join(F.broadcast(by_sim.select("id")), "id", "left_anti")
     important = rest.where("importance > 0.8").orderBy(F.desc("importance"), "id").limit(k_other).select("id", F.lit(0.5).alias("similarity"), F.lit("importance").alias("strategy"))
     left = rest.join(F.broadcast(important.select("id")), "id", "left_anti")
@@ -44,7 +48,7 @@ def composite_score(df: DataFrame, as_of: str, half_life_days: float = 3.0, type
     age = age_days(F.col("created_at"), as_of)
     importance = F.least(F.lit(1.0), F.col("importance") * (1 + 0.1 * F.least(F.col("reinforcement_count"), F.lit(5))))
     access = F.least(F.col("access_count") / 10.0, F.lit(1.0))
-    score = w["similarity"] * F.col("similarity") + w["recency"] * recency(age, half_life_days) + w["importance"] * importance + w["access"] * access
+    score = w["similarity"] * F.coalesce("similarity", F.lit(0.0)) + w["recency"] * recency(age, half_life_days) + w["importance"] * importance + w["access"] * access
     factor = F.lit(1.0)
     if typed:
         for kind, m in TYPE_MULTIPLIERS.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,19 @@ def usage_by_endpoint(usage: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(usage: DataFrame, value: str = "response_time_ms", ranks: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles for each endpoint, linearly interpolated."""
-    return usage.groupBy("endpoint").agg(*[F.round(F.percentile(value, F.lit(r)), 6).alias(f"p{round(r * 100)}") for r in ranks])
+def percentiles(usage: DataFrame, value: str = "response_time_ms", ranks: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
+    """Calls, extremes, mean, error rate, median and nearest-rank percentiles of each endpoint.
+
+    Equal values are counted first; a running count over an endpoint's distinct values finds each rank."""
+    counts = usage.groupBy("endpoint", F.col(value).alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("status_code") >= 500).alias("e"))
+    own = Window.partitionBy("endpoint")
+    cum = counts.withColumns({"upto": F.sum("c").over(own.orderBy("v")), "n": F.sum("c").over(own)})
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    n = F.col("n")
+    found = [at(F.least(F.floor(n * F.lit(r)), n - 1)).alias(f"p{round(r * 100)}") for r in ranks]
+    median = F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 6).alias("p50")
+    calls = F.sum("c").alias("calls")
+    return cum.groupBy("endpoint").agg(calls, F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.round(F.sum("e") / F.sum("c"), 6).alias("error_rate"), median, *found)
 
 
 def rollup(usage: DataFrame) -> DataFrame:
@@ -38,11 +48,30 @@ def rollup(usage: DataFrame) -> DataFrame:
 
 
 def rolling_zscores(usage: DataFrame, window_seconds: int = 3600, least: int = 5) -> DataFrame:
-    """(event_id, z): each call's deviation from the same tenant and endpoint's calls in the time before it."""
-    seconds = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    before = Window.partitionBy("tenant_id", "endpoint").orderBy("s").rangeBetween(-window_seconds, -1)
-    x = usage.withColumn("s", seconds).withColumns({"n": F.count("*").over(before), "m": F.avg("response_time_ms").over(before), "sd": F.stddev_pop("response_time_ms").over(before)})
-    return x.where((F.col("n") >= least) & (F.col("sd") > 0)).select("event_id", ((F.col("response_time_ms") - F.col("m")) / F.col("sd")).alias("z"))
+    """(event_id, endpoint, value, mean, sd, z): each call's deviation from the endpoint's calls of the window that ends with it (sample deviation).
+
+    A call is dealt to its own stretch of time and, as context, to the next one; so a stretch, not an endpoint's history, is one group."""
+    width = window_seconds * 1_000_000
+    x = usage.withColumn("s", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("own", F.floor(F.col("s") / width))
+    x = x.select("event_id", "endpoint", F.col("response_time_ms").alias("value"), "s", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("stretch"))
+    w = Window.partitionBy("endpoint", "stretch").orderBy("s").rangeBetween(-(width - 1), 0)
+    x = x.withColumns({"n": F.count("*").over(w), "mean": F.avg("value").over(w), "sd": F.stddev_samp("value").over(w)})
+    return x.where((F.col("stretch") == F.col("own")) & (F.col("n") >= least) & (F.col("sd") > 0)).select("event_id", "endpoint", "value", "mean", "sd", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+
+
+#: Deviations from which each kind of metric is an anomaly, and multiples of them by severity.
+SENSITIVITY = {"error_rate": 2.0, "latency": 2.5, "usage": 3.0}
+SEVERE = (("critical", 2.5), ("high", 1.5))
+
+
+def anomalies(scores: DataFrame, category: str = "latency") -> DataFrame:
+    """(event_id, endpoint, type, severity, z) of those beyond the category's sensitivity."""
+    limit, size = SENSITIVITY[category], F.abs("z")
+    severity = F.lit("medium")
+    for name, times in reversed(SEVERE):
+        severity = F.when(size > limit * times, name).otherwise(severity)
+    kind = F.when(F.col("z") > 0, f"{category}_spike").otherwise(f"{category}_drop")
+    return scores.where(size > limit).select("event_id", "endpoint", kind.alias("type"), severity.alias("severity"), "z")
 
 
 def rate_limited(usage: DataFrame, window_seconds: int = 60, limit: int = 2) -> DataFrame:
@@ -51,10 +80,19 @@ def rate_limited(usage: DataFrame, window_seconds: int = 60, limit: int = 2) ->
     return usage.withColumn("s", F.unix_seconds(F.col("created_at").cast("timestamp"))).withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > limit).select("event_id", "in_window")
 
 
-def error_groups(usage: DataFrame) -> DataFrame:
-    """Errors grouped by a fingerprint of tenant and endpoint: first and last seen, count, users."""
-    own = usage.where("status_code >= 500").withColumn("hash", F.substring(F.sha2(F.concat_ws(":", F.col("endpoint"), F.col("tenant_id").cast("string")).cast("binary"), 256), 1, 16))
-    return own.groupBy("hash").agg(F.count("*").alias("occurrences"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.count_distinct("user_id").alias("users"))
+def fingerprint(error_type: Column, traceback: Column, endpoint: Column) -> Column:
+    """16 hex digits for errors alike: type, endpoint and the telling lines of the traceback without line numbers and digits."""
+    telling = F.filter(F.split(traceback, "\n"), lambda line: line.contains("File") | line.contains("Error") | line.contains("Exception"))
+    lines = F.transform(telling, lambda line: F.substring_index(line, ", line ", 1))
+    return F.substring(F.sha2(F.concat(error_type, F.lit(":"), endpoint, F.lit(":"), F.regexp_replace(F.array_join(lines, ""), "[0-9]", "")).cast("binary"), 256), 1, 16)
+
+
+def error_groups(errors: DataFrame) -> DataFrame:
+    """Errors by fingerprint: first and last seen, count, and the tenants in the order in which they met it."""
+    own = errors.withColumn("hash", fingerprint(F.col("error_type"), F.col("traceback"), F.col("endpoint")))
+    by_tenant = own.groupBy("hash", "tenant_id").agg(F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    order = F.array_sort(F.collect_list(F.struct("first", "tenant_id")))
+    return by_tenant.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.transform(order, lambda x: x["tenant_id"]).alias("tenants"))
 
 
 def tumbling(usage: DataFrame, width: str = "1 day") -> DataFrame:

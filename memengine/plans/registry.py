@@ -8,17 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memengine.operators import dedup, graph, lifecycle, retrieval, telemetry, text
+from memengine.plans.base import QUERIES, query
 from memengine.sources.tables import AS_OF, MEMORIES_SQL, USAGE_SQL, VECTORS_SQL, WHOLE_MEMORIES_SQL, active, api_usage, for_tenant, memories, scan, vectors, whole_memories
 
-_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        _QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return add
+_QUERIES = QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,6 +22,8 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
 
 
+#: No two of the given vectors are alike by the memory model's own thresholds (0.78 and above), so the pair queries use this one.
+SIMILAR = 0.4
 QUERY_VECTOR = [((i * 37) % 64) / 64.0 - 0.5 for i in range(64)]
 _QV = "[" + ", ".join(map(str, QUERY_VECTOR)) + "]::DOUBLE[]"
 _SIM = f"round(coalesce(list_cosine_similarity(embedding, {_QV}), 0), 6)"
@@ -41,24 +36,22 @@ def vector_topk(spark, sf_dir):
 
 @query(f"WITH {VECTORS_SQL} SELECT id, agent_id, round(s, 6) AS similarity, r AS rank FROM (SELECT *, list_cosine_similarity(embedding, {_QV}) AS s, CAST(row_number() OVER (PARTITION BY agent_id ORDER BY list_cosine_similarity(embedding, {_QV}) DESC, id) AS INTEGER) AS r FROM vectors) WHERE r <= 10")
 def vector_topk_per_agent(spark, sf_dir):
-    scored = retrieval.vector_topk(vectors(spark, sf_dir), QUERY_VECTOR, 2**31 - 1)
+    scored = retrieval.scored(vectors(spark, sf_dir), QUERY_VECTOR)
     return retrieval.topk_by(scored, ["agent_id"], [F.desc("similarity"), F.col("id")], 10).withColumn("similarity", F.round("similarity", 6))
 
 
 def _scored(spark, sf_dir):
     """Memories with the similarity of the vector of the same number; a row without one has none."""
-    v = vectors(spark, sf_dir)
-    sim = retrieval.vector_topk(v, QUERY_VECTOR, 2**31 - 1).select("id", "similarity")
-    return active(memories(spark, sf_dir)).join(sim, "id")
+    return active(memories(spark, sf_dir)).join(retrieval.scored(vectors(spark, sf_dir), QUERY_VECTOR).select("id", "similarity"), "id", "left")
 
 
-_SCORED = f"{MEMORIES_SQL}, {VECTORS_SQL}, scored AS (SELECT m.*, list_cosine_similarity(v.embedding, {_QV}) AS similarity FROM memories m JOIN vectors v USING (id) WHERE superseded_at IS NULL)"
+_SCORED = f"{MEMORIES_SQL}, {VECTORS_SQL}, scored AS (SELECT m.*, list_cosine_similarity(v.embedding, {_QV}) AS similarity FROM memories m LEFT JOIN vectors v USING (id) WHERE superseded_at IS NULL)"
 _AGE = f"(epoch(TIMESTAMP '{AS_OF}') / 86400.0 - epoch(created_at) / 86400.0)"
-_COMPOSITE = f"""composed AS (SELECT *, (0.35 * similarity + 0.4 * (exp(-0.693 * {_AGE} / 3.0) * CASE WHEN {_AGE} < 1 THEN 2.5 ELSE 1 END) + 0.15 * least(1.0, importance * (1 + 0.1 * least(reinforcement_count, 5))) + 0.1 * least(access_count / 10.0, 1.0))
+_COMPOSITE = f"""composed AS (SELECT *, (0.35 * coalesce(similarity, 0) + 0.4 * (exp(-0.693 * {_AGE} / 3.0) * CASE WHEN {_AGE} < 1 THEN 2.5 ELSE 1 END) + 0.15 * least(1.0, importance * (1 + 0.1 * least(reinforcement_count, 5))) + 0.1 * least(access_count / 10.0, 1.0))
  * CASE WHEN memory_type = 'decision' AND {_AGE} < 7 THEN 1.2 WHEN memory_type = 'identity' THEN 1.15 WHEN memory_type = 'correction' THEN 1.25 WHEN memory_type = 'preference' THEN 1.15 ELSE 1 END AS composite FROM scored)"""
 
 
-@query(f"""WITH {_SCORED}, a AS (SELECT id, similarity FROM scored ORDER BY similarity DESC, id LIMIT 100), b AS (SELECT id FROM scored WHERE importance > 0.8 AND id NOT IN (SELECT id FROM a) ORDER BY importance DESC, id LIMIT 50),
+@query(f"""WITH {_SCORED}, a AS (SELECT id, similarity FROM scored WHERE similarity IS NOT NULL ORDER BY similarity DESC, id LIMIT 100), b AS (SELECT id FROM scored WHERE importance > 0.8 AND id NOT IN (SELECT id FROM a) ORDER BY importance DESC, id LIMIT 50),
 c AS (SELECT id FROM scored WHERE contains(lower(context), 'the') AND id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b) ORDER BY importance DESC, id LIMIT 50)
 SELECT id, round(similarity, 6) AS similarity, 'vector' AS strategy FROM a UNION ALL SELECT id, 0.5, 'importance' FROM b UNION ALL SELECT id, 0.35, 'keyword' FROM c""")
 def hybrid_candidates(spark, sf_dir):
@@ -72,18 +65,24 @@ def composite_recall(spark, sf_dir):
     return out.select("id", "agent_id", "memory_type", F.round("composite", 6).alias("composite"))
 
 
+def _packed(scored):
+    """The 200 best of each agent, packed."""
+    best = retrieval.topk_by(retrieval.tiered(retrieval.composite_score(scored, AS_OF)), ["agent_id"], [F.desc("composite"), F.col("id")], 200)
+    return retrieval.pack(best, "agent_id", 500)
+
+
 def flagship(spark, sf_dir):
     return composite_recall(spark, sf_dir)
 
 
 @query(f"""WITH RECURSIVE {_SCORED}, {_COMPOSITE}, tiers AS (SELECT id, agent_id, composite, CASE WHEN composite > 0.7 THEN context ELSE headline END AS shown FROM composed WHERE composite > 0.4),
-ranked AS (SELECT *, greatest(1, length(shown) // 4) AS t, row_number() OVER (PARTITION BY agent_id ORDER BY composite DESC, id) AS r FROM tiers),
+ranked AS (SELECT *, greatest(1, length(shown) // 4) AS t, row_number() OVER (PARTITION BY agent_id ORDER BY composite DESC, id) AS r FROM tiers QUALIFY r <= 200),
 p AS (SELECT agent_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS ids FROM (SELECT DISTINCT agent_id FROM tiers) UNION ALL
  SELECT p.agent_id, x.r, CASE WHEN used + t <= 500 THEN used + t ELSE used END, CASE WHEN used + t <= 500 THEN list_append(ids, CAST(x.id AS VARCHAR)) ELSE ids END FROM p JOIN ranked x ON x.agent_id = p.agent_id AND x.r = p.r + 1),
 z AS (SELECT agent_id, arg_max(used, r) AS used_tokens, arg_max(ids, r) AS ids FROM p GROUP BY agent_id)
 SELECT agent_id, used_tokens, CAST(len(ids) AS INTEGER) AS n_packed, array_to_string(ids, ',') AS packed FROM z""")
 def tier_pack(spark, sf_dir):
-    return retrieval.pack(retrieval.tiered(retrieval.composite_score(_scored(spark, sf_dir), AS_OF)), "agent_id", 500)
+    return _packed(_scored(spark, sf_dir))
 
 
 _BATCH = [(1, "the"), (2, "mentheit"), (3, "password"), (4, "qué")]
@@ -97,8 +96,7 @@ def batch_search(spark, sf_dir):
 
 
 def _whole_scored(spark, sf_dir):
-    sim = retrieval.vector_topk(vectors(spark, sf_dir), QUERY_VECTOR, 2**31 - 1).select("id", "similarity")
-    return active(whole_memories(spark, sf_dir)).join(sim, "id")
+    return active(whole_memories(spark, sf_dir)).join(retrieval.scored(vectors(spark, sf_dir), QUERY_VECTOR).select("id", "similarity"), "id", "left")
 
 
 @query(_QUERIES["hybrid_candidates"][1].replace(MEMORIES_SQL, WHOLE_MEMORIES_SQL))
@@ -109,7 +107,7 @@ def hybrid_candidates_full(spark, sf_dir):
 
 @query(_QUERIES["tier_pack"][1].replace(MEMORIES_SQL, WHOLE_MEMORIES_SQL))
 def tier_pack_full(spark, sf_dir):
-    return retrieval.pack(retrieval.tiered(retrieval.composite_score(_whole_scored(spark, sf_dir), AS_OF)), "agent_id", 500)
+    return _packed(_whole_scored(spark, sf_dir))
 
 
 _FULL_BATCH = [(1, "the"), (2, "idiot"), (3, "tion"), (4, "keit")]
@@ -132,21 +130,21 @@ def keyword_bm25(spark, sf_dir):
     return retrieval.bm25(docs, ["the", "with"]).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {VECTORS_SQL} SELECT x.agent_id, x.id AS a, y.id AS b, CASE WHEN s >= 0.92 THEN 'duplicate' WHEN s >= 0.85 THEN 'review' ELSE 'related' END AS label, round(s, 6) AS similarity FROM (SELECT x, y, list_cosine_similarity(x.embedding, y.embedding) AS s FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id < y.id) WHERE s >= 0.8")
+@query(f"WITH {VECTORS_SQL} SELECT x.agent_id, x.id AS a, y.id AS b, CASE WHEN s >= 0.92 THEN 'duplicate' WHEN s >= 0.85 THEN 'review' ELSE 'related' END AS label, round(s, 6) AS similarity FROM (SELECT x, y, list_cosine_similarity(x.embedding, y.embedding) AS s FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id < y.id) WHERE s >= 0.4")
 def near_duplicate_pairs(spark, sf_dir):
-    return dedup.labelled(dedup.similar_pairs(vectors(spark, sf_dir), 0.8)).select("agent_id", "a", "b", "label", F.round("similarity", 6).alias("similarity"))
+    return dedup.labelled(dedup.similar_pairs(vectors(spark, sf_dir), SIMILAR)).select("agent_id", "a", "b", "label", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {VECTORS_SQL}, n AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.embedding, y.embedding) AS s FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id <> y.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM n) SELECT a, b, round(s, 6) AS similarity FROM r WHERE r <= 20 AND s >= 0.78 AND a < b")
+@query(f"WITH {VECTORS_SQL}, n AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.embedding, y.embedding) AS s FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id <> y.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM n) SELECT a, b, round(s, 6) AS similarity FROM r WHERE r <= 20 AND s >= 0.4 AND a < b")
 def knn_edges(spark, sf_dir):
-    return dedup.knn_edges(vectors(spark, sf_dir), 20, 0.78).withColumn("similarity", F.round("similarity", 6))
+    return dedup.knn_edges(vectors(spark, sf_dir), 20, SIMILAR).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH RECURSIVE {VECTORS_SQL}, n AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.embedding, y.embedding) AS s FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id <> y.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM n), e AS (SELECT a, b FROM r WHERE r <= 20 AND s >= 0.78 AND a < b), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM n), e AS (SELECT a, b FROM r WHERE r <= 20 AND s >= 0.4 AND a < b), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c AS (SELECT a AS id, a AS component FROM u UNION SELECT u.b, c.component FROM c JOIN u ON u.a = c.id AND c.component < u.b) SELECT id, min(component) AS component FROM c GROUP BY id""")
 def clusters(spark, sf_dir):
-    edges = dedup.knn_edges(vectors(spark, sf_dir), 20, 0.78)
+    edges = dedup.knn_edges(vectors(spark, sf_dir), 20, SIMILAR)
     return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
@@ -156,10 +154,14 @@ def centroids(spark, sf_dir):
     return dedup.centroids(v.drop("agent_id"), v.select("id", F.col("agent_id").alias("cluster"))).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"""WITH {VECTORS_SQL}, {MEMORIES_SQL}, p AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id < y.id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.8)
-SELECT CASE WHEN f THEN a ELSE b END AS winner, CASE WHEN f THEN b ELSE a END AS loser, importance, access_count, least(0.99, importance + 0.05) AS confidence FROM (SELECT a, b, x.importance > y.importance OR (x.importance = y.importance AND a < b) AS f, greatest(x.importance, y.importance) AS importance, x.access_count + y.access_count AS access_count FROM p JOIN memories x ON x.id = a JOIN memories y ON y.id = b)""")
+@query(f"""WITH {VECTORS_SQL}, {MEMORIES_SQL}, p AS (SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y ON x.agent_id = y.agent_id AND x.id < y.id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.4)
+SELECT CASE WHEN f THEN a ELSE b END AS winner, CASE WHEN f THEN b ELSE a END AS loser, greatest(xi, yi) AS importance, round(least(0.99, (xc + yc) / 2 + 0.1), 6)::DOUBLE AS confidence,
+ md5(CASE WHEN wh <> lh AND li >= 0.6 THEN wh || ' (also: ' || lh || ')' ELSE wh END) AS headline_md5, md5(CASE WHEN wt = '' THEN lt WHEN lt = '' OR wt = lt THEN wt ELSE wt || chr(10) || '---' || chr(10) || lt END) AS context_md5
+FROM (SELECT a, b, x.confidence >= y.confidence AS f, x.importance AS xi, y.importance AS yi, x.confidence AS xc, y.confidence AS yc, CASE WHEN f THEN y.importance ELSE x.importance END AS li,
+ coalesce(CASE WHEN f THEN x.headline ELSE y.headline END, '') AS wh, coalesce(CASE WHEN f THEN y.headline ELSE x.headline END, '') AS lh, coalesce(CASE WHEN f THEN x.context ELSE y.context END, '') AS wt, coalesce(CASE WHEN f THEN y.context ELSE x.context END, '') AS lt
+ FROM p JOIN memories x ON x.id = a JOIN memories y ON y.id = b)""")
 def merged_pairs(spark, sf_dir):
-    return dedup.merged(dedup.similar_pairs(vectors(spark, sf_dir), 0.8).select("a", "b"), memories(spark, sf_dir))
+    return dedup.merged(dedup.similar_pairs(vectors(spark, sf_dir), SIMILAR).select("a", "b"), memories(spark, sf_dir)).withColumns({"confidence": F.round("confidence", 6), "headline_md5": F.md5(F.col("headline").cast("binary")), "context_md5": F.md5(F.col("context").cast("binary"))}).drop("headline", "context")
 
 
 @query(f"""WITH {MEMORIES_SQL} SELECT agent_id, count(*) AS total, count(*) FILTER (WHERE superseded_at IS NULL) AS active, count(*) FILTER (WHERE superseded_at IS NOT NULL) AS superseded, count(*) FILTER (WHERE superseded_at IS NULL AND importance > 0.8) AS important,
@@ -180,7 +182,8 @@ def usage_by_endpoint(spark, sf_dir):
     return telemetry.usage_by_endpoint(api_usage(spark, sf_dir))
 
 
-@query(f"WITH {USAGE_SQL} SELECT endpoint, round(quantile_cont(response_time_ms, 0.5), 6) AS p50, round(quantile_cont(response_time_ms, 0.95), 6) AS p95, round(quantile_cont(response_time_ms, 0.99), 6) AS p99 FROM api_usage GROUP BY endpoint")
+@query(f"""WITH {USAGE_SQL}, v AS (SELECT endpoint, count(*) AS n, list_sort(list(response_time_ms)) AS x, avg(response_time_ms) AS m, count(*) FILTER (WHERE status_code >= 500) AS e FROM api_usage GROUP BY endpoint)
+SELECT endpoint, n AS calls, x[1] AS least, x[n] AS most, round(m, 6) AS mean, round(e / n, 6) AS error_rate, round((x[(n - 1) // 2 + 1] + x[n // 2 + 1]) / 2, 6) AS p50, x[least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1] AS p95, x[least(CAST(floor(n * 0.99) AS BIGINT), n - 1) + 1] AS p99 FROM v""")
 def latency_percentiles(spark, sf_dir):
     return telemetry.percentiles(api_usage(spark, sf_dir))
 
@@ -190,10 +193,13 @@ def usage_rollup(spark, sf_dir):
     return telemetry.rollup(api_usage(spark, sf_dir))
 
 
-@query(f"""WITH {USAGE_SQL}, x AS (SELECT event_id, response_time_ms AS v, count(*) OVER w AS n, avg(response_time_ms) OVER w AS m, stddev_pop(response_time_ms) OVER w AS sd FROM (SELECT *, CAST(floor(epoch(created_at)) AS BIGINT) AS s FROM api_usage)
-WINDOW w AS (PARTITION BY tenant_id, endpoint ORDER BY s RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING)) SELECT event_id, round((v - m) / sd, 4) AS z FROM x WHERE n >= 5 AND sd > 0""")
+_Z = """x AS (SELECT event_id, endpoint, response_time_ms AS v, count(*) OVER w AS n, avg(response_time_ms) OVER w AS m, stddev_samp(response_time_ms) OVER w AS sd FROM (SELECT *, epoch_us(created_at) AS s FROM api_usage)
+WINDOW w AS (PARTITION BY endpoint ORDER BY s RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)), z AS (SELECT *, (v - m) / sd AS z FROM x WHERE n >= 5 AND sd > 0)"""
+
+
+@query(f"WITH {USAGE_SQL}, {_Z} SELECT event_id, round(z, 4) AS z FROM z")
 def rolling_zscores(spark, sf_dir):
-    return telemetry.rolling_zscores(api_usage(spark, sf_dir), 86400).withColumn("z", F.round("z", 4))
+    return telemetry.rolling_zscores(api_usage(spark, sf_dir)).select("event_id", F.round("z", 4).alias("z"))
 
 
 @query(f"WITH {USAGE_SQL} SELECT event_id, n AS in_window FROM (SELECT event_id, count(*) OVER (PARTITION BY tenant_id ORDER BY s RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, CAST(floor(epoch(created_at)) AS BIGINT) AS s FROM api_usage)) WHERE n > 1")
@@ -201,9 +207,19 @@ def rate_limited(spark, sf_dir):
     return telemetry.rate_limited(api_usage(spark, sf_dir), 600, 1)
 
 
-@query(f"WITH {USAGE_SQL} SELECT substr(sha256(endpoint || ':' || tenant_id), 1, 16) AS hash, count(*) AS occurrences, min(created_at) AS first_seen, max(created_at) AS last_seen, count(DISTINCT user_id) AS users FROM api_usage WHERE status_code >= 500 GROUP BY 1")
+_TRACE = """t AS (SELECT *, 'Traceback' || chr(10) || '  File "app' || endpoint || '.py", line ' || CAST(event_id AS VARCHAR) || ', in call' || chr(10) || '    work()' || chr(10) || 'ValueError: ' || props AS traceback FROM api_usage WHERE status_code >= 500),
+h AS (SELECT *, substr(sha256('ValueError:' || endpoint || ':' || regexp_replace(array_to_string(list_transform(list_filter(string_split(traceback, chr(10)), lambda l: contains(l, 'File') OR contains(l, 'Error') OR contains(l, 'Exception')), lambda l: string_split(l, ', line ')[1]), ''), '[0-9]', '', 'g')), 1, 16) AS hash FROM t)"""
+
+
+@query(f"WITH {USAGE_SQL}, {_TRACE}, s AS (SELECT hash, tenant_id, min(created_at) AS f FROM h GROUP BY ALL), o AS (SELECT hash, string_agg(CAST(tenant_id AS VARCHAR), ',' ORDER BY f, tenant_id) AS tenants FROM s GROUP BY hash) SELECT hash, count(*) AS occurrences, min(created_at) AS first_seen, max(created_at) AS last_seen, any_value(tenants) AS tenants FROM h JOIN o USING (hash) GROUP BY hash")
 def error_groups(spark, sf_dir):
-    return telemetry.error_groups(api_usage(spark, sf_dir))
+    return telemetry.error_groups(_traced(spark, sf_dir)).withColumn("tenants", F.array_join(F.transform("tenants", lambda t: t.cast("string")), ","))
+
+
+def _traced(spark, sf_dir):
+    """Errors with a traceback: each from a line of its own."""
+    trace = F.concat(F.lit('Traceback\n  File "app'), "endpoint", F.lit('.py", line '), F.col("event_id").cast("string"), F.lit(", in call\n    work()\nValueError: "), "props")
+    return api_usage(spark, sf_dir).where("status_code >= 500").withColumns({"error_type": F.lit("ValueError"), "traceback": trace})
 
 
 @query(f"WITH {USAGE_SQL} SELECT time_bucket(INTERVAL 1 DAY, created_at) AS start, endpoint, count(*) AS calls FROM api_usage GROUP BY ALL")
@@ -256,9 +272,10 @@ def entity_cooccurrence(spark, sf_dir):
     return graph.co_occurrence(scan(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("id")).distinct(), 10)
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT id, round(CASE WHEN is_pinned THEN importance ELSE importance * exp(-CASE memory_type WHEN 'identity' THEN 0.001 WHEN 'preference' THEN 0.005 WHEN 'decision' THEN 0.01 WHEN 'fact' THEN 0.02 ELSE 0.03 END * {_AGE}) END, 6) AS relevance FROM memories")
+@query(f"""WITH {MEMORIES_SQL} SELECT id, round(greatest(0.01, relevance_score - CASE memory_type WHEN 'preference' THEN 0.001 WHEN 'correction' THEN 0.001 WHEN 'relationship' THEN 0.002 WHEN 'decision' THEN 0.005 WHEN 'fact' THEN 0.02 WHEN 'task' THEN 0.03 ELSE 0.01 END
+ * CASE temporal_type WHEN 'permanent' THEN 0.0 WHEN 'event' THEN 1.5 ELSE 1.0 END), 6)::DOUBLE AS relevance FROM memories WHERE superseded_at IS NULL AND relevance_score > 0.01 AND memory_type <> 'identity'""")
 def decay(spark, sf_dir):
-    return lifecycle.decayed(memories(spark, sf_dir), AS_OF).withColumn("relevance", F.round("relevance", 6))
+    return lifecycle.decayed(active(memories(spark, sf_dir))).withColumn("relevance", F.round("relevance", 6))
 
 
 @query("SELECT o_custkey, o_orderstatus, count(*) AS mentions, CAST(round(least(1.0, 0.5 + 0.1 * (count(*) - 1)), 6) AS DOUBLE) AS strength FROM orders GROUP BY ALL")
@@ -266,12 +283,12 @@ def upserted_strength(spark, sf_dir):
     return lifecycle.upserted_strength(scan(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"]).withColumn("strength", F.round("strength", 6))
 
 
-@query("""WITH RECURSIVE f AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, CASE event_type WHEN 'click' THEN 0.05 WHEN 'view' THEN -0.02 WHEN 'error' THEN -0.1 ELSE 0 END::DOUBLE AS d FROM events),
-s AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS r, 0.5::DOUBLE AS v FROM f UNION ALL SELECT s.id, f.r, greatest(0.0, least(1.0, v + d)) FROM s JOIN f ON f.id = s.id AND f.r = s.r + 1)
+@query("""WITH RECURSIVE f AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, event_type = 'click' AS used FROM events WHERE event_type IN ('click', 'view')),
+s AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS r, 0.5::DOUBLE AS v FROM f UNION ALL SELECT s.id, f.r, CASE WHEN used THEN least(1.0, v + 0.05) ELSE greatest(0.05, v - 0.02) END FROM s JOIN f ON f.id = s.id AND f.r = s.r + 1)
 SELECT id, round(arg_max(v, r), 6) AS importance, max(r) AS n FROM s GROUP BY id""")
 def feedback_importance(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "click", "used").when(F.col("event_type") == "view", "ignored").when(F.col("event_type") == "error", "contradicted").otherwise("miss")
-    return lifecycle.feedback_importance(scan(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kind.alias("kind")))
+    recalls = scan(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    return lifecycle.feedback_importance(recalls.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.col("event_type") == "click").alias("used")))
 
 
 @query("SELECT user_id AS id, event_id AS seq, CAST(row_number() OVER w AS INTEGER) AS version, lead(event_id) OVER w IS NULL AS is_latest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -284,7 +301,7 @@ _STATES = {"click": "active", "view": "modified", "error": "redacted", "purchase
 
 @query("""WITH x AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'view' THEN 'modified' WHEN 'error' THEN 'redacted' WHEN 'purchase' THEN 'pending_resynthesis' ELSE 'active' END AS state FROM events),
 y AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY id ORDER BY seq), 'active') AS was FROM x)
-SELECT id, seq, was, state FROM y WHERE was <> state AND (was || '>' || state) NOT IN ('active>modified', 'active>redacted', 'modified>active', 'modified>redacted', 'redacted>pending_resynthesis', 'pending_resynthesis>active')""")
+SELECT id, seq, was, state FROM y WHERE was <> state AND (was || '>' || state) NOT IN ('active>modified', 'active>redacted', 'modified>active', 'modified>redacted', 'pending_resynthesis>active', 'pending_resynthesis>redacted', 'pending_resynthesis>modified')""")
 def illegal_moves(spark, sf_dir):
     state = F.lit("active")
     for kind, s in _STATES.items():
@@ -310,8 +327,9 @@ def dlp_scan(spark, sf_dir):
     return text.scan(scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("""WITH c AS (SELECT source AS cluster, lang AS agent, trim(lower(unnest(regexp_split_to_array(text, '[.!?]\\s*')))) AS claim FROM documents), v AS (SELECT cluster, claim, count(DISTINCT agent) AS votes FROM c WHERE claim <> '' GROUP BY ALL),
-n AS (SELECT source AS cluster, count(DISTINCT lang) AS agents FROM documents GROUP BY 1) SELECT cluster, claim, votes, 2 * votes > agents AS retained FROM v JOIN n USING (cluster) WHERE votes > 1""")
+@query("""WITH c AS (SELECT source AS cluster, lang AS agent, rtrim(regexp_replace(lower(trim(unnest(string_split(regexp_replace(trim(text), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))), ' ' || chr(9) || chr(10) || chr(13))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '.!?,;:') AS claim FROM documents),
+v AS (SELECT cluster, claim, count(DISTINCT agent) AS votes FROM c WHERE claim <> '' GROUP BY ALL),
+n AS (SELECT source AS cluster, count(DISTINCT lang) AS agents FROM documents GROUP BY 1) SELECT cluster, claim, votes, votes >= (agents + 1) // 2 AS retained FROM v JOIN n USING (cluster) WHERE votes > 1""")
 def claim_votes(spark, sf_dir):
     return text.claim_votes(scan(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("agent"), "text")).where("votes > 1")
 
@@ -350,12 +368,12 @@ def turn_pairs(spark, sf_dir):
     return text.turn_pairs(scan(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, turn, count(*) OVER w AS n_before, CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS context_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
+@query("SELECT conv_id, turn, count(*) OVER w AS n_before, CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS context_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)")
 def sliding_context(spark, sf_dir):
     return text.sliding_context(scan(spark, sf_dir, "conversations"))
 
 
-@query("WITH c AS (SELECT doc_id AS id, text, unnest(generate_series(1, greatest(length(text), 1), 350)) AS f FROM documents) SELECT id, CAST((f - 1) // 350 AS INTEGER) AS chunk, substr(text, f, 400) AS part FROM c WHERE substr(text, f, 400) <> ''")
+@query()
 def text_chunks(spark, sf_dir):
     return text.chunks(scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 

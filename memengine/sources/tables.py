@@ -36,7 +36,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("tenant_id"),
         F.col("source").alias("agent_id"),
         F.substring("text", 1, 80).alias("headline"),
-        F.substring("text", 1, 400).alias("context"),
+        F.col("text").alias("context"),
         F.col("text").alias("full_content"),
         kind.alias("memory_type"),
         ((F.col("doc_id") * 37) % 100 / 100.0).alias("importance"),
@@ -46,16 +46,19 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 11 == 0, created).alias("superseded_at"),
         F.when(F.col("doc_id") % 17 == 0, "redacted").alias("redaction_state"),
         (F.col("doc_id") % 13 == 0).alias("is_pinned"),
+        ((F.col("doc_id") * 53) % 100 / 100.0).alias("relevance_score"),
+        ((F.col("doc_id") * 29) % 100 / 100.0).alias("confidence"),
+        F.element_at(F.array(F.lit("state"), F.lit("event"), F.lit("permanent")), (F.col("doc_id") % 3 + 1).cast("int")).alias("temporal_type"),
     )
 
 
 #: The same view for DuckDB.
-MEMORIES_SQL = f"""memories AS (SELECT doc_id AS id, lang AS tenant_id, source AS agent_id, substr(text, 1, 80) AS headline, substr(text, 1, 400) AS context,
+MEMORIES_SQL = f"""memories AS (SELECT doc_id AS id, lang AS tenant_id, source AS agent_id, substr(text, 1, 80) AS headline, text AS context,
  text AS full_content, (['fact','decision','preference','task','correction','identity','raw_turn'])[doc_id % 7 + 1] AS memory_type,
  ((doc_id * 37) % 100) / 100.0::DOUBLE AS importance, doc_id % 15 AS access_count, doc_id % 6 + 1 AS reinforcement_count,
  TIMESTAMP '{AS_OF}' - to_days(CAST(doc_id % 60 AS INTEGER)) - to_hours(doc_id % 24) AS created_at,
  CASE WHEN doc_id % 11 = 0 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(doc_id % 60 AS INTEGER)) - to_hours(doc_id % 24) END AS superseded_at,
- CASE WHEN doc_id % 17 = 0 THEN 'redacted' END AS redaction_state, doc_id % 13 = 0 AS is_pinned FROM documents)"""
+ CASE WHEN doc_id % 17 = 0 THEN 'redacted' END AS redaction_state, doc_id % 13 = 0 AS is_pinned, ((doc_id * 53) % 100) / 100.0::DOUBLE AS relevance_score, ((doc_id * 29) % 100) / 100.0::DOUBLE AS confidence, (['state','event','permanent'])[doc_id % 3 + 1] AS temporal_type FROM documents)"""
 
 
 def whole_memories(spark: SparkSession, sf_dir: str) -> DataFrame:

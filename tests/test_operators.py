@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,9 +52,11 @@ def test_knn_clusters_and_centroids(vectors):
 
 
 def test_merged(spark):
-    memories = spark.createDataFrame([(1, 0.5, 2), (2, 0.9, 3)], "id long, importance double, access_count long")
-    got = dedup.merged(spark.createDataFrame([(1, 2)], "a long, b long"), memories).first()
-    assert tuple(got) == (2, 1, 0.9, 5, pytest.approx(0.95))
+    """The surer one wins, the first of equals; a weighty loser's headline is added, contexts are joined unless equal."""
+    rows = [(1, "h1", "c1", 0.5, 0.7), (2, "h2", "c2", 0.9, 0.8), (3, "h3", "c2", 0.6, 0.8), (4, "h4", None, 0.2, None)]
+    memories = spark.createDataFrame(rows, "id long, headline string, context string, importance double, confidence double")
+    got = [tuple(r) for r in dedup.merged(spark.createDataFrame([(1, 2), (2, 3), (2, 4)], "a long, b long"), memories).orderBy("winner", "loser").collect()]
+    assert got == [(2, 1, "h2", "c2\n---\nc1", 0.9, pytest.approx(0.85)), (2, 3, "h2 (also: h3)", "c2", 0.9, pytest.approx(0.9)), (2, 4, "h2", "c2", 0.9, pytest.approx(0.75))]
 
 
 def test_components_of_a_chain(spark):
@@ -90,14 +95,25 @@ def test_tenants_are_apart(spark):
 
 
 def test_feedback_is_held_in_bounds(spark):
-    rows = [(1, i, "used") for i in range(12)] + [(1, 12, "contradicted"), (2, 0, "miss")]
-    got = {r["id"]: r["importance"] for r in lifecycle.feedback_importance(spark.createDataFrame(rows, "id long, seq long, kind string")).collect()}
-    assert got == {1: pytest.approx(0.9), 2: 0.5}
+    """Used: 0.05 up to 1; ignored: 0.02 down to 0.05."""
+    rows = [(1, i, True) for i in range(12)] + [(1, 12, False)] + [(2, i, False) for i in range(40)] + [(2, 40, True)]
+    got = {r["id"]: r["importance"] for r in lifecycle.feedback_importance(spark.createDataFrame(rows, "id long, seq long, used boolean")).collect()}
+    assert got == {1: pytest.approx(0.98), 2: pytest.approx(0.1)}
+
+
+def test_decay(spark):
+    rows = [(1, "fact", "state", 0.5), (2, "fact", "event", 0.5), (3, "task", "permanent", 0.5), (4, "identity", "state", 0.5), (5, "raw_turn", "state", 0.015), (6, "preference", "state", 0.5), (7, "fact", "state", 0.01)]
+    got = dict(map(tuple, lifecycle.decayed(spark.createDataFrame(rows, "id long, memory_type string, temporal_type string, relevance_score double")).collect()))
+    assert got == {1: pytest.approx(0.48), 2: pytest.approx(0.47), 3: 0.5, 5: 0.01, 6: pytest.approx(0.499)}
 
 
 def test_illegal_moves(spark):
-    log = [(1, 1, "modified"), (1, 2, "redacted"), (1, 3, "active"), (2, 1, "pending_resynthesis")]
-    assert {(r["id"], r["seq"]) for r in lifecycle.illegal_moves(spark.createDataFrame(log, "id long, seq long, state string")).collect()} == {(1, 3), (2, 1)}
+    """Redacted is an end; what waits for resynthesis may become active, redacted or modified."""
+    log = [(1, 1, "modified"), (1, 2, "redacted"), (1, 3, "active"), (2, 1, "pending_resynthesis"), (2, 2, "modified"), (3, 1, "redacted"), (3, 2, "pending_resynthesis")]
+    assert {(r["id"], r["seq"]) for r in lifecycle.illegal_moves(spark.createDataFrame(log, "id long, seq long, state string")).collect()} == {(1, 3), (2, 1), (3, 2)}
+    log = [(1, 1, "pending_review"), (1, 2, "valid"), (1, 3, "invalidated"), (1, 4, "valid"), (2, 1, "resynthesized"), (2, 2, "valid")]
+    found = lifecycle.illegal_moves(spark.createDataFrame(log, "id long, seq long, state string"), lifecycle.SYNTHESIS_MOVES, "valid")
+    assert {(r["id"], r["seq"]) for r in found.collect()} == {(1, 4), (2, 2)}
 
 
 def test_redaction_cascade(spark):
@@ -107,9 +123,10 @@ def test_redaction_cascade(spark):
 
 
 def test_claims(spark):
-    rows = [("c", "a", "The sky is blue. Cats bark!"), ("c", "b", "the sky is blue."), ("c", "d", "Dogs bark.")]
+    """At least half of the agents; white space and closing signs don't matter; numbers aren't cut."""
+    rows = [("c", "a", "The  sky is blue. Cats bark!"), ("c", "b", "the sky is\nblue."), ("c", "d", "Dogs bark. Pi is 3.14!"), ("e", "a", "One."), ("e", "b", "Two.")]
     found = {r["claim"]: r["retained"] for r in text.claim_votes(spark.createDataFrame(rows, "cluster string, agent string, text string")).collect()}
-    assert found == {"the sky is blue": True, "cats bark": False, "dogs bark": False}
+    assert found == {"the sky is blue": True, "cats bark": False, "dogs bark": False, "pi is 3.14": False, "one": True, "two": True}
 
 
 def test_redacted(spark):
@@ -117,17 +134,53 @@ def test_redacted(spark):
     assert [r["text"] for r in got] == ["write to [EMAIL] from [IPV4]", None]
 
 
-def test_chunks_cover_the_text(spark):
-    whole = "".join(chr(97 + i % 26) for i in range(1000))
-    parts = [r["part"] for r in text.chunks(spark.createDataFrame([(1, whole), (2, "")], "id long, text string")).orderBy("chunk").collect()]
-    assert parts[0] == whole[:400] and all(p[:50] == q[-50:] for q, p in zip(parts, parts[1:])) and parts[0] + "".join(p[50:] for p in parts[1:]) == whole
+def test_chunks_break_at_paragraphs_and_sentences(spark):
+    flat = "".join(chr(97 + i % 26) for i in range(5000))
+    mixed = "x" * 1500 + "\n\n" + "y" * 1000 + ". " + "z" * 1500
+    table = spark.createDataFrame([(1, flat), (2, "short"), (3, mixed), (4, None)], "id long, text string")
+    got = {i: [r["part"] for r in text.chunks(table).where(f"id = {i}").orderBy("chunk").collect()] for i in (1, 2, 3, 4)}
+    assert got[1] == [flat[:2000], flat[1800:3800], flat[3600:], flat[4800:]][: len(got[1])] and got[1][2] == flat[3600:5600]
+    assert got[2] == ["short"] and got[4] == [""]
+    assert got[3][0] == "x" * 1500 and got[3][1].startswith("x" * 200) and got[3][1].endswith("y.")
 
 
 def test_rolling_zscores_need_history(spark):
-    rows = [(i, 1, "/a", f"2024-01-01 00:{i:02d}:00", float(10 + i % 2)) for i in range(8)] + [(99, 1, "/a", "2024-01-01 00:20:00", 50.0)]
-    df = spark.createDataFrame(rows, "event_id long, tenant_id int, endpoint string, c string, response_time_ms double").withColumn("created_at", F.col("c").cast("timestamp_ntz"))
-    found = dict(map(tuple, telemetry.rolling_zscores(df).collect()))
-    assert set(found) == {5, 6, 7, 99} and found[99] == pytest.approx((50 - 10.5) / 0.5)
+    """Sample deviation over the last hour with the call itself, from five calls on, across the stretches of an hour."""
+    rows = [(i, "/a", f"2024-01-01 00:{50 + i if i < 10 else i - 10:02d}:00" if i < 10 else f"2024-01-01 01:{i - 10:02d}:00", float(10 + i % 2)) for i in range(14)] + [(99, "/a", "2024-01-01 01:20:00", 50.0), (100, "/a", "2024-01-01 09:20:00", 50.0)]
+    df = spark.createDataFrame(rows, "event_id long, endpoint string, c string, response_time_ms double").withColumn("created_at", F.col("c").cast("timestamp_ntz"))
+    found = {r["event_id"]: r["z"] for r in telemetry.rolling_zscores(df).collect()}
+    assert set(found) == {*range(4, 14), 99}
+    values = [v for *_, v in rows[:15]]
+    assert found[99] == pytest.approx((50 - statistics.mean(values)) / statistics.stdev(values))
+    severe = {r["event_id"]: (r["type"], r["severity"]) for r in telemetry.anomalies(telemetry.rolling_zscores(df)).collect()}
+    assert severe == {99: ("latency_spike", "medium")}
+
+
+def test_nearest_rank_percentiles(spark):
+    rows = [("/a", float(i), 500 if i == 1 else 200) for i in range(1, 21)] + [("/b", 7.0, 200)]
+    got = {r["endpoint"]: r for r in telemetry.percentiles(spark.createDataFrame(rows, "endpoint string, response_time_ms double, status_code int")).collect()}
+    assert (got["/a"]["p50"], got["/a"]["p95"], got["/a"]["p99"], got["/a"]["error_rate"]) == (10.5, 20.0, 20.0, 0.05)
+    assert got["/b"]["p95"] == got["/b"]["p50"] == 7.0
+
+
+def test_error_fingerprints(spark):
+    trace = 'Traceback\n  File "a.py", line 12, in f\n    g(1)\nKeyError: 17'
+    rows = [(1, "KeyError", trace, "/x"), (2, "KeyError", trace.replace("12", "99").replace("17", "3"), "/x"), (3, "KeyError", trace, "/y"), (4, "KeyError", trace.replace("a.py", "b.py"), "/x")]
+    got = {r["i"]: r["h"] for r in spark.createDataFrame(rows, "i int, e string, t string, p string").select("i", telemetry.fingerprint(F.col("e"), F.col("t"), F.col("p")).alias("h")).collect()}
+    assert got[1] == got[2] == hashlib.sha256(b'KeyError:/x:  File "a.py"KeyError: ').hexdigest()[:16]
+    assert len(set(got.values())) == 3
+
+
+def test_similar_pairs_find_all(spark):
+    """Cells and blocks lose no pair."""
+    rng = random.Random(4)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    for threshold, size in ((0.5, 1024), (0.9, 7)):
+        dedup.BLOCK_ROWS = size
+        got = {(r["a"], r["b"]) for r in dedup.similar_pairs(spark.createDataFrame(rows, "id long, agent_id int, embedding array<double>"), threshold).collect()}
+        cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+        assert got == {(a, b) for a, p, x in rows for b, q, y in rows if a < b and p == q and cos(x, y) >= threshold}
+    dedup.BLOCK_ROWS = 1024
 
 
 def test_asof_takes_the_latest_within_tolerance(spark):

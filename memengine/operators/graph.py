@@ -16,6 +16,8 @@ def _cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="memengine-")
             spark.conf.set("spark.checkpoint.dir", folder)
@@ -49,6 +51,37 @@ def subgraph(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return a.union(b).groupBy("src", "dst").agg((F.min("hop") + 1).alias("hop"))
 
 
+def shortest_paths(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
+    """(id, path): a shortest directed path from start (id) to each node within depth steps; of several the first as text.
+
+    One path is kept for each node reached, so a level has no more rows than there are nodes."""
+    seen = _cut(start.select("id", F.array(F.col("id").cast("string")).alias("path")).distinct())
+    frontier = seen
+    for _ in range(min(depth, 6)):
+        step = edges.select("src", "dst").join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
+        best = step.groupBy("id").agg(F.min_by("path", F.array_join("path", ">")).alias("path"))
+        frontier = _cut(best.join(seen.select("id"), "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = _cut(seen.union(frontier))
+    return seen
+
+
+def provenance(parents: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
+    """(root, id, depth, truncated): what each start (id) derives from over edges (id, parent), each ancestor once, at its least depth; truncated: it has parents beyond the depth."""
+    edges = parents.select("id", "parent").distinct()
+    seen = _cut(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
+    frontier = seen
+    for d in range(1, depth + 1):
+        step = frontier.select("root", "id").join(edges, "id").select("root", F.col("parent").alias("id")).distinct()
+        frontier = _cut(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = _cut(seen.union(frontier))
+    more = edges.select("id").distinct().withColumn("has", F.lit(True))
+    return seen.join(more, "id", "left").select("root", "id", "depth", F.coalesce(F.col("has") & (F.col("depth") == depth), F.lit(False)).alias("truncated"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node that each node of an edge reaches, by minimum labels with pointer jumping."""
     both = _cut(undirected(edges))

@@ -388,3 +388,6 @@ def orphan_threads(spark, sf_dir):
 def tenant_counts(spark, sf_dir):
     n = scan(spark, sf_dir, "nation").join(scan(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(scan(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return n.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("tenants"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
+
+
+from memengine.plans import reports, searches, writes  # noqa: E402, F401  (they register their queries)

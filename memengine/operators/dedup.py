@@ -69,6 +69,12 @@ def centroids(vectors: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
 
 
+def unit_centroids(means: DataFrame) -> DataFrame:
+    """(cluster, dim, mean) at length one; a cluster has one row for each dimension."""
+    size = F.sqrt(F.sum(F.col("mean") * F.col("mean")).over(Window.partitionBy("cluster")))
+    return means.select("cluster", "dim", (F.col("mean") / size).alias("mean"))
+
+
 def merged(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     """For each pair the winner (no lower confidence; the first of equals), and the merged headline, context, importance and confidence."""
     both = pairs.join(memories.alias("x"), F.col("a") == F.col("x.id")).join(memories.alias("y"), F.col("b") == F.col("y.id"))

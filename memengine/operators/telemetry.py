@@ -114,7 +114,7 @@ def keyset_page(df: DataFrame, after_time: str, after_id: int, size: int) -> Dat
     """The next page, newest first, behind (time, id): the cursor reaches the scan as a filter, and only a page is sorted."""
     t, i = F.expr(f"timestamp_ntz '{after_time}'"), F.lit(after_id)
     behind = (F.col("created_at") < t) | ((F.col("created_at") == t) & (F.col("event_id") < i))
-    return df.where(behind).orderBy(F.desc("created_at"), F.desc("event_id")).limit(min(size, 500))
+    return df.where(behind).orderBy(F.desc("created_at"), F.desc("event_id")).limit(size)
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, tolerance_seconds: int) -> DataFrame:

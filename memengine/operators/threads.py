@@ -38,7 +38,7 @@ def prior_thread(threads: DataFrame) -> DataFrame:
 
 def resumed(checkpoints: DataFrame, budget: int, most: int) -> DataFrame:
     """Checkpoints (thread, seq, tokens, preserved) to resume with: preserved ones always, others in order while the tokens fit and there are fewer than `most`."""
-    w = Window.partitionBy("thread").orderBy(F.desc("preserved"), "seq")
+    w = Window.partitionBy("thread").orderBy(F.desc("preserved"), "seq", "tokens")
     x = checkpoints.withColumns({"used": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(w)})
     return x.where(F.col("preserved") | ((F.col("used") <= budget) & (F.col("n") <= most))).select("thread", "seq", "tokens", "preserved")
 

@@ -65,7 +65,7 @@ def prior_threads(spark, sf_dir):
     return threads.prior_thread(scan(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("thread"), F.col("o_orderdate").alias("last_seen")))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS thread, l_linenumber AS seq, CAST(floor(l_quantity) AS BIGINT) AS tokens, l_returnflag = 'R' AS preserved FROM lineitem), u AS (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY thread ORDER BY preserved DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT thread, seq, tokens, preserved FROM u WHERE preserved OR (used <= 80 AND n <= 4)""")
+@query("""WITH c AS (SELECT l_orderkey AS thread, l_linenumber AS seq, CAST(floor(l_quantity) AS BIGINT) AS tokens, l_returnflag = 'R' AS preserved FROM lineitem), u AS (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY thread ORDER BY preserved DESC, seq, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT thread, seq, tokens, preserved FROM u WHERE preserved OR (used <= 80 AND n <= 4)""")
 def resumed_checkpoints(spark, sf_dir):
     c = scan(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_linenumber").alias("seq"), F.floor("l_quantity").alias("tokens"), (F.col("l_returnflag") == "R").alias("preserved"))
     return threads.resumed(c, 80, 4)

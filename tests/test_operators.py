@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memengine.functions import scalars
-from memengine.operators import dedup, graph, lifecycle, retrieval, telemetry, text
+from memengine.operators import consensus, dedup, graph, lifecycle, retrieval, secrets, telemetry, text, threads, writes
 from memengine.sources import readers
 from memengine.sources.tables import for_tenant
 from memengine.streaming import windows
@@ -227,3 +227,61 @@ def test_stream_sessions(spark, tmp_path):
 def test_stream_anomalies(spark, tmp_path):
     got = _streamed(spark, tmp_path, windows.anomalies)
     assert [(r["key"], r["value"]) for r in got] == [("k", 100.0)] and not math.isnan(got[0]["z"])
+
+
+def test_stream_deduplicated(spark, tmp_path):
+    """Repeated ids within the watermark come once."""
+    def make(events):
+        return windows.deduplicated(events.union(events))
+    assert sorted(r["id"] for r in _streamed(spark, tmp_path, make)) == [*range(40), 99]
+
+
+def test_cooldown_and_first_hit_windows(spark):
+    rows = [("a", f"2024-01-01 00:00:{s:02d}") for s in (0, 5, 9, 10, 12, 25)] + [("b", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "key string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    base = 1704067200
+    assert sorted((r["key"], r["at_seconds"] - base) for r in threads.cooled(df, 10).collect()) == [("a", 0), ("a", 10), ("a", 25), ("b", 0)]
+    assert sorted((r["key"], r["start"] - base, r["n"], r["refused"]) for r in threads.first_hit_windows(df, 10, 2).collect()) == [("a", 0, 3, 1), ("a", 10, 2, 0), ("a", 25, 1, 0), ("b", 0, 1, 0)]
+
+
+def test_overlaps(spark):
+    ranges = spark.createDataFrame([(1, 10, 20), (1, 200, 900), (2, 0, 5)], "thread long, `from` long, `to` long")
+    asked = spark.createDataFrame([(1, 20, 30), (1, 21, 199), (1, 15, 250), (2, 6, 7)], "thread long, asked_from long, asked_to long")
+    assert sorted(tuple(r) for r in threads.overlapping(ranges, asked).collect()) == [(1, 15, 10), (1, 20, 10)]
+
+
+def test_duplicate_check(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.86), (1, 3, 0.87), (1, 4, 0.84), (5, 6, 0.93), (7, 8, 0.86)], "id long, other long, similarity double")
+    kinds = spark.createDataFrame([(1, "fact"), (2, "fact"), (3, "task"), (4, "fact"), (5, "fact"), (6, "task"), (7, "fact"), (8, "task")], "id long, memory_type string")
+    assert {(r["id"], r["duplicate_of"]) for r in writes.duplicate_check(pairs, kinds).collect()} == {(1, 2), (5, 6)}
+
+
+def test_secrets_with_positions(spark):
+    key, card = "AKIA" + "A1B2C3D4E5F6G7H8", "4111111111111111"
+    rows = [(1, f"key {key} card {card} bad 4111111111111112"), (2, "ssn 123-45-6789 and 000-12-3456 or 1234-123-45-6789"), (3, "TOKEN=aaaaaaaaaaaaaaaaaaaa API_KEY=q9Zx7Lm2Vb4Kt8Pw1Rs6"), (4, None), (5, "")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = [(r["id"], r["name"], r["start"], r["length"]) for r in secrets.scanned(texts).orderBy("id", "start").collect()]
+    assert got == [(1, "AWS Access Key", 4, 20), (1, "Credit Card (Visa)", 30, 16), (2, "SSN", 4, 11), (3, "Generic Secret Assignment", 27, 28)]
+    clean = {r["id"]: r["text"] for r in secrets.without_secrets(texts).collect()}
+    assert clean[1] == "key [REDACTED:AWS Access Key] card [REDACTED:Credit Card (Visa)] bad 4111111111111112" and clean[4] is None and clean[5] == ""
+
+
+def test_shortest_paths_and_provenance(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5)], "src long, dst long")
+    got = {r["id"]: r["path"] for r in graph.shortest_paths(edges, spark.createDataFrame([(1,)], "id long"), 3).collect()}
+    assert got == {1: ["1"], 2: ["1", "2"], 3: ["1", "3"], 4: ["1", "2", "4"], 5: ["1", "2", "4", "5"]}
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "id long, parent long")
+    assert sorted(tuple(r) for r in graph.provenance(chain, spark.createDataFrame([(1,)], "id long"), 2).collect()) == [(1, 1, 0, False), (1, 2, 1, False), (1, 3, 2, True)]
+
+
+def test_citations(spark):
+    rows = [(1, "as [src:a1] says", ["b2"], ["a1", "b2", "c3", "d4"]), (2, "no source", None, ["a1"]), (3, "[src:ee]", None, ["a1"]), (4, "[src:a1] [src:a1]", [], [])]
+    got = {r["id"]: (r["valid"], r["confidence"]) for r in consensus.citation_check(spark.createDataFrame(rows, "id long, text string, listed array<string>, sources array<string>")).collect()}
+    assert got == {1: (True, 0.5), 2: (False, 0.0), 3: (False, 0.0), 4: (False, 0.0)}
+
+
+def test_disagreement_and_ranks(spark):
+    rows = [("c", "a", "One. Two."), ("c", "b", "One. Three."), ("c", "d", "One. Two. Four is longer than the others.")]
+    df = spark.createDataFrame(rows, "cluster string, agent string, text string")
+    assert {r["claim"]: (r["supporters"], r["dissenters"]) for r in consensus.disagreement(df).collect()} == {"three": (["b"], ["a", "d"]), "four is longer than the others": (["d"], ["a", "b"])}
+    assert [r["agent"] for r in consensus.ranked_candidates(df).orderBy("r").collect()] == ["d", "a", "b"]

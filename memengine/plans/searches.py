@@ -46,12 +46,12 @@ def criteria_rerank(spark, sf_dir):
     return out.select("id", one("urgency"), one("risk"), F.round("final", 6).alias("final"))
 
 
-@query("""WITH t AS (SELECT lang || ' ' || source AS topic, CASE WHEN count(*) > 5 THEN 'deep' ELSE 'shallow' END AS depth FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1), a AS (SELECT * FROM (VALUES ('en'), ('de web'), ('klingon'), ('the topic of es forum here')) v(topic)),
+@query("""WITH t AS (SELECT lang || ' ' || source AS topic, CASE WHEN count(*) > 5 THEN 'deep' ELSE 'shallow' END AS depth FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1), a AS (SELECT * FROM (VALUES ('en'), ('de src'), ('klingon'), ('the topic of es src3 here')) v(topic)),
 m AS (SELECT a.topic, lower(t.topic) AS k, depth, row_number() OVER (PARTITION BY a.topic ORDER BY lower(t.topic)) AS r FROM a JOIN t ON contains(lower(t.topic), lower(a.topic)) OR contains(lower(a.topic), lower(t.topic)) QUALIFY r <= 3)
 SELECT a.topic, count(k) AS known_topics, CASE WHEN count(k) = 0 THEN 'unknown' WHEN bool_and(depth = 'shallow') THEN 'shallow' ELSE 'known' END AS state FROM a LEFT JOIN m USING (topic) GROUP BY a.topic""")
 def knowledge_gaps(spark, sf_dir):
     t = scan(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").groupBy(F.concat_ws(" ", "lang", "source").alias("topic")).agg(F.when(F.count("*") > 5, "deep").otherwise("shallow").alias("depth"))
-    return search.gaps(spark.createDataFrame([("en",), ("de web",), ("klingon",), ("the topic of es forum here",)], "topic string"), t)
+    return search.gaps(spark.createDataFrame([("en",), ("de src",), ("klingon",), ("the topic of es src3 here",)], "topic string"), t)
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('click', 'error') AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'")
@@ -59,17 +59,17 @@ def requested_events(spark, sf_dir):
     return search.requested(scan(spark, sf_dir, "events"), types=["click", "error"], since="2024-01-10 00:00:00", until="2024-01-20 00:00:00").select("event_id")
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT id FROM (SELECT *, CASE id % 4 WHEN 0 THEN 'finance' WHEN 1 THEN 'public' WHEN 2 THEN 'ops' END AS role_tag FROM memories) WHERE (role_tag IS NULL OR role_tag IN ('ops', 'public')) AND (agent_id = 'web' OR memory_type = 'synthesis')")
+@query(f"WITH {MEMORIES_SQL} SELECT id FROM (SELECT *, CASE id % 4 WHEN 0 THEN 'finance' WHEN 1 THEN 'public' WHEN 2 THEN 'ops' END AS role_tag FROM memories) WHERE (role_tag IS NULL OR role_tag IN ('ops', 'public')) AND (agent_id = 'src3' OR memory_type = 'synthesis')")
 def visible_to_role(spark, sf_dir):
     tag = F.when(F.col("id") % 4 == 0, "finance").when(F.col("id") % 4 == 1, "public").when(F.col("id") % 4 == 2, "ops")
-    return search.requested(memories(spark, sf_dir).withColumn("role_tag", tag), role="ops", agent="web").select("id")
+    return search.requested(memories(spark, sf_dir).withColumn("role_tag", tag), role="ops", agent="src3").select("id")
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT id, agent_id FROM memories WHERE created_at <= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 720 HOUR AND agent_id LIKE 'c%' AND agent_id NOT LIKE 'co_e'")
+@query(f"WITH {MEMORIES_SQL} SELECT id, agent_id FROM memories WHERE created_at <= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 720 HOUR AND agent_id LIKE 'src1%' AND agent_id NOT LIKE 'src_0'")
 def age_window(spark, sf_dir):
     hours = lambda n: F.expr(f"timestamp_ntz '{AS_OF}' - INTERVAL {n} HOURS")
     m = memories(spark, sf_dir)
-    return m.where((F.col("created_at") <= hours(48)) & (F.col("created_at") >= hours(720)) & F.col("agent_id").like("c%") & ~F.col("agent_id").like("co_e")).select("id", "agent_id")
+    return m.where((F.col("created_at") <= hours(48)) & (F.col("created_at") >= hours(720)) & F.col("agent_id").like("src1%") & ~F.col("agent_id").like("src_0")).select("id", "agent_id")
 
 
 @query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '42'")

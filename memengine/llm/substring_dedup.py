@@ -49,6 +49,8 @@ from memengine.llm.common import integral, only, table, written
 from memengine.llm.textops import Words, grams, inside, mix, pieces, text_of, utf8
 
 WINDOW = 13
+#: Bytes of text hashed at once, and windows looked up at once: what a task holds for them beside its block.
+PIECE_BYTES, LOOKED_UP = 1 << 18, 1 << 17
 #: Cells of one shard of the sketch (one byte each while it is summed), as a power of two.
 LOG2_SHARD = 22
 #: Counts stop here; cells counted so often, at most twice by each block, are shared by many blocks.
@@ -70,7 +72,10 @@ def _second(words: Words, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(hashes ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)).astype(np.int64)
+    out = np.empty(len(hashes), dtype=np.int64)
+    for a in range(0, len(hashes), LOOKED_UP):
+        out[a : a + LOOKED_UP] = mix(hashes[a : a + LOOKED_UP] ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)
+    return out
 
 
 def _shrink(cells: np.ndarray) -> bytes:
@@ -89,7 +94,7 @@ def _each_piece(rows: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tu
     names = rows.schema.names
     data, offsets = utf8(rows.column(names.index(text_col)))
     ids, valid = B.longs(rows.column(names.index(id_col)))
-    for a, b in pieces(offsets):
+    for a, b in pieces(offsets, PIECE_BYTES):
         yield ids[a:b], valid[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -182,9 +187,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         whole = _all_windows(block, id_col, text_col, k)
         keep, often = np.ones(len(whole), dtype=bool), np.ones(len(whole), dtype=bool)
         for row in range(len(_SALTS)):
-            _, which = np.unique(_cells(whole, row, bits), return_inverse=True)
-            keep &= _bits(got, row, "twice")[which]
-            often &= _bits(got, row, "often")[which]
+            cells = _cells(whole, row, bits)
+            known, twice, frequent = np.unique(cells), _bits(got, row, "twice"), _bits(got, row, "often")
+            for a in range(0, len(cells), LOOKED_UP):
+                which = np.searchsorted(known, cells[a : a + LOOKED_UP])
+                keep[a : a + LOOKED_UP] &= twice[which]
+                often[a : a + LOOKED_UP] &= frequent[which]
+            del cells, known
         seconds, ids_of, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         for ids, valid, data, offsets in _each_piece(block, id_col, text_col):
             _, at, words = _windows(data, offsets, k)
@@ -194,9 +203,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             n += len(at)
             seconds.append(_second(words, at[own], k))
             ids_of.append(ids[of[own]])
-        first, often, second, ids = whole[keep], often[keep], np.concatenate(seconds), np.concatenate(ids_of)
+        first, often = whole[keep], often[keep]
+        del whole, keep
+        second, ids = np.concatenate(seconds), np.concatenate(ids_of)
+        del seconds, ids_of
         order = np.lexsort((ids, second, first))
-        first, second, ids, often = first[order], second[order], ids[order], often[order]
+        first = first[order]
+        second = second[order]
+        ids, often = ids[order], often[order]
+        del order
         begin = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(first)])
         last = np.append(begin[1:], len(first)) - 1 if len(begin) else begin
         number = got.column("block")[0].as_py() if got.num_rows else -1
@@ -208,7 +223,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rare = asked.where("NOT often").withColumn("least", F.min("lowest").over(Window.partitionBy(*window)))
     answers = rare.select(*window, "block", "lowest", "several", "least")
     if not judged.where("often IS NOT NULL").isEmpty():
-        common = asked.where("often").drop("often")
+        common = written(asked.where("often").drop("often"), "substring_common")  # read twice below
         least = common.groupBy(*window).agg(F.min("lowest").alias("least"))
         least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         common = common.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(least, [*window, "salt"])

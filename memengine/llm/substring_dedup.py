@@ -49,8 +49,8 @@ from memengine.llm.common import integral, only, table, written
 from memengine.llm.textops import Words, grams, inside, mix, pieces, text_of, utf8
 
 WINDOW = 13
-#: Bytes of text hashed at once, and windows looked up at once: what a task holds for them beside its block.
-PIECE_BYTES, LOOKED_UP = 1 << 18, 1 << 17
+#: Bytes of text hashed at once, and windows mixed at once: what a task holds for them beside its block.
+PIECE_BYTES, MIXED = 1 << 18, 1 << 17
 #: Cells of one shard of the sketch (one byte each while it is summed), as a power of two.
 LOG2_SHARD = 22
 #: Counts stop here; cells counted so often, at most twice by each block, are shared by many blocks.
@@ -73,8 +73,8 @@ def _second(words: Words, at: np.ndarray, k: int) -> np.ndarray:
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     out = np.empty(len(hashes), dtype=np.int64)
-    for a in range(0, len(hashes), LOOKED_UP):
-        out[a : a + LOOKED_UP] = mix(hashes[a : a + LOOKED_UP] ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)
+    for a in range(0, len(hashes), MIXED):
+        out[a : a + MIXED] = mix(hashes[a : a + MIXED] ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)
     return out
 
 
@@ -187,13 +187,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         whole = _all_windows(block, id_col, text_col, k)
         keep, often = np.ones(len(whole), dtype=bool), np.ones(len(whole), dtype=bool)
         for row in range(len(_SALTS)):
-            cells = _cells(whole, row, bits)
-            known, twice, frequent = np.unique(cells), _bits(got, row, "twice"), _bits(got, row, "often")
-            for a in range(0, len(cells), LOOKED_UP):
-                which = np.searchsorted(known, cells[a : a + LOOKED_UP])
-                keep[a : a + LOOKED_UP] &= twice[which]
-                often[a : a + LOOKED_UP] &= frequent[which]
-            del cells, known
+            _, which = np.unique(_cells(whole, row, bits), return_inverse=True)
+            keep &= _bits(got, row, "twice")[which]
+            often &= _bits(got, row, "often")[which]
+            del which
         seconds, ids_of, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         for ids, valid, data, offsets in _each_piece(block, id_col, text_col):
             _, at, words = _windows(data, offsets, k)

@@ -39,25 +39,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     for own in _NOTING:
         own.append(("path", path))
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out.made = [("path", path)]
     return out
 
 
-def saved(df: DataFrame, name: str, bucket: str) -> DataFrame:
-    """Write df as a table of the warehouse, in buckets by one column, so that joins by it move only the other side."""
+def saved(df: DataFrame, name: str, bucket: str, buckets: int | None = None) -> DataFrame:
+    """Write df as a table in buckets by one column, so that joins and windows by it move only the other side.
+
+    Its files lie in the shared folder; the catalogue only knows the place.  Without `buckets` there are as many as shuffle partitions.  A caller that has dealt df
+    by the same column into as many partitions gets one file a bucket."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("path", path).bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).saveAsTable(name)
+    made = [("table", name), ("path", path)]
     for own in _NOTING:
-        own.append(("table", name))
-    return spark.table(name)
+        own.extend(made)
+    out = spark.table(name)
+    out.made = made
+    return out
 
 
 def forget(*frames: DataFrame | None) -> None:
-    """Delete what written() made for these frames: nothing may read them any more."""
+    """Delete what written() or saved() made for these frames: nothing may read them any more."""
     for df in frames:
-        if df is not None and hasattr(df, "written_to"):
-            _delete(df.sparkSession, "path", df.written_to)
+        for kind, place in getattr(df, "made", ()):
+            _delete(df.sparkSession, kind, place)
 
 
 def _delete(spark: SparkSession, kind: str, place: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memengine.llm import bpe, decontamination, jaccard_join, language_id, lexical, padded_bpe, ppm, quality, substring_dedup, toxicity, warc, winnowing
+from memengine.llm import alignment, bpe, decontamination, jaccard_join, language_id, lexical, padded_bpe, ppm, quality, substring_dedup, toxicity, warc, winnowing
 
 _QUERIES = {
     "op3_warc": (warc.op3_warc, warc.SQL),
@@ -15,6 +15,7 @@ _QUERIES = {
     "op5_jaccard_join": (jaccard_join.op5_jaccard_join, None),
     "op8_bpe": (bpe.op8_bpe, None),
     "op10_substring_dedup": (substring_dedup.op10_substring_dedup, substring_dedup.SQL),
+    "op11_alignment": (alignment.op11_alignment, None),
     "op12_padded_bpe": (padded_bpe.op12_padded_bpe, None),
     "op13_lexical": (lexical.op13_lexical, lexical.SQL),
 }

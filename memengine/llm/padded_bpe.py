@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from memengine.llm.blocks import to_arrow_schema
 from memengine.llm.common import only, table
+from memengine.llm.textops import give_back, pieces, utf8
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Longest pre-token, in bytes, that shares a matrix; and the widths of the matrices.
@@ -48,9 +49,9 @@ WIDTHS = (3, 4, 6, 8, 10, 12, 16, 24, 32, 48, WIDEST)
 #: Rows of one matrix: both matrices of the widest stay below 5 MB.
 ROWS = 8192
 #: Distinct pre-tokens whose ids a worker keeps, and bytes of them; beyond either it forgets them and starts again.
-KEPT, KEPT_BYTES = 300_000, 64 << 20
-#: Texts taken together, in characters, and ids decoded together.
-BATCH_CHARS, BATCH_IDS = 1 << 20, 1 << 20
+KEPT, KEPT_BYTES = 200_000, 32 << 20
+#: Bytes of texts taken together, and ids decoded together.
+BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 20
 #: The rank of a pair that never merges.
 NONE = np.int32(2**31 - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -250,70 +251,73 @@ def _with(df: DataFrame, *added: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in dict(added)] + [T.StructField(n, t) for n, t in added])
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_CHARS:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with n_tokens long and ids array<int>."""
+def _mapped(df: DataFrame, added: list[tuple[str, T.DataType]], column: str, cut: Callable[[pa.Array], Iterator[tuple[int, int]]], make: Callable[[Ranks, pa.Array], dict[str, pa.Array]], path: str | None, pattern: str | None) -> DataFrame:
+    """df with columns that make() gives for pieces of one column, [a, b) by cut(), so that a task holds one piece's objects at a time."""
     body, pattern = _defaults(path, pattern)
-    sent = docs.sparkSession.sparkContext.broadcast(body)
-    schema = _with(docs, ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
+    sent = df.sparkSession.sparkContext.broadcast(body)
+    schema = T.StructType([f for f in df.schema.fields if f.name not in dict(added)] + [T.StructField(n, t) for n, t in added])
     kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _ranks(sent.value, pattern)
         for batch in batches:
             names = batch.schema.names
-            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
-            for a, b in _slices(texts):
-                ids = own.encode(texts[a:b])
-                ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)}
-                columns |= {"n_tokens": pa.array(np.diff(ends)), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            given = batch.column(names.index(column))
+            for a, b in cut(given):
+                columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)} | make(own, given.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in kind], schema=kind)
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _by_bytes(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return pieces(utf8(texts)[1], BATCH_BYTES)
+
+
+def _by_ids(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    return pieces(_offsets(lists), BATCH_IDS)
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    return np.cumsum([0, *[n or 0 for n in pc.list_value_length(lists).to_pylist()]])
+
+
+def _ids(own: Ranks, texts: pa.Array) -> dict[str, pa.Array]:
+    ids = own.encode([t or "" for t in texts.to_pylist()])
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+    return {"n_tokens": pa.array(np.diff(ends)), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))}
+
 
-    return docs.mapInArrow(run, schema)
+def _decoded(own: Ranks, lists: pa.Array) -> dict[str, pa.Array]:
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    data = own.decode(ids)
+    ends = np.append(0, np.cumsum(own.size[ids]))[_offsets(lists)]
+    return {"decoded": pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])}
+
+
+_ENCODED = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))]
+_DECODED = [("decoded", T.BinaryType())]
+
+
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs with n_tokens long and ids array<int>."""
+    return _mapped(docs, _ENCODED, text_col, _by_bytes, _ids, path, pattern)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """encoded with decoded binary, the bytes of its ids."""
-    body, pattern = _defaults(path, pattern)
-    sent = encoded.sparkSession.sparkContext.broadcast(body)
-    schema = _with(encoded, ("decoded", T.BinaryType()))
-    kind = to_arrow_schema(schema)
+    return _mapped(encoded, _DECODED, ids_col, _by_ids, _decoded, path, pattern)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _ranks(sent.value, pattern)
-        for batch in batches:
-            names = batch.schema.names
-            lists = batch.column(names.index(ids_col))
-            counts = np.cumsum([0, *[n or 0 for n in pc.list_value_length(lists).to_pylist()]])
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            a = 0
-            while a < len(lists):  # about BATCH_IDS at once: their bytes stay below what one Arrow column holds
-                b = max(a + 1, int(np.searchsorted(counts, counts[a] + BATCH_IDS, side="right")) - 1)
-                part = ids[counts[a] : counts[b]]
-                ends = np.append(0, np.cumsum(own.size[part]))[counts[a : b + 1] - counts[a]]
-                data = own.decode(part)
-                column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)} | {"decoded": column}
-                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in kind], schema=kind)
-                a = b
 
-    return encoded.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass: one Python worker a task instead of two."""
+    both = lambda own, texts: (made := _ids(own, texts)) | _decoded(own, made["ids"])
+    return _mapped(docs, _ENCODED + _DECODED, text_col, _by_bytes, both, path, pattern)
 
 
 def op12_padded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digests are Spark's; encoding and decoding take one pass each, without a shuffle."""
-    coded = decode(encode(only(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")))
+    """The digests are Spark's; encoding and decoding take one pass, without a shuffle."""
+    coded = round_trip(only(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", "n_tokens", F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -83,12 +83,17 @@ def test_forgets_and_slices(both, monkeypatch):
     assert [np.frombuffer(i, dtype="<i4").tolist() for i in got] == [library.encode_ordinary(t) for t in texts]
 
 
+def by_text(df):
+    return sorted(((r["doc_id"], r["text"], r["ids"], bytes(r["decoded"])) for r in df.collect()), key=repr)
+
+
 def test_table(docs, rows, empty, monkeypatch):
     """All columns pass through, nulls are empty, repeated rows stay; ids and texts go round."""
     monkeypatch.setattr(padded_bpe, "BATCH_IDS", 64)
     own = Ranks(*padded_bpe._defaults(None, None))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     got = padded_bpe.decode(padded_bpe.encode(docs))
+    assert by_text(got) == by_text(padded_bpe.round_trip(docs))
     assert set(got.columns) == {*docs.columns, "n_tokens", "ids", "decoded"}
     found = sorted(((r["doc_id"], r["text"], r["lang"], r["n_tokens"], r["ids"], bytes(r["decoded"])) for r in got.collect()), key=repr)
     want = [(i, t, "en" if (i or 0) % 2 else None, len(ids := library.encode_ordinary(t or "")), ids, (t or "").encode()) for i, t in rows]

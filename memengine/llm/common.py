@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lists that note the intermediate tables made just now, as (kind, place); see noted().
-_NOTING: list[list[tuple[str, str]]] = []
+#: Lists that note the intermediate tables made just now, as (kind, place); see noted().  Each thread has its own.
+_NOTING: ContextVar[tuple[list[tuple[str, str]], ...]] = ContextVar("noting", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for own in _NOTING:
+    for own in _NOTING.get():
         own.append(("path", path))
     out = spark.read.schema(df.schema).parquet(path)
     out.made = [("path", path)]
@@ -53,7 +54,7 @@ def saved(df: DataFrame, name: str, bucket: str, buckets: int | None = None) ->
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("path", path).bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).saveAsTable(name)
     made = [("table", name), ("path", path)]
-    for own in _NOTING:
+    for own in _NOTING.get():
         own.extend(made)
     out = spark.table(name)
     out.made = made
@@ -79,11 +80,11 @@ def _delete(spark: SparkSession, kind: str, place: str) -> None:
 def noted() -> Iterator[list[tuple[str, str]]]:
     """Within it, intermediate tables are noted in the list given; clear() deletes them once their consumer is written."""
     own: list[tuple[str, str]] = []
-    _NOTING.append(own)
+    token = _NOTING.set((*_NOTING.get(), own))
     try:
         yield own
     finally:
-        _NOTING.remove(own)
+        _NOTING.reset(token)
 
 
 def clear(spark: SparkSession, made: list[tuple[str, str]]) -> None:

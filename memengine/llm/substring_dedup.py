@@ -51,8 +51,11 @@ from memengine.llm.textops import Words, grams, inside, mix, pieces, text_of, ut
 WINDOW = 13
 #: Bytes of text hashed at once, and windows mixed at once: what a task holds for them beside its block.
 PIECE_BYTES, MIXED = 1 << 18, 1 << 17
-#: Cells of one shard of the sketch (one byte each while it is summed), as a power of two.
-LOG2_SHARD = 22
+#: Bytes of text in a block: its windows' hashes, cells and answers are held at once, about 40 times as much.
+BLOCK_BYTES = 4 << 20
+#: Cells of one shard of the sketch (one byte each while it is summed), as a power of two: up to the larger, so that there are 2**SHARDS shards before
+#: they get more numerous, as a block sends each shard a body of its own.
+LOG2_SHARD, LOG2_LARGE, SHARDS = 22, 26, 10
 #: Counts stop here; cells counted so often, at most twice by each block, are shared by many blocks.
 MOST, OFTEN = 255, 128
 SALTS = 16
@@ -72,7 +75,7 @@ def _second(words: Words, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    out = np.empty(len(hashes), dtype=np.int64)
+    out = np.empty(len(hashes), dtype=np.uint32 if bits <= 32 else np.int64)
     for a in range(0, len(hashes), MIXED):
         out[a : a + MIXED] = mix(hashes[a : a + MIXED] ^ np.uint64(_SALTS[row])) >> np.uint64(64 - bits)
     return out
@@ -109,8 +112,7 @@ def _all_windows(block: pa.RecordBatch, id_col: str, text_col: str, k: int) -> n
 
 def _answers(blocks: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> DataFrame:
     """(block, row, shard, n, twice, often): for the block's n distinct cells in a shard, in order, two bit arrays."""
-    low = min(bits, LOG2_SHARD)
-    shards = 1 << (bits - low)
+    low = min(bits, max(LOG2_SHARD, min(LOG2_LARGE, bits - SHARDS)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in B.each(batches):
@@ -120,9 +122,8 @@ def _answers(blocks: DataFrame, id_col: str, text_col: str, k: int, bits: int) -
                 more = np.ones(len(found), dtype=bool)
                 more[2:] = found[2:] != found[:-2]  # a count of two is as good as any above
                 found = found[more]
-                cut = np.searchsorted(found, np.arange(shards + 1) << low)
-                some = np.flatnonzero(cut[1:] > cut[:-1])
-                bodies = [_shrink(found[cut[i] : cut[i + 1]] - (i << low)) for i in some.tolist()]
+                some, begin = np.unique(found >> low, return_index=True)  # the work is that of the shards met, not of all
+                bodies = [_shrink(found[a:b] - (i << low)) for i, a, b in zip(some.tolist(), begin.tolist(), [*begin[1:].tolist(), len(found)], strict=True)]
                 yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(some), row), pa.int32()), "shard": pa.array(some, pa.int64()), "block": np.full(len(some), number), "body": pa.array(bodies, pa.binary())})
 
     def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Every row of docs with its columns, text_col holding the kept words joined by one space where words went,
     and n_words, n_removed (long) and kept_words (the kept words joined by one space, also where nothing went)."""
     integral(docs, id_col)
-    blocks = B.pack(docs, text_col, "substring_blocks")
+    blocks = B.pack(docs, text_col, "substring_blocks", BLOCK_BYTES)
     size = blocks.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     bits = max(10, math.ceil(math.log2(size + 1)))
     judged = written(_answers(blocks, id_col, text_col, k, bits), "substring_cells")

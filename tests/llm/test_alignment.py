@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memengine.llm import alignment
-from memengine.llm.bpe import byte_letters
+from memengine.llm.bpe import byte_letters, read
+from memengine.llm.common import forget, only
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -89,16 +90,10 @@ def test_query(spark, libraries):
 
 
 def test_nothing_is_shuffled_after_the_tokens(spark, docs):
-    """Windows and the join use the tokens' buckets: no exchange but broadcasts of the vocabularies."""
-    import public_tokenizers as P
-    from memengine.llm.bpe import read
-    from memengine.llm.common import forget, only
-
-    a, b = read(P.path(alignment.A)), read(P.path(alignment.B))
-    own = alignment._pair(a, b)
+    """Windows, the join and the gathering of links use the tokens' buckets and order."""
+    a, b = (read(public_tokenizers.path(x)) for x in (alignment.A, alignment.B))
     tokens = alignment._tokens(only(docs, doc_id="doc_id", text="text"), a, b)
-    vocabularies = alignment._vocabulary(spark, own.lengths_a, "a"), alignment._vocabulary(spark, dict(enumerate(map(len, own.bytes_of))), "b")
     with alignment._set(spark, alignment._SETTINGS):
-        plan = alignment._aligned(tokens, alignment.links(tokens, *vocabularies))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan and "BroadcastExchange" in plan
+        plan = alignment._aligned(tokens, alignment.links(tokens))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "SortAggregate" in plan and "HashAggregate" not in plan
     forget(tokens)

@@ -79,7 +79,7 @@ def test_substring_dedup(docs, rows, empty):
 def test_substring_dedup_of_many_blocks(spark, monkeypatch):
     """Passages in nearly every block take the salted way, others the plain one; both are right."""
     monkeypatch.setattr(substring_dedup, "OFTEN", 6)
-    monkeypatch.setattr(substring_dedup.B, "pack", lambda df, text, name, pack=substring_dedup.B.pack: pack(df, text, name, 300))
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 300)
     shared = [brute_prose(i, 20) for i in range(3)]
     table = [(i, f"{brute_prose(100 + i, 15)} {shared[0]} {shared[1] if i % 7 == 0 else ''} {shared[2] if i in (5, 50) else ''}") for i in range(60)]
     got = substring_dedup.dedup_substrings(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()

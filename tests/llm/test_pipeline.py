@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memengine.llm import bpe, quality
+from memengine.llm.common import written
 from memengine.llm.quality import classify
 from tests.llm import brute
 
@@ -74,3 +76,26 @@ def test_quality_stage_drops_what_is_rejected(spark):
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "BPE encoding and decoding"]
+
+
+def test_jaccard_stage_keeps_a_column_named_like_its_own(spark, docs):
+    some = docs.where("doc_id IS NULL OR doc_id < 13").withColumn("row_number", F.lit(7))
+    got = corpus_pipeline.ngram_jaccard_join(spark, some, "")
+    assert got.columns == some.columns and {r["row_number"] for r in got.collect()} == {7}
+
+
+def test_failed_stage_leaves_no_tables(spark, docs, tmp_path):
+    """A stage that fails deletes what it has written, and other threads' tables stay."""
+    made = []
+
+    @corpus_pipeline._stage
+    def fails(spark, docs, sf_dir):
+        made.append(written(docs.limit(1), "made"))
+        raise ValueError("no")
+
+    other = written(docs.limit(1), "other")
+    with pytest.raises(ValueError, match="no"):
+        fails(spark, docs, "")
+    assert other.count() == 1
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(made[0].made[0][1]).count()

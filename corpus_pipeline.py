@@ -13,6 +13,7 @@ of near duplicates one row stays, also where rows lack an id or repeat.
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +26,25 @@ from memengine.llm.jaccard_join import similarity_classes
 from memengine.llm.quality import kept as kept_by_quality
 from memengine.llm.substring_dedup import dedup_substrings
 
-#: Intermediate tables of the stages that ran so far.
-_MADE: list[tuple[str, str]] = []
+#: Intermediate tables of the stage that ran last in this thread, as .tables: two pipelines of one driver don't meet.
+_MADE = threading.local()
+
+
+def _clear(spark: SparkSession) -> None:
+    clear(spark, getattr(_MADE, "tables", []))
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear(spark, _MADE)
+        _clear(spark)
         with noted() as own:
-            out = f(spark, docs, sf_dir)
-        _MADE.extend(own)
-        return out
+            _MADE.tables = own
+            try:
+                return f(spark, docs, sf_dir)
+            except BaseException:
+                _clear(spark)
+                raise
 
     return run_stage
 
@@ -57,12 +65,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         copies = written(similarity_classes(docs).where("component_id <> doc_id").select("doc_id"), "copies")
         return docs.join(copies, "doc_id", "left_anti")
-    rows = written(docs.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
-    classes = similarity_classes(rows, id_col="row_number").where("n_shingles > 0").join(rows.select("row_number", "doc_id"), "row_number")
-    classes = written(classes.select("row_number", "component_id", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_number").alias("place")), "row_classes")
+    row = "row_number"
+    while row in docs.columns:  # a caller's column of that name passes through
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = similarity_classes(rows, id_col=row).where("n_shingles > 0").join(rows.select(row, "doc_id"), row)
+    classes = written(classes.select(row, "component_id", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.col(row).alias("row")).alias("place")), "row_classes")
     first = classes.groupBy("component_id").agg(F.min("place").alias("place"))
-    copies = classes.join(first.select("component_id", F.col("place.row_number").alias("kept")), "component_id").where("row_number <> kept").select("row_number")
-    return rows.join(written(copies, "copies"), "row_number", "left_anti").select(docs.columns)
+    copies = classes.join(first.select("component_id", F.col("place.row").alias("kept")), "component_id").where(F.col(row) != F.col("kept")).select(row)
+    return rows.join(written(copies, "copies"), row, "left_anti").select(docs.columns)
 
 
 @_stage
@@ -107,5 +118,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         forget(before)
-    clear(spark, _MADE)
+    _clear(spark)
     return docs

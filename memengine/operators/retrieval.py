@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from memengine.functions.scalars import age_days, dot, estimated_tokens, recency, unit
 
-WEIGHTS = {"similarity": 0.35, "recency": 0.4, "importance": 0.15, "access": 0.1}
 #: Fixed values of the memory model.
+WEIGHTS = {"similarity": 0.4, "recency": 0.35, "importance": 0.15, "access": 0.1}
 TYPE_MULTIPLIERS = {"identity": 1.15, "correction": 1.25, "preference": 1.15, "synthesis": 1.15}
 
 
@@ -98,11 +98,39 @@ def bm25(df: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> D
     return rows.crossJoin(F.broadcast(totals)).select("id", score.alias("score")).where("score > 0")
 
 
-def classify(queries: DataFrame) -> DataFrame:
-    """(q) with the signals that a query names something: proper noun, date, quotes, shortness."""
-    q = F.col("q")
-    proper = F.size(F.regexp_extract_all(q, F.lit(r"(?<=\s)[A-Z][a-z]+"), F.lit(0))) > 0
-    date = q.rlike(r"\d{4}-\d{2}-\d{2}|\b(?:19|20)\d{2}\b")
-    short = (F.size(F.split(F.trim(q), r"\s+")) <= 5) | q.contains('"')
-    signals = proper.cast("int") + date.cast("int") + short.cast("int")
-    return queries.select("*", proper.alias("proper"), date.alias("dated"), short.alias("short"), ((signals >= 2) | proper | date).alias("dominant"))
+#: Fixed values of the memory model: what holds where an agent's configuration says nothing.
+CONFIG = {"context_budget": 4000, "semantic_weight": 0.4, "recency_weight": 0.35, "importance_weight": 0.15, "access_weight": 0.1, "recency_half_life_days": 3}
+
+
+def configured(agents: DataFrame, config: DataFrame, key: str) -> DataFrame:
+    """agents (key) with the six values of CONFIG; a missing row, a null and a zero in config mean the default."""
+    values = [F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(v)).cast("int" if isinstance(v, int) else "double").alias(c) for c, v in CONFIG.items()]
+    return agents.join(config, key, "left").select(key, *values)
+
+
+def always_block(agents: DataFrame, handoffs: DataFrame, memories: DataFrame, budget: int, corrections: int = 5) -> DataFrame:
+    """(agent_id, block, tokens, remaining): what an agent's recall always has, and what it leaves of the budget.
+
+    agents has agent_id, identity and user_profile (JSON texts or null), handoffs agent_id, created_at and summary, of which the last counts, and
+    memories are active ones; the latest corrections are shown with headline and context."""
+    last = handoffs.groupBy("agent_id").agg(F.max_by("summary", "created_at").alias("summary"))
+    shown = F.concat(F.lit("- ⚠️ "), F.coalesce("headline", F.lit("")), F.lit(": "), F.coalesce("context", F.lit("")))
+    top = topk_by(memories.where("memory_type = 'correction'"), ["agent_id"], [F.desc("created_at"), F.col("id")], corrections)
+    lines = top.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("line")))).alias("lines"))  # a handful each
+    part = lambda title, c: F.concat(F.lit(f"### {title}\n"), c)
+    block = F.concat_ws("\n\n", part("Agent Identity", F.col("identity")), part("User Profile", F.col("user_profile")), part("Last Session Summary", F.col("summary")), part("Active Corrections", F.array_join(F.col("lines.line"), "\n")))
+    out = agents.join(last, "agent_id", "left").join(lines, "agent_id", "left").select("agent_id", block.alias("block"))
+    tokens = estimated_tokens(F.col("block")).cast("long")
+    return out.select("agent_id", "block", tokens.alias("tokens"), F.greatest(F.lit(0), budget - tokens).alias("remaining"))
+
+
+def cross_agent(ranked: DataFrame) -> DataFrame:
+    """ranked (agent_id, composite, ...) of several agents with tier and shown, which names the agent that the memory is from."""
+    out = tiered(ranked.where("agent_id IS NOT NULL"))
+    return out.withColumnRenamed("agent_id", "source_agent").withColumn("shown", F.concat(F.lit("[From "), "source_agent", F.lit("] "), "shown"))
+
+
+def fallback(ranked: DataFrame, least: float = 0.6) -> DataFrame:
+    """(agent_id, best, own): whether an agent's best shown memory is good enough, or all agents are asked."""
+    best = F.max(F.when(F.col("composite") > 0.4, F.col("composite")))
+    return ranked.groupBy("agent_id").agg(best.alias("best")).select("agent_id", "best", F.coalesce(F.col("best") >= least, F.lit(False)).alias("own"))

@@ -25,6 +25,9 @@ CRITERIA = {
     "actionability": (0.2, ["should", "must", "need to", "todo", "action", "next step", "implement", "build", "fix"]),
 }
 
+#: Other names of criteria.
+SYNONYMS = {"joy": "positivity", "negativity": "risk"}
+
 
 def classified(queries: DataFrame) -> DataFrame:
     """queries (q) with keywords, signals, whether keywords dominate, and how sure that is."""
@@ -69,7 +72,8 @@ def requested(df: DataFrame, types: list[str] | None = None, actor: int | None =
 
 def criterion(name: str, text: Column, confidence: Column, importance: Column) -> Column:
     """Score of a text by one criterion; unknown ones go by importance."""
-    low = F.lower(text)
+    low, name = F.lower(text), name.lower()
+    name = SYNONYMS.get(name, name)
     if name in CRITERIA:
         base, words = CRITERIA[name]
         hits = reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])

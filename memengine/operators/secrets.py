@@ -107,7 +107,10 @@ def found_in(text: str) -> list[tuple[str, str, str, int, int]]:
 
 
 def preview(s: str) -> str:
-    return s[:4] + "*" * (len(s) - 8) + s[-4:] if len(s) > 12 else s[:2] + "*" * max(0, len(s) - 2)
+    """Safe to log: the ends of a long secret, the beginning of a short one."""
+    if len(s) <= 8:
+        return s[:2] + "***"
+    return s[:4] + "..." + s[-2:] if len(s) <= 14 else s[:6] + "..." + s[-4:]
 
 
 SCHEMA = "id {id}, name string, category string, confidence string, start int, length int, preview string"

@@ -128,3 +128,17 @@ def asof(left: DataFrame, right: DataFrame, by: str, tolerance_seconds: int) ->
     out = l.unionByName(r).withColumn("m", last).where("side = 1")
     near = F.col("t") - F.col("m.t") <= tolerance_seconds * 1_000_000
     return out.select("left_id", F.when(near, F.col("m.right_id")).alias("right_id"))
+
+
+def quality_score() -> Column:
+    """From 0 to 100, truncated: used recalls 40, merges 20, recalls 20, lack of contradictions 20; over used, ignored, merged, total, recalls, contradictions."""
+    part = lambda c: F.least(c, F.lit(1.0))
+    usage = F.col("used") / F.greatest(F.col("used") + F.col("ignored"), F.lit(1))
+    merges = part(F.col("merged") / F.greatest(0.01 * F.col("total"), F.lit(1.0)))
+    return (usage * 40 + merges * 20 + part(F.col("recalls") / 100) * 20 + (1 - part(F.col("contradictions") / 10)) * 20).cast("int")
+
+
+def recall_stats(active: DataFrame) -> DataFrame:
+    """(agent_id, recalled, used, hit_rate) of active memories (agent_id, recall_count, used_count)."""
+    rate = F.when(F.col("recall_count") > 0, F.col("used_count") / F.col("recall_count"))
+    return active.groupBy("agent_id").agg(F.count_if(F.col("recall_count") > 0).alias("recalled"), F.sum("used_count").alias("used"), F.avg(rate).alias("hit_rate"))

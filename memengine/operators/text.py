@@ -1,4 +1,4 @@
-"""Text operators: secret scanning and redaction, claims, citations, turns and chunks."""
+"""Text operators: claims, citations, turns and chunks."""
 
 from __future__ import annotations
 
@@ -8,35 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memengine.functions.scalars import entropy, luhn
-
-#: Fixed patterns of what is scanned for.
-PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ipv4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}",
-}
-SECRET = r"\b[0-9a-f]{32,64}\b"
-CARD = r"\b\d{13,19}\b"
-HIGH_ENTROPY = 3.0
-
-
-def scan(texts: DataFrame) -> DataFrame:
-    """(id, kind, n): how often each kind of secret or personal data stands in a text (id, text)."""
-    kinds = [F.struct(F.lit(k).alias("kind"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("n")) for k, p in PATTERNS.items()]
-    cards = F.filter(F.regexp_extract_all("text", F.lit(CARD), F.lit(0)), luhn)
-    secrets = F.filter(F.regexp_extract_all("text", F.lit(SECRET), F.lit(0)), lambda s: entropy(s) >= HIGH_ENTROPY)
-    kinds += [F.struct(F.lit("card").alias("kind"), F.size(cards).alias("n")), F.struct(F.lit("secret").alias("kind"), F.size(secrets).alias("n"))]
-    return texts.select("id", F.explode(F.array(*kinds)).alias("f")).select("id", "f.kind", F.col("f.n").cast("long").alias("n")).where("n > 0")
-
-
-def redacted(texts: DataFrame) -> DataFrame:
-    text = F.col("text")
-    for kind, pattern in PATTERNS.items():
-        text = F.regexp_replace(text, pattern, f"[{kind.upper()}]")
-    return texts.withColumn("text", text)
-
 
 def claims(text: Column) -> Column:
     """The sentences of a text, lower case, white space collapsed, without closing signs."""

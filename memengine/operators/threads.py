@@ -15,9 +15,9 @@ def stride_pairs(turns: DataFrame, least_chars: int = 20) -> DataFrame:
 
 
 def worth_keeping(pairs: DataFrame) -> DataFrame:
-    """Pairs (human, reply) that aren't both short (15 and 30 characters) and carry no system marker."""
+    """Pairs (human, reply) that aren't both short (15 and 30 characters); heartbeats and replies that say nothing go."""
     short = (F.char_length("human") < 15) & (F.char_length("reply") < 30)
-    return pairs.where(~short & ~F.col("human").startswith("[system") & ~F.col("human").startswith("<system"))
+    return pairs.where(~short & ~F.col("human").contains("HEARTBEAT") & ~F.col("reply").contains("NO_REPLY"))
 
 
 def overlapping(ranges: DataFrame, asked: DataFrame) -> DataFrame:
@@ -31,16 +31,28 @@ def overlapping(ranges: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def prior_thread(threads: DataFrame) -> DataFrame:
-    """(owner, thread, prior): for each thread (owner, thread, last_seen) the same owner's most recent earlier one."""
-    w = Window.partitionBy("owner").orderBy("last_seen", "thread")
-    return threads.select("owner", "thread", F.lag("thread").over(w).alias("prior"))
+    """(owner, thread, prior): for each thread (owner, thread, last_seen) the same owner's latest other one.
+
+    Only the owner's latest two matter, so nothing is ordered but those."""
+    last = threads.groupBy("owner").agg(F.max(F.struct("last_seen", "thread")).alias("first"))
+    rest = threads.join(last, "owner").where(F.col("thread") != F.col("first.thread")).groupBy("owner").agg(F.max(F.struct("last_seen", "thread")).alias("second"))
+    both = threads.join(last, "owner", "left").join(rest, "owner", "left")
+    return both.select("owner", "thread", F.when(F.col("thread") != F.col("first.thread"), F.col("first.thread")).otherwise(F.col("second.thread")).alias("prior"))
 
 
 def resumed(checkpoints: DataFrame, budget: int, most: int) -> DataFrame:
-    """Checkpoints (thread, seq, tokens, preserved) to resume with: preserved ones always, others in order while the tokens fit and there are fewer than `most`."""
-    w = Window.partitionBy("thread").orderBy(F.desc("preserved"), "seq", "tokens")
-    x = checkpoints.withColumns({"used": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(w)})
-    return x.where(F.col("preserved") | ((F.col("used") <= budget) & (F.col("n") <= most))).select("thread", "seq", "tokens", "preserved")
+    """Checkpoints (thread, seq, tokens, preserved) to resume with.
+
+    Preserved ones come first, whatever they take; of the others, in order, each that still fits is taken, and one that doesn't is skipped.
+    No more than `most` stay.  What is taken depends on what was taken before, so a thread's checkpoints (some tens) are folded in order."""
+    order = F.array_sort(F.collect_list(F.struct((~F.col("preserved")).alias("later"), "seq", "tokens")))
+    kind = "struct<used:bigint,taken:array<struct<later:boolean,seq:bigint,tokens:bigint>>>"
+    fits = lambda a, x: ~x["later"] | ((a["used"] + x["tokens"] <= budget) & (F.size(a["taken"]) < most))
+    add = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["tokens"]).alias("used"), F.array_append(a["taken"], x).alias("taken"))).otherwise(a)
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<later:boolean,seq:bigint,tokens:bigint>>").alias("taken")).cast(kind)
+    rows = checkpoints.withColumns({"seq": F.col("seq").cast("bigint"), "tokens": F.col("tokens").cast("bigint")})
+    out = rows.groupBy("thread").agg(F.slice(F.aggregate(order, start, add)["taken"], 1, most).alias("taken")).select("thread", F.explode("taken").alias("x"))
+    return out.select("thread", "x.seq", "x.tokens", (~F.col("x.later")).alias("preserved"))
 
 
 def cooled(alerts: DataFrame, seconds: int) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the memory model.
 DUPLICATE, SAME_TYPE_DUPLICATE = 0.92, 0.85
 CASCADE_STRENGTH, CASCADE_NEIGHBOURS = 0.4, 10
-#: Entity types by words of a memory's text, in this order.
-ENTITY_WORDS = (("person", ("he ", "she ", "said")), ("organisation", ("company", "team")), ("place", ("river", "city")), ("tool", ("code", "software")))
+#: Entity types, in this order: phrases of the memory around the entity's own name, or parts of the name.
+PERSON_PHRASES = ("{} is a person", "{} said", "{} prefers")
+ORGANIZATION_PARTS = ("inc", "corp", "llc", "ltd", "company", "academy", "university")
+PROJECT_PARTS = ("project", "phase", "module")
+LOCATION_PHRASES = ("in {}", "at {}", "from {}")
 
 
 def duplicate_check(pairs: DataFrame, memories: DataFrame) -> DataFrame:
@@ -40,14 +45,12 @@ def entity_nodes(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("at", "kind"))).alias("kind"), F.count("*").alias("mention_count"), F.max("at").alias("last_seen"))
 
 
-def entity_kind(text: Column) -> Column:
-    out = F.lit("unknown")
-    for kind, words in reversed(ENTITY_WORDS):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(F.lower(text), F.lit(w))
-        out = F.when(hit, kind).otherwise(out)
-    return out
+def entity_kind(entity: Column, text: Column) -> Column:
+    """person, organization, project, location or unknown, from the entity's name and the text of its memory."""
+    name, low = F.lower(entity), F.lower(F.coalesce(text, F.lit("")))
+    around = lambda phrases: reduce(lambda a, b: a | b, [F.contains(low, F.concat(F.lit(p.split("{}")[0]), name, F.lit(p.split("{}")[1]))) for p in phrases])
+    within = lambda parts: reduce(lambda a, b: a | b, [F.contains(name, F.lit(p)) for p in parts])
+    return F.when(around(PERSON_PHRASES), "person").when(within(ORGANIZATION_PARTS), "organization").when(within(PROJECT_PARTS), "project").when(around(LOCATION_PHRASES), "location").otherwise("unknown")
 
 
 def relation_pairs(memories: DataFrame) -> DataFrame:
@@ -62,11 +65,17 @@ def expired(memories: DataFrame, as_of: str) -> DataFrame:
     return memories.where((F.col("expires_at") < now) & F.col("superseded_at").isNull()).select("id", now.alias("superseded_at"))
 
 
-def importance_changes(feedback: DataFrame, least: int = 3) -> DataFrame:
-    """(id, change) from counts of a week's feedback (id, kind): two contradictions queue it, three uses alone raise, three ignored alone lower."""
+def importance_changes(feedback: DataFrame, memories: DataFrame, as_of: str, least: int = 3) -> DataFrame:
+    """(id, change, importance) from a week's feedback (id, kind) on memories (id, importance, memory_type, created_at).
+
+    Two contradictions queue a memory for review and leave its importance; three uses without an ignored one raise it by 0.05, up to 1, three ignored without a
+    use lower it, down to 0.1.  Identities and memories of under 48 hours stay as they are."""
     n = feedback.groupBy("id").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("used", "ignored", "contradicted")]).where(F.col("n") >= least)
+    old = F.col("created_at") <= F.expr(f"timestamp_ntz '{as_of}' - INTERVAL 48 HOURS")
+    rows = n.join(memories.where((F.col("memory_type") != "identity") & old).select("id", F.coalesce(F.nullif("importance", F.lit(0.0)), F.lit(0.5)).alias("now")), "id")
     change = F.when(F.col("contradicted") >= 2, "queue").when((F.col("used") >= 3) & (F.col("ignored") == 0), "raise").when((F.col("ignored") >= 3) & (F.col("used") == 0), "lower")
-    return n.withColumn("change", change).where("change IS NOT NULL").select("id", "change")
+    step = F.when(F.col("change") == "raise", F.least(F.lit(0.05), 1.0 - F.col("now"))).when(F.col("change") == "lower", F.greatest(F.lit(-0.05), 0.1 - F.col("now"))).otherwise(0.0)
+    return rows.withColumn("change", change).where("change IS NOT NULL").select("id", "change", F.round(F.col("now") + step, 3).alias("importance"))
 
 
 def topic_depth(topics: DataFrame) -> DataFrame:

@@ -60,12 +60,16 @@ def stride_pairs(spark, sf_dir):
     return threads.worth_keeping(threads.stride_pairs(scan(spark, sf_dir, "conversations")))
 
 
-@query("WITH t AS (SELECT o_custkey AS owner, o_orderkey AS thread, o_orderdate AS last_seen FROM orders) SELECT owner, thread, lag(thread) OVER (PARTITION BY owner ORDER BY last_seen, thread) AS prior FROM t")
+@query("""WITH t AS (SELECT o_custkey AS owner, o_orderkey AS thread, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders)
+SELECT t.owner, t.thread, p.thread AS prior FROM t LEFT JOIN t p ON p.owner = t.owner AND p.r = CASE WHEN t.r = 1 THEN 2 ELSE 1 END""")
 def prior_threads(spark, sf_dir):
     return threads.prior_thread(scan(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("thread"), F.col("o_orderdate").alias("last_seen")))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS thread, l_linenumber AS seq, CAST(floor(l_quantity) AS BIGINT) AS tokens, l_returnflag = 'R' AS preserved FROM lineitem), u AS (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY thread ORDER BY preserved DESC, seq, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT thread, seq, tokens, preserved FROM u WHERE preserved OR (used <= 80 AND n <= 4)""")
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS thread, CAST(l_linenumber AS BIGINT) AS seq, CAST(floor(l_quantity) AS BIGINT) AS tokens, l_returnflag = 'R' AS preserved, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_linenumber, floor(l_quantity)) AS r FROM lineitem),
+f AS (SELECT DISTINCT thread, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, false AS taken FROM c UNION ALL
+ SELECT thread, c.r, used + CASE WHEN ok THEN tokens ELSE 0 END, n + CASE WHEN ok THEN 1 ELSE 0 END, ok FROM (SELECT f.thread, f.used, f.n, c.r, c.tokens, c.preserved OR (f.used + c.tokens <= 80 AND f.n < 4) AS ok FROM f JOIN c ON c.thread = f.thread AND c.r = f.r + 1) c)
+SELECT c.thread, seq, tokens, preserved FROM f JOIN c ON c.thread = f.thread AND c.r = f.r WHERE taken AND n <= 4""")
 def resumed_checkpoints(spark, sf_dir):
     c = scan(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_linenumber").alias("seq"), F.floor("l_quantity").alias("tokens"), (F.col("l_returnflag") == "R").alias("preserved"))
     return threads.resumed(c, 80, 4)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from memengine.operators import dedup, graph, lifecycle, retrieval, telemetry, text
 from memengine.plans.base import QUERIES, query
-from memengine.sources.tables import AS_OF, MEMORIES_SQL, USAGE_SQL, VECTORS_SQL, WHOLE_MEMORIES_SQL, active, api_usage, for_tenant, memories, scan, vectors, whole_memories
+from memengine.plans.recall import COMPOSITE as _COMPOSITE, QUERY_VECTOR, QV as _QV, SCORED as _SCORED, scored_memories as _scored
+from memengine.sources.tables import AS_OF, MEMORIES_SQL, USAGE_SQL, VECTORS_SQL, active, api_usage, for_tenant, memories, scan, vectors
 
 _QUERIES = QUERIES
 
@@ -24,8 +25,6 @@ def oracle_sql() -> dict[str, str]:
 
 #: No two of the given vectors are alike by the memory model's own thresholds (0.78 and above), so the pair queries use this one.
 SIMILAR = 0.4
-QUERY_VECTOR = [((i * 37) % 64) / 64.0 - 0.5 for i in range(64)]
-_QV = "[" + ", ".join(map(str, QUERY_VECTOR)) + "]::DOUBLE[]"
 _SIM = f"round(coalesce(list_cosine_similarity(embedding, {_QV}), 0), 6)"
 
 
@@ -40,17 +39,6 @@ def vector_topk_per_agent(spark, sf_dir):
     return retrieval.topk_by(scored, ["agent_id"], [F.desc("similarity"), F.col("id")], 10).withColumn("similarity", F.round("similarity", 6))
 
 
-def _scored(spark, sf_dir):
-    """Memories with the similarity of the vector of the same number; a row without one has none."""
-    return active(memories(spark, sf_dir)).join(retrieval.scored(vectors(spark, sf_dir), QUERY_VECTOR).select("id", "similarity"), "id", "left")
-
-
-_SCORED = f"{MEMORIES_SQL}, {VECTORS_SQL}, scored AS (SELECT m.*, list_cosine_similarity(v.embedding, {_QV}) AS similarity FROM memories m LEFT JOIN vectors v USING (id) WHERE superseded_at IS NULL)"
-_AGE = f"(epoch(TIMESTAMP '{AS_OF}') / 86400.0 - epoch(created_at) / 86400.0)"
-_COMPOSITE = f"""composed AS (SELECT *, (0.35 * coalesce(similarity, 0) + 0.4 * (exp(-0.693 * {_AGE} / 3.0) * CASE WHEN {_AGE} < 1 THEN 2.5 ELSE 1 END) + 0.15 * least(1.0, importance * (1 + 0.1 * least(reinforcement_count, 5))) + 0.1 * least(access_count / 10.0, 1.0))
- * CASE WHEN memory_type = 'decision' AND {_AGE} < 7 THEN 1.2 WHEN memory_type = 'identity' THEN 1.15 WHEN memory_type = 'correction' THEN 1.25 WHEN memory_type = 'preference' THEN 1.15 ELSE 1 END AS composite FROM scored)"""
-
-
 @query(f"""WITH {_SCORED}, a AS (SELECT id, similarity FROM scored WHERE similarity IS NOT NULL ORDER BY similarity DESC, id LIMIT 100), b AS (SELECT id FROM scored WHERE importance > 0.8 AND id NOT IN (SELECT id FROM a) ORDER BY importance DESC, id LIMIT 50),
 c AS (SELECT id FROM scored WHERE contains(lower(context), 'the') AND id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b) ORDER BY importance DESC, id LIMIT 50)
 SELECT id, round(similarity, 6) AS similarity, 'vector' AS strategy FROM a UNION ALL SELECT id, 0.5, 'importance' FROM b UNION ALL SELECT id, 0.35, 'keyword' FROM c""")
@@ -85,41 +73,16 @@ def tier_pack(spark, sf_dir):
     return _packed(_scored(spark, sf_dir))
 
 
-_BATCH = [(1, "the"), (2, "mentheit"), (3, "password"), (4, "qué")]
+_BATCH = [(1, "the"), (2, "idiot"), (3, "tion"), (4, "keit")]
 
 
-@query(f"""WITH {MEMORIES_SQL}, q AS (SELECT * FROM (VALUES (1, 'the'), (2, 'mentheit'), (3, 'password'), (4, 'qué')) t(query_id, q))
+@query(f"""WITH {MEMORIES_SQL}, q AS (SELECT * FROM (VALUES (1, 'the'), (2, 'idiot'), (3, 'tion'), (4, 'keit')) t(query_id, q))
 SELECT query_id, id, CAST(r AS INTEGER) AS rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id) AS r FROM memories JOIN q ON contains(lower(headline), lower(q)) OR contains(lower(context), lower(q)) WHERE superseded_at IS NULL) WHERE r <= 20""")
 def batch_search(spark, sf_dir):
     asked = spark.createDataFrame(_BATCH, "query_id int, q string")
     return retrieval.substring_search(active(memories(spark, sf_dir)), asked).select("query_id", "id", "rank")
 
 
-def _whole_scored(spark, sf_dir):
-    return active(whole_memories(spark, sf_dir)).join(retrieval.scored(vectors(spark, sf_dir), QUERY_VECTOR).select("id", "similarity"), "id", "left")
-
-
-@query(_QUERIES["hybrid_candidates"][1].replace(MEMORIES_SQL, WHOLE_MEMORIES_SQL))
-def hybrid_candidates_full(spark, sf_dir):
-    hits = retrieval.hybrid_candidates(_whole_scored(spark, sf_dir), F.contains(F.lower("context"), F.lit("the")), 100)
-    return hits.withColumn("similarity", F.round("similarity", 6))
-
-
-@query(_QUERIES["tier_pack"][1].replace(MEMORIES_SQL, WHOLE_MEMORIES_SQL))
-def tier_pack_full(spark, sf_dir):
-    return _packed(_whole_scored(spark, sf_dir))
-
-
-_FULL_BATCH = [(1, "the"), (2, "idiot"), (3, "tion"), (4, "keit")]
-
-
-@query(f"""WITH {WHOLE_MEMORIES_SQL}, q AS (SELECT * FROM (VALUES (1, 'the'), (2, 'idiot'), (3, 'tion'), (4, 'keit')) t(query_id, q))
-SELECT query_id, id, CAST(r AS INTEGER) AS rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id) AS r FROM memories JOIN q ON contains(lower(context), lower(q)) WHERE superseded_at IS NULL) WHERE r <= 20""")
-def batch_search_full(spark, sf_dir):
-    asked = spark.createDataFrame(_FULL_BATCH, "query_id int, q string")
-    return retrieval.substring_search(active(whole_memories(spark, sf_dir)), asked).select("query_id", "id", "rank")
-
-
 @query("""WITH r AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents),
 t AS (SELECT id, len(ws) AS dl, len(list_filter(ws, lambda w: w = 'the')) AS a, len(list_filter(ws, lambda w: w = 'with')) AS b FROM r),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS da, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS db FROM t),
@@ -246,26 +209,6 @@ def asof_feedback(spark, sf_dir):
     return telemetry.asof(u.where("endpoint = '/purchase'"), u.where("endpoint = '/view'"), "user_id", 86400)
 
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey % 500 AS src, 1000 + l_suppkey AS dst FROM lineitem WHERE l_quantity < 2)"
-
-
-def _edges(spark, sf_dir):
-    return scan(spark, sf_dir, "lineitem").where("l_quantity < 2").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") + 1000).alias("dst")).distinct()
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT CAST(7 AS BIGINT) AS id, 0 AS hop UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY id""")
-def graph_hops(spark, sf_dir):
-    return graph.hops(_edges(spark, sf_dir), spark.range(7, 8).select("id"), 3)
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT CAST(7 AS BIGINT) AS id, 0 AS hop UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.id WHERE hop < 1), n AS (SELECT id, min(hop) AS hop FROM h GROUP BY id)
-SELECT src, dst, min(hop) + 1 AS hop FROM (SELECT e.*, hop FROM e JOIN n ON n.id = src UNION ALL SELECT e.*, hop FROM e JOIN n ON n.id = dst) GROUP BY src, dst""")
-def graph_subgraph(spark, sf_dir):
-    return graph.subgraph(_edges(spark, sf_dir), spark.range(7, 8).select("id"), 2)
-
-
-
-
 @query("""WITH i AS (SELECT DISTINCT l_partkey AS entity, l_orderkey AS id FROM lineitem), p AS (SELECT a.id, b.id AS other, count(*) AS shared FROM i a JOIN i b USING (entity) WHERE a.id <> b.id GROUP BY ALL)
 SELECT id, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS r FROM p) WHERE r <= 10""")
 def entity_cooccurrence(spark, sf_dir):
@@ -309,55 +252,34 @@ def illegal_moves(spark, sf_dir):
     return lifecycle.illegal_moves(scan(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), state.alias("state")))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS id, list(DISTINCT l_partkey) AS src FROM lineitem GROUP BY 1), u AS (SELECT id, len(src) AS n, unnest(src) AS source FROM s), r AS (SELECT id, n, count(*) AS lost FROM u WHERE source % 17 = 0 GROUP BY id, n)
-SELECT id, CASE WHEN lost >= n THEN 'redacted' ELSE 'pending_resynthesis' END AS state, lost FROM r""")
-def redaction_cascade(spark, sf_dir):
-    s = scan(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("source_ids"))
-    return lifecycle.redaction_cascade(s, scan(spark, sf_dir, "part").where("p_partkey % 17 = 0").select(F.col("p_partkey").alias("id")))
-
-
-@query("""WITH p AS (SELECT doc_id AS id, text FROM documents), c AS (SELECT id, 'email' AS kind, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n FROM p UNION ALL SELECT id, 'ipv4', len(regexp_extract_all(text, '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b')) FROM p
-UNION ALL SELECT id, 'aws_key', len(regexp_extract_all(text, '\\bAKIA[0-9A-Z]{16}\\b')) FROM p UNION ALL SELECT id, 'phone', len(regexp_extract_all(text, '\\+\\d \\(\\d{3}\\) \\d{3}-\\d{4}')) FROM p) SELECT id, kind, n FROM c WHERE n > 0""")
-def dlp_patterns(spark, sf_dir):
-    return text.scan(scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).where("kind NOT IN ('card', 'secret')")
-
-
-@query()
-def dlp_scan(spark, sf_dir):
-    return text.scan(scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-
-
-@query("""WITH c AS (SELECT source AS cluster, lang AS agent, rtrim(regexp_replace(lower(trim(unnest(string_split(regexp_replace(trim(text), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))), ' ' || chr(9) || chr(10) || chr(13))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '.!?,;:') AS claim FROM documents),
-v AS (SELECT cluster, claim, count(DISTINCT agent) AS votes FROM c WHERE claim <> '' GROUP BY ALL),
-n AS (SELECT source AS cluster, count(DISTINCT lang) AS agents FROM documents GROUP BY 1) SELECT cluster, claim, votes, votes >= (agents + 1) // 2 AS retained FROM v JOIN n USING (cluster) WHERE votes > 1""")
-def claim_votes(spark, sf_dir):
-    return text.claim_votes(scan(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("agent"), "text")).where("votes > 1")
-
-
-# The same over all of lineitem, with whole part ids and supplier ids below zero.
-_ALL_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem)"
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem)"
 
 
 def _all_edges(spark, sf_dir):
+    """Parts and, below zero, suppliers that lineitem brings together."""
     return scan(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
 
 
-@query(_QUERIES["graph_hops"][1].replace(_EDGES, _ALL_EDGES))
+@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT CAST(7 AS BIGINT) AS id, 0 AS hop UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY id""")
 def graph_hops_all(spark, sf_dir):
     return graph.hops(_all_edges(spark, sf_dir), spark.range(7, 8).select("id"), 3)
 
 
-@query(_QUERIES["graph_subgraph"][1].replace(_EDGES, _ALL_EDGES))
+@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT CAST(7 AS BIGINT) AS id, 0 AS hop UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.id WHERE hop < 1), n AS (SELECT id, min(hop) AS hop FROM h GROUP BY id)
+SELECT src, dst, min(hop) + 1 AS hop FROM (SELECT e.*, hop FROM e JOIN n ON n.id = src UNION ALL SELECT e.*, hop FROM e JOIN n ON n.id = dst) GROUP BY src, dst""")
 def graph_subgraph_all(spark, sf_dir):
     return graph.subgraph(_all_edges(spark, sf_dir), spark.range(7, 8).select("id"), 2)
 
 
-@query(_QUERIES["claim_votes"][1].removesuffix(" WHERE votes > 1"))
+@query("""WITH c AS (SELECT source AS cluster, lang AS agent, rtrim(regexp_replace(lower(trim(unnest(string_split(regexp_replace(trim(text), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))), ' ' || chr(9) || chr(10) || chr(13))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '.!?,;:') AS claim FROM documents),
+v AS (SELECT cluster, claim, count(DISTINCT agent) AS votes FROM c WHERE claim <> '' GROUP BY ALL),
+n AS (SELECT source AS cluster, count(DISTINCT lang) AS agents FROM documents GROUP BY 1) SELECT cluster, claim, votes, votes >= (agents + 1) // 2 AS retained FROM v JOIN n USING (cluster)""")
 def claim_votes_all(spark, sf_dir):
     return text.claim_votes(scan(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("lang").alias("agent"), "text"))
 
 
-@query(_QUERIES["redaction_cascade"][1].replace("source % 17 = 0", "source IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')"))
+@query("""WITH s AS (SELECT l_orderkey AS id, list(DISTINCT l_partkey) AS src FROM lineitem GROUP BY 1), u AS (SELECT id, len(src) AS n, unnest(src) AS source FROM s), r AS (SELECT id, n, count(*) AS lost FROM u WHERE source IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7') GROUP BY id, n)
+SELECT id, CASE WHEN lost >= n THEN 'redacted' ELSE 'pending_resynthesis' END AS state, lost FROM r""")
 def redaction_by_brand(spark, sf_dir):
     s = scan(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("source_ids"))
     return lifecycle.redaction_cascade(s, scan(spark, sf_dir, "part").where("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("id")))

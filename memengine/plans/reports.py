@@ -107,21 +107,22 @@ def type_histogram(spark, sf_dir):
     return memories(spark, sf_dir).groupBy("memory_type").agg(F.count("*").alias("n"), F.count_if(F.col("superseded_at").isNull()).alias("active"), F.round(F.avg("importance"), 6).alias("importance"))
 
 
-@query(f"""WITH {MEMORIES_SQL}, s AS (SELECT (SELECT count(*) FROM memories) AS total, (SELECT count(*) FROM memories WHERE superseded_at IS NOT NULL) AS merged, (SELECT count(*) FROM events WHERE event_type = 'view') AS recalls, (SELECT count(*) FROM events WHERE event_type = 'error') AS contradictions, (SELECT avg(CASE WHEN access_count > 0 THEN 1.0 ELSE 0.0 END) FROM memories) AS usage)
-SELECT total, merged, recalls, contradictions, CAST(trunc(usage * 40 + least(merged / greatest(0.01 * total, 1), 1) * 20 + least(recalls / 100, 1) * 20 + (1 - least(contradictions / 10, 1)) * 20) AS INTEGER) AS score FROM s""")
+@query(f"""WITH {MEMORIES_SQL}, s AS (SELECT (SELECT count(*) FROM memories) AS total, (SELECT count(*) FROM memories WHERE superseded_at IS NOT NULL) AS merged, (SELECT count(*) FROM events WHERE event_type IN ('click', 'view')) AS recalls, (SELECT count(*) FROM events WHERE event_type = 'error') AS contradictions, (SELECT count(*) FROM events WHERE event_type = 'click') AS used, (SELECT count(*) FROM events WHERE event_type = 'view') AS ignored)
+SELECT total, merged, recalls, contradictions, used, ignored, CAST(trunc(used / greatest(used + ignored, 1) * 40 + least(merged / greatest(0.01 * total, 1), 1) * 20 + least(recalls / 100, 1) * 20 + (1 - least(contradictions / 10, 1)) * 20) AS INTEGER) AS score FROM s""")
 def weekly_report(spark, sf_dir):
-    """Scalars of several tables in one row, and the quality score from 0 to 100, truncated."""
-    m = memories(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("superseded_at").isNotNull()).alias("merged"), F.avg(F.when(F.col("access_count") > 0, 1.0).otherwise(0.0)).alias("usage"))
-    e = scan(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "view").alias("recalls"), F.count_if(F.col("event_type") == "error").alias("contradictions"))
-    one = m.crossJoin(e)  # one row each
-    part = lambda c: F.least(c, F.lit(1.0))
-    score = F.col("usage") * 40 + part(F.col("merged") / F.greatest(0.01 * F.col("total"), F.lit(1.0))) * 20 + part(F.col("recalls") / 100) * 20 + (1 - part(F.col("contradictions") / 10)) * 20
-    return one.select("total", "merged", "recalls", "contradictions", score.cast("int").alias("score"))
+    """Scalars of several tables in one row, and the quality score."""
+    m = memories(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("superseded_at").isNotNull()).alias("merged"))
+    kind = lambda *k: F.count_if(F.col("event_type").isin(*k))
+    e = scan(spark, sf_dir, "events").agg(kind("click", "view").alias("recalls"), kind("error").alias("contradictions"), kind("click").alias("used"), kind("view").alias("ignored"))
+    return m.crossJoin(e).withColumn("score", telemetry.quality_score())  # one row each
 
 
-@query(f"WITH {MEMORIES_SQL} SELECT agent_id, round(avg(CASE WHEN access_count > 0 THEN least(1.0, reinforcement_count / access_count) END), 3)::DOUBLE AS hit_rate FROM memories GROUP BY agent_id")
+@query(f"WITH {MEMORIES_SQL} SELECT agent_id, count(*) FILTER (WHERE access_count > 0) AS recalled, CAST(sum(least(reinforcement_count, access_count)) AS BIGINT) AS used, round(avg(CASE WHEN access_count > 0 THEN least(reinforcement_count, access_count) / access_count END), 3)::DOUBLE AS hit_rate FROM memories WHERE superseded_at IS NULL GROUP BY agent_id")
 def recall_hit_rate(spark, sf_dir):
-    return memories(spark, sf_dir).groupBy("agent_id").agg(F.round(F.avg(F.when(F.col("access_count") > 0, F.least(F.lit(1.0), F.col("reinforcement_count") / F.col("access_count")))), 3).alias("hit_rate"))
+    """Of active memories: recalls that were used, in all and as a mean rate of those recalled at all."""
+    used = F.least("reinforcement_count", "access_count")
+    m = active(memories(spark, sf_dir)).select("agent_id", F.col("access_count").alias("recall_count"), used.alias("used_count"))
+    return telemetry.recall_stats(m).withColumn("hit_rate", F.round("hit_rate", 3))
 
 
 @query(f"""WITH {MEMORIES_SQL} SELECT a.agent_id, a.memory_type, id FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, memory_type ORDER BY created_at DESC, id) AS r FROM memories) a WHERE r = 1""")

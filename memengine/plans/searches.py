@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memengine.functions.scalars import estimated_tokens
 from memengine.operators import retrieval, search, threads
+from memengine.plans.recall import COMPOSITE as _COMPOSITE, COMPOSITE_PLAIN as _COMPOSITE_PLAIN, SCORED as _SCORED, scored_memories
 from memengine.plans.base import query
 from memengine.sources.tables import AS_OF, MEMORIES_SQL, VECTORS_SQL, active, memories, scan, vectors
 
@@ -192,10 +194,10 @@ def set_operations(spark, sf_dir):
     return a.select("id", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_except("x", "y")).alias("only_first"), F.arrays_overlap("x", "y").alias("meet"))
 
 
-@query("""WITH t AS (SELECT user_id, event_id, CAST(value AS BIGINT) + 1 AS tokens FROM events), r AS (SELECT *, sum(tokens) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM t) SELECT user_id, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM r WHERE used <= 500 GROUP BY user_id""")
+@query("""WITH t AS (SELECT user_id, event_id, CAST(floor(value + 0.5) AS BIGINT) + 1 AS tokens FROM events), r AS (SELECT *, sum(tokens) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM t) SELECT user_id, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM r WHERE used <= 500 GROUP BY user_id""")
 def budget_prefix(spark, sf_dir):
     """The longest prefix, newest first, whose tokens fit."""
-    t = scan(spark, sf_dir, "events").select("user_id", "event_id", (F.round("value").cast("long") + 1).alias("tokens"))
+    t = scan(spark, sf_dir, "events").select("user_id", "event_id", (F.floor(F.col("value") + 0.5) + 1).alias("tokens"))
     w = Window.partitionBy("user_id").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumn("used", F.sum("tokens").over(w)).where("used <= 500").groupBy("user_id").agg(F.count("*").alias("n"), F.max("used").alias("used"))
 
@@ -207,26 +209,50 @@ def first_seen_order(spark, sf_dir):
     return p.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "event_type"))), lambda x: x["event_type"]), ",").alias("seen"))
 
 
-@query(f"""WITH {MEMORIES_SQL}, {VECTORS_SQL}, c AS (SELECT agent_id, max(0.6 * importance) AS best FROM memories WHERE superseded_at IS NULL GROUP BY agent_id) SELECT agent_id, round(best, 6)::DOUBLE AS best, CASE WHEN best >= 0.59 THEN 'own' ELSE 'cross' END AS route FROM c""")
+@query(f"""WITH {_SCORED}, {_COMPOSITE}, t AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY composed.composite DESC, id) AS r FROM composed WHERE composed.composite > 0.4) SELECT agent_id, round(max(composite), 6)::DOUBLE AS best, max(composite) >= 0.6 AS own FROM t GROUP BY agent_id
+UNION ALL SELECT DISTINCT agent_id, NULL::DOUBLE, false FROM composed WHERE agent_id NOT IN (SELECT agent_id FROM t) OR agent_id IS NULL""")
 def recall_fallback(spark, sf_dir):
-    """Agents whose best own answer is good enough, and those that ask the others."""
-    c = active(memories(spark, sf_dir)).groupBy("agent_id").agg(F.round(F.max(F.lit(0.6) * F.col("importance")), 6).alias("best"))
-    return c.withColumn("route", F.when(F.col("best") >= 0.59, "own").otherwise("cross"))
+    """Agents whose best own answer reaches 0.6, and those that ask all others; an agent without a shown memory asks them too."""
+    ranked = retrieval.composite_score(scored_memories(spark, sf_dir), AS_OF)
+    return retrieval.fallback(ranked).withColumn("best", F.round("best", 6))
 
 
-@query("""WITH c AS (SELECT n_nationkey AS agent, CASE n_nationkey WHEN 3 THEN 0.5 WHEN 7 THEN 0.0 END AS w, CASE n_nationkey WHEN 3 THEN 14 END AS h FROM nation) SELECT agent, coalesce(nullif(w, 0), 0.35)::DOUBLE AS similarity_weight, coalesce(h, 3) AS half_life FROM c""")
+@query(f"""WITH {_SCORED}, {_COMPOSITE_PLAIN}, own AS (SELECT agent_id, max(composite) AS best FROM composed GROUP BY agent_id), low AS (SELECT agent_id AS asking FROM own WHERE best < 0.6), x AS (SELECT id, agent_id AS source_agent, plain, CASE WHEN plain > 0.7 THEN 'L1' ELSE 'L0' END AS tier, '[From ' || agent_id || '] ' || CASE WHEN plain > 0.7 THEN context ELSE headline END AS shown FROM plain WHERE plain > 0.4 AND agent_id IS NOT NULL)
+SELECT id, source_agent, tier, round(plain, 6)::DOUBLE AS composite, md5(shown) AS shown_md5, greatest(1, length(shown) // 4) AS tokens FROM x ORDER BY x.plain DESC, id LIMIT 50""")
+def cross_agent_ranks(spark, sf_dir):
+    """The 50 best over all agents: scored without the types' factors, each with its agent's name before the text shown."""
+    ranked = retrieval.cross_agent(retrieval.composite_score(scored_memories(spark, sf_dir), AS_OF, typed=False))
+    best = ranked.orderBy(F.desc("composite"), "id").limit(50)
+    return best.select("id", "source_agent", "tier", F.round("composite", 6).alias("composite"), F.md5(F.col("shown").cast("binary")).alias("shown_md5"), estimated_tokens(F.col("shown")).cast("long").alias("tokens"))
+
+
+@query("""WITH c AS (SELECT n_nationkey AS agent, CASE WHEN n_nationkey % 3 = 0 THEN 1000 * n_nationkey END AS context_budget, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey / 50.0 END AS semantic_weight, CASE WHEN n_nationkey % 5 = 1 THEN 0.2 END AS recency_weight, CASE WHEN n_nationkey % 6 = 2 THEN 0.0 END AS importance_weight, n_nationkey / 100.0 AS access_weight, CASE WHEN n_nationkey % 7 < 3 THEN n_nationkey % 7 END AS half_life FROM nation WHERE n_regionkey <> 2)
+SELECT n_nationkey AS agent, CAST(coalesce(nullif(context_budget, 0), 4000) AS INTEGER) AS context_budget, coalesce(nullif(semantic_weight, 0), 0.4)::DOUBLE AS semantic_weight, coalesce(nullif(recency_weight, 0), 0.35)::DOUBLE AS recency_weight, coalesce(nullif(importance_weight, 0), 0.15)::DOUBLE AS importance_weight, coalesce(nullif(access_weight, 0), 0.1)::DOUBLE AS access_weight, CAST(coalesce(nullif(half_life, 0), 3) AS INTEGER) AS recency_half_life_days
+FROM nation LEFT JOIN c ON agent = n_nationkey""")
 def agent_config(spark, sf_dir):
-    """Configured weights by agent; null and zero fall back to the defaults."""
-    own = spark.createDataFrame([(3, 0.5, 14), (7, 0.0, None)], "agent int, w double, h int")
-    n = scan(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("agent")).join(F.broadcast(own), "agent", "left")
-    return n.select("agent", F.coalesce(F.nullif("w", F.lit(0.0)), F.lit(0.35)).alias("similarity_weight"), F.coalesce("h", F.lit(3)).alias("half_life"))
+    """Configured values by agent; missing rows, nulls and zeros fall back to the defaults, field by field."""
+    key = F.col("n_nationkey")
+    own = scan(spark, sf_dir, "nation").where("n_regionkey <> 2").select(
+        key.alias("agent"), F.when(key % 3 == 0, 1000 * key).alias("context_budget"), F.when(key % 4 == 0, key / 50).alias("semantic_weight"), F.when(key % 5 == 1, 0.2).alias("recency_weight"),
+        F.when(key % 6 == 2, 0.0).alias("importance_weight"), (key / 100).alias("access_weight"), F.when(key % 7 < 3, key % 7).alias("recency_half_life_days"),
+    )
+    return retrieval.configured(scan(spark, sf_dir, "nation").select(key.alias("agent")), own, "agent")
 
 
-@query(f"WITH {MEMORIES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, id) AS r FROM memories WHERE superseded_at IS NULL AND memory_type = 'correction') SELECT agent_id, count(*) AS n, CAST(sum(greatest(1, length(headline) // 4)) AS BIGINT) AS tokens FROM r WHERE r <= 5 AND headline IS NOT NULL GROUP BY agent_id")
-def always_included(spark, sf_dir):
-    """The five latest active corrections of each agent and the tokens that they take from the budget."""
-    from memengine.functions.scalars import estimated_tokens
+_HANDOFFS = "h AS (SELECT source AS agent_id, arg_max(left(text, 200), doc_id) AS summary FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1)"
 
-    m = active(memories(spark, sf_dir)).where("memory_type = 'correction'")
-    top = retrieval.topk_by(m, ["agent_id"], [F.desc("created_at"), F.col("id")], 5).where("headline IS NOT NULL")
-    return top.groupBy("agent_id").agg(F.count("*").alias("n"), F.sum(estimated_tokens(F.col("headline"))).alias("tokens"))
+
+@query(f"""WITH {MEMORIES_SQL}, {_HANDOFFS}, r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, id) AS r FROM memories WHERE superseded_at IS NULL AND memory_type = 'correction' AND agent_id IS NOT NULL),
+c AS (SELECT agent_id, '### Active Corrections' || chr(10) || string_agg('- ⚠️ ' || coalesce(headline, '') || ': ' || coalesce(context, ''), chr(10) ORDER BY r) AS block FROM r WHERE r <= 5 GROUP BY agent_id),
+a AS (SELECT DISTINCT source AS agent_id, CASE WHEN source LIKE '%1' THEN '{{"name": "' || source || '"}}' END AS identity, CASE WHEN source LIKE '%2' THEN '{{"likes": "brevity"}}' END AS user_profile FROM documents WHERE source IS NOT NULL),
+b AS (SELECT a.agent_id, concat_ws(chr(10) || chr(10), '### Agent Identity' || chr(10) || identity, '### User Profile' || chr(10) || user_profile, '### Last Session Summary' || chr(10) || summary, block) AS block FROM a LEFT JOIN h USING (agent_id) LEFT JOIN c USING (agent_id))
+SELECT agent_id, md5(block) AS block_md5, greatest(1, length(block) // 4) AS tokens, greatest(0, 4000 - greatest(1, length(block) // 4)) AS remaining FROM b""")
+def always_included(spark, sf_dir):
+    """Each agent's identity, profile, last handoff and five latest active corrections, and what they leave of its budget."""
+    d = scan(spark, sf_dir, "documents").where("source IS NOT NULL")
+    agents = d.select(F.col("source").alias("agent_id")).distinct().select(
+        "agent_id", F.when(F.col("agent_id").endswith("1"), F.concat(F.lit('{"name": "'), "agent_id", F.lit('"}'))).alias("identity"), F.when(F.col("agent_id").endswith("2"), '{"likes": "brevity"}').alias("user_profile"),
+    )
+    handoffs = d.where("text IS NOT NULL").select(F.col("source").alias("agent_id"), F.col("doc_id").alias("created_at"), F.substring("text", 1, 200).alias("summary"))
+    out = retrieval.always_block(agents, handoffs, active(memories(spark, sf_dir)), 4000)
+    return out.select("agent_id", F.md5(F.col("block").cast("binary")).alias("block_md5"), "tokens", "remaining")

@@ -53,13 +53,16 @@ def edge_upsert(spark, sf_dir):
 @query("""SELECT user_id AS entity, arg_max(k, ts_id) AS kind, any_value(n) AS mention_count, any_value(m) AS last_seen FROM (SELECT user_id, nullif(event_type, 'error') AS k, struct_pack(t := ts, i := nullif(event_type, 'error')) AS ts_id, count(*) OVER (PARTITION BY user_id) AS n, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE k IS NOT NULL GROUP BY user_id""")
 def entity_nodes(spark, sf_dir):
     e = scan(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.nullif("event_type", F.lit("error")).alias("kind"), F.col("ts").alias("at"))
-    return writes.entity_nodes(e).where("kind IS NOT NULL")
+    return writes.entity_nodes(e)
 
 
-@query("""SELECT doc_id AS id, CASE WHEN contains(lower(text), 'he ') OR contains(lower(text), 'she ') OR contains(lower(text), 'said') THEN 'person' WHEN contains(lower(text), 'company') OR contains(lower(text), 'team') THEN 'organisation'
- WHEN contains(lower(text), 'river') OR contains(lower(text), 'city') THEN 'place' WHEN contains(lower(text), 'code') OR contains(lower(text), 'software') THEN 'tool' ELSE 'unknown' END AS kind FROM documents""")
+@query("""WITH e AS (SELECT doc_id AS id, lower(text) AS t, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM documents), l AS (SELECT *, lower(entity) AS n FROM e)
+SELECT id, entity, CASE WHEN contains(t, n || ' is a person') OR contains(t, n || ' said') OR contains(t, n || ' prefers') THEN 'person' WHEN contains(n, 'inc') OR contains(n, 'corp') OR contains(n, 'llc') OR contains(n, 'ltd') OR contains(n, 'company') OR contains(n, 'academy') OR contains(n, 'university') THEN 'organization'
+ WHEN contains(n, 'project') OR contains(n, 'phase') OR contains(n, 'module') THEN 'project' WHEN contains(t, 'in ' || n) OR contains(t, 'at ' || n) OR contains(t, 'from ' || n) THEN 'location' ELSE 'unknown' END AS kind FROM l""")
 def entity_kinds(spark, sf_dir):
-    return scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), writes.entity_kind(F.col("text")).alias("kind"))
+    """Each capitalised word of a text as an entity, and its type."""
+    e = scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))).alias("entity"))
+    return e.select("id", "entity", writes.entity_kind(F.col("entity"), F.col("text")).alias("kind"))
 
 
 @query("""WITH o AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey)) AS e FROM lineitem GROUP BY 1), i AS (SELECT id, e, unnest(generate_series(1, len(e))) AS i FROM o), j AS (SELECT id, e, i, unnest(generate_series(i + 1, len(e))) AS j FROM i) SELECT id, e[i] AS a, e[j] AS b FROM j""")
@@ -73,11 +76,13 @@ def expired(spark, sf_dir):
     return writes.expired(memories(spark, sf_dir).withColumn("expires_at", F.col("created_at") + F.expr("INTERVAL 12 DAYS")), AS_OF)
 
 
-@query("""WITH f AS (SELECT user_id AS id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS u, count(*) FILTER (WHERE event_type = 'view') AS i, count(*) FILTER (WHERE event_type = 'error') AS c FROM events WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY 1)
-SELECT id, change FROM (SELECT id, CASE WHEN c >= 2 THEN 'queue' WHEN u >= 3 AND i = 0 THEN 'raise' WHEN i >= 3 AND u = 0 THEN 'lower' END AS change FROM f WHERE n >= 3) WHERE change IS NOT NULL""")
+@query(f"""WITH {MEMORIES_SQL}, f AS (SELECT user_id AS id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS u, count(*) FILTER (WHERE event_type = 'view') AS i, count(*) FILTER (WHERE event_type = 'error') AS c FROM events WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' GROUP BY 1),
+x AS (SELECT id, coalesce(nullif(importance, 0), 0.5) AS now, CASE WHEN c >= 2 THEN 'queue' WHEN u >= 3 AND i = 0 THEN 'raise' WHEN i >= 3 AND u = 0 THEN 'lower' END AS change FROM f JOIN memories USING (id) WHERE n >= 3 AND memory_type <> 'identity' AND created_at <= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR)
+SELECT id, change, round(now + CASE change WHEN 'raise' THEN least(0.05, 1.0 - now) WHEN 'lower' THEN greatest(-0.05, 0.1 - now) ELSE 0 END, 3)::DOUBLE AS importance FROM x WHERE change IS NOT NULL""")
 def importance_changes(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "used").when(F.col("event_type") == "view", "ignored").when(F.col("event_type") == "error", "contradicted")
-    return writes.importance_changes(scan(spark, sf_dir, "events").where("ts >= timestamp_ntz '2024-01-23 00:00:00'").select(F.col("user_id").alias("id"), kind.alias("kind")))
+    feedback = scan(spark, sf_dir, "events").where("ts >= timestamp_ntz '2024-01-23 00:00:00'").select(F.col("user_id").alias("id"), kind.alias("kind"))
+    return writes.importance_changes(feedback, memories(spark, sf_dir), AS_OF)
 
 
 @query("SELECT lang || '/' || source AS topic, count(*) AS n, CASE WHEN count(*) - 1 >= 5 THEN 'deep' WHEN count(*) - 1 >= 2 THEN 'moderate' ELSE 'shallow' END AS depth FROM documents GROUP BY 1")

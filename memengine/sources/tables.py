@@ -61,14 +61,6 @@ MEMORIES_SQL = f"""memories AS (SELECT doc_id AS id, lang AS tenant_id, source A
  CASE WHEN doc_id % 17 = 0 THEN 'redacted' END AS redaction_state, doc_id % 13 = 0 AS is_pinned, ((doc_id * 53) % 100) / 100.0::DOUBLE AS relevance_score, ((doc_id * 29) % 100) / 100.0::DOUBLE AS confidence, (['state','event','permanent'])[doc_id % 3 + 1] AS temporal_type FROM documents)"""
 
 
-def whole_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """memories with the whole text as context; only the headline is short."""
-    return memories(spark, sf_dir).withColumn("context", F.col("full_content"))
-
-
-WHOLE_MEMORIES_SQL = MEMORIES_SQL.replace("substr(text, 1, 400) AS context", "text AS context")
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("agent_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 

@@ -83,11 +83,6 @@ def test_bm25_prefers_rare_terms(spark):
     assert set(found) == {1, 2} and found[1] > found[2]
 
 
-def test_classify(spark):
-    q = spark.createDataFrame([("what did Alice say",), ("notes of 2024-01-02",), ("how do we plan the next big release of it",)], "q string")
-    assert [r["dominant"] for r in retrieval.classify(q).collect()] == [True, True, False]
-
-
 def test_tenants_are_apart(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "tenant_id string, id int")
     assert [r["id"] for r in for_tenant(df, "a").collect()] == [1]
@@ -129,11 +124,6 @@ def test_claims(spark):
     assert found == {"the sky is blue": True, "cats bark": False, "dogs bark": False, "pi is 3.14": False, "one": True, "two": True}
 
 
-def test_redacted(spark):
-    got = text.redacted(spark.createDataFrame([("write to a.b@c.org from 10.0.0.1",), (None,)], "text string")).collect()
-    assert [r["text"] for r in got] == ["write to [EMAIL] from [IPV4]", None]
-
-
 def test_chunks_break_at_paragraphs_and_sentences(spark):
     flat = "".join(chr(97 + i % 26) for i in range(5000))
     mixed = "x" * 1500 + "\n\n" + "y" * 1000 + ". " + "z" * 1500

@@ -4,13 +4,13 @@ The tokenizers' ids of each text (A: byte-level BPE of space + text; B: sentence
 are written as one row a document, in buckets by row number.  From there on it
 is Spark's relational algebra, and as everything goes by row number nothing is shuffled again:
 
-1. posexplode gives a row for each token, a broadcast of the vocabulary (its size is
-   the tokenizer's) its bytes, and a window over the document's tokens its end: the running sum of bytes.
+1. posexplode gives a row for each token (its code: id and bytes), and a window over the document's
+   tokens its end: the running sum of bytes.
 2. An equi-join of A's and B's tokens on document and end gives the links: the
    byte offsets where tokens of both end.  As no token is empty, at most one of each ends there.
 3. A running count of the links numbers the groups that they cut; a group is the range
    of A's and of B's tokens since the link before.  The ranges are kept as offsets in the
-   comma-joined ids (running sums of their digits), so a group's text is a slice.
+   comma-joined ids (running sums of their digits), so the text of a group of several tokens is a slice.
 4. Links are counted by pair of ids.  Pairs are looked up by broadcast as far as COMMON
    of them reach, the most frequent ones (the bound is checked by a histogram of counts); links of rarer pairs are joined by shuffle.
 
@@ -30,7 +30,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memengine.llm.blocks import to_arrow_schema
@@ -87,9 +87,18 @@ class Pair:
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.pieces.id_to_piece, range(n)))]
         #: words can be encoded apart if no piece has a space behind another letter
         self.apart = not any(" " in x.lstrip(b" ").decode() for i, x in enumerate(self.bytes_of) if not self.pieces.is_byte(i))
-        self.lengths_a = {i: len(s) for s, i in ranks.items()}
+        #: each id's code: the id and, in the lowest eight bits, its token's bytes
+        self.codes = [self._codes({i: len(s) for s, i in ranks.items()}), self._codes(dict(enumerate(map(len, self.bytes_of))))]
         self.known: dict[str, bytes | None] = {}
 
+    @staticmethod
+    def _codes(lengths: dict[int, int]) -> np.ndarray:
+        if max(lengths.values()) > 255 or max(lengths) >= 1 << 23:
+            raise ValueError("tokens of more than 255 bytes, or too many")
+        out = np.arange(max(lengths) + 1, dtype="<i4") << 8
+        out[list(lengths)] += np.array(list(lengths.values()), dtype="<i4")
+        return out
+
     def ids_a(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
@@ -127,9 +136,9 @@ def _pair(a: bytes, b: bytes) -> Pair:
     return _PAIRS[key]
 
 
-def _lists(bodies: list[bytes]) -> pa.Array:
+def _lists(bodies: list[bytes], codes: np.ndarray) -> pa.Array:
     ends = np.cumsum([0, *[len(x) // 4 for x in bodies]])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(bodies), dtype="<i4")))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes[np.frombuffer(b"".join(bodies), dtype="<i4")]))
 
 
 def _tokens(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
@@ -149,7 +158,8 @@ def _tokens(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
                 texts = [t or "" for t in given.slice(x, y - x).to_pylist()]
                 b_ids = [ids if t else None for t, ids in zip(texts, own.ids_b(texts), strict=True)]
                 a_ids = own.ids_a(texts)
-                columns = [row.slice(x, y - x), ids.slice(x, y - x).cast(pa.int64()), _lists([p if q else b"" for p, q in zip(a_ids, b_ids, strict=True)]), _lists([q or b"" for q in b_ids])]
+                lists = [_lists(x, own.codes[i]) for i, x in enumerate(([p if q else b"" for p, q in zip(a_ids, b_ids, strict=True)], [q or b"" for q in b_ids]))]
+                columns = [row.slice(x, y - x), ids.slice(x, y - x).cast(pa.int64()), *lists]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
             give_back()
 
@@ -157,36 +167,52 @@ def _tokens(docs: DataFrame, a: bytes, b: bytes) -> DataFrame:
     return saved(dealt.mapInArrow(run, TOKENS), "alignment_tokens", "row", n)
 
 
-def _vocabulary(spark: SparkSession, lengths: dict[int, int], name: str) -> DataFrame:
-    """(id, its bytes, its digits and one for a comma)."""
-    return F.broadcast(spark.createDataFrame([(i, n, len(str(i)) + 1) for i, n in lengths.items() if n], f"{name} int, bytes int, digits int"))
+def _digits(number: Column) -> Column:
+    """Digits of a token's id, and one for the comma behind it."""
+    out = F.when(number < 10, 2)
+    for n in range(2, 8):
+        out = out.when(number < 10**n, n + 1)
+    return out.otherwise(9)
 
 
-def _ends(tokens: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
-    """A row for each token: its end in bytes, and the end of its id in the comma-joined ids."""
+def _ends(tokens: DataFrame, name: str) -> DataFrame:
+    """A row for each token: its end in bytes, and the end of its id in the comma-joined ids; one running sum has both, one above the other."""
     so_far = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = tokens.select("row", F.posexplode(name).alias("place", name)).join(vocabulary, name)
-    return rows.select("row", F.sum("bytes").over(so_far).alias("end"), name, F.sum("digits").over(so_far).alias(f"{name}_to"))
+    number = F.shiftright(name, 8)
+    step = F.shiftleft(_digits(number).cast("long"), 32) + F.col(name).bitwiseAND(255)
+    rows = tokens.select("row", F.posexplode(name).alias("place", name)).select("row", "place", number.alias(name), step.alias("step"))
+    rows = rows.select("row", name, F.sum("step").over(so_far).alias("sum"))
+    return rows.select("row", F.col("sum").bitwiseAND(0xFFFFFFFF).alias("end"), name, F.shiftright("sum", 32).cast("int").alias(f"{name}_to"))
 
 
-def links(tokens: DataFrame, vocabulary_a: DataFrame, vocabulary_b: DataFrame) -> DataFrame:
+def links(tokens: DataFrame) -> DataFrame:
     """(row, end, a, b, group, ...): A's and B's tokens that end together, with the number of the group that they close and its ranges."""
-    both = _ends(tokens, "a", vocabulary_a).hint("merge").join(_ends(tokens, "b", vocabulary_b), ["row", "end"])
+    both = _ends(tokens, "a").hint("merge").join(_ends(tokens, "b"), ["row", "end"])
     order = Window.partitionBy("row").orderBy("end")
     before = {f"{c}_from": F.coalesce(F.lag(f"{c}_to").over(order), F.lit(0)) for c in ("a", "b")}
     return both.withColumns({"group": F.row_number().over(order), **before})
 
 
 def _aligned(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each document: its numbers, the digest of its groups, and its links' pairs of ids."""
-    cut = F.struct("group", "a_from", (F.col("a_to") - F.col("a_from") - 1).alias("a_size"), "b_from", (F.col("b_to") - F.col("b_from") - 1).alias("b_size"), "a", "b")
-    cuts = found.groupBy("row").agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
-    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").cast("binary").alias(f"{c}_text")
-    rows = tokens.select("row", "doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), text("a"), text("b")).join(cuts, "row", "left")
-    part = lambda c, x: F.substring(F.col(f"{c}_text"), (x[f"{c}_from"] + 1).cast("int"), x[f"{c}_size"].cast("int")).cast("string")
-    groups = F.array_join(F.transform("cuts", lambda x: F.concat(part("a", x), F.lit("|"), part("b", x))), ";")
+    """A row for each document: its numbers, the digest of its groups, and its links' pairs of ids.
+
+    The links come in order and are gathered in order: the join sorts them by row and end, a sorted
+    aggregate reads them as they come, and nothing is shuffled between."""
+    alone = [F.col(f"{c}_to") - F.col(f"{c}_from") == _digits(F.col(c)) for c in ("a", "b")]
+    text = F.when(alone[0] & alone[1], F.concat(F.col("a").cast("string"), F.lit("|"), F.col("b").cast("string")))
+    size = lambda c: (F.col(f"{c}_to") - F.col(f"{c}_from") - 1).alias(f"{c}_size")
+    cut = F.struct("group", text.alias("text"), "a", "b", "a_from", size("a"), "b_from", size("b"))
+    # Read twice, so that the struct is made by generated code below the aggregate and not field by field within it.
+    cuts = found.select("row", cut.alias("cut")).groupBy("row").agg(F.collect_list("cut").alias("cuts"), F.max("cut.group").alias("n_groups"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: F.shiftright(x, 8)).cast("array<string>"), ",").cast("binary").alias(f"{c}_text")
+    rows = tokens.select("row", "doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), ids("a"), ids("b")).join(cuts, "row", "left")
+    part = lambda x, own, c: F.substring(own[f"{c}_text"], x[f"{c}_from"] + 1, x[f"{c}_size"]).cast("string")
+    group = lambda x, own: F.coalesce(x["text"], F.concat(part(x, own, "a"), F.lit("|"), part(x, own, "b")))
+    # Both texts are bound by an outer lambda over one element: as columns they would be copied whole for each slice.
+    joined = lambda own: F.array_join(F.transform("cuts", lambda x: group(x, own)), ";")
+    groups = F.transform(F.array(F.struct("a_text", "b_text")), joined)[0]
     return rows.select(
-        "row", "doc_id", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), F.coalesce(F.size("cuts"), F.lit(0)).cast("long").alias("n_groups"),
+        "row", "doc_id", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), F.coalesce("n_groups", F.lit(0)).cast("long").alias("n_groups"),
         F.when(F.col("cuts").isNull(), "").otherwise(F.sha2(groups.cast("binary"), 256)).alias("groups_sha256"), F.col("cuts.a").alias("a"), F.col("cuts.b").alias("b"),
     )
 
@@ -212,11 +238,9 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path_a: s
     integral(docs, doc_id)
     spark = docs.sparkSession
     a, b = read(path_a or public_tokenizers.path(A)), read(path_b or public_tokenizers.path(B))
-    own = _pair(a, b)
-    vocabulary_a, vocabulary_b = _vocabulary(spark, own.lengths_a, "a"), _vocabulary(spark, dict(enumerate(map(len, own.bytes_of))), "b")
     tokens = _tokens(only(docs, doc_id=doc_id, text=text), a, b)
     with _set(spark, _SETTINGS):
-        aligned = written(_aligned(tokens, links(tokens, vocabulary_a, vocabulary_b)), "aligned")
+        aligned = written(_aligned(tokens, links(tokens)), "aligned")
     forget(tokens)
     pair = F.explode(F.arrays_zip("a", "b")).alias("pair")
     counts = written(aligned.select(pair).groupBy("pair.a", "pair.b").count(), "pairs")

@@ -3,51 +3,124 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memengine.functions.scalars import unit
+from memengine.operators.retrieval import topk_by
 
 
 #: Vectors in a block; two blocks are compared by one matrix product.
 BLOCK_ROWS = 1024
 
 
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(agent_id, a, b, similarity), a < b, within an agent, at or above the threshold (above -1).
-
-    Vectors of an agent are dealt to cells by their angle to a fixed direction; the angles of two vectors that are
-    similar enough differ by no more than the threshold's own angle, so only cells of that width side by side are
-    compared.  Cells are cut into blocks of about BLOCK_ROWS rows by the id's hash, and two blocks are one matrix product."""
-    rows = vectors.select("agent_id", "id", unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
-    width = math.acos(threshold) + 1e-9
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("u")))))
-    rows = rows.withColumn("cell", F.floor(angle / width))
-    sizes = rows.groupBy("agent_id", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-    rows = rows.join(sizes, ["agent_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = rows.groupBy("agent_id", "cell", "part").agg(F.collect_list(F.struct("id", "u")).alias("rows"))
-    left = blocks.select("agent_id", "cell", "part", F.col("rows").alias("x"))
-    right = blocks.select("agent_id", F.col("cell").alias("cell_y"), F.col("part").alias("part_y"), F.col("rows").alias("y"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
-    met = left.join(right, ["agent_id", "cell"]).where("cell_y > cell OR part_y >= part")
+def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, parts, part, ids, values, marks: the rows (keys, id, u, marks) of a group, cut by the id's hash into blocks of about BLOCK_ROWS, as flat arrays."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
+    dealt = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    held = dealt.groupBy(*keys, "parts", "part").agg(F.collect_list(F.struct("id", "u", "marks")).alias("rows"))
+    return held.select(*keys, "parts", "part", F.col("rows.id").alias("ids"), F.flatten("rows.u").alias("values"), F.flatten("rows.marks").alias("marks"))
+
+
+def _matrix(column: pa.Array, at: int, rows: int) -> np.ndarray:
+    start, end = column.offsets[at].as_py(), column.offsets[at + 1].as_py()
+    return column.values.slice(start, end - start).to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
+
+
+def _within(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(agent_id, a, b, similarity), a < b, of all rows of a group at or above the threshold; a pair that agrees in an earlier mark belongs to another group.
+
+    A block meets itself where it lies; blocks of large groups are dealt by pairs of blocks, so that no task has a whole group."""
+    blocks = _blocks(rows, keys)
+    alone = blocks.select("agent_id", *[F.col(c).alias(f"{c}_{side}") for side in "xy" for c in ("ids", "values", "marks")], F.lit(True).alias("same"), "table")
+    large = blocks.where("parts > 1")
+    sides = [
+        large.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("ids", "values", "marks")], F.col("part").alias(side), F.explode(others).alias(other))
+        for side, other, others in (("x", "y", F.sequence(F.col("part") + 1, F.col("parts"))), ("y", "x", F.sequence(F.lit(-1), F.col("part") - 1)))
+    ]  # the sequences end one off, as an empty one can't be written; those keys meet nothing
+    apart = sides[0].join(sides[1], [*keys, "x", "y"]).select(*[c for c in alone.columns if c not in ("same", "table")], F.lit(False).alias("same"), "table")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for agent, same, x, y in zip(*[batch.column(batch.schema.names.index(c)) for c in ("agent_id", "same", "x", "y")], strict=True):
-                (ids, u), (others, v) = ((np.array([r["id"] for r in rows]), np.array([r["u"] for r in rows])) for rows in (x.as_py(), y.as_py()))
-                if u.shape[1:] != v.shape[1:]:
-                    continue
+            own = {c: batch.column(batch.schema.names.index(c)) for c in batch.schema.names}
+            for r in range(batch.num_rows):
+                x, y = (own[f"ids_{s}"][r].values.to_numpy(zero_copy_only=False) for s in "xy")
+                u, v = (_matrix(own[f"values_{s}"], r, len(ids)) for s, ids in (("x", x), ("y", y)))
                 product = u @ v.T
                 i, j = np.nonzero(product >= threshold)
-                keep = ids[i] < others[j] if same.as_py() else ids[i] != others[j]
+                keep = x[i] < y[j] if own["same"][r].as_py() else x[i] != y[j]
                 i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_pydict({"agent_id": pa.array([agent.as_py()] * len(i), batch.schema.field("agent_id").type), "a": np.minimum(ids[i], others[j]), "b": np.maximum(ids[i], others[j]), "similarity": product[i, j]})
+                table = own["table"][r].as_py()
+                if table and len(i):
+                    first, second = (_matrix(own[f"marks_{s}"], r, len(ids)) for s, ids in (("x", x), ("y", y)))
+                    fresh = ~(first[i, :table] == second[j, :table]).any(axis=1)
+                    i, j = i[fresh], j[fresh]
+                agent = pa.array([own["agent_id"][r].as_py()] * len(i), batch.schema.field("agent_id").type)
+                yield pa.RecordBatch.from_pydict({"agent_id": agent, "a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "similarity": product[i, j]})
+
+    kind = rows.schema["agent_id"].dataType.simpleString()
+    return alone.unionByName(apart).mapInArrow(compare, f"agent_id {kind}, a long, b long, similarity double")
+
+
+def _units(vectors: DataFrame) -> DataFrame:
+    return vectors.select("agent_id", F.col("id").cast("long").alias("id"), unit(F.col("embedding")).alias("u")).where("u IS NOT NULL AND agent_id IS NOT NULL").withColumn("dims", F.size("u"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(agent_id, a, b, similarity), a < b, within an agent, at or above the threshold: exact, by comparing all of an agent's vectors of like size in blocks.
+
+    Its work is the square of an agent's vectors; hashed_pairs compares far fewer."""
+    rows = _units(vectors).withColumns({"marks": F.array().cast("array<bigint>"), "table": F.lit(0)})
+    return _within(rows, ["agent_id", "dims", "table"], threshold)
 
-    kind = vectors.schema["agent_id"].dataType.simpleString()
-    return met.select("agent_id", "x", "y", ((F.col("cell") == F.col("cell_y")) & (F.col("part") == F.col("part_y"))).alias("same")).mapInArrow(compare, f"agent_id {kind}, a long, b long, similarity double")
+
+def tables_for(threshold: float, recall: float, n: int) -> tuple[int, int]:
+    """(bits of a key, tables) that find a pair right at the threshold with that probability, at the least work for n vectors.
+
+    Vectors at right angles meet in less than a twelfth of the cases, all tables together; (0, 1), one bucket for all, where no 256 tables reach that."""
+    agree = 1 - math.acos(threshold) / math.pi
+    best = None
+    for bits in range(1, 25):
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits))))
+        work = tables * n * (10 + n / 2 / 2**bits)
+        if tables <= min(256, 2**bits / 12) and (best is None or work < best[0]):
+            best = (work, bits, tables)
+    return (best[1], best[2]) if best else (0, 1)
+
+
+def hashed(vectors: DataFrame, bits: int, tables: int, seed: int = 7) -> DataFrame:
+    """(agent_id, dims, table, bucket, id, u, marks): each vector under one bucket of each table; vectors share a bucket with the chance that so many random planes don't part them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.schema.names.index("u")
+            marks = []
+            for u in batch.column(at):
+                u = u.values.to_numpy(zero_copy_only=False)
+                if len(u) not in planes:
+                    planes[len(u)] = np.random.Generator(np.random.PCG64([seed, len(u)])).normal(size=(tables * bits, len(u)))
+                marks.append((planes[len(u)] @ u > 0).reshape(tables, bits) @ (1 << np.arange(bits, dtype=np.int64)))
+            yield batch.append_column("marks", pa.array([m.tolist() for m in marks], pa.list_(pa.int64())))
+
+    rows = _units(vectors)
+    kind = rows.schema["agent_id"].dataType.simpleString()
+    marked = rows.mapInArrow(run, f"agent_id {kind}, id long, u array<double>, dims int, marks array<bigint>")
+    return marked.select("agent_id", "dims", F.posexplode("marks").alias("table", "bucket"), "id", "u", "marks")
+
+
+def hashed_pairs(vectors: DataFrame, threshold: float, recall: float = 0.95, seed: int = 7) -> DataFrame:
+    """similar_pairs by tables of random hyperplanes: every pair given is exact, and a pair at the threshold is found with the probability `recall`, a closer one surer.
+
+    A vector is compared within its bucket of each table only; full buckets are cut into blocks, none is capped.  similar_pairs is the exact way."""
+    most = vectors.groupBy("agent_id").count().agg(F.max("count")).first()[0] or 0
+    bits, tables = tables_for(threshold, recall, most)
+    return _within(hashed(vectors, bits, tables, seed), ["agent_id", "dims", "table", "bucket"], threshold)
 
 
 def labelled(pairs: DataFrame, duplicate: float = 0.92, related: float = 0.85) -> DataFrame:
@@ -91,3 +164,64 @@ def merged(pairs: DataFrame, memories: DataFrame) -> DataFrame:
         F.greatest(value("x", "importance"), value("y", "importance")).alias("importance"),
         F.least(F.lit(0.99), (value("x", "confidence") + value("y", "confidence")) / 2 + 0.1).alias("confidence"),
     )
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, agents: str = "all") -> DataFrame:
+    """(query_id, id, similarity, rank): the k most similar vectors (id, embedding) of each query (query_id, embedding); a vector with the query's own id is left out.
+
+    agents: "all", or "own" and "other": then both have agent_id, and only vectors of the query's agent, or of other agents, are its neighbours.
+    Queries are sent in blocks of a bounded number; a task keeps each query's k best and one small merge follows."""
+    scoped = agents != "all"
+    extra = ["agent_id"] if scoped else []
+    rows = vectors.select("id", unit(F.col("embedding")).alias("u"), *extra).where("u IS NOT NULL")
+    sent = queries.select("query_id", unit(F.col("embedding")).alias("u"), *extra).where("u IS NOT NULL")
+    blocks = -(-max(1, sent.count()) // block)
+    dealt = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    key, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        own = dealt.where(F.col("block") == b).drop("block").toPandas()
+        for dims, part in own.groupby(own["u"].map(len)):
+            asking = queries.sparkSession.sparkContext.broadcast((part["query_id"].tolist(), np.stack(part["u"].to_numpy()), part["agent_id"].tolist() if scoped else None))
+            found = rows.where(F.size("u") == int(dims)).mapInArrow(_nearest(asking, k, agents), f"query_id {key}, id {kind}, similarity double")
+            out = found if out is None else out.union(found)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {key}, id {kind}, similarity double, rank int")
+    return topk_by(out, ["query_id"], [F.desc("similarity"), F.col("id")], k)
+
+
+def _nearest(asking: Broadcast, k: int, agents: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, of = asking.value
+        place = {n: i for i, n in enumerate(names)}
+        codes = {a: i for i, a in enumerate(dict.fromkeys(of or ()))}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(batch.schema.names.index("id")).to_pylist()
+            v = batch.column(batch.schema.names.index("u")).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            near = q @ v.T
+            for j, i in enumerate(map(place.get, ids)):
+                if i is not None:
+                    near[i, j] = -np.inf
+            if of is not None:
+                theirs = np.array([codes.get(a, -1) for a in batch.column(batch.schema.names.index("agent_id")).to_pylist()])
+                same = np.array([codes[a] for a in of])[:, None] == theirs
+                near[~same if agents == "own" else same] = -np.inf
+            top = min(k, near.shape[1])
+            least = np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top]
+            i, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))  # ties with the last stay; the merge decides by id
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i.tolist()]), pa.array([ids[x] for x in j.tolist()]), pa.array(near[i, j])], names=["query_id", "id", "similarity"])
+
+    return run
+
+
+def unscanned_neighbours(vectors: DataFrame, scanned: DataFrame, queued: DataFrame, k: int = 5, threshold: float = 0.82) -> DataFrame:
+    """(agent_id, a, b, similarity): pairs to queue: rows (agent_id, id, embedding) that aren't in scanned (id) yet, and those of their agent's k nearest above the threshold.
+
+    Only new rows are compared, with all rows; pairs that are queued (a, b, in any order) already don't come again."""
+    fresh = vectors.join(scanned.select("id").distinct(), "id", "left_anti")
+    near = nearest(vectors, fresh.select(F.col("id").alias("query_id"), "embedding", "agent_id"), k, agents="own").where(F.col("similarity") > threshold)
+    pairs = near.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    known = queued.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti").join(vectors.select(F.col("id").alias("a"), "agent_id"), "a").select("agent_id", "a", "b", "similarity")

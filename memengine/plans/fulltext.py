@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memengine.operators import fulltext, search
+from memengine.operators import dedup, fulltext, search
 from memengine.plans.base import query
 from memengine.sources.tables import active, memories, scan, vectors
 
@@ -49,5 +49,5 @@ def routed_recall(spark, sf_dir):
     words = asked.select(F.col("turn_id").alias("query_id"), search.sanitised(F.col("q")).alias("q"))
     keyword = fulltext.search(_index(spark, sf_dir), words, active(memories(spark, sf_dir)).select("id", "importance"))
     v = vectors(spark, sf_dir)
-    vector = fulltext.nearest(v, asked.join(v.select(F.col("id").alias("conv_id"), "embedding"), "conv_id").select(F.col("turn_id").alias("query_id"), "embedding"), 10)
+    vector = dedup.nearest(v, asked.join(v.select(F.col("id").alias("conv_id"), "embedding"), "conv_id").select(F.col("turn_id").alias("query_id"), "embedding"), 10)
     return fulltext.routed(kinds, keyword, vector).withColumn("score", F.round("score", 6))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memengine.functions.stems import STOP, stem
-from memengine.operators import fulltext
+from memengine.operators import dedup, fulltext
 
 
 @pytest.mark.parametrize(
@@ -115,9 +115,9 @@ def test_nearest_equals_plain_form(spark, block):
     v, q = rng.normal(size=(60, 5)), rng.normal(size=(11, 5))
     v[7] = v[9]
     vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [0.0] * 5), (98, None)], "id long, embedding array<double>").repartition(4)
-    got = fulltext.nearest(vectors, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>"), 4, block)
+    got = dedup.nearest(vectors, spark.createDataFrame([(1000 + i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>"), 4, block)
     near = (q / np.linalg.norm(q, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T
-    want = {(i, j, r) for i in range(11) for r, j in enumerate(sorted(range(60), key=lambda j: (-round(near[i, j], 12), j))[:4], 1)}
+    want = {(1000 + i, j, r) for i in range(11) for r, j in enumerate(sorted(range(60), key=lambda j: (-round(near[i, j], 12), j))[:4], 1)}
     assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
 
 

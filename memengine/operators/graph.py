@@ -6,22 +6,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; only a session in one process (local tests) gets a temporary one where it names none."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local[") and context.master != "local":
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="memengine-")
-            spark.conf.set("spark.checkpoint.dir", folder)
+        folder = "file://" + tempfile.mkdtemp(prefix="memengine-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

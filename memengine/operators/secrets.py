@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,16 +87,55 @@ def possible_ssn(s: str, before: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" and not re.search(r"\d{4}-$", before)
 
 
-_COMPILED = [(name, category, re.compile(p), sure) for name, category, p, sure in PATTERNS]
+#: What a text must hold for a pattern to match, where it isn't the letters that the pattern begins with: any of the strings, in lower case for patterns of any case.
+ANCHORS = {
+    "AWS Secret Key": ("aws_secret",), "Heroku API Key": ("heroku",), "Bearer Token": ("earer",), "Basic Auth": ("asic",), "OAuth Token": ("access_token", "oauth_token"), "Generic DB URL": ("://",), "Password Assignment": ("password", "passwd", "pwd"),
+    "Password Assignment Unquoted": ("password", "passwd", "pwd"), "Generic Secret Assignment": ("key", "token", "secret"), "Environment Variable Secret": ("secret", "token", "key", "password", "credential", "auth"), "SSN": (), "Credit Card (Visa)": (), "Credit Card (Mastercard)": (),
+    "Credit Card (Amex)": (), "Credit Card (Discover)": (),
+}
+#: Texts under so many characters aren't scanned.
+LEAST_CHARS = 8
+_DIGITS = re.compile(r"\d{3}-\d{2}-|[0-9]{13}")
+#: Letters that patterns of any case take for others, beyond lower case.
+_ALIKE = (("\u017f", "s"), ("\u0131", "i"))
+
+
+def anchors(name: str, pattern: str) -> tuple[str, ...]:
+    """Strings of which a text that the pattern matches holds one: those of ANCHORS, or the plain characters that the pattern begins with."""
+    if name in ANCHORS:
+        return ANCHORS[name]
+    plain = re.match(r"(?:\(\?i\))?(?:\\b)?([\w :-]+)", pattern).group(1)
+    after = pattern[pattern.index(plain) + len(plain) :][:1]
+    plain = plain[:-1] if after in "?*{" and after else plain
+    return (plain.lower() if pattern.startswith("(?i)") else plain,)
+
+
+_COMPILED = [(name, category, re.compile(p), sure, anchors(name, p), p.startswith("(?i)")) for name, category, p, sure in PATTERNS]
 
 
 def found_in(text: str) -> list[tuple[str, str, str, int, int]]:
-    """(name, category, confidence, start, end) by position; a match within an earlier pattern's match is left out."""
+    """(name, category, confidence, start, end) by position; a match within an earlier pattern's match is left out.
+
+    A pattern runs only on texts that hold one of its anchors, so most texts are only searched for plain strings."""
+    if len(text) < LEAST_CHARS:
+        return []
+    low, digits = text.lower(), bool(_DIGITS.search(text))
+    for letter, other in _ALIKE:
+        low = low.replace(letter, other)
+    assigned = "=" in text or ":" in text
     taken: list[tuple[str, str, str, int, int]] = []
-    for name, category, pattern, sure in _COMPILED:
+    starts: list[int] = []
+    reach: list[int] = []  # the furthest end of all matches that start so early
+    for name, category, pattern, sure, needed, any_case in _COMPILED:
+        if needed and not any(a in (low if any_case else text) for a in needed) or not needed and not digits:
+            continue
+        if category == "credential" and not assigned or sure == "low" and "=" not in text:
+            continue
+        before = len(taken)
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(x <= a and b <= y for *_, x, y in taken):
+            at = bisect_right(starts, a) - 1
+            if at >= 0 and reach[at] >= b:
                 continue
             if name.startswith("Credit Card") and not checked(m.group()):
                 continue
@@ -103,6 +144,9 @@ def found_in(text: str) -> list[tuple[str, str, str, int, int]]:
             if sure == "low" and entropy(m.group(1)) < LEAST_BITS:
                 continue
             taken.append((name, category, sure, a, b))
+        if len(taken) > before:  # matches of one pattern don't overlap, so the order is needed from the next one on
+            spans = sorted((x[3], x[4]) for x in taken)
+            starts, reach = [x for x, _ in spans], list(accumulate((y for _, y in spans), max))
     return sorted(taken, key=lambda x: (x[3], x[4]))
 
 

@@ -32,14 +32,15 @@ from pyspark.sql import types as T
 
 from memengine.llm.blocks import to_arrow_schema
 from memengine.llm.common import only, table
+from memengine.llm.textops import give_back
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces of text whose ids a worker keeps; beyond it, it forgets them and starts again.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 100_000
 #: And the characters and bytes of them all: texts without spaces are pieces as a whole.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 48 << 20
 #: Texts taken together, in characters.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 # White space is spelled out as a property: the tokenizer's \s has none of the ASCII separators 1C to 1F.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 _UNSAFE = regex.compile(r" \p{White_Space}")
@@ -270,6 +271,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
                 columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)}
                 columns |= {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([own.decode(x) for x in ids], pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in kind], schema=kind)
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -33,13 +33,21 @@ def topk_by(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
 def hybrid_candidates(scored: DataFrame, keyword: Column, k_vector: int = 200, k_other: int = 50) -> DataFrame:
     """Vector hits, then important memories and keyword hits that aren't hits yet; each with its strategy.
 
-    scored has id, similarity (null without a vector), importance.  A row takes the first strategy that has it; each is a top-k of its own."""
-    by_sim = scored.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k_vector).select("id", "similarity", F.lit("vector").alias("strategy"))
-    rest = scored.join(F.broadcast(by_sim.select("id")), "id", "left_anti")
-    important = rest.where("importance > 0.8").orderBy(F.desc("importance"), "id").limit(k_other).select("id", F.lit(0.5).alias("similarity"), F.lit("importance").alias("strategy"))
-    left = rest.join(F.broadcast(important.select("id")), "id", "left_anti")
-    found = left.where(keyword).orderBy(F.desc("importance"), "id").limit(k_other).select("id", F.lit(0.35).alias("similarity"), F.lit("keyword").alias("strategy"))
-    return by_sim.unionByName(important).unionByName(found)
+    scored has id, similarity (null without a vector), importance.  A row takes the first strategy that has it.  One pass: each row enters the lists that it
+    may be in, tasks keep the first rows of each list, as many as are enough after the other strategies take theirs, and the choice is made among those few hundred."""
+    entry = lambda name, key, may: F.when(may, F.struct(F.lit(name).alias("list"), F.col(key).cast("double").alias("key")))
+    lists = F.array_compact(F.array(entry("vector", "similarity", F.col("similarity").isNotNull()), entry("importance", "importance", F.col("importance") > 0.8), entry("keyword", "importance", F.col("hit"))))
+    rows = scored.select("id", "similarity", "importance", F.coalesce(keyword, F.lit(False)).alias("hit")).select("id", "similarity", F.explode(lists).alias("e")).select("id", "similarity", "e.list", "e.key")
+    top = topk_by(rows, ["list"], [F.desc("key"), F.col("id")], k_vector + 2 * k_other)
+    place = lambda name: F.min(F.when(F.col("list") == name, F.col("rank")))
+    few = top.groupBy("id").agg(F.max("similarity").alias("similarity"), place("vector").alias("v"), place("importance").alias("i"), place("keyword").alias("k"))
+    few = few.withColumn("strategy", F.when(F.col("v") <= k_vector, "vector"))
+    for name, column in (("importance", "i"), ("keyword", "k")):
+        open_ = F.col("strategy").isNull() & F.col(column).isNotNull()
+        so_far = F.sum(open_.cast("int")).over(Window.orderBy(F.asc_nulls_last(column)).rowsBetween(Window.unboundedPreceding, 0))  # of a few hundred rows
+        few = few.withColumn("strategy", F.when(open_ & (so_far <= k_other), name).otherwise(F.col("strategy")))
+    similarity = F.when(F.col("strategy") == "importance", 0.5).when(F.col("strategy") == "keyword", 0.35).otherwise(F.col("similarity"))
+    return few.where("strategy IS NOT NULL").select("id", similarity.alias("similarity"), "strategy")
 
 
 def composite_score(df: DataFrame, as_of: str, half_life_days: float = 3.0, typed: bool = True, weights: dict[str, float] | None = None) -> DataFrame:

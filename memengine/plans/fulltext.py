@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memengine.operators import dedup, fulltext, search
+from memengine.operators.graph import _cut
 from memengine.plans.base import query
 from memengine.sources.tables import active, memories, scan, vectors
 
@@ -15,7 +16,8 @@ def _turns(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return fulltext.postings(active(memories(spark, sf_dir)).select("id", F.col("context").alias("text")))
+    """Written once: every join of a search reads it."""
+    return _cut(fulltext.postings(active(memories(spark, sf_dir)).select("id", F.col("context").alias("text"))))
 
 
 def _asked(spark, sf_dir):

@@ -178,3 +178,40 @@ def retried(jobs: DataFrame, most: int = 3) -> DataFrame:
     out = jobs.groupBy("job_id").agg(n("claimed").alias("attempts"), n("failed").alias("failures"), n("done").alias("done"), F.max("at").alias("last_at"), F.max_by("event", "at").alias("last"))
     state: Column = F.when(F.col("done") > 0, "done").when(F.col("failures") >= most, "dead").when(F.col("last") == "claimed", "running").otherwise("pending")
     return out.select("job_id", state.alias("state"), "attempts", "last_at")
+
+
+#: Fixed values of the memory model: labels of pairs, the batch, and what counts as unsure.
+LABELS, BATCH, UNSURE, SHOWN = ("DUPLICATE", "UPDATE", "CONTRADICTION", "DISTINCT"), 20, 0.85, 10
+
+
+def classification_batch(queue: DataFrame, memories: DataFrame, labels: DataFrame, most: int = BATCH) -> DataFrame:
+    """(pair_id, a, b, status, kind): the most similar pending pairs (pair_id, a, b, similarity, status), after labels (pair_id, label) came back.
+
+    A pair with a memory (id) that is gone is rejected; a label that isn't one of LABELS means DISTINCT; without a label a pair stays pending."""
+    top = queue.where("status = 'pending'").orderBy(F.desc("similarity"), "pair_id").limit(most)
+    ids = memories.select("id").distinct()
+    both = top.join(ids.select(F.col("id").alias("a"), F.lit(True).alias("has_a")), "a", "left").join(ids.select(F.col("id").alias("b"), F.lit(True).alias("has_b")), "b", "left")
+    rows = both.join(labels.select("pair_id", F.upper(F.trim("label")).alias("label")), "pair_id", "left")
+    gone = F.col("has_a").isNull() | F.col("has_b").isNull()
+    status = F.when(gone, "rejected").when(F.col("label").isNull(), "pending").otherwise("classified")
+    kind = F.when(status == "classified", F.when(F.col("label").isin(*LABELS), F.col("label")).otherwise("DISTINCT"))
+    return rows.select("pair_id", "a", "b", status.alias("status"), kind.alias("kind"))
+
+
+def unsure_duplicates(queue: DataFrame, memories: DataFrame, below: float = UNSURE, most: int = SHOWN) -> DataFrame:
+    """(pair_id, confidence, headline_a, headline_b): the duplicates (pair_id, a, b, kind, confidence) classified least surely, with both memories (id, headline)."""
+    low = queue.where((F.col("kind") == "DUPLICATE") & (F.col("confidence") < below)).orderBy("confidence", "pair_id").limit(most)
+    head = lambda c: memories.select(F.col("id").alias(c), F.col("headline").alias(f"headline_{c}"))
+    return low.join(head("a"), "a").join(head("b"), "b").select("pair_id", "confidence", "headline_a", "headline_b")
+
+
+def seeded(facts: DataFrame, held: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(memories, rejected) of raw facts (tenant_id, agent_id, seq, text): all of a tenant's facts or none, as they fit beside what it holds (tenant_id, n).
+
+    A fact is headline, context and full content alike, with confidence 0.9; blank facts go first, and facts without a tenant have nowhere to go and are left out."""
+    real = facts.withColumn("text", F.trim("text")).where("text <> ''")
+    sizes = real.groupBy("tenant_id").agg(F.count("*").alias("new")).join(held.select("tenant_id", "n"), "tenant_id", "left")
+    fits = sizes.select("tenant_id", (F.col("new") + F.coalesce("n", F.lit(0)) <= limit).alias("fits"), "new")
+    text = [F.col("text").alias(c) for c in ("headline", "context", "full_content")]
+    stored = real.join(fits.where("fits"), "tenant_id", "left_semi").select("tenant_id", "agent_id", "seq", *text, F.lit("fact").alias("memory_type"), F.lit(0.9).alias("confidence"))
+    return stored, fits.where("NOT fits").select("tenant_id", F.col("new").alias("rejected"))

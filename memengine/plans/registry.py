@@ -312,4 +312,4 @@ def tenant_counts(spark, sf_dir):
     return n.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("tenants"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
 
 
-from memengine.plans import consolidation, fulltext, knowledge, reports, searches, streams, untrusted, writes  # noqa: E402, F401  (they register their queries)
+from memengine.plans import consolidation, details, fulltext, knowledge, reports, searches, streams, untrusted, writes  # noqa: E402, F401  (they register their queries)

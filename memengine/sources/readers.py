@@ -62,3 +62,20 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def unprocessed(turns: DataFrame, processed: DataFrame) -> DataFrame:
     """Resume an import: turns of threads that aren't in processed (thread)."""
     return turns.join(processed.select("thread"), "thread", "left_anti")
+
+
+def newest_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(folder, path, modified): the file of each folder that changed last, of equal ones the last by name; only listings are read."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    last = files.groupBy(folder.alias("folder")).agg(F.max(F.struct("modificationTime", "path")).alias("m"))
+    return last.select("folder", F.col("m.path").alias("path"), F.col("m.modificationTime").alias("modified"))
+
+
+def detected(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, format) of files: by extension, and JSON by the keys that its first 64 kB show: tree, list, session, transcript or unknown."""
+    head = F.substring(F.col("content").cast("string"), 1, 1 << 16)
+    files = spark.read.format("binaryFile").load(pattern)
+    extension = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    kind = F.when(extension == "jsonl", "session").when(extension.isin("txt", "md"), "transcript").when((extension == "json") & F.contains(head, F.lit('"mapping"')), "tree")
+    return files.select("path", kind.when((extension == "json") & F.regexp_like(head, F.lit('"(chat_messages|messages|entries)"')), "list").otherwise("unknown").alias("format"))

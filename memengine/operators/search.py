@@ -52,7 +52,7 @@ def keywords(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(words, lambda w: F.regexp_like(w, F.lit("^[a-z]{3,}$")) & ~w.isin(KEYWORD_STOP)), 1, most)
 
 
-def requested(df: DataFrame, types: list[str] | None = None, actor: int | None = None, since: str | None = None, until: str | None = None, role: str | None = None, agent: str | None = None) -> DataFrame:
+def requested(df: DataFrame, types: list[str] | None = None, actor: int | None = None, since: str | None = None, until: str | None = None, role: str | None = None, agent: str | None = None, project: str | None = None) -> DataFrame:
     """Rows that every given condition allows; what isn't given doesn't filter.  All reach the scan as one filter."""
     parts = []
     if types is not None:
@@ -67,6 +67,8 @@ def requested(df: DataFrame, types: list[str] | None = None, actor: int | None =
         parts.append(F.col("role_tag").isNull() | F.col("role_tag").isin(role, "public"))
     if agent is not None:
         parts.append((F.col("agent_id") == agent) | (F.col("memory_type") == "synthesis"))
+    if project is not None:
+        parts.append(F.col("project_id") == project)
     return df.where(reduce(lambda a, b: a & b, parts, F.lit(True)))
 
 

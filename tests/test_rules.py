@@ -99,3 +99,8 @@ def test_quality_score_and_recall_stats(spark):
     assert row.select(telemetry.quality_score()).first()[0] == int(0.75 * 40 + 0.1 * 20 + 0.5 * 20 + 0.8 * 20)
     m = spark.createDataFrame([("a", 4, 2), ("a", 0, 0), ("a", 2, 2)], "agent_id string, recall_count int, used_count int")
     assert tuple(telemetry.recall_stats(m).first()) == ("a", 2, 4, 0.75)
+
+
+def test_project_filter(spark):
+    df = spark.createDataFrame([(1, "p"), (2, "q"), (3, None)], "id int, project_id string")
+    assert [r["id"] for r in search.requested(df, project="p").collect()] == [1] and search.requested(df).count() == 3

@@ -198,6 +198,10 @@ class Encoder:
             return [text] if text else []
         return [self.special.get(x, x) for x in self.cut.split(text) if x]
 
+    def forget(self) -> None:
+        """Drop the piece tables."""
+        self.after_space, self.at_start, self.tokens, self.kept = {}, {}, {}, 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
         sections = [[x if isinstance(x, int) else self.pieces(x) for x in self.sections(t)] for t in texts]
         starts = {x[0] for own in sections for x in own if not isinstance(x, int)}
@@ -207,7 +211,7 @@ class Encoder:
                 if not isinstance(x, int):
                     inner.update(x[1:])
         if len(self.after_space) + len(self.at_start) + len(self.tokens) > 2 * KEPT_PIECES or self.kept > KEPT_BYTES:
-            self.after_space, self.at_start, self.tokens, self.kept = {}, {}, {}, 0
+            self.forget()
         self.learn([c for c in inner if c not in self.after_space], [c for c in starts if c not in self.at_start])
         out = []
         for own in sections:
@@ -272,6 +276,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
                 columns |= {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([own.decode(x) for x in ids], pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in kind], schema=kind)
             give_back()
+        own.forget()  # the worker lives on beside those of later stages
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

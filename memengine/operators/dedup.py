@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,56 +166,93 @@ def merged(pairs: DataFrame, memories: DataFrame) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, agents: str = "all") -> DataFrame:
+#: Queries, and vectors, that one task compares at most; similarities in a tile of them; what rounding may take from one.
+NEAREST_ROWS, TILE, SLACK = 16384, 1 << 22, 1e-12
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = NEAREST_ROWS, agents: str = "all") -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar vectors (id, embedding) of each query (query_id, embedding); a vector with the query's own id is left out.
 
     agents: "all", or "own" and "other": then both have agent_id, and only vectors of the query's agent, or of other agents, are its neighbours.
-    Queries are sent in blocks of a bounded number; a task keeps each query's k best and one small merge follows."""
+    Queries and vectors (an agent's, for "own") are cut into blocks by hash; each pair of blocks is one group of a cogroup, which keeps each query's k best, and
+    one merge follows.  So a task's memory is that of two blocks and a tile, whatever the number of queries, and the work is all queries times all vectors."""
     scoped = agents != "all"
-    extra = ["agent_id"] if scoped else []
-    rows = vectors.select("id", unit(F.col("embedding")).alias("u"), *extra).where("u IS NOT NULL")
-    sent = queries.select("query_id", unit(F.col("embedding")).alias("u"), *extra).where("u IS NOT NULL")
-    blocks = -(-max(1, sent.count()) // block)
-    dealt = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    group = F.xxhash64("agent_id") if agents == "own" else F.lit(0).cast("long")
+    side = lambda df, c: df.select(group.alias("g"), F.col(c).alias(c), unit(F.col("embedding")).alias("u"), *([F.col("agent_id").alias("agent_id")] if scoped else [])).where("u IS NOT NULL")
+    asked, rows = side(queries, "query_id"), side(vectors, "id")
+    # only groups of several blocks are listed: never more than there are blocks
+    parts = lambda df, c: F.broadcast(df.groupBy("g").agg(F.ceil(F.count("*") / block).alias(c)).where(F.col(c) > 1))
+    x, y = parts(asked, "xs"), parts(rows, "ys")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c, F.lit(1)) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1)))
+    sent = asked.join(x, "g", "left").join(y, "g", "left").withColumn("x", own("query_id", "xs")).withColumn("y", every("ys")).drop("xs", "ys")
+    held = rows.join(x, "g", "left").join(y, "g", "left").withColumn("x", every("xs")).withColumn("y", own("id", "ys")).drop("xs", "ys")
     key, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        own = dealt.where(F.col("block") == b).drop("block").toPandas()
-        for dims, part in own.groupby(own["u"].map(len)):
-            asking = queries.sparkSession.sparkContext.broadcast((part["query_id"].tolist(), np.stack(part["u"].to_numpy()), part["agent_id"].tolist() if scoped else None))
-            found = rows.where(F.size("u") == int(dims)).mapInArrow(_nearest(asking, k, agents), f"query_id {key}, id {kind}, similarity double")
-            out = found if out is None else out.union(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {key}, id {kind}, similarity double, rank int")
+    out = sent.groupBy("g", "x", "y").cogroup(held.groupBy("g", "x", "y")).applyInArrow(_nearest(k, agents), f"query_id {key}, id {kind}, similarity double")
     return topk_by(out, ["query_id"], [F.desc("similarity"), F.col("id")], k)
 
 
-def _nearest(asking: Broadcast, k: int, agents: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, of = asking.value
-        place = {n: i for i, n in enumerate(names)}
-        codes = {a: i for i, a in enumerate(dict.fromkeys(of or ()))}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(batch.schema.names.index("id")).to_pylist()
-            v = batch.column(batch.schema.names.index("u")).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            near = q @ v.T
-            for j, i in enumerate(map(place.get, ids)):
-                if i is not None:
-                    near[i, j] = -np.inf
-            if of is not None:
-                theirs = np.array([codes.get(a, -1) for a in batch.column(batch.schema.names.index("agent_id")).to_pylist()])
-                same = np.array([codes[a] for a in of])[:, None] == theirs
-                near[~same if agents == "own" else same] = -np.inf
-            top = min(k, near.shape[1])
-            least = np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top]
-            i, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))  # ties with the last stay; the merge decides by id
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i.tolist()]), pa.array([ids[x] for x in j.tolist()]), pa.array(near[i, j])], names=["query_id", "id", "similarity"])
+def _nearest(k: int, agents: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = []
+        for dims in pc.unique(pc.list_value_length(asked["u"])).to_pylist():
+            q, v = (t.filter(pc.equal(pc.list_value_length(t["u"]), dims)) for t in (asked, rows))
+            v = v.take(pc.sort_indices(v["id"]))
+            i, j, s = _best(q, v, k, agents)
+            found.append(pa.table({"query_id": q["query_id"].take(i), "id": v["id"].take(j), "similarity": s}))
+        return pa.concat_tables(found) if found else pa.table({"query_id": asked["query_id"], "id": rows["id"][:0], "similarity": np.zeros(0)})
 
     return run
 
 
+def _rows(table: pa.Table) -> np.ndarray:
+    return pc.list_flatten(table["u"]).to_numpy().reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
+
+
+def _best(asked: pa.Table, rows: pa.Table, k: int, agents: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity): the k best rows, which are ordered by id, of each query.
+
+    Tiles of products find what may belong to them; its similarities are summed anew, in an order that doesn't depend on the tile, so that equal vectors tie."""
+    q, v = _rows(asked), _rows(rows)
+    names, ids = asked["query_id"].to_numpy(), rows["id"].to_numpy()
+    first = last = np.zeros(len(q), np.int64)
+    if names.dtype.kind == ids.dtype.kind:
+        first, last = (np.searchsorted(ids, names, side) for side in ("left", "right"))
+    if agents != "all":
+        codes = pc.dictionary_encode(pa.chunked_array([*asked["agent_id"].chunks, *rows["agent_id"].chunks], asked["agent_id"].type), null_encoding="encode").combine_chunks().indices.to_numpy()
+        mine, theirs = codes[: len(q)], codes[len(q) :]
+    floor = np.full(len(q), -np.inf)
+    i, j, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, TILE // max(1, len(q)))
+    for at in range(0, len(v), step):
+        near = q @ v[at : at + step].T
+        for o in range(int((last - first).max(initial=0))):
+            own = np.flatnonzero((first + o < last) & (first + o >= at) & (first + o < at + near.shape[1]))
+            near[own, first[own] + o - at] = -np.inf
+        if agents != "all":
+            same = mine[:, None] == theirs[None, at : at + step]
+            near[~same if agents == "own" else same] = -np.inf
+        bar = floor
+        if np.isneginf(floor).any() and near.shape[1] > k:
+            bar = np.maximum(floor, np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k])
+        a, b = np.nonzero((near >= bar[:, None] - SLACK) & (near > -np.inf))
+        fresh.append((a, b + at))
+        if sum(len(a) for a, _ in fresh) < len(q) * k / 2 and at + step < len(v):
+            continue
+        a, b = (np.concatenate(c) for c in zip(*fresh, strict=True))
+        fresh = []
+        exact = [(q[a[n : n + 65536]] * v[b[n : n + 65536]]).sum(axis=1) for n in range(0, len(a), 65536)]
+        i, j, s = np.concatenate([i, a]), np.concatenate([j, b]), np.concatenate([s, *exact])
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        place = np.arange(len(i)) - np.repeat(starts, np.diff(starts, append=len(i)))
+        floor[i[place == k - 1]] = s[place == k - 1]
+        i, j, s = i[place < k], j[place < k], s[place < k]
+    return i, j, s
+
+
 def unscanned_neighbours(vectors: DataFrame, scanned: DataFrame, queued: DataFrame, k: int = 5, threshold: float = 0.82) -> DataFrame:
     """(agent_id, a, b, similarity): pairs to queue: rows (agent_id, id, embedding) that aren't in scanned (id) yet, and those of their agent's k nearest above the threshold.
 

@@ -83,3 +83,29 @@ def test_second_scan_compares_nothing(spark):
     assert unchanged.collect() == []
     later = dedup.unscanned_neighbours(vectors, vectors.where("id <> 19").select("id"), queued).collect()
     assert later and all(19 in (r["a"], r["b"]) for r in later)
+
+
+@pytest.mark.parametrize("agents", ["all", "own", "other"])
+def test_nearest_holds_two_blocks(spark, monkeypatch, agents):
+    """No task gets more than a pair of blocks, equal vectors tie by id in whatever tile they stand, and the driver collects no query."""
+    monkeypatch.setattr(dedup, "TILE", 64)
+    rng = np.random.Generator(np.random.PCG64(5))
+    base = rng.normal(size=(30, 16))
+    rows = [("ab"[i % 2], i, base[i // 2 % 30]) for i in range(120)]
+    vectors = table(spark, rows)
+    sizes = spark.sparkContext.accumulator(0)
+    best = dedup._best
+
+    def counted(q, v, k, how):
+        sizes.add(max(0, q.num_rows - 40) + max(0, v.num_rows - 40))
+        return best(q, v, k, how)
+
+    monkeypatch.setattr(dedup, "_best", counted)
+    monkeypatch.setattr(type(vectors), "toPandas", None)
+    got = {(r["query_id"], r["id"], r["rank"]) for r in dedup.nearest(vectors, vectors.withColumnRenamed("id", "query_id"), 3, 16, agents).collect()}
+    want = set()
+    for a, i, v in rows:
+        near = [(-round(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), 12), j) for b, j, w in rows if j != i and (agents == "all" or (agents == "own") == (a == b))]
+        want |= {(i, j, r) for r, (_, j) in enumerate(sorted(near)[:3], 1)}
+    assert got == want
+    assert sizes.value == 0

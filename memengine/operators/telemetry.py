@@ -50,13 +50,22 @@ def rollup(usage: DataFrame) -> DataFrame:
 def rolling_zscores(usage: DataFrame, window_seconds: int = 3600, least: int = 5) -> DataFrame:
     """(event_id, endpoint, value, mean, sd, z): each call's deviation from the endpoint's calls of the window that ends with it (sample deviation).
 
-    A call is dealt to its own stretch of time and, as context, to the next one; so a stretch, not an endpoint's history, is one group."""
+    A call is dealt to its own stretch of time and, as context, to the next one; so a stretch, not an endpoint's history, is one group.  A stretch is as long as
+    the window, so a window is the start of its call's stretch and the end of the one before: two running aggregates, put together without taking anything away."""
     width = window_seconds * 1_000_000
     x = usage.withColumn("s", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("own", F.floor(F.col("s") / width))
     x = x.select("event_id", "endpoint", F.col("response_time_ms").alias("value"), "s", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("stretch"))
-    w = Window.partitionBy("endpoint", "stretch").orderBy("s").rangeBetween(-(width - 1), 0)
-    x = x.withColumns({"n": F.count("*").over(w), "mean": F.avg("value").over(w), "sd": F.stddev_samp("value").over(w)})
-    return x.where((F.col("stretch") == F.col("own")) & (F.col("n") >= least) & (F.col("sd") > 0)).select("event_id", "endpoint", "value", "mean", "sd", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+    # a call of the stretch before stands where the last window that holds it ends
+    mine = F.col("stretch") == F.col("own")
+    x = x.withColumns({"end": F.when(mine, F.col("s")).otherwise(F.col("s") + (width - 1)), "now": F.when(mine, F.col("value")), "was": F.when(~mine, F.col("value"))})
+    upto = Window.partitionBy("endpoint", "stretch").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    for c, w in (("now", upto.orderBy("end")), ("was", upto.orderBy(F.desc("end")))):
+        x = x.withColumns({f"{c}_{n}": f(c).over(w) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop), ("min", F.min), ("max", F.max))})
+    m, n, mean, other = F.col("now_n"), F.col("was_n"), F.col("now_mean"), F.coalesce("was_mean", "now_mean")
+    squares = m * F.col("now_var") + F.coalesce(n * F.col("was_var"), F.lit(0.0)) + (mean - other) * (mean - other) * m * n / (m + n)
+    x = x.where(mine).withColumns({"n": m + n, "mean": (m * mean + n * other) / (m + n), "sd": F.sqrt(squares / F.greatest(m + n - 1, F.lit(1)))})
+    varies = F.greatest("now_max", "was_max") > F.least("now_min", "was_min")  # rounding alone must not make a deviation
+    return x.where((F.col("n") >= least) & varies & (F.col("sd") > 0)).select("event_id", "endpoint", "value", "mean", "sd", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
 #: Deviations from which each kind of metric is an anomaly, and multiples of them by severity.

@@ -8,6 +8,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,22 @@ def test_rolling_zscores_need_history(spark):
     assert severe == {99: ("latency_spike", "medium")}
 
 
+def test_rolling_zscores_take_nothing_away(spark):
+    """Windows equal plain ones, also of equal values and equal times, and no frame slides: a full hour costs no more than its calls."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    rows = [(i, "/ab"[: 1 + i % 2], int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 4 * 3600, 400) // 7 * 7, rng.choice([0.1, 7.3, 1e6], 400), strict=True))] + [(1000 + i, "/c", 60 * i, 0.1) for i in range(90)]
+    df = spark.createDataFrame(rows, "event_id long, endpoint string, t long, response_time_ms double").withColumn("created_at", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    scores = telemetry.rolling_zscores(df)
+    want = {}
+    for i, e, t, v in rows:
+        own = [w for _, f, u, w in rows if f == e and t - 3600 < u <= t]
+        if len(own) >= 5 and len(set(own)) > 1:
+            want[i] = (v - statistics.mean(own)) / statistics.stdev(own)
+    got = {r["event_id"]: r["z"] for r in scores.collect()}
+    assert got == pytest.approx(want) and want
+    assert "currentrow$()" in (plan := scores._jdf.queryExecution().analyzed().toString()) and "RangeFrame, -" not in plan
+
+
 def test_nearest_rank_percentiles(spark):
     rows = [("/a", float(i), 500 if i == 1 else 200) for i in range(1, 21)] + [("/b", 7.0, 200)]
     got = {r["endpoint"]: r for r in telemetry.percentiles(spark.createDataFrame(rows, "endpoint string, response_time_ms double, status_code int")).collect()}

@@ -32,9 +32,11 @@ def _matrix(column: pa.Array, at: int, rows: int) -> np.ndarray:
     return column.values.slice(start, end - start).to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
-def _within(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def _within(rows: DataFrame, keys: list[str], threshold: float, best: tuple[int, int] | None = None) -> DataFrame:
     """(agent_id, a, b, similarity), a < b, of all rows of a group at or above the threshold; a pair that agrees in an earlier mark belongs to another group.
 
+    best (pairs, digits): two blocks give only so many pairs, the first by similarity, rounded, then a, b: enough for the same first pairs of each agent.
+
     A block meets itself where it lies; blocks of large groups are dealt by pairs of blocks, so that no task has a whole group."""
     blocks = _blocks(rows, keys)
     alone = blocks.select("agent_id", *[F.col(c).alias(f"{c}_{side}") for side in "xy" for c in ("ids", "values", "marks")], F.lit(True).alias("same"), "table")
@@ -52,6 +54,8 @@ def _within(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
                 x, y = (own[f"ids_{s}"][r].values.to_numpy(zero_copy_only=False) for s in "xy")
                 u, v = (_matrix(own[f"values_{s}"], r, len(ids)) for s, ids in (("x", x), ("y", y)))
                 product = u @ v.T
+                if best:
+                    product = np.round(product, best[1])
                 i, j = np.nonzero(product >= threshold)
                 keep = x[i] < y[j] if own["same"][r].as_py() else x[i] != y[j]
                 i, j = i[keep], j[keep]
@@ -60,6 +64,12 @@ def _within(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
                     first, second = (_matrix(own[f"marks_{s}"], r, len(ids)) for s, ids in (("x", x), ("y", y)))
                     fresh = ~(first[i, :table] == second[j, :table]).any(axis=1)
                     i, j = i[fresh], j[fresh]
+                if best and len(i) > best[0]:
+                    s = product[i, j]
+                    near = s >= np.partition(s, len(s) - best[0])[len(s) - best[0]]
+                    i, j = i[near], j[near]
+                    first = np.lexsort((np.maximum(x[i], y[j]), np.minimum(x[i], y[j]), -product[i, j]))[: best[0]]
+                    i, j = i[first], j[first]
                 agent = pa.array([own["agent_id"][r].as_py()] * len(i), batch.schema.field("agent_id").type)
                 yield pa.RecordBatch.from_pydict({"agent_id": agent, "a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "similarity": product[i, j]})
 
@@ -114,13 +124,14 @@ def hashed(vectors: DataFrame, bits: int, tables: int, seed: int = 7) -> DataFra
     return marked.select("agent_id", "dims", F.posexplode("marks").alias("table", "bucket"), "id", "u", "marks")
 
 
-def hashed_pairs(vectors: DataFrame, threshold: float, recall: float = 0.95, seed: int = 7) -> DataFrame:
+def hashed_pairs(vectors: DataFrame, threshold: float, recall: float = 0.95, seed: int = 7, least: float | None = None, best: tuple[int, int] | None = None) -> DataFrame:
     """similar_pairs by tables of random hyperplanes: every pair given is exact, and a pair at the threshold is found with the probability `recall`, a closer one surer.
 
-    A vector is compared within its bucket of each table only; full buckets are cut into blocks, none is capped.  similar_pairs is the exact way."""
+    A vector is compared within its bucket of each table only; full buckets are cut into blocks, none is capped.  similar_pairs is the exact way.
+    least, best: of the pairs found only those from a higher bound on, and of those an agent's first ones at least (see _within), for callers that want no others."""
     most = vectors.groupBy("agent_id").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(threshold, recall, most)
-    return _within(hashed(vectors, bits, tables, seed), ["agent_id", "dims", "table", "bucket"], threshold)
+    return _within(hashed(vectors, bits, tables, seed), ["agent_id", "dims", "table", "bucket"], max(threshold, least or threshold), best)
 
 
 def labelled(pairs: DataFrame, duplicate: float = 0.92, related: float = 0.85) -> DataFrame:

@@ -109,3 +109,17 @@ def test_nearest_holds_two_blocks(spark, monkeypatch, agents):
         want |= {(i, j, r) for r, (_, j) in enumerate(sorted(near)[:3], 1)}
     assert got == want
     assert sizes.value == 0
+
+
+@pytest.mark.parametrize("block", [1024, 9])
+def test_first_pairs_of_an_agent(spark, monkeypatch, block):
+    """Where only the first pairs are wanted, copies make no others, and the first are the same."""
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block)
+    rng = np.random.Generator(np.random.PCG64(8))
+    base = rng.normal(size=(6, 8))
+    rows = [("ab"[i % 2], i, base[i % 3] + 0.02 * rng.normal(size=8) * (i % 4 == 0)) for i in range(90)]
+    full = dedup.hashed_pairs(table(spark, rows), 0.85).withColumn("similarity", F.round("similarity", 6)).where("similarity >= 0.95").collect()
+    few = dedup.hashed_pairs(table(spark, rows), 0.85, least=0.95, best=(5, 6)).collect()
+    first = lambda found: {g: sorted((-r["similarity"], r["a"], r["b"]) for r in found if r["agent_id"] == g)[:5] for g in "ab"}
+    assert first(few) == first(full)
+    assert len(few) < len(full)

@@ -255,20 +255,24 @@ def illegal_moves(spark, sf_dir):
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem)"
 
 
+def _edge_rows(spark, sf_dir):
+    """Parts and, below zero, suppliers that lineitem brings together, as often as it does."""
+    return scan(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"))
+
+
 def _all_edges(spark, sf_dir):
-    """Parts and, below zero, suppliers that lineitem brings together."""
-    return scan(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
+    return _edge_rows(spark, sf_dir).distinct()
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT CAST(7 AS BIGINT) AS id, 0 AS hop UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY id""")
 def graph_hops_all(spark, sf_dir):
-    return graph.hops(_all_edges(spark, sf_dir), spark.range(7, 8).select("id"), 3)
+    return graph.hops(_edge_rows(spark, sf_dir), spark.range(7, 8).select("id"), 3)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h AS (SELECT CAST(7 AS BIGINT) AS id, 0 AS hop UNION SELECT u.dst, hop + 1 FROM h JOIN u ON u.src = h.id WHERE hop < 1), n AS (SELECT id, min(hop) AS hop FROM h GROUP BY id)
 SELECT src, dst, min(hop) + 1 AS hop FROM (SELECT e.*, hop FROM e JOIN n ON n.id = src UNION ALL SELECT e.*, hop FROM e JOIN n ON n.id = dst) GROUP BY src, dst""")
 def graph_subgraph_all(spark, sf_dir):
-    return graph.subgraph(_all_edges(spark, sf_dir), spark.range(7, 8).select("id"), 2)
+    return graph.subgraph(_edge_rows(spark, sf_dir), spark.range(7, 8).select("id"), 2)
 
 
 @query("""WITH c AS (SELECT source AS cluster, lang AS agent, rtrim(regexp_replace(lower(trim(unnest(string_split(regexp_replace(trim(text), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))), ' ' || chr(9) || chr(10) || chr(13))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '.!?,;:') AS claim FROM documents),

@@ -292,3 +292,12 @@ def test_disagreement_and_ranks(spark):
     df = spark.createDataFrame(rows, "cluster string, agent string, text string")
     assert {r["claim"]: (r["supporters"], r["dissenters"]) for r in consensus.disagreement(df).collect()} == {"three": (["b"], ["a", "d"]), "four is longer than the others": (["d"], ["a", "b"])}
     assert [r["agent"] for r in consensus.ranked_candidates(df).orderBy("r").collect()] == ["d", "a", "b"]
+
+
+def test_hops_over_repeated_edges(spark, monkeypatch):
+    """Edges that come often lead to each node once, and the whole graph isn't made distinct for it."""
+    monkeypatch.setattr(graph, "undirected", None)
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 2), (3, 2), (4, 3), (9, 9)], "src long, dst long")
+    start = spark.createDataFrame([(1,)], "id long")
+    assert sorted(map(tuple, graph.hops(edges, start, 2).collect())) == [(1, 0), (2, 1), (3, 2)]
+    assert sorted(map(tuple, graph.subgraph(edges, start, 2).collect())) == [(1, 2, 1), (2, 1, 1), (3, 2, 2)]

@@ -89,7 +89,8 @@ def errors(value: Column, schema: dict) -> Column:
 
 def validated(rows: DataFrame, schema: dict, column: str = "json") -> DataFrame:
     """rows with errors array<string>: empty where the JSON text is valid; a text that can't be parsed is no object."""
-    return rows.withColumn("errors", errors(F.try_parse_json(column), schema))
+    # bound by a lambda: otherwise each rule would parse the text again
+    return rows.withColumn("errors", F.get(F.transform(F.array(F.try_parse_json(column)), lambda v: errors(v, schema)), F.lit(0)))
 
 
 def _replies(texts: DataFrame) -> DataFrame:

@@ -102,3 +102,11 @@ def test_checkpoints_to_resume(spark):
     rows = [("o", "a", 1, "end_of_thread", 5), ("o", "a", 2, "mid_thread", 5), ("o", "b", 1, "mid_thread", 5), ("o", "b", 2, "auto_resume_meta", 5), ("o", "c", 1, "tail_recovery", 5)]
     got = folds.checkpoints_to_resume(spark.createDataFrame(rows, "owner string, thread string, seq int, kind string, tokens int"), spark.createDataFrame([("o", "b")], "owner string, thread string"))
     assert {(r["thread"], r["seq"], r["preserved"]) for r in got.collect()} == {("a", 1, True), ("b", 1, True), ("c", 1, True)}
+
+
+def test_text_is_parsed_once(spark):
+    """However many rules there are, the optimised plan parses a row's text once."""
+    rows = spark.createDataFrame([('{"level": 1}',), ("no",), (None,)], "json string")
+    out = validation.validated(rows, validation.CHECKPOINT)
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 1
+    assert [len(r["errors"]) for r in out.collect()] == [9, 1, 1]

@@ -103,9 +103,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def co_occurrence(index: DataFrame, k: int) -> DataFrame:
-    """(id, other, shared): for each memory the k others that share most entities; index is (entity, id)."""
+    """(id, other, shared): for each memory the k others that share most entities, of equals the smaller ids; index is (entity, id), each pair once.
+
+    The memories of an entity aren't paired.  Who shares two entities or more is found by the memories' own pairs of entities, a few each; who shares but one
+    can be among the first k only as one of the k smallest other ids of that entity, so an entity gives its k + 1 smallest to each of its memories."""
     from pyspark.sql import Window
 
-    other = index.select("entity", F.col("id").alias("other"))
-    pairs = index.join(other, "entity").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("shared"))
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= k).drop("r")
+    index = index.where("entity IS NOT NULL AND id IS NOT NULL").select("entity", "id")
+    both = index.join(index.withColumnRenamed("entity", "second"), "id").where("entity < second")
+    met = Window.partitionBy("entity", "second").orderBy("id")
+    often = _cut(both.withColumns({"before": F.lag("id").over(met), "after": F.lead("id").over(met)}).where("before IS NOT NULL OR after IS NOT NULL").select("entity", "second", "id"))
+    pairs = often.join(often.withColumnRenamed("id", "other"), ["entity", "second"]).where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
+    # s shared entities make s * (s - 1) / 2 pairs of them
+    many = pairs.select("id", "other", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))
+    best = many.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= k)
+    best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "other", "shared"))).alias("best"))
+
+    least = index.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("id"))).where(F.col("r") <= k + 1)
+    near = index.join(least.groupBy("entity").agg(F.collect_list("id").alias("near")), "entity").select("id", "near")
+    ones = near.repartition("id").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("ones"))
+    none = F.array().cast(best.schema["best"].dataType)
+    known = ones.join(best, "id", "left").withColumn("best", F.coalesce("best", none)).withColumn("rest", F.slice(F.array_except("ones", F.array_append("best.other", F.col("id"))), 1, k))
+    kept = lambda other, shared: F.struct(other.alias("other"), shared.alias("shared"))
+    first = F.slice(F.concat(F.transform("best", lambda x: kept(x["other"], x["shared"])), F.transform("rest", lambda x: kept(x, F.lit(1).cast("long")))), 1, k)
+    return known.select("id", F.explode(first).alias("x")).select("id", "x.other", "x.shared")

@@ -7,6 +7,7 @@ import json
 import math
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -301,3 +302,23 @@ def test_hops_over_repeated_edges(spark, monkeypatch):
     start = spark.createDataFrame([(1,)], "id long")
     assert sorted(map(tuple, graph.hops(edges, start, 2).collect())) == [(1, 0), (2, 1), (3, 2)]
     assert sorted(map(tuple, graph.subgraph(edges, start, 2).collect())) == [(1, 2, 1), (2, 1, 1), (3, 2, 2)]
+
+
+def test_co_occurrence_of_a_frequent_entity(spark):
+    """The memories of one entity aren't paired: 20,000 of them would make 400 million pairs, which take minutes; counts and ties are those of all pairs."""
+    r = random.Random(5)
+    index = sorted({(r.randrange(12), r.randrange(60)) for _ in range(150)})
+    for k in (1, 3, 10):
+        shared = {}
+        for e, a in index:
+            for f, b in index:
+                if e == f and a != b:
+                    shared.setdefault(a, {}).setdefault(b, []).append(e)
+        want = {(a, b, len(n)) for a, others in shared.items() for b, n in sorted(others.items(), key=lambda x: (-len(x[1]), x[0]))[:k]}
+        got = [tuple(x) for x in graph.co_occurrence(spark.createDataFrame([*index, (None, 3), (1, None)], "entity long, id long"), k).collect()]
+        assert len(got) == len(want) and set(got) == want
+    hot = spark.range(20_000).select(F.lit(-1).cast("long").alias("entity"), "id").union(spark.range(4).select(F.lit(-2).cast("long"), F.col("id") * 5000 + 7))
+    start = time.monotonic()
+    got = {tuple(x) for x in graph.co_occurrence(hot, 2).where("id IN (0, 9, 5007)").collect()}
+    assert got == {(0, 1, 1), (0, 2, 1), (9, 0, 1), (9, 1, 1), (5007, 7, 2), (5007, 10007, 2)}
+    assert time.monotonic() - start < 60

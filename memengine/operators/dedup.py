@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memengine.functions.scalars import unit
+from memengine.operators import graph
 from memengine.operators.retrieval import topk_by
 
 
@@ -32,11 +33,28 @@ def _matrix(column: pa.Array, at: int, rows: int) -> np.ndarray:
     return column.values.slice(start, end - start).to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
-def _within(rows: DataFrame, keys: list[str], threshold: float, best: tuple[int, int] | None = None) -> DataFrame:
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of the n nodes that each one reaches over the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        np.minimum.at(low, label, low.copy())
+        low = low[low]
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
+def _within(rows: DataFrame, keys: list[str], threshold: float, best: tuple[int, int] | None = None, duplicate: float | None = None) -> DataFrame:
     """(agent_id, a, b, similarity), a < b, of all rows of a group at or above the threshold; a pair that agrees in an earlier mark belongs to another group.
 
     best (pairs, digits): two blocks give only so many pairs, the first by similarity, rounded, then a, b: enough for the same first pairs of each agent.
 
+    duplicate: instead of the pairs (agent_id, id, root, links, duplicates): each row that has pairs in two blocks, a row that it reaches by them, how many vectors it
+    pairs with, and how many of them from that similarity on; the last mark is then how many equal vectors a row stands for.  That is no more than the blocks' rows.
+
     A block meets itself where it lies; blocks of large groups are dealt by pairs of blocks, so that no task has a whole group."""
     blocks = _blocks(rows, keys)
     alone = blocks.select("agent_id", *[F.col(c).alias(f"{c}_{side}") for side in "xy" for c in ("ids", "values", "marks")], F.lit(True).alias("same"), "table")
@@ -47,6 +65,17 @@ def _within(rows: DataFrame, keys: list[str], threshold: float, best: tuple[int,
     ]  # the sequences end one off, as an empty one can't be written; those keys meet nothing
     apart = sides[0].join(sides[1], [*keys, "x", "y"]).select(*[c for c in alone.columns if c not in ("same", "table")], F.lit(False).alias("same"), "table")
 
+    def folded(agents: pa.Array, r: int, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, alike: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> pa.RecordBatch:
+        ids, nodes = np.unique(np.concatenate([x, y]), return_inverse=True)
+        a, b = nodes[i], nodes[len(x) + j]
+        links, duplicates = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for here, weight in ((a, of_y[j]), (b, of_x[i])):
+            np.add.at(links, here, weight)
+            np.add.at(duplicates, here, weight * alike)
+        kept, root = np.flatnonzero(links), _roots(len(ids), a, b)
+        agent = pa.array([agents[r].as_py()] * len(kept), agents.type)
+        return pa.RecordBatch.from_pydict({"agent_id": agent, "id": ids[kept], "root": ids[root[kept]], "links": links[kept], "duplicates": duplicates[kept]})
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = {c: batch.column(batch.schema.names.index(c)) for c in batch.schema.names}
@@ -70,15 +99,20 @@ def _within(rows: DataFrame, keys: list[str], threshold: float, best: tuple[int,
                     i, j = i[near], j[near]
                     first = np.lexsort((np.maximum(x[i], y[j]), np.minimum(x[i], y[j]), -product[i, j]))[: best[0]]
                     i, j = i[first], j[first]
+                if duplicate is not None:
+                    if len(i):
+                        yield folded(own["agent_id"], r, x, y, i, j, product[i, j] >= duplicate, *(_matrix(own[f"marks_{s}"], r, len(ids))[:, -1] for s, ids in (("x", x), ("y", y))))
+                    continue
                 agent = pa.array([own["agent_id"][r].as_py()] * len(i), batch.schema.field("agent_id").type)
                 yield pa.RecordBatch.from_pydict({"agent_id": agent, "a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "similarity": product[i, j]})
 
     kind = rows.schema["agent_id"].dataType.simpleString()
-    return alone.unionByName(apart).mapInArrow(compare, f"agent_id {kind}, a long, b long, similarity double")
+    return alone.unionByName(apart).mapInArrow(compare, f"agent_id {kind}, " + ("a long, b long, similarity double" if duplicate is None else "id long, root long, links long, duplicates long"))
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    return vectors.select("agent_id", F.col("id").cast("long").alias("id"), unit(F.col("embedding")).alias("u")).where("u IS NOT NULL AND agent_id IS NOT NULL").withColumn("dims", F.size("u"))
+    more = ["weight"] if "weight" in vectors.columns else []
+    return vectors.select("agent_id", F.col("id").cast("long").alias("id"), unit(F.col("embedding")).alias("u"), *more).where("u IS NOT NULL AND agent_id IS NOT NULL").withColumn("dims", F.size("u"))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -104,7 +138,9 @@ def tables_for(threshold: float, recall: float, n: int) -> tuple[int, int]:
 
 
 def hashed(vectors: DataFrame, bits: int, tables: int, seed: int = 7) -> DataFrame:
-    """(agent_id, dims, table, bucket, id, u, marks): each vector under one bucket of each table; vectors share a bucket with the chance that so many random planes don't part them."""
+    """(agent_id, dims, table, bucket, id, u, marks): each vector under one bucket of each table; vectors share a bucket with the chance that so many random planes don't part them.
+
+    Where vectors have a weight it is a last mark, behind those of the tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -120,8 +156,9 @@ def hashed(vectors: DataFrame, bits: int, tables: int, seed: int = 7) -> DataFra
 
     rows = _units(vectors)
     kind = rows.schema["agent_id"].dataType.simpleString()
-    marked = rows.mapInArrow(run, f"agent_id {kind}, id long, u array<double>, dims int, marks array<bigint>")
-    return marked.select("agent_id", "dims", F.posexplode("marks").alias("table", "bucket"), "id", "u", "marks")
+    weighed = "weight" in rows.columns
+    marked = rows.mapInArrow(run, f"agent_id {kind}, id long, u array<double>, {'weight long, ' if weighed else ''}dims int, marks array<bigint>")
+    return marked.select("agent_id", "dims", F.posexplode("marks").alias("table", "bucket"), "id", "u", F.array_append("marks", F.col("weight")).alias("marks") if weighed else "marks")
 
 
 def hashed_pairs(vectors: DataFrame, threshold: float, recall: float = 0.95, seed: int = 7, least: float | None = None, best: tuple[int, int] | None = None) -> DataFrame:
@@ -134,6 +171,29 @@ def hashed_pairs(vectors: DataFrame, threshold: float, recall: float = 0.95, see
     return _within(hashed(vectors, bits, tables, seed), ["agent_id", "dims", "table", "bucket"], max(threshold, least or threshold), best)
 
 
+def hashed_links(vectors: DataFrame, threshold: float, duplicate: float = 0.92, recall: float = 0.95, seed: int = 7) -> DataFrame:
+    """(agent_id, id, class_id, links, duplicates): for each vector the smallest id that it reaches by the pairs of hashed_pairs, its own included, and how many pairs it has, and has from `duplicate` on.
+
+    Equal vectors of an agent are compared as one and counted for all, and two blocks give their rows' counts and components instead of their pairs, so what is
+    moved and written grows with the vectors, not with the pairs.  Ids are one agent's; vectors that are empty, zero or without an agent have no links."""
+    held = graph.written(vectors.select("agent_id", F.col("id").cast("long").alias("id"), "embedding"), "vectors")
+    fine = held.join(_units(held).select("id"), "id", "left_semi")
+    sets = graph.written(fine.groupBy("agent_id", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "sets")
+    most = sets.groupBy("agent_id").count().agg(F.max("count")).first()[0] or 0
+    bits, tables = tables_for(threshold, recall, most)
+    rows = hashed(sets, bits, tables, seed)
+    met = graph.written(_within(rows, ["agent_id", "dims", "table", "bucket"], threshold, duplicate=duplicate), "links")
+    counts = met.groupBy("id").agg(F.sum("links").alias("links"), F.sum("duplicates").alias("duplicates"))
+    reached = graph.components(met.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    classes = sets.withColumnRenamed("id", "first").select("agent_id", "embedding", "first", "weight")
+    members = fine.join(classes, ["agent_id", "embedding"]).select("id", "first", "weight")
+    found = members.join(counts.withColumnRenamed("id", "first"), "first", "left").join(reached.withColumnRenamed("id", "first"), "first", "left")
+    same = lambda c: F.coalesce(c, F.lit(0)) + F.col("weight") - 1
+    return held.select("agent_id", "id").join(found.select("id", F.coalesce("component", "first").alias("class_id"), same("links").alias("links"), same("duplicates").alias("duplicates")), "id", "left").select(
+        "agent_id", "id", F.coalesce("class_id", "id").alias("class_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("links", "duplicates")]
+    )
+
+
 def labelled(pairs: DataFrame, duplicate: float = 0.92, related: float = 0.85) -> DataFrame:
     kind = F.when(F.col("similarity") >= duplicate, "duplicate").when(F.col("similarity") >= related, "review").otherwise("related")
     return pairs.withColumn("label", kind)

@@ -123,3 +123,37 @@ def test_first_pairs_of_an_agent(spark, monkeypatch, block):
     first = lambda found: {g: sorted((-r["similarity"], r["a"], r["b"]) for r in found if r["agent_id"] == g)[:5] for g in "ab"}
     assert first(few) == first(full)
     assert len(few) < len(full)
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_are_those_of_the_pairs(spark, monkeypatch, block):
+    """Counts and classes of copies, near copies and chains are those of all the pairs that hashed_pairs gives, and blocks give no more rows than they have."""
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block)
+    rng = np.random.Generator(np.random.PCG64(9))
+    base = rng.normal(size=(12, 8))
+    rows = [("ab"[i % 2], i, base[i % 12] + rng.normal(size=8) * (i % 4) * 0.12) for i in range(150)] + [("a", 200, []), ("a", 201, np.zeros(8)), ("b", 202, None), (None, 203, np.ones(8)), ("a", 204, np.ones(3)), ("a", 205, np.ones(3))]
+    vectors = table(spark, rows)
+    pairs = {(r["a"], r["b"]): r["similarity"] for r in dedup.hashed_pairs(vectors, 0.85).collect()}
+    links, alike, label = {i: 0 for _, i, _ in rows}, {i: 0 for _, i, _ in rows}, {i: i for _, i, _ in rows}
+    for (a, b), s in pairs.items():
+        for x in (a, b):
+            links[x] += 1
+            alike[x] += s >= 0.92
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = dedup.hashed_links(vectors, 0.85).collect()
+    assert len(got) == len(rows) and 1 < len(set(label.values())) < 60 and len(pairs) > 500
+    assert {r["id"]: (r["class_id"], r["links"], r["duplicates"]) for r in got} == {i: (label[i], links[i], alike[i]) for i in links}
+    sets = vectors.where("size(embedding) = 8 AND agent_id IS NOT NULL").withColumn("weight", F.lit(1).cast("long"))
+    keys = ["agent_id", "dims", "table", "bucket"]
+    assert dedup._within(dedup.hashed(sets, 2, 1), keys, -1.0, duplicate=0.92).where("links > 0").count() <= 152 * (1 if block == 1024 else 22)
+
+
+def test_near_copies_has_a_row_of_each_document(spark):
+    from memengine.plans import registry
+    from tests.conftest import SF
+
+    got = registry.queries()["near_copies"](spark, SF)
+    ids = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"))
+    assert got.select("id").exceptAll(ids).isEmpty() and ids.exceptAll(got.select("id")).isEmpty()

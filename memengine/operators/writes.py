@@ -33,9 +33,12 @@ def reinforced(mentions: DataFrame, base: float = 0.5) -> DataFrame:
 
 
 def cascade(edges: DataFrame, corrected: DataFrame) -> DataFrame:
-    """(id, neighbour, strength): the ten strongest neighbours of corrected memories (id), flagged at strength 0.4; an edge counts from both ends."""
+    """(id, neighbour, strength): the ten strongest neighbours of corrected memories (id), flagged at strength 0.4; an edge counts from both ends.
+
+    Of an edge (src, dst, strength) that comes more than once the greatest strength counts; it is taken of the edges at corrected memories only, where their join left them."""
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "strength").union(edges.select("dst", "src", "strength"))
-    near = both.join(corrected.select("id").distinct(), "id").groupBy("id", "neighbour").agg(F.max("strength").alias("strength"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that they aren't joined into a few large ones again
+    near = both.repartition(parts, "id").join(corrected.select("id").distinct(), "id").groupBy("id", "neighbour").agg(F.max("strength").alias("strength"))
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("strength"), "neighbour"))).where(F.col("r") <= CASCADE_NEIGHBOURS)
     return top.where(F.col("strength") >= CASCADE_STRENGTH).drop("r")
 

@@ -34,7 +34,7 @@ def reinforce(spark, sf_dir):
 n AS (SELECT id, neighbour, max(strength) AS strength FROM b WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL)
 SELECT id, neighbour, strength FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY strength DESC, neighbour) AS r FROM n) WHERE r <= 10 AND strength >= 0.4""")
 def correction_cascade(spark, sf_dir):
-    edges = scan(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst")).agg((F.max("l_discount") * 10).alias("strength"))
+    edges = scan(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst"), (F.col("l_discount") * 10).alias("strength"))
     return writes.cascade(edges, scan(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
 
 

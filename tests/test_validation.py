@@ -98,6 +98,19 @@ def test_deliveries_and_failures(spark):
     assert {tuple(r) for r in got} == {(1, 2, 20), (2, 1, None), (3, 0, 10)}
 
 
+@pytest.mark.parametrize("most", [2, 4096])
+def test_an_event_meets_lists_of_subscribers(spark, monkeypatch, most):
+    """However many subscribe, an event meets one row for each LIST of them; null ids, nameless and repeated ones are delivered to as they stand."""
+    monkeypatch.setattr(folds, "LIST", most)
+    rows = [(i, "t", None if i == 3 else f"u{i}", ["x"], True, 0) for i in (1, 2, 3, 4, 4)] + [(None, "t", "u", ["x", "y"], True, 0)]
+    subs = spark.createDataFrame(rows, "subscription_id int, tenant_id string, url string, events array<string>, active boolean, failures int")
+    assert folds.subscriber_lists(subs).count() == (3 if most == 2 else 1) + 1
+    events = spark.createDataFrame([(7, "t", "x"), (8, "t", "y"), (None, "t", "x")], "event_id int, tenant_id string, event string")
+    want = [(i, e, u) for i, _, u, named, _, _ in rows for e, name in ((7, "x"), (8, "y"), (None, "x")) if name in named]
+    assert sorted(map(tuple, folds.deliveries(events, subs).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, folds.deliveries(events, subs.drop("url")).collect()), key=repr) == sorted([x[:2] for x in want], key=repr)
+
+
 def test_checkpoints_to_resume(spark):
     rows = [("o", "a", 1, "end_of_thread", 5), ("o", "a", 2, "mid_thread", 5), ("o", "b", 1, "mid_thread", 5), ("o", "b", 2, "auto_resume_meta", 5), ("o", "c", 1, "tail_recovery", 5)]
     got = folds.checkpoints_to_resume(spark.createDataFrame(rows, "owner string, thread string, seq int, kind string, tokens int"), spark.createDataFrame([("o", "b")], "owner string, thread string"))

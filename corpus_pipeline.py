@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memengine.llm.bpe import encode
-from memengine.llm.common import clear, forget, noted, table, written
+from memengine.llm.common import clear, forget, noted, small_batches, table, written
 from memengine.llm.decontamination import contamination
 from memengine.llm.jaccard_join import similarity_classes
 from memengine.llm.quality import kept as kept_by_quality
@@ -38,6 +38,7 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _clear(spark)
+        small_batches(spark)  # not only while it is planned: the caller writes the result
         with noted() as own:
             _MADE.tables = own
             try:

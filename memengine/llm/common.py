@@ -11,6 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch where several operators' workers live beside each other.  A single larger row is a batch of its own.
+ARROW_BYTES = 4 << 20
 #: Lists that note the intermediate tables made just now, as (kind, place); see noted().  Each thread has its own.
 _NOTING: ContextVar[tuple[list[tuple[str, str]], ...]] = ContextVar("noting", default=())
 
@@ -32,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let an Arrow batch hold ARROW_BYTES at most, from now on in this session: a worker and its executor hold several, and thousands of texts are tens of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -101,9 +101,11 @@ def _estimate(docs: DataFrame, k: int) -> np.ndarray:
         def out() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= FREQUENT
-            cells = np.bincount((found[often] & np.uint64((1 << LOG2_COUNTERS) - 1)).astype(np.int64), weights=counts[often], minlength=1)
-            some = np.flatnonzero(cells)
-            return pa.RecordBatch.from_pydict({"cell": some.astype(np.int32), "n": cells[some].astype(np.int64)})
+            cells, counts = (found[often] & np.uint64((1 << LOG2_COUNTERS) - 1)).astype(np.int32), counts[often]
+            by = np.argsort(cells, kind="stable")
+            cells, counts = cells[by], counts[by]
+            first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])  # as many numbers as cells met, not one for each counter
+            return pa.RecordBatch.from_pydict({"cell": cells[first], "n": np.add.reduceat(counts, first) if len(first) else counts})
 
         for _, _, s, _ in _sets_of(batches, k):
             held.append(s)

@@ -19,7 +19,8 @@ _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a Python worker lives on after its task, beside those of other tasks."""
+    """Return freed memory to the system, and the tables of powers: a Python worker lives on after its task, beside those of other tasks."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -45,7 +46,7 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the worker's life."""
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept until give_back()."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)

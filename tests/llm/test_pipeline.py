@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from memengine.llm import bpe, quality
+from memengine.llm import bpe, common, quality
 from memengine.llm.common import written
 from memengine.llm.quality import classify
 from tests.llm import brute
@@ -99,3 +100,22 @@ def test_failed_stage_leaves_no_tables(spark, docs, tmp_path):
     assert other.count() == 1
     with pytest.raises(Exception, match="(?i)path|exist"):
         spark.read.parquet(made[0].made[0][1]).count()
+
+
+def test_stages_pass_small_batches(spark, monkeypatch):
+    """A stage's tasks, and those that write its result, get few bytes at a time; a larger row comes alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+    docs = spark.range(300).coalesce(1).select("id", F.when(F.col("id") == 7, F.repeat(F.lit("x"), 300_000)).otherwise(F.repeat(F.lit("x"), 2000)).alias("text"))
+    stage = corpus_pipeline._stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "rows long"))
+    try:
+        monkeypatch.setattr(common, "ARROW_BYTES", 100_000)
+        got = [r["rows"] for r in stage(spark, docs, "").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(got) == 300 and max(got) < 60

@@ -50,6 +50,7 @@ SYMBOLS = 255
 BLOCK = 10 << 20
 #: From so many blocks on, words that stand in a quarter of the blocks looked at are counted by the tasks first; at most COMMON of them.
 MANY_BLOCKS, COMMON = 64, 20_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,39 @@ def _counted(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return keys, np.bincount(which, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
 
 
+class Answers:
+    """Values by 64-bit key.  A key lies in one slot of a table, by its hash; the few whose slot another one took are searched in order.
+
+    A block asks for each of its bytes, in no order: a search over all keys would miss the cache at every step."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.keys, self.values, self.shift = keys, values, np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, dtype=np.int32)
+        at, own = self._slot(keys), np.arange(len(keys), dtype=np.int32)
+        self.slots[at] = own
+        lost = np.flatnonzero(self.slots[at] != own)
+        lost = lost[np.argsort(keys[lost])]
+        self.lost, self.lost_values = keys[lost], values[lost]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _SPREAD >> self.shift).astype(np.int64)
+
+    def find(self, of: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
+        if not len(self.keys):
+            return np.broadcast_to(np.asarray(otherwise, dtype=float), of.shape)
+        spot = self.slots[self._slot(of)]
+        hit = self.keys[spot] == of
+        out = np.where(hit, self.values[spot], otherwise)
+        if len(self.lost):
+            missed = np.flatnonzero(~hit)
+            keys = of[missed]
+            spot = np.minimum(np.searchsorted(self.lost, keys), len(self.lost) - 1)
+            found = self.lost[spot] == keys
+            out[missed[found]] = self.lost_values[spot[found]]
+        return out
+
+
 def _asked(blocks: DataFrame, keys_of, name: str) -> DataFrame:
     """(key, block, n): the distinct keys of each block and their number in training rows."""
 
@@ -190,16 +224,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         is_gram = np.asarray(answers.column("count").is_null())
         keys = answers.column("key").to_numpy().view(np.uint64)
 
-        def sorted_table(which: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            by = np.argsort(keys[which])
-            return keys[which][by], value[which][by]
-
-        def lookup(of: np.ndarray, table_keys: np.ndarray, table_values: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
-            if not len(table_keys):
-                return np.broadcast_to(np.asarray(otherwise, dtype=float), of.shape)
-            spot = np.minimum(np.searchsorted(table_keys, of), len(table_keys) - 1)
-            return np.where(table_keys[spot] == of, table_values[spot], otherwise)
-
         def sums(x: np.ndarray, of: np.ndarray) -> np.ndarray:
             out = np.zeros(len(of) - 1)
             some = of[1:] > of[:-1]
@@ -213,18 +237,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             own.append(np.unique(words_[np.repeat(~held_out_, np.diff(of))], return_counts=True))
         own_keys, own_counts = _counted(own)
         del own
-        gram_keys, gram_values = sorted_table(is_gram, answers.column("value").to_numpy())
-        word_keys, word_counts = sorted_table(~is_gram, answers.column("count").fill_null(0).to_numpy())
+        grams_of = Answers(keys[is_gram], answers.column("value").to_numpy()[is_gram])
+        words_of, own_words = Answers(keys[~is_gram], answers.column("count").fill_null(0).to_numpy()[~is_gram]), Answers(own_keys, own_counts)
         del keys, is_gram
         n_tokens, n_known, base, scored, size = [], [], [], [], []
         for _, data, offsets in _block_pieces(block):
             words_, of = _words(data, offsets)
-            counts = lookup(words_, word_keys, word_counts, lookup(words_, own_keys, own_counts, 0.0))
+            counts = words_of.find(words_, own_words.find(words_, 0.0))
             n_tokens.append(np.diff(of) + 1)
             n_known.append(sums((counts > 0).astype(float), of).astype(np.int64) + known_end)
             base.append(sums(np.log10(counts + 1), of) - np.diff(of) * per_token + base_end)
             grams_, begins = contexts(data, offsets, order)
-            scored.append(sums(lookup(grams_, gram_keys, gram_values, np.nan), begins))
+            scored.append(sums(grams_of.find(grams_, np.nan), begins))
             size.append(np.diff(offsets))
         whole = np.concatenate(scored)
         columns = [block.column(0), block.column(block.schema.names.index("held_out")), np.concatenate(n_tokens), np.concatenate(n_known), np.full(len(whole), total), np.concatenate(base), whole, -whole / np.log10(2) / (np.concatenate(size) + 1)]

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from memengine.llm import bpe, decontamination, jaccard_join, ppm, quality, substring_dedup, warc, winnowing
+from memengine.llm import bpe, decontamination, jaccard_join, ppm, quality, substring_dedup, textops, warc, winnowing
 from memengine.llm.common import held
 from tests.llm import brute
 from tests.llm.conftest import prose as brute_prose
@@ -166,6 +166,42 @@ def test_ppm_of_many_blocks(spark, docs, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
 
 
+@pytest.mark.parametrize("values", [np.float32, np.int64])
+def test_ppm_answers(values):
+    """Every key is found, also one whose slot another has; others get what was asked for."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    keys = np.unique(rng.integers(0, 1 << 62, 5000, dtype=np.uint64))
+    rng.shuffle(keys)
+    keys[:2] = 0, (1 << 64) - 1
+    found = ppm.Answers(keys[:4000], np.arange(4000).astype(values))
+    assert len(found.lost) and len(found.slots) < 1 << 14
+    got = found.find(np.concatenate([keys, keys[:9]]), np.append(np.full(len(keys), -1.0), np.full(9, -2.0)))
+    assert got[:4000].tolist() == list(range(4000)) and set(got[4000 : len(keys)]) == {-1.0} and got[len(keys) :].tolist() == list(range(9))
+    assert ppm.Answers(keys[:0], np.zeros(0)).find(keys[:3], 5.0).tolist() == [5.0] * 3
+    assert np.isnan(ppm.Answers(keys[:1], np.ones(1)).find(keys[:2], np.nan)[1])
+
+
+def test_worker_keeps_no_tables_of_powers():
+    """A worker that lives on between tasks holds nothing of them; a text handled after that has the same hashes."""
+    data = np.frombuffer(b"one two three", dtype=np.uint8)
+    hashes = lambda: textops.Words(data, np.array([0, len(data)])).hashes().tolist()
+    before = hashes()
+    assert textops._POWERS
+    textops.give_back()
+    assert not textops._POWERS and hashes() == before
+
+
+def test_jaccard_counters(spark):
+    """The counters of frequent shingles, where two shingles share one and where none is frequent."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f g"] * 3 + ["h i j k l"] * 2 + ["m n o p q", None])], "id long, text string").coalesce(1)
+    want = np.zeros(1 << jaccard_join.LOG2_COUNTERS, dtype=np.int32)
+    for text, n in (("a b c d e f g", 3), ("h i j k l", 2)):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        np.add.at(want, (next(jaccard_join.shingle_sets(raw, np.array([0, len(raw)]))) & np.uint64(len(want) - 1)).astype(np.int64), n)
+    assert (jaccard_join._estimate(docs, 5) == want).all()
+    assert not jaccard_join._estimate(docs.where("id >= 5"), 5).any()
+
+
 def test_bpe_forgets_pieces(monkeypatch):
     """What a worker keeps is bounded, also by bytes; ids stay right."""
     own = bpe.encoder(bpe.read(bpe.default_path()))

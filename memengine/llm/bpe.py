@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from memengine.llm.common import only, table
 from memengine.llm.textops import give_back
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces of text whose ids a worker keeps; beyond it, it forgets them and starts again.
+#: Half of the distinct pre-tokens whose ids a worker keeps; beyond them, it forgets them and starts again.
 KEPT_PIECES = 100_000
 #: And the characters and bytes of them all: texts without spaces are pieces as a whole.
 KEPT_BYTES = 48 << 20
@@ -81,17 +82,27 @@ class Encoder:
             self.right.append(vocab[b])
             self.made.append(vocab[a + b])
             keys.append(vocab[a] << 32 | vocab[b])
-        self.rank = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys = np.array(keys, dtype=np.int64)[self.rank]
-        #: pieces after a space, pieces at the start of a text, and pre-tokens
-        self.after_space: dict[str, bytes] = {}
-        self.at_start: dict[str, bytes] = {}
+        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
+        self.rank = np.append(order, -1)
+        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.int64(2**63 - 1))
+        first = np.array(self.symbol, dtype=np.int64)
+        #: the rank of each pair of bytes (left << 8 | right); as 16-bit numbers ranks are sorted by radix
+        self.byte_ranks = self.ranks_of((first[:, None] << 32 | first).ravel()).astype(np.int32)
+        self.sorted_as = np.uint16 if len(keys) <= 1 << 16 else np.int32
+        size = np.zeros(max(self.bytes_of) + 2, dtype=np.int64)
+        for i, x in self.bytes_of.items():
+            size[i + 1] = len(x)
+        #: where each id's bytes lie in those of all ids
+        self.size, self.place = size[1:].copy(), np.cumsum(size)[:-1]
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), dtype=np.uint8)
+        #: pre-tokens of a space and letters, under the letters, and others
+        self.words: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         self.kept = 0
 
     def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
         """The rank of each pair (left << 32 | right), -1 for those that never merge."""
-        spot = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        spot = self.keys.searchsorted(pairs)  # the last key is above all pairs
         return np.where(self.keys[spot] == pairs, self.rank[spot], -1)
 
     def merge(self, pretokens: list[str]) -> list[bytes]:
@@ -100,30 +111,32 @@ class Encoder:
         ends = np.cumsum([len(x) for x in raw])
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         total = len(data)
-        symbols = np.asarray(self.symbol, dtype=np.int64)[data]
+        #: one place more, without a symbol: what lies beyond either end of a pre-token
+        sym = np.append(np.asarray(self.symbol, dtype=np.int32)[data], np.int32(-1))
         #: the index: rank -> positions of the pair's left symbol
         inner = np.ones(max(0, total - 1), dtype=bool)
         inner[ends[:-1] - 1] = False
         at = np.flatnonzero(inner)
-        ranks = self.ranks_of(symbols[at] << 32 | symbols[at + 1])
-        known = ranks >= 0
-        order = np.argsort(ranks[known], kind="stable")
-        at, ranks = at[known][order], ranks[known][order]
+        ranks = self.byte_ranks[data[at].astype(np.int32) << 8 | data[at + 1]]
+        known = np.flatnonzero(ranks >= 0)
+        at, ranks = at[known], ranks[known]
+        order = np.argsort(ranks.astype(self.sorted_as), kind="stable")
+        at, ranks = at[order], ranks[order]
         active, first = np.unique(ranks, return_index=True)
         index: dict[int, list[np.ndarray]] = {r: [x] for r, x in zip(active.tolist(), np.split(at, first[1:]), strict=True)} if len(active) else {}
         heap = active.tolist()
-        sym = symbols.copy()
-        nxt, prv = np.arange(1, total + 1), np.arange(-1, total - 1)
-        nxt[ends - 1] = -1
-        prv[ends[:-1]] = -1
-        marked = np.zeros(total, dtype=bool)
+        nxt, prv = np.arange(1, total + 2), np.arange(-1, total)
+        nxt[ends - 1] = nxt[total] = total
+        prv[ends[:-1]] = prv[0] = total
         while heap:
             r = heapq.heappop(heap)
             a, b, new = self.left[r], self.right[r], self.made[r]
-            p = np.concatenate(index.pop(r))
+            p = index.pop(r)
+            p = np.concatenate(p) if len(p) > 1 else p[0]
             q = nxt[p]
-            ok = (q >= 0) & (sym[p] == a) & (sym[q] == b)
-            p, q = p[ok], q[ok]
+            ok = (sym[p] == a) & (sym[q] == b)
+            if not ok.all():
+                p, q = p[ok], q[ok]
             if a == b and len(p):  # of a run of equal symbols, from the left
                 order, taken, free = np.argsort(p), [], -1
                 for i in order.tolist():
@@ -137,44 +150,67 @@ class Encoder:
                 continue
             after = nxt[q]
             sym[p], sym[q], nxt[p] = new, -1, after
-            some = after >= 0
-            prv[after[some]] = p[some]
+            prv[after] = p
             before = prv[p]
-            marked[p] = True
-            left = before[(before >= 0) & ~marked[before]]  # a merged left neighbour has the pair as its right one
-            marked[p] = False
-            changed = np.concatenate([p[some], left])
-            found = self.ranks_of(sym[changed] << 32 | sym[nxt[changed]])
-            known = found >= 0
-            if not known.any():
+            same = sym[before] == new
+            if same.any():  # a left neighbour that is merged just now has the pair as its right one
+                before = before[~same | ~np.isin(before, p)]
+            changed = np.concatenate([p, before])
+            found = self.ranks_of(sym[changed].astype(np.int64) << 32 | sym[nxt[changed]])
+            known = (found >= 0).nonzero()[0]
+            if not len(known):
                 continue
-            order = np.argsort(found[known], kind="stable")
-            at, found = changed[known][order], found[known][order]
-            cut = np.flatnonzero(found[1:] != found[:-1]) + 1
-            for s, x, y in zip(found[np.append(0, cut)].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+            at, found = changed[known], found[known]
+            order = found.astype(self.sorted_as).argsort(kind="stable")
+            at, found = at[order], found[order]
+            cut = [0, *((found[1:] != found[:-1]).nonzero()[0] + 1).tolist(), len(at)]
+            for s, x, y in zip(found[cut[:-1]].tolist(), cut, cut[1:], strict=False):
                 if s in index:
                     index[s].append(at[x:y])
                 else:
                     index[s] = [at[x:y]]
                     heapq.heappush(heap, s)
+        sym = sym[:total]
         alive = sym >= 0
         counts = np.cumsum(alive)[ends - 1] * 4
         body = sym[alive].astype("<u4").tobytes()
         return [body[x:y] for x, y in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
 
-    def learn(self, inner: Iterable[str], starts: Iterable[str]) -> None:
-        """Fill the piece tables for pieces after a space and pieces at a start."""
-        find = _SPLIT.findall
-        todo = [(self.after_space, c, [" " + c] if c.isalpha() else find(" " + c)) for c in inner] + [(self.at_start, c, find(c)) for c in starts]
-        tokens = self.tokens
-        new = list({t for _, _, parts in todo for t in parts if t not in tokens})
-        if new:
-            merged = self.merge(new)
-            tokens.update(zip(new, merged, strict=True))
-            self.kept += sum(map(len, new)) + sum(map(len, merged))
+    def learn(self, inner: Iterable[str], starts: Iterable[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The ids of pieces after a space, and of pieces at a start.
+
+        Pre-tokens are kept, a space and letters under the letters; a piece of several pre-tokens is put together anew for each batch."""
+        find, words, tokens = _SPLIT.findall, self.words, self.tokens
+        after: dict[str, bytes] = {}
+        first: dict[str, bytes] = {}
+        new_words, new, todo = set(), set(), [(first, c, find(c)) for c in starts]
+        for c in inner:
+            x = words.get(c)
+            if x is not None:
+                after[c] = x
+            elif c.isalpha():
+                new_words.add(c)
+            else:
+                head = c.rstrip(string.punctuation)
+                todo.append((after, c, [" " + head, c[len(head) :]] if head.isalpha() else find(" " + c)))
+        fresh = list(new_words)
+        for _, _, parts in todo:
+            for t in parts:
+                if t[0] == " " and t[1:].isalpha():
+                    if t[1:] not in words:
+                        new_words.add(t[1:])
+                elif t not in tokens:
+                    new.add(t)
+        if new_words or new:
+            given = list(new_words)
+            merged = self.merge([*map(" ".__add__, given), *new])
+            words.update(zip(given, merged, strict=False))
+            tokens.update(zip(new, merged[len(given) :], strict=True))
+            self.kept += sum(map(len, given)) + sum(map(len, new)) + sum(map(len, merged))
+        after.update(zip(fresh, map(words.__getitem__, fresh), strict=True))
         for where, c, parts in todo:
-            where[c] = tokens[parts[0]] if len(parts) == 1 else b"".join([tokens[t] for t in parts])
-            self.kept += len(c) + (len(where[c]) if len(parts) > 1 else 0)
+            where[c] = b"".join([words[t[1:]] if t[0] == " " and t[1:] in words else tokens[t] for t in parts])
+        return after, first
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -199,8 +235,8 @@ class Encoder:
         return [self.special.get(x, x) for x in self.cut.split(text) if x]
 
     def forget(self) -> None:
-        """Drop the piece tables."""
-        self.after_space, self.at_start, self.tokens, self.kept = {}, {}, {}, 0
+        """Drop the pre-tokens kept."""
+        self.words, self.tokens, self.kept = {}, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         sections = [[x if isinstance(x, int) else self.pieces(x) for x in self.sections(t)] for t in texts]
@@ -210,9 +246,9 @@ class Encoder:
             for x in own:
                 if not isinstance(x, int):
                     inner.update(x[1:])
-        if len(self.after_space) + len(self.at_start) + len(self.tokens) > 2 * KEPT_PIECES or self.kept > KEPT_BYTES:
+        if len(self.words) + len(self.tokens) > 2 * KEPT_PIECES or self.kept > KEPT_BYTES:
             self.forget()
-        self.learn([c for c in inner if c not in self.after_space], [c for c in starts if c not in self.at_start])
+        after, first = self.learn(inner, starts)
         out = []
         for own in sections:
             body = []
@@ -220,13 +256,29 @@ class Encoder:
                 if isinstance(x, int):
                     body.append(x.to_bytes(4, "little"))
                 else:
-                    body.append(self.at_start[x[0]])
-                    body.extend(map(self.after_space.__getitem__, x[1:]))
+                    body.append(first[x[0]])
+                    body.extend(map(after.__getitem__, x[1:]))
             out.append(b"".join(body))
         return out
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_all([ids])[0].as_py()
+
+    def decode_all(self, bodies: list[bytes]) -> pa.Array:
+        """The text of each element's ids, from the bytes of all of them at once; what isn't UTF-8 is replaced text by text."""
+        own = np.frombuffer(b"".join(bodies), dtype="<u4")
+        size = self.size[own]
+        ends = np.cumsum(np.append(0, size))
+        data = self.all_bytes[np.repeat(self.place[own] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[np.cumsum([0, *[len(x) // 4 for x in bodies]])]
+        if ends[-1] < 1 << 31:
+            out = pa.Array.from_buffers(pa.string(), len(bodies), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+            try:
+                out.validate(full=True)
+                return out
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -273,7 +325,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             for a, b in _batches(texts):
                 ids = own.encode(texts[a:b])
                 columns = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)}
-                columns |= {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([own.decode(x) for x in ids], pa.string())}
+                columns |= {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": own.decode_all(ids)}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in kind], schema=kind)
             give_back()
         own.forget()  # the worker lives on beside those of later stages

@@ -211,6 +211,25 @@ def test_bpe_forgets_pieces(monkeypatch):
     assert own.kept < 5000
 
 
+def test_bpe_keeps_pre_tokens_alone():
+    """Words with signs behind them share their word's ids; what is kept grows with pre-tokens, not with their combinations."""
+    from tokenizers import Tokenizer
+
+    own = bpe.Encoder(bpe.read(bpe.default_path()))
+    text = " ".join(["alpha", "é", *(f"{w}{s}{e}" for w in ("alpha", "beta", "naïve") for s in (",", ".", "%%", ".\n") for e in ("", "Beta", "12", "'s"))])
+    (ids,) = own.encode([text])
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == Tokenizer.from_file(bpe.default_path()).encode(text, add_special_tokens=False).ids
+    assert own.kept < 300
+
+
+def test_bpe_decodes_a_batch_at_once():
+    """Broken characters are replaced within their own text."""
+    own = bpe.encoder(bpe.read(bpe.default_path()))
+    whole, cut = own.encode(["naïve 東京", "東"])
+    assert own.decode_all([whole, b"", cut[:4], whole]).to_pylist() == ["naïve 東京", "", own.decode(cut[:4]), "naïve 東京"]
+    assert "\ufffd" in own.decode(cut[:4]) and own.decode_all([b"", b""]).to_pylist() == ["", ""] and own.decode_all([]).to_pylist() == []
+
+
 def test_kneser_ney(spark, docs, rows, empty):
     order = 2
     some = docs.where("doc_id IS NULL OR doc_id NOT IN (13, 23)")

@@ -40,6 +40,8 @@ TOKENIZER = "byte_bpe_50k.json"
 KEPT_PIECES = 100_000
 #: And the characters and bytes of them all: texts without spaces are pieces as a whole.
 KEPT_BYTES = 48 << 20
+#: Ids whose bytes are gathered together.
+DECODED_IDS = 1 << 16
 #: Texts taken together, in characters.
 BATCH_CHARS = 1 << 20
 # White space is spelled out as a property: the tokenizer's \s has none of the ASCII separators 1C to 1F.
@@ -267,9 +269,11 @@ class Encoder:
     def decode_all(self, bodies: list[bytes]) -> pa.Array:
         """The text of each element's ids, from the bytes of all of them at once; what isn't UTF-8 is replaced text by text."""
         own = np.frombuffer(b"".join(bodies), dtype="<u4")
-        size = self.size[own]
-        ends = np.cumsum(np.append(0, size))
-        data = self.all_bytes[np.repeat(self.place[own] - ends[:-1], size) + np.arange(ends[-1])]
+        ends = np.append(0, np.cumsum(self.size[own]))
+        data = np.empty(ends[-1], dtype=np.uint8)
+        for a in range(0, len(own), DECODED_IDS):
+            some, x = own[a : a + DECODED_IDS], ends[a : a + DECODED_IDS + 1]
+            data[x[0] : x[-1]] = self.all_bytes[np.repeat(self.place[some] - x[:-1], np.diff(x)) + np.arange(x[0], x[-1])]
         cuts = ends[np.cumsum([0, *[len(x) // 4 for x in bodies]])]
         if ends[-1] < 1 << 31:
             out = pa.Array.from_buffers(pa.string(), len(bodies), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])

@@ -222,8 +222,10 @@ def test_bpe_keeps_pre_tokens_alone():
     assert own.kept < 300
 
 
-def test_bpe_decodes_a_batch_at_once():
+@pytest.mark.parametrize("ids", [1 << 16, 3])
+def test_bpe_decodes_a_batch_at_once(monkeypatch, ids):
     """Broken characters are replaced within their own text."""
+    monkeypatch.setattr(bpe, "DECODED_IDS", ids)
     own = bpe.encoder(bpe.read(bpe.default_path()))
     whole, cut = own.encode(["naïve 東京", "東"])
     assert own.decode_all([whole, b"", cut[:4], whole]).to_pylist() == ["naïve 東京", "", own.decode(cut[:4]), "naïve 東京"]

@@ -141,3 +141,42 @@ def test_index_and_sums_are_not_shuffled_by_word(spark, monkeypatch):
     queries = list(enumerate(["cat OR dog", "mat OR dogs OR unheard", "dog OR dog", "cat", "art OR -cat", "sat", '"cat" OR "state art"']))
     got = fulltext.search(index, spark.createDataFrame(queries, "query_id long, q string"), table.select("id", F.lit(0.5).alias("importance")))
     assert rows(got) == plain(docs, queries)
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_texts_meet_queries_in_blocks(spark, monkeypatch, scoped):
+    """Texts given as such are read once and answer in blocks and classes, queries in shares; floors from the first texts leave the answers as they are, and few others are given."""
+    for name, value in (("BLOCK_QUERIES", 30), ("BLOCK_PLACES", 90), ("FIRST", 20), ("STEMS", 5)):
+        monkeypatch.setattr(fulltext, name, value)
+    rng = np.random.Generator(np.random.PCG64(11))
+    words = [f"word{c}" for c in "abcdefgh"] + ["the", "running"]
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    docs = [(i, text(int(rng.choice([0, 3, 9, 40])))) for i in range(150)]
+    queries = []
+    for i in range(48):
+        a, b, c, d = (words[j] for j in rng.integers(0, len(words), 4))
+        queries.append((i, [f"{a} {b}", f'"{a} {b}"', f"{a} OR {b} OR {c}", f"{a} -{b}", f'"{a} {b} {c}" OR {d}', f"{a} {b} {c} {d}"][i % 6]))
+    table = spark.createDataFrame([(i, t, 0.5, "ab"[i % 2]) for i, t in docs], "id long, text string, importance double, agent_id string").repartition(3)
+    asked = spark.createDataFrame([(*q, [None, "a", "z"][q[0] % 3]) for q in queries], "query_id long, q string, agent_id string")
+    given = []
+    answers = fulltext._answers
+
+    def counted(*parts):
+        given.append(spark.sparkContext.accumulator(0))
+        run, seen = answers(*parts), given[-1]
+
+        def ran(batches):
+            for batch in run(batches):
+                seen.add(batch.num_rows)
+                yield batch
+
+        return ran
+
+    monkeypatch.setattr(fulltext, "_answers", counted)
+    got = rows(fulltext.search(table, asked if scoped else asked.drop("agent_id"), most=5))
+    if scoped:
+        want = sorted(x for i, q in queries for x in plain([(d, t) for d, t in docs if i % 3 == 0 or (i % 3 == 1 and d % 2 == 0)], [(i, q)], most=5))
+    else:
+        want = plain(docs, queries, most=5)
+        assert sum(a.value for a in given) < 0.6 * len(plain(docs, queries, most=1000)) and len(given) > 4
+    assert got == want

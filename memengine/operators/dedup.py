@@ -176,17 +176,28 @@ def hashed_links(vectors: DataFrame, threshold: float, duplicate: float = 0.92,
 
     Equal vectors of an agent are compared as one and counted for all, and two blocks give their rows' counts and components instead of their pairs, so what is
     moved and written grows with the vectors, not with the pairs.  Ids are one agent's; vectors that are empty, zero or without an agent have no links."""
-    held = graph.written(vectors.select("agent_id", F.col("id").cast("long").alias("id"), "embedding"), "vectors")
-    fine = held.join(_units(held).select("id"), "id", "left_semi")
-    sets = graph.written(fine.groupBy("agent_id", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "sets")
+    held, fine, sets = _sets(vectors)
     most = sets.groupBy("agent_id").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(threshold, recall, most)
     rows = hashed(sets, bits, tables, seed)
-    met = graph.written(_within(rows, ["agent_id", "dims", "table", "bucket"], threshold, duplicate=duplicate), "links")
+    return _linked(held, fine, sets, _within(rows, ["agent_id", "dims", "table", "bucket"], threshold, duplicate=duplicate))
+
+
+def _sets(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors, written; those that can be compared; and their sets of equal ones of an agent (agent_id, high, low, id, weight, embedding), known by 128 bits: the first id and how many they are."""
+    bits = [F.xxhash64("embedding").alias("high"), F.xxhash64(F.lit(1), "embedding").alias("low")]
+    held = graph.written(vectors.select("agent_id", F.col("id").cast("long").alias("id"), "embedding", *bits), "vectors")
+    fine = held.where(unit(F.col("embedding")).isNotNull() & F.col("agent_id").isNotNull())
+    return held, fine, graph.written(fine.groupBy("agent_id", "high", "low").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "sets")
+
+
+def _linked(held: DataFrame, fine: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:
+    """(agent_id, id, class_id, links, duplicates) of all vectors, from what sets have met: (agent_id, id, root, links, duplicates)."""
+    met = graph.written(met, "links")
     counts = met.groupBy("id").agg(F.sum("links").alias("links"), F.sum("duplicates").alias("duplicates"))
     reached = graph.components(met.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    classes = sets.withColumnRenamed("id", "first").select("agent_id", "embedding", "first", "weight")
-    members = fine.join(classes, ["agent_id", "embedding"]).select("id", "first", "weight")
+    classes = sets.withColumnRenamed("id", "first").select("agent_id", "high", "low", "first", "weight")
+    members = fine.select("agent_id", "id", "high", "low").join(classes, ["agent_id", "high", "low"]).select("id", "first", "weight")
     found = members.join(counts.withColumnRenamed("id", "first"), "first", "left").join(reached.withColumnRenamed("id", "first"), "first", "left")
     same = lambda c: F.coalesce(c, F.lit(0)) + F.col("weight") - 1
     return held.select("agent_id", "id").join(found.select("id", F.coalesce("component", "first").alias("class_id"), same("links").alias("links"), same("duplicates").alias("duplicates")), "id", "left").select(
@@ -194,6 +205,111 @@ def hashed_links(vectors: DataFrame, threshold: float, duplicate: float = 0.92,
     )
 
 
+#: Vectors of an agent in a part of the grid.
+GRID_ROWS = 1 << 15
+
+
+def _grid(rows: DataFrame, run: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run for each two parts of an agent's rows (agent_id, id, embedding, ...), and for each part with itself, the key's last two being equal then.
+
+    An agent's rows are cut by hash into parts of about GRID_ROWS; a row is sent once for each part, and a task holds two parts and a tile of their similarities."""
+    sizes = rows.groupBy("agent_id").agg(F.ceil(F.count("*") / GRID_ROWS).alias("parts")).where("parts > 1")  # never more than there are parts
+    dealt = rows.join(F.broadcast(sizes), "agent_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.least(own, i).alias("x"), F.greatest(own, i).alias("y"), (i < own).alias("second")))
+    sent = dealt.withColumn("cell", F.explode(cells)).select(*rows.columns, "cell.*")
+
+    def parted(key: tuple, cell: pa.Table) -> pa.Table:
+        return run(key, cell.filter(pc.invert(cell["second"])), cell.filter(cell["second"]))
+
+    return sent.groupBy("agent_id", "x", "y").applyInArrow(parted, schema)
+
+
+def _by_size(key: tuple, first: pa.Table, second: pa.Table) -> Iterator[tuple[pa.Table, pa.Table, bool]]:
+    """Two parts' vectors of like size, by id, and whether they are the same."""
+    same = key[1].as_py() == key[2].as_py()
+    for dims in pc.unique(pc.list_value_length(first["embedding"])).to_pylist():
+        x, y = (t.filter(pc.equal(pc.list_value_length(t["embedding"]), dims)).sort_by("id") for t in (first, first if same else second))
+        if x.num_rows and y.num_rows:
+            yield x, y, same
+
+
+def _tiles(x: pa.Table, y: pa.Table, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, similarity) of the rows of x and y at or above the threshold, each two once, a tile at a time."""
+    u, v = (pc.list_flatten(t["embedding"]).to_numpy().astype(np.float64).reshape(t.num_rows, -1) for t in (x, y))
+    u, v = (m / np.sqrt((m * m).sum(axis=1))[:, None] for m in (u, v))
+    at = 0
+    while at < len(u):
+        low = at if same else 0
+        step = max(1, TILE // (len(v) - low))
+        product = u[at : at + step] @ v[low:].T
+        i, j = np.divmod(np.flatnonzero(product.ravel() >= threshold), product.shape[1])
+        if same:
+            i, j = i[j > i], j[j > i]
+        if len(i):
+            yield i + at, j + low, product[i, j]
+        at += step
+
+
+def links(vectors: DataFrame, threshold: float, duplicate: float = 0.92) -> DataFrame:
+    """hashed_links, but exact: all of an agent's different vectors are compared, in a grid of parts (see _grid).
+
+    Its work is their square, at a few nanoseconds each two; what it moves is each vector once for each GRID_ROWS of its agent, which is less than the many tables of hashed_links up to millions of an agent."""
+
+    def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        nodes, at = np.unique(np.concatenate([label[a], label[b]]), return_inverse=True)
+        to = np.arange(len(label))
+        to[nodes] = nodes[_roots(len(nodes), at[: len(a)], at[len(a) :])]
+        return to[label]
+
+    def run(key: tuple, first: pa.Table, second: pa.Table) -> pa.Table:
+        found = []
+        for x, y, same in _by_size(key, first, second):
+            n = x.num_rows + (0 if same else y.num_rows)
+            more = 0 if same else x.num_rows
+            ids, weight = (np.concatenate([t[c].to_numpy() for t in ((x,) if same else (x, y))]) for c in ("id", "weight"))
+            counts, label = np.zeros((2, n), np.int64), np.arange(n)
+            for i, j, s in _tiles(x, y, same, threshold):
+                j = j + more
+                for c, a, b in ((counts[0], i, j), (counts[1], i[s >= duplicate], j[s >= duplicate])):
+                    c += np.bincount(a, weight[b], n).astype(np.int64)
+                    c += np.bincount(b, weight[a], n).astype(np.int64)
+                label = joined(label, i, j)
+            kept = np.flatnonzero(counts[0])
+            found.append(pa.table({"agent_id": pa.array([key[0].as_py()] * len(kept), first.schema.field("agent_id").type), "id": ids[kept], "root": ids[label[kept]], "links": counts[0][kept], "duplicates": counts[1][kept]}))
+        return pa.concat_tables(found) if found else pa.table({"agent_id": first["agent_id"][:0], **{c: np.zeros(0, np.int64) for c in ("id", "root", "links", "duplicates")}})
+
+    held, fine, sets = _sets(vectors)
+    kind = sets.schema["agent_id"].dataType.simpleString()
+    return _linked(held, fine, sets, _grid(sets.drop("high", "low"), run, f"agent_id {kind}, id long, root long, links long, duplicates long"))
+
+
+def first_pairs(vectors: DataFrame, threshold: float, most: int, digits: int = 6) -> DataFrame:
+    """(agent_id, a, b, similarity), a < b: of an agent's pairs at or above the threshold, similarities rounded, the first `most` by similarity, a and b at least: exact.
+
+    Each two parts of an agent's vectors (see _grid) give no more than that, so copies make no others."""
+
+    def run(key: tuple, first: pa.Table, second: pa.Table) -> pa.Table:
+        found = []
+        for x, y, same in _by_size(key, first, second):
+            names = [t["id"].to_numpy() for t in (x, y)]
+            a, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for i, j, fresh in _tiles(x, y, same, threshold - 10.0**-digits):
+                fresh, p, q = np.round(fresh, digits), names[0][i], names[1][j]
+                low, high = np.minimum(p, q), np.maximum(p, q)
+                good = (fresh >= threshold) & (low < high)
+                if len(s) == most:
+                    good &= (fresh > s[-1]) | ((fresh == s[-1]) & ((low < a[-1]) | ((low == a[-1]) & (high < b[-1]))))
+                a, b, s = np.append(a, low[good]), np.append(b, high[good]), np.append(s, fresh[good])
+                order = np.lexsort((b, a, -s))[:most]
+                a, b, s = a[order], b[order], s[order]
+            found.append(pa.table({"agent_id": pa.array([key[0].as_py()] * len(s), first.schema.field("agent_id").type), "a": a, "b": b, "similarity": s}))
+        return pa.concat_tables(found) if found else pa.table({"agent_id": first["agent_id"][:0], "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+
+    rows = vectors.select("agent_id", F.col("id").cast("long").alias("id"), "embedding").where(unit(F.col("embedding")).isNotNull() & F.col("agent_id").isNotNull())
+    return _grid(rows, run, f"agent_id {rows.schema['agent_id'].dataType.simpleString()}, a long, b long, similarity double")
+
+
 def labelled(pairs: DataFrame, duplicate: float = 0.92, related: float = 0.85) -> DataFrame:
     kind = F.when(F.col("similarity") >= duplicate, "duplicate").when(F.col("similarity") >= related, "review").otherwise("related")
     return pairs.withColumn("label", kind)

@@ -157,3 +157,55 @@ def test_near_copies_has_a_row_of_each_document(spark):
     got = registry.queries()["near_copies"](spark, SF)
     ids = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"))
     assert got.select("id").exceptAll(ids).isEmpty() and ids.exceptAll(got.select("id")).isEmpty()
+
+
+def crowd():
+    rng = np.random.Generator(np.random.PCG64(12))
+    base = rng.normal(size=(12, 8))
+    rows = [("ab"[i % 2], i, base[i % 12] + rng.normal(size=8) * (i % 4) * 0.12) for i in range(150)]
+    return rows + [("a", 200, []), ("a", 201, np.zeros(8)), ("b", 202, None), (None, 203, np.ones(8)), ("a", 204, np.ones(3)), ("a", 205, np.ones(3)), ("c", 206, np.ones(3))]
+
+
+@pytest.mark.parametrize("rows", [1 << 15, 11])
+def test_exact_links(spark, monkeypatch, rows):
+    """Counts and classes are those of all pairs, none missed, in one part or many; a part gives no more rows than it has."""
+    monkeypatch.setattr(dedup, "GRID_ROWS", rows)
+    monkeypatch.setattr(dedup, "TILE", 64)
+    vectors = table(spark, crowd())
+    want, alike = plain(crowd(), 0.85), plain(crowd(), 0.92)
+    count = lambda pairs, i: sum(i in p[1:] for p in pairs)
+    label = {i: i for _, i, _ in crowd()}
+    for _ in label:
+        for _, a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    got = dedup.links(vectors, 0.85).collect()
+    assert len(got) == len(label) and len(want) > 500
+    assert {r["id"]: (r["class_id"], r["links"], r["duplicates"]) for r in got} == {i: (label[i], count(want, i), count(alike, i)) for i in label}
+
+
+@pytest.mark.parametrize("rows", [1 << 15, 11])
+def test_exact_first_pairs(spark, monkeypatch, rows):
+    """An agent's first pairs are those of all pairs, and copies give no more than asked for from each two parts."""
+    monkeypatch.setattr(dedup, "GRID_ROWS", rows)
+    monkeypatch.setattr(dedup, "TILE", 64)
+    vectors = table(spark, crowd())
+    every = [(r["agent_id"], -round(r["similarity"], 6), r["a"], r["b"]) for r in dedup.similar_pairs(vectors, 0.9).collect()]
+    found = [(r["agent_id"], -r["similarity"], r["a"], r["b"]) for r in dedup.first_pairs(vectors, 0.9, 5).collect()]
+    for agent in "ab":
+        assert sorted(x for x in found if x[0] == agent)[:5] == sorted(x for x in every if x[0] == agent)[:5]
+    assert len(found) < len(every) and len(found) == len(set(found)) and (rows == 11 or len(found) == 11)
+
+
+def test_text_vectors_stay_where_texts_are(spark):
+    """Sums of the words' signs as plain Python has them from the hashes; texts without words have none; nothing is shuffled."""
+    from memengine.plans.consolidation import DIMENSIONS, text_vectors
+    from tests.conftest import SF
+
+    got = text_vectors(spark, SF)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).select("doc_id", F.xxhash64("w").alias("h")).collect()
+    want: dict[int, list[float]] = {}
+    for r in words:
+        want.setdefault(r["doc_id"], [0.0] * DIMENSIONS)[r["h"] % DIMENSIONS] += 1 if (r["h"] >> 20) % 2 == 0 else -1
+    assert {r["id"]: r["embedding"] for r in got.collect()} == want

@@ -123,3 +123,15 @@ def test_text_is_parsed_once(spark):
     out = validation.validated(rows, validation.CHECKPOINT)
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 1
     assert [len(r["errors"]) for r in out.collect()] == [9, 1, 1]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_deliveries_of_a_name_follow_each_other(spark, monkeypatch, sent):
+    """However events come, those of one tenant and name follow each other, with the same subscribers again and again."""
+    monkeypatch.setattr(folds, "SENT", sent)
+    events = spark.createDataFrame([(i, i % 3, "xy"[i % 2]) for i in range(600)], "event_id int, tenant_id int, event string").coalesce(1)
+    subs = spark.createDataFrame([(k, k % 3, ["x", "y"], True, 0) for k in range(9)], "subscription_id int, tenant_id int, events array<string>, active boolean, failures int")
+    got = [(r["event_id"], r["subscription_id"]) for r in folds.deliveries(events, subs).collect()]
+    assert sorted(got) == [(i, k) for i in range(600) for k in range(9) if i % 3 == k % 3]
+    keys = [i % 6 for i, _ in got]
+    assert sum(a != b for a, b in zip(keys, keys[1:], strict=False)) == 5
